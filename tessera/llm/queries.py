@@ -5,8 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe
-from tessera.llm.shared import ship
+from tessera.llm import bpe, packing, pfor, url_rules
+from tessera.llm.shared import Scratch, ship
+
+#: (verdict, host, path) of the registered URL query.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +28,43 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.codec_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_pfor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    shards = pfor.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 2, Scratch(spark))
+    return pfor.read_ids(shards)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 1, Scratch(spark))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op7_pfor_files": op7_pfor_files,
+    "op9_packing": op9_packing,
+    "op10_url_rules": op10_url_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_url_rules": """
+        WITH rest AS (
+          SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),
+        split AS (
+          SELECT page_id,
+            coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+            coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+        rules(verdict, h, p) AS (VALUES
+          ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+          ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))
+        SELECT s.page_id, s.host, s.path,
+          arg_max(rules.h || rules.p, length(rules.h || rules.p)) AS rule,
+          coalesce(arg_max(rules.verdict, length(rules.h || rules.p)), 'allow') AS verdict
+        FROM split s LEFT JOIN rules
+          ON (s.host = rules.h OR ends_with(s.host, '.' || rules.h)) AND starts_with(s.path, rules.p)
+        GROUP BY s.page_id, s.host, s.path""",
+}
