@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, packing, pfor, url_rules
+from tessera.llm import bpe, digests, packing, pfor, url_rules
 from tessera.llm.shared import Scratch, ship
 
 #: (verdict, host, path) of the registered URL query.
@@ -34,6 +34,10 @@ def op7_pfor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_ids(shards)
 
 
+def op8_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.edit_report(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 1, Scratch(spark))
@@ -46,6 +50,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op7_pfor_files": op7_pfor_files,
+    "op8_exact_digest": op8_exact_digest,
     "op9_packing": op9_packing,
     "op10_url_rules": op10_url_rules,
 }
