@@ -21,7 +21,7 @@ from tessera.llm.shared import Scratch, part_offsets
 from tessera.llm.tokens import piece_encoder, text_runs
 
 
-def tokenize(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, local_start, doc_id, n, ids binary of little-endian 32-bit ids), as written.
 
     A null text counts as empty and has the end id only; rows with null or repeated ids stay.
@@ -29,16 +29,17 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, scratc
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder, part, start = piece_encoder(vocabulary, pattern), TaskContext.get().partitionId(), 0
+        encoder, part, start = piece_encoder(vocabulary), TaskContext.get().partitionId(), 0
         for b in batches:
             texts = b.column(1).to_pylist()
             for at, end in text_runs(texts):
-                ids = encoder.encode([t or "" for t in texts[at:end]], end_id)
-                n = np.array([len(x) for x in ids], np.int64)
-                before = start + np.cumsum(n) - n
-                start += int(n.sum())
+                flat, ends = encoder.encode([t or "" for t in texts[at:end]], end_id)
+                n = np.diff(ends, prepend=0)
+                before = start + ends - n
+                start += len(flat)
+                ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int64)), pa.py_buffer(flat.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(before), b.column(0).slice(at, end - at), pa.array(n), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                    [pa.array([part] * len(n), pa.int32()), pa.array(before), b.column(0).slice(at, end - at), pa.array(n), ids.cast(pa.binary())],
                     names=["part", "local_start", "doc_id", "n", "ids"],
                 )
 
@@ -46,11 +47,11 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, scratc
     return scratch.cut(named.mapInArrow(run, f"part int, local_start long, doc_id {key}, n long, ids binary"), "ids")
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, scratch: Scratch, window: int = 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, window: int = 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset[, ids]).  Every id of every document lies in exactly one piece; offsets inside a
     sequence leave no gap.  An empty table gives no rows."""
-    tokens = tokenize(docs, vocabulary, pattern, end_id, scratch, id_col, text_col)
+    tokens = tokenize(docs, vocabulary, end_id, scratch, id_col, text_col)
     base = part_offsets(tokens, "part", "n")
     key = tokens.schema["doc_id"].dataType.simpleString()
 

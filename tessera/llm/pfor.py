@@ -137,7 +137,8 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, i
             doc_ids = b.column(0).to_pylist()
             texts = b.column(1).to_pylist()
             for at, end in text_runs(texts):
-                for key, x in zip(doc_ids[at:end], encoder.encode([t or "" for t in texts[at:end]], end_id)):
+                flat, ends = encoder.encode([t or "" for t in texts[at:end]], end_id)
+                for key, x in zip(doc_ids[at:end], np.split(flat, ends[:-1])):
                     if keys and held + len(x) > SHARD_IDS:
                         yield row()
                         keys, ids, held, shard, start = [], [], 0, shard + 1, start + held

@@ -40,7 +40,7 @@ def op8_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 1, Scratch(spark))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1, Scratch(spark))
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,107 +1,125 @@
-"""Token ids of whole texts as the tokenizers library gives them, with a memo of words.
+"""Token ids of whole texts as the tokenizers library gives them, by way of distinct parts.
 
 Both vocabularies used here split a text first and merge inside the parts only, so the ids of a
-text are the ids of its parts, one after another.  Each distinct part goes to the library once
-while it is in the memo.  Texts with letters whose class depends on the Unicode version go to
-the library whole.
+text are the ids of its parts, one after another.  Arrow splits the texts and numbers their
+distinct parts; each part that the memo doesn't hold goes to the library once, and the ids of
+the texts are gathered from those of the parts.  A text that cannot be cut safely goes to the
+library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Parts in each of the two generations of the memo, and the longest part kept there.
-MEMO, MEMO_CHARS = 300_000, 40
-#: Characters of text taken together, and parts of one text handled at a time.
-BATCH_CHARS, CHUNK = 1 << 20, 1 << 16
-_SPLIT_DIFFERS = re.compile("[\x1c-\x1f]")
-_UNSTABLE = re.compile("[^\x00-ԯ -⁯₠-₿぀-ヿ一-龥]")
-_SPACES = regex.compile(r"\s+")
+MEMO, MEMO_CHARS = 400_000, 40
+#: Characters of text taken together.
+RUN_CHARS = 1 << 23
 
 
 class LibraryEncoder:
-    """``split`` gives the parts of a text, or None if only the library can split it."""
+    """``at_spaces``: parts end before each single space and keep it, else at any white space,
+    which is dropped.  ``unsafe`` finds the texts where that would change what is merged."""
 
-    def __init__(self, path: str, split: Callable[[str], list[str] | None]):
+    def __init__(self, path: str, at_spaces: bool, unsafe: re.Pattern[str]):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = split
+        self.at_spaces, self.unsafe = at_spaces, unsafe
+        self._tails = {t: tuple(self.library.encode(t, add_special_tokens=False).ids) for t in ("", ".", ",")}
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
-    def _known(self, parts: set[str]) -> dict[str, tuple[int, ...]]:
-        young, old, out, new = self.young, self.old, {}, []
-        for p in parts:
-            ids = young.get(p)
-            if ids is None:
-                ids = old.get(p)
-                if ids is None:
-                    new.append(p)
-                    continue
-                young[p] = ids
-            out[p] = ids
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            out[p] = ids = tuple(e.ids)
-            if len(p) <= MEMO_CHARS:
-                young[p] = ids
+    def _base(self, part: str) -> tuple[str, str]:
+        """What to look up for a part: letters apart from a full stop or comma after them, which
+        the library splits off anyway; lower case where white space and case are dropped."""
+        if not self.at_spaces and part.isascii():
+            part = part.lower()
+        if part[-1:] in (".", ",") and part[:-1].removeprefix(" " * self.at_spaces).isalpha():
+            return part[:-1], part[-1]
+        return part, ""
+
+    def _ids_of(self, parts: list[str]) -> list[tuple[int, ...]]:
+        young, old = self.young, self.old
+        out = list(map(young.get, parts))
+        todo = [(i, *self._base(parts[i])) for i, ids in enumerate(out) if ids is None]
+        bases = {base for _, base, _ in todo}
+        known = {b: ids for b in bases if (ids := young.get(b) or old.get(b)) is not None}
+        new = [b for b in bases if b not in known]
+        known.update(zip(new, (tuple(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False))))
+        for i, base, tail in todo:
+            out[i] = known[base] + self._tails[tail]
+            if tail and len(base) < MEMO_CHARS:
+                young[parts[i]] = out[i]
+        young.update((b, ids) for b, ids in known.items() if len(b) <= MEMO_CHARS)
         if len(young) > MEMO:
             self.old, self.young = young, {}
         return out
 
-    def encode(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
-        """Ids of each text as uint32, each followed by ``end_id`` if given."""
-        tail = () if end_id is None else (end_id,)
-        split = [self.split(t) for t in texts]
-        out: list[np.ndarray] = []
-        known = self._known({p for parts in split if parts is not None and len(parts) <= CHUNK for p in parts})
-        look = known.__getitem__
-        for text, parts in zip(texts, split):
-            if parts is None:
-                out.append(np.array([*self.library.encode(text, add_special_tokens=False).ids, *tail], np.uint32))
-            elif len(parts) <= CHUNK:
-                out.append(np.fromiter(chain(chain.from_iterable(map(look, parts)), tail), np.uint32))
-            else:
-                rest, some = iter(parts), []
-                while now := list(islice(rest, CHUNK)):
-                    ids = self._known(set(now))
-                    some.append(np.fromiter(chain.from_iterable(map(ids.__getitem__, now)), np.uint32))
-                out.append(np.concatenate([*some, np.array(tail, np.uint32)]))
-        return out
-
-
-def _words(text: str) -> list[str]:
-    return text.split() if not _SPLIT_DIFFERS.search(text) else [w for w in _SPACES.split(text) if w]
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as uint32, one text after another, and the end of each text in them.  Each
+        text's ids are followed by ``end_id`` if given."""
+        whole = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if self.unsafe.search(t)}
+        column = pa.array([None if i in whole else t for i, t in enumerate(texts)] if whole else texts, pa.large_string())
+        split = pc.split_pattern(column, " ") if self.at_spaces else pc.utf8_split_whitespace(column)
+        numbered = split.flatten().dictionary_encode()
+        parts, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        firsts = (np.cumsum(counts) - counts)[counts > 0]
+        if self.at_spaces:
+            heads = [parts[i] for i in number[firsts]]
+            ids = self._ids_of([" " + p for p in parts]) + self._ids_of(heads)
+            number[firsts] = len(parts) + np.arange(len(heads))
+        else:
+            ids = self._ids_of(parts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        sizes = size[number]
+        ends = np.cumsum(sizes)
+        shift = (np.cumsum(size) - size)[number] - (ends - sizes)
+        out = flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+        text_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
+        if whole:
+            cut = np.split(out, text_ends[:-1])
+            for i, some in whole.items():
+                cut[i] = np.array(some, np.uint32)
+            out, text_ends = np.concatenate(cut).astype(np.uint32), np.cumsum([len(c) for c in cut])
+        if end_id is not None:
+            out = np.insert(out, text_ends, np.uint32(end_id))
+            text_ends = text_ends + np.arange(1, len(texts) + 1)
+        return out, text_ends
 
 
 @lru_cache(4)
 def word_encoder(path: str) -> LibraryEncoder:
-    """For a vocabulary that drops white space and never merges across it."""
-    return LibraryEncoder(path, _words)
+    """For a vocabulary that drops white space and never merges across it.  The four control
+    characters are white space to Arrow but not to the library."""
+    return LibraryEncoder(path, False, re.compile("[\x1c-\x1f]"))
 
 
 @lru_cache(4)
-def piece_encoder(path: str, pattern: str) -> LibraryEncoder:
-    """For a byte-level vocabulary whose library splits by ``pattern``."""
-    pieces = regex.compile(pattern).findall
-    return LibraryEncoder(path, lambda t: pieces(t) if t.isascii() or not _UNSTABLE.search(t) else None)
+def piece_encoder(path: str) -> LibraryEncoder:
+    """For a byte-level vocabulary whose words take one space before them.  Where three white
+    space characters meet, which of them belong together depends on what follows."""
+    return LibraryEncoder(path, True, re.compile(r"\s\s\s"))
 
 
-def text_runs(texts: list[str | None]):
-    """Slices of a list that hold about BATCH_CHARS characters each, one text at least."""
+def text_runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Slices of a list that hold about RUN_CHARS characters each, one text at least."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") <= BATCH_CHARS):
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= RUN_CHARS):
             size += len(texts[end] or "")
             end += 1
         yield at, end
