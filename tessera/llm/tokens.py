@@ -26,42 +26,42 @@ RUN_CHARS = 1 << 23
 
 
 class LibraryEncoder:
-    """``at_spaces``: parts end before each single space and keep it, else at any white space,
-    which is dropped.  ``unsafe`` finds the texts where that would change what is merged."""
+    """Cuts a text where the library never merges across: around white space, and between a
+    letter and a full stop or comma.  ``drops``: white space and the case of A-Z don't count;
+    else a part keeps the white space before it.  ``unsafe`` finds the texts that no such rule
+    fits, which go to the library whole."""
 
-    def __init__(self, path: str, at_spaces: bool, unsafe: re.Pattern[str]):
+    def __init__(self, path: str, drops: bool, unsafe: re.Pattern[str]):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.at_spaces, self.unsafe = at_spaces, unsafe
-        self._tails = {t: tuple(self.library.encode(t, add_special_tokens=False).ids) for t in ("", ".", ",")}
+        self.drops, self.unsafe = drops, unsafe
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
-    def _base(self, part: str) -> tuple[str, str]:
-        """What to look up for a part: letters apart from a full stop or comma after them, which
-        the library splits off anyway; lower case where white space and case are dropped."""
-        if not self.at_spaces and part.isascii():
-            part = part.lower()
-        if part[-1:] in (".", ",") and part[:-1].removeprefix(" " * self.at_spaces).isalpha():
-            return part[:-1], part[-1]
-        return part, ""
+    def _split(self, column: pa.Array) -> pa.Array:
+        if self.drops:
+            column = pc.replace_substring_regex(pc.ascii_lower(column), r"(\pL)([.,])", r"\1 \2")
+            return pc.utf8_split_whitespace(column)
+        column = pc.replace_substring(column, " ", "\0 ")
+        column = pc.replace_substring_regex(column, r"(\pL)([.,])", "\\1\0\\2")
+        column = pc.replace_substring_regex(column, r"([^\s\pZ\x00\x{85}\x1c-\x1f])\n", "\\1\0\n")
+        return pc.split_pattern(column, "\0")
 
     def _ids_of(self, parts: list[str]) -> list[tuple[int, ...]]:
         young, old = self.young, self.old
         out = list(map(young.get, parts))
-        todo = [(i, *self._base(parts[i])) for i, ids in enumerate(out) if ids is None]
-        bases = {base for _, base, _ in todo}
-        known = {b: ids for b in bases if (ids := young.get(b) or old.get(b)) is not None}
-        new = [b for b in bases if b not in known]
-        known.update(zip(new, (tuple(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False))))
-        for i, base, tail in todo:
-            out[i] = known[base] + self._tails[tail]
-            if tail and len(base) < MEMO_CHARS:
-                young[parts[i]] = out[i]
-        young.update((b, ids) for b, ids in known.items() if len(b) <= MEMO_CHARS)
+        todo = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in todo:
+            ids = out[i] = old.get(parts[i])
+            if ids is None:
+                new.append(i)
+        for i, e in zip(new, self.library.encode_batch_fast([parts[i] for i in new], add_special_tokens=False)):
+            out[i] = tuple(e.ids)
+        young.update((parts[i], out[i]) for i in todo if len(parts[i]) <= MEMO_CHARS)
         if len(young) > MEMO:
             self.old, self.young = young, {}
         return out
@@ -70,18 +70,11 @@ class LibraryEncoder:
         """All ids as uint32, one text after another, and the end of each text in them.  Each
         text's ids are followed by ``end_id`` if given."""
         whole = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if self.unsafe.search(t)}
-        column = pa.array([None if i in whole else t for i, t in enumerate(texts)] if whole else texts, pa.large_string())
-        split = pc.split_pattern(column, " ") if self.at_spaces else pc.utf8_split_whitespace(column)
+        split = self._split(pa.array([None if i in whole else t for i, t in enumerate(texts)] if whole else texts, pa.large_string()))
         numbered = split.flatten().dictionary_encode()
-        parts, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = self._ids_of(numbered.dictionary.to_pylist())
+        number = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        firsts = (np.cumsum(counts) - counts)[counts > 0]
-        if self.at_spaces:
-            heads = [parts[i] for i in number[firsts]]
-            ids = self._ids_of([" " + p for p in parts]) + self._ids_of(heads)
-            number[firsts] = len(parts) + np.arange(len(heads))
-        else:
-            ids = self._ids_of(parts)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         sizes = size[number]
@@ -104,14 +97,15 @@ class LibraryEncoder:
 def word_encoder(path: str) -> LibraryEncoder:
     """For a vocabulary that drops white space and never merges across it.  The four control
     characters are white space to Arrow but not to the library."""
-    return LibraryEncoder(path, False, re.compile("[\x1c-\x1f]"))
+    return LibraryEncoder(path, True, re.compile("[\x1c-\x1f]"))
 
 
 @lru_cache(4)
 def piece_encoder(path: str) -> LibraryEncoder:
     """For a byte-level vocabulary whose words take one space before them.  Where three white
-    space characters meet, which of them belong together depends on what follows."""
-    return LibraryEncoder(path, True, re.compile(r"\s\s\s"))
+    space characters meet, which of them belong together depends on what follows; the null
+    character marks the cuts."""
+    return LibraryEncoder(path, False, re.compile(r"\s\s\s|\x00"))
 
 
 def text_runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
