@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, digests, packing, pfor, url_rules
+from tessera.llm import bpe, digests, packing, pfor, simhash, topk, url_rules
 from tessera.llm.shared import Scratch, ship
 
 #: (verdict, host, path) of the registered URL query.
@@ -28,6 +28,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.codec_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def op3_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("id % 50 = 0"), 5, Scratch(spark))
+
+
 def op7_pfor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shards = pfor.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 2, Scratch(spark))
@@ -49,6 +58,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_simhash": op2_simhash,
+    "op3_vector_topk": op3_vector_topk,
     "op7_pfor_files": op7_pfor_files,
     "op8_exact_digest": op8_exact_digest,
     "op9_packing": op9_packing,
