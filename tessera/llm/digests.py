@@ -50,9 +50,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _clashes(rows: DataFrame) -> DataFrame:
-    """Digests whose bucket holds different canonical bytes.  Copies merge before the exchange."""
-    ends = rows.groupBy("h1", "h2").agg(F.min("canon").alias("a"), F.max("canon").alias("b"))
-    return ends.where("a <> b").select("h1", "h2", F.lit(True).alias("clash"))
+    """Digests whose bucket holds different canonical bytes.  Copies merge before the exchange.
+
+    Ids are counted so that this reads the same columns as its caller's other branches and Spark
+    reuses their exchange of the texts."""
+    ends = rows.groupBy("h1", "h2").agg(F.min("canon").alias("a"), F.max("canon").alias("b"), F.count("id").alias("ids"))
+    return ends.where("a <> b and ids >= 0").select("h1", "h2", F.lit(True).alias("clash"))
 
 
 def edit_report(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, digests, packing, pfor, simhash, topk, url_rules
+from tessera.llm import bpe, digests, line_dedup, packing, pfor, simhash, topk, url_rules
 from tessera.llm.shared import Scratch, ship
 
 #: (verdict, host, path) of the registered URL query.
@@ -37,6 +37,11 @@ def op3_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("id % 50 = 0"), 5, Scratch(spark))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs, Scratch(spark))
+
+
 def op7_pfor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shards = pfor.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 2, Scratch(spark))
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
     "op3_vector_topk": op3_vector_topk,
+    "op5_line_dedup": op5_line_dedup,
     "op7_pfor_files": op7_pfor_files,
     "op8_exact_digest": op8_exact_digest,
     "op9_packing": op9_packing,
