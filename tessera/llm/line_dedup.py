@@ -95,14 +95,15 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 def shared_blocks(later: list[int], counts: list[int], earlier: list[int], min_words: int) -> list[tuple[int, int]]:
     """Line ranges of ``later`` in aligned blocks of ``min_words`` words or more; blank lines
-    neither break a block nor count.  What is found is set aside and the rest aligned again, so
-    blocks in another order, and further copies of a block, are found too."""
+    neither break a block nor count.  What is found is set aside and the rest aligned again, and
+    so are short blocks when nothing else is found; so blocks in another order, and further
+    copies of a block, are found too."""
     filled = [i for i, n in enumerate(counts) if n]
     mine, theirs = [later[i] for i in filled], [h for h in earlier if h]
     out: list[tuple[int, int]] = []
     while True:
         matched = patience(mine, theirs)
-        start, found = 0, len(out)
+        start, short, found = 0, [], len(out)
         for k in range(1, len(matched) + 1):
             if k == len(matched) or (matched[k][0], matched[k][1]) != (matched[k - 1][0] + 1, matched[k - 1][1] + 1):
                 lines = [i for i, _ in matched[start:k]]
@@ -110,9 +111,13 @@ def shared_blocks(later: list[int], counts: list[int], earlier: list[int], min_w
                     out.append((filled[lines[0]], filled[lines[-1]] + 1))
                     for i in lines:
                         mine[i] = (i,)  # equal to no line
+                else:
+                    short += lines
                 start = k
-        if len(out) == found:
+        if not matched:
             return out
+        for i in short if len(out) == found else ():
+            mine[i] = (i,)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
