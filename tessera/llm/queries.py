@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, digests, line_dedup, packing, pfor, simhash, topk, url_rules
+from tessera.llm import bpe, digests, language, line_dedup, packing, pfor, quotes, simhash, topk, url_rules
 from tessera.llm.shared import Scratch, ship
 
 #: (verdict, host, path) of the registered URL query.
@@ -37,11 +37,20 @@ def op3_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("id % 50 = 0"), 5, Scratch(spark))
 
 
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"), Scratch(spark))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs, Scratch(spark))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(table(spark, sf_dir, "documents"))
+    return language.identify_pages(table(spark, sf_dir, "pages"), model, Scratch(spark))
+
+
 def op7_pfor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shards = pfor.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 2, Scratch(spark))
@@ -65,7 +74,9 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
     "op3_vector_topk": op3_vector_topk,
+    "op4_quotation_links": op4_quotation_links,
     "op5_line_dedup": op5_line_dedup,
+    "op6_language_id": op6_language_id,
     "op7_pfor_files": op7_pfor_files,
     "op8_exact_digest": op8_exact_digest,
     "op9_packing": op9_packing,
