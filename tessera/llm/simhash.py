@@ -84,20 +84,20 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc
 
 
 def segment_counts(fp: Column) -> Column:
-    """Sixteen counts of four bits each, one in each hexadecimal digit."""
+    """Thirty-two counts of two bits each, one in each pair of bits."""
     odd = F.lit(0x5555555555555555)
     a, b = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
-    pairs = a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
-    two = F.lit(0x3333333333333333)
-    return pairs.bitwiseAND(two) + F.shiftrightunsigned(pairs, 2).bitwiseAND(two)
+    return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
 def _around(counts: Column) -> Column:
-    """A vector of segment counts and all within one step of it."""
+    """A vector of segment counts and all within one step of it: 0 and 1, and 1 and 2, differ in
+    the same bits of their pair either way."""
     steps = []
-    for i in range(16):
-        digit, one = F.shiftrightunsigned(counts, 4 * i).bitwiseAND(F.lit(15)), F.lit(1 << 4 * i)
-        steps += [F.when(digit < 4, counts + one), F.when(digit > 0, counts - one)]
+    for i in range(32):
+        digit = F.shiftrightunsigned(counts, 2 * i).bitwiseAND(F.lit(3))
+        steps.append(F.when(digit < 2, counts.bitwiseXOR(F.lit(_signed(1 << 2 * i)))))
+        steps.append(F.when(digit > 0, counts.bitwiseXOR(F.lit(_signed(3 << 2 * i)))))
     return F.array_compact(F.array(counts, *steps))
 
 

@@ -81,6 +81,23 @@ def test_links_are_exact(spark):
     assert got == want
 
 
+def test_grid_is_the_manhattan_ball(spark):
+    r = random.Random(6)
+    marks = [0, (1 << 64) - 1, *(r.getrandbits(64) for _ in range(20))]
+    df = spark.createDataFrame([(simhash._signed(m),) for m in marks], "fp long")
+    df = df.select("fp", simhash.segment_counts(df.fp).alias("c"))
+
+    def digits(x):
+        return tuple((x >> 2 * i) & 3 for i in range(32))
+
+    for row in df.select("fp", "c", simhash._around(df.c).alias("near")).collect():
+        bits = row.fp & (1 << 64) - 1
+        here = digits(row.c & (1 << 64) - 1)
+        assert here == tuple((bits >> 2 * i & 1) + (bits >> 2 * i + 1 & 1) for i in range(32))
+        want = {here} | {(*here[:i], here[i] + s, *here[i + 1 :]) for i in range(32) for s in (-1, 1) if 0 <= here[i] + s <= 2}
+        assert {digits(x & (1 << 64) - 1) for x in row.near} == want and len(row.near) == len(want)
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
 def test_connected(spark, shape):
     r = random.Random(3)
