@@ -26,6 +26,8 @@ from tessera.llm.components import connected
 from tessera.llm.shared import Scratch
 
 SEED = 42
+#: Standard deviations that a pair's differing bits may exceed what the similarity lets expect.
+DEVIATIONS = 1.5
 
 
 def _signed(x: int) -> int:
@@ -57,9 +59,12 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str, words: int, lanes: int = 1) -> list[int]:
-    """A bit is 1 if it is set in over half the shingles' hashes; zero for a text without words."""
+def fingerprint(text: str, words: int, lanes: int = 1, distinct: bool = False) -> list[int]:
+    """A bit is 1 if it is set in over half the shingles' hashes (each counted once if
+    ``distinct``); zero for a text without words."""
     hashes = shingle_hashes(text, words)
+    if distinct:
+        hashes = np.unique(hashes)
     out = []
     for lane in range(lanes):
         counts = np.zeros(64, np.int64)
@@ -70,12 +75,12 @@ def fingerprint(text: str, words: int, lanes: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """(id, f0 .. f{lanes-1} long) of every whole text; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            rows = [fingerprint(t.as_py() or "", words, lanes) for t in b.column(1)]
+            rows = [fingerprint(t.as_py() or "", words, lanes, distinct) for t in b.column(1)]
             lane = [pa.array([_signed(r[i]) for r in rows], pa.int64()) for i in range(lanes)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lane], names=["id", *(f"f{i}" for i in range(lanes))])
 
@@ -159,11 +164,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
 
     Fingerprints of 64 * ``lanes`` bits.  Bands of bits, spread over the lanes, meet within two
     differing bits on the grid of one-bit segments; each pair that meets is accepted if all its
-    bits differ in no more than the share that the similarity lets expect, plus one deviation.
+    bits differ in no more than the share that the similarity lets expect, plus
+    DEVIATIONS.  Shingles count once each, as in a similarity of sets.
     Documents of one band value are compared in a chain and with the first of them, values that
     meet by their first and last documents, so a group of copies costs no more than its size.
     """
-    marks = scratch.cut(fingerprints(docs, words, lanes, id_col, text_col).where("id is not null"), "marks")
+    marks = scratch.cut(fingerprints(docs, words, lanes, id_col, text_col, True).where("id is not null"), "marks")
     lane = [f"f{i}" for i in range(lanes)]
     classes = scratch.cut(marks.groupBy(*lane).agg(F.min("id").alias("id")), "classes")
     bits, bands = banding(classes.count(), similarity, recall)
@@ -176,7 +182,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
         pairs = pairs.join(classes.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in lane)), end)
     differ = reduce(Column.__add__, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in lane))
     p, width = expected_share(similarity), 64 * lanes
-    links = pairs.where(differ <= math.floor(p * width + math.sqrt(p * (1 - p) * width))).select("a", "b")
+    links = pairs.where(differ <= math.floor(p * width + DEVIATIONS * math.sqrt(p * (1 - p) * width))).select("a", "b")
     roots = connected(links, scratch)
     # Copies of a class hang on its first document.
     label = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*lane, F.coalesce("root", "id").alias("component_id"))
