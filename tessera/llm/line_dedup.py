@@ -168,7 +168,7 @@ def line_dedup(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col: s
     """
     spans = scratch.cut(blocks_to_delete(docs, scratch, min_words, id_col, text_col), "spans")
     lines = F.split(F.col(text_col), "\n")
-    rows = _keyed(docs, id_col, text_col).join(spans, ["_id", "_h"], "left")
+    rows = _keyed(docs, id_col, text_col).join(spans.hint("merge"), ["_id", "_h"], "left")
 
     def kept(line: Column, i: Column) -> Column:
         return ~F.exists("spans", lambda s: (i >= s["a"]) & (i < s["b"]))
