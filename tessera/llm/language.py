@@ -175,5 +175,5 @@ def keep_identified(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     keyed = docs.withColumns(keys)
     found = identify(keyed, model, scratch, list(keys), text_col, "_s", "_d").where("accepted")
     found = scratch.cut(found.select(*keys, F.col("lang").alias("_lang")).dropDuplicates(list(keys)), "languages")
-    out = keyed.join(found, list(keys))
+    out = keyed.join(found.hint("merge"), list(keys))
     return out.select(*(F.col("_lang").alias(c) if c == lang_col else F.col(c) for c in docs.columns))
