@@ -9,6 +9,7 @@ library whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -61,7 +62,9 @@ class LibraryEncoder:
                 new.append(i)
         for i, e in zip(new, self.library.encode_batch_fast([parts[i] for i in new], add_special_tokens=False)):
             out[i] = tuple(e.ids)
-        young.update((parts[i], out[i]) for i in todo if len(parts[i]) <= MEMO_CHARS)
+        for i in todo:
+            if len(parts[i]) <= MEMO_CHARS:
+                young[parts[i]] = out[i]
         if len(young) > MEMO:
             self.old, self.young = young, {}
         return out
@@ -69,6 +72,15 @@ class LibraryEncoder:
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32, one text after another, and the end of each text in them.  Each
         text's ids are followed by ``end_id`` if given."""
+        # Nothing here makes cycles, and a collection would walk the whole memo each time.
+        gc.disable()
+        try:
+            return self._encode(texts, end_id)
+        finally:
+            gc.freeze()
+            gc.enable()
+
+    def _encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         whole = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if self.unsafe.search(t)}
         split = self._split(pa.array([None if i in whole else t for i, t in enumerate(texts)] if whole else texts, pa.large_string()))
         numbered = split.flatten().dictionary_encode()
