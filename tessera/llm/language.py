@@ -46,7 +46,8 @@ def _buckets(data: bytes) -> np.ndarray:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TrigramModel:
     """From SAMPLE_ROWS labelled rows at most, those of the lowest id hash; whole texts."""
     good = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sample = good.select(F.lower(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).orderBy("h").limit(SAMPLE_ROWS)
+    good = good.select(F.lower(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    last = good.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
 
     def count(batches: Iterator[pa.RecordBatch]):
         by: dict[str, np.ndarray] = {}
@@ -56,11 +57,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 for at in range(0, len(data), CHUNK):
                     have = by.setdefault(lang, np.zeros(BUCKETS, np.int64))
                     have += np.bincount(_buckets(data[at : at + CHUNK + 2]), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array([v.tobytes() for v in by.values()], pa.binary())], names=["lang", "n"])
+        for lang, have in by.items():
+            at = np.flatnonzero(have)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(have[at], pa.int64())], names=["lang", "bucket", "n"])
 
     found: dict[str, np.ndarray] = {}
-    for r in sample.select("lang", "text").mapInArrow(count, "lang string, n binary").collect():
-        found[r.lang] = found.get(r.lang, 0) + np.frombuffer(r.n, np.int64)
+    counts = good.where(F.col("h") <= F.lit(last)).select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
+    counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))  # BUCKETS rows a language at most
+    for lang, bucket, n in counts.collect():
+        found.setdefault(lang, np.zeros(BUCKETS, np.int64))[bucket] = n
     kept = sorted(sorted(found, key=lambda x: (-found[x].sum(), x))[:MAX_LANGUAGES])
     if not kept:
         raise ValueError("no labelled text to learn languages from")

@@ -21,9 +21,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts in each of the two generations of the memo, and the longest part kept there.
-MEMO, MEMO_CHARS = 400_000, 40
+MEMO, MEMO_CHARS = 250_000, 40
 #: Characters of text taken together.
-RUN_CHARS = 1 << 23
+RUN_CHARS = 1 << 22
 
 
 class LibraryEncoder:
