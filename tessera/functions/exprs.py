@@ -3,12 +3,15 @@ to one SELECT for any other engine.  Missing is NULL; a ratio with a zero denomi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Column names that are words of the other dialect's grammar.
+RESERVED = re.compile(r'(?<!")\b(at)\b(?!")')
 #: An expression, or one for each dialect where they differ.
 Expr = str | Mapping[str, str]
 
@@ -101,7 +104,7 @@ class Layers:
             star = "*" + (f" REPLACE ({', '.join(old)})" if old else "")
             source = f"(SELECT {', '.join([star, *new])} FROM {source})"
             have |= set(step)
-        return source
+        return RESERVED.sub(r'"\1"', source)
 
 
 def rounded(names: Iterable[str], digits: int = 6) -> dict[str, str]:

@@ -80,7 +80,7 @@ def similarity(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     d = a.select("i", "j", F.col("w").alias("x")).join(b.select("i", "j", F.col("w").alias("y")), ["i", "j"], "full").fillna({"x": 0.0, "y": 0.0})
     m = float(n * (n - 1) // 2)
     s = d.agg(*(F.coalesce(F.sum(e), F.lit(0.0)).alias(k) for k, e in {"sx": F.col("x"), "sy": F.col("y"), "xx": F.col("x") ** 2, "yy": F.col("y") ** 2, "xy": F.col("x") * F.col("y")}.items()),
-              F.count_if("x > 0 and y > 0").alias("both"), F.count_if("x > 0 or y > 0").alias("any"))
+              F.count_if(F.expr("x > 0 and y > 0")).alias("both"), F.count_if(F.expr("x > 0 or y > 0")).alias("any"))
     cov = F.col("xy") - F.col("sx") * F.col("sy") / m
     corr = F.try_divide(cov, F.sqrt((F.col("xx") - F.col("sx") ** 2 / m) * (F.col("yy") - F.col("sy") ** 2 / m)))
     s = s.select(F.coalesce(corr, F.lit(0.0)).alias("correlation"), F.coalesce(F.try_divide(F.col("both").cast("double"), F.col("any")), F.lit(0.0)).alias("jaccard"), F.coalesce(F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0)).alias("cosine"))
@@ -98,7 +98,7 @@ def stability(series: DataFrame, window: int, step: int, threshold: float) -> Da
     e = a.join(b, ["start", "t"]).where("i < j").groupBy("start", "i", "j").agg(F.abs(guarded_corr("x", "y")).alias("w")).where(F.col("w") > threshold)
     prev = e.select((F.col("start") + step).alias("start"), "i", "j", F.col("w").alias("v"))
     both = e.join(prev, ["start", "i", "j"], "full").fillna({"w": 0.0, "v": 0.0})
-    out = both.groupBy("start").agg(F.try_divide(F.count_if("w > 0 and v > 0").cast("double"), F.count("*")).alias("jaccard"), F.try_divide(F.sum(F.col("w") * F.col("v")), F.sqrt(F.sum(F.col("w") ** 2) * F.sum(F.col("v") ** 2))).alias("cosine"))
+    out = both.groupBy("start").agg(F.try_divide(F.count_if(F.expr("w > 0 and v > 0")).cast("double"), F.count("*")).alias("jaccard"), F.try_divide(F.sum(F.col("w") * F.col("v")), F.sqrt(F.sum(F.col("w") ** 2) * F.sum(F.col("v") ** 2))).alias("cosine"))
     return out.where((F.col("start") > 0) & (F.col("start") + window <= last))
 
 
@@ -152,26 +152,26 @@ def cluster_agreement(labels: DataFrame, truth: str = "truth", pred: str = "pred
     """(nmi, ari, purity) in closed form from the contingency counts."""
     c = labels.groupBy(truth, pred).agg(F.count("*").cast("double").alias("n"))
     n = F.sum("n").over(Window.partitionBy())
-    c = c.withColumns({"N": n, "a": F.sum("n").over(Window.partitionBy(truth)), "b": F.sum("n").over(Window.partitionBy(pred)), "top": F.max("n").over(Window.partitionBy(pred))})
+    c = c.withColumns({"all": n, "a": F.sum("n").over(Window.partitionBy(truth)), "b": F.sum("n").over(Window.partitionBy(pred)), "top": F.max("n").over(Window.partitionBy(pred))})
 
     def two(x: Column) -> Column:
         return x * (x - 1) / 2
 
-    p = F.col("n") / F.col("N")
+    p = F.col("n") / F.col("all")
     s = c.agg(
-        F.sum(p * F.log(F.col("n") * F.col("N") / (F.col("a") * F.col("b")))).alias("mi"),
-        F.sum(-p * F.log(F.col("a") / F.col("N"))).alias("ha"),
-        F.sum(-p * F.log(F.col("b") / F.col("N"))).alias("hb"),
+        F.sum(p * F.log(F.col("n") * F.col("all") / (F.col("a") * F.col("b")))).alias("mi"),
+        F.sum(-p * F.log(F.col("a") / F.col("all"))).alias("ha"),
+        F.sum(-p * F.log(F.col("b") / F.col("all"))).alias("hb"),
         F.sum(two(F.col("n"))).alias("ij"),
         F.sum(two(F.col("a")) * F.col("n") / F.col("a")).alias("i"),
         F.sum(two(F.col("b")) * F.col("n") / F.col("b")).alias("j"),
         F.sum(F.col("top") * F.col("n") / F.col("b")).alias("pure"),
-        F.max("N").alias("N"),
+        F.max("all").alias("all"),
     )
-    expected = F.try_divide(F.col("i") * F.col("j"), two(F.col("N")))
+    expected = F.try_divide(F.col("i") * F.col("j"), two(F.col("all")))
     ari = F.try_divide(F.col("ij") - expected, (F.col("i") + F.col("j")) / 2 - expected)
     nmi = F.try_divide(F.col("mi"), (F.col("ha") + F.col("hb")) / 2)
-    return s.select(F.coalesce(nmi, F.lit(1.0)).alias("nmi"), F.coalesce(ari, F.lit(1.0)).alias("ari"), (F.col("pure") / F.col("N")).alias("purity"))
+    return s.select(F.coalesce(nmi, F.lit(1.0)).alias("nmi"), F.coalesce(ari, F.lit(1.0)).alias("ari"), (F.col("pure") / F.col("all")).alias("purity"))
 
 
 def edge_scores(pred: DataFrame, truth: DataFrame, n: int, threshold: float = 0.0) -> DataFrame:
