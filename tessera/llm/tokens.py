@@ -79,6 +79,7 @@ class LibraryEncoder:
         finally:
             gc.freeze()
             gc.enable()
+            pa.default_memory_pool().release_unused()
 
     def _encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         whole = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if self.unsafe.search(t)}
