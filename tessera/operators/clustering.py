@@ -154,9 +154,9 @@ def agglomerative(df: DataFrame, by: list[str], threshold: float, id_col: str =
     return _snapshot(df, by, id_col, vector, label)
 
 
-def optics(df: DataFrame, by: list[str], xi: float = 0.05, id_col: str = "id", vector: str = "v") -> DataFrame:
-    """Ordering by reachability under L1; a cluster is a stretch whose reachability stays below
-    the steep drop (by factor 1 - xi) before it."""
+def optics(df: DataFrame, by: list[str], xi: float = 0.5, id_col: str = "id", vector: str = "v") -> DataFrame:
+    """Ordering by reachability under L1, split at its highest peaks as long as a peak stands out
+    from the medians on both sides by the factor 1 - xi; parts of too few points are noise."""
 
     def label(x):
         import numpy as np
@@ -170,19 +170,18 @@ def optics(df: DataFrame, by: list[str], xi: float = 0.05, id_col: str = "id", v
             done[p] = True
             order.append(p)
             reach = np.where(done, reach, np.minimum(reach, np.maximum(core[p], dist[p])))
-        r = reach[order]
-        out, now, at = np.full(n, -1, np.int32), 0, 0
-        while at < n - 1:
-            if r[at + 1] <= r[at] * (1 - xi):
-                end = at + 1
-                while end < n and r[end] <= r[at] * (1 - xi):
-                    end += 1
-                if end - at >= k:
-                    out[np.array(order[at:end])] = now
-                    now += 1
-                at = end
+        r, out, now, todo = reach[order], np.full(n, -1, np.int32), 0, [(0, n)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < k:
+                continue
+            peak = a + 1 + int(np.argmax(r[a + 1 : b])) if b - a > 1 else a
+            sides = [np.median(part) for part in (r[a + 1 : peak], r[peak + 1 : b]) if len(part)]
+            if peak > a and sides and r[peak] * (1 - xi) > max(sides):
+                todo += [(peak, b), (a, peak)]
             else:
-                at += 1
+                out[np.array(order[a:b])] = now
+                now += 1
         return out
 
     return _snapshot(df, by, id_col, vector, label)

@@ -85,7 +85,7 @@ MONTH = Base(
     """SELECT l_suppkey AS permno, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_extendedprice) AS prc, sum(l_quantity) AS vol
        FROM {lineitem} GROUP BY l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE)""",
     _names("permno date prc vol"),
-    Layers({"shrout": "5000.0e0 + permno", "ret": f"prc / nullif({_MONTH.lag('prc')}, 0) - 1"}),
+    Layers({"shrout": "5000.37719e0 + permno * 1.00713e0", "ret": f"prc / nullif({_MONTH.lag('prc')}, 0) - 1"}),
 )
 
 
