@@ -12,18 +12,18 @@ from __future__ import annotations
 import gc
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts in each of the two generations of the memo, and the longest part kept there.
-MEMO, MEMO_CHARS = 250_000, 40
+MEMO, MEMO_CHARS = 400_000, 40
 #: Characters of text taken together.
-RUN_CHARS = 1 << 22
+RUN_CHARS = 6 << 20
 
 
 class LibraryEncoder:
@@ -32,15 +32,20 @@ class LibraryEncoder:
     else a part keeps the white space before it.  ``unsafe`` finds the texts that no such rule
     fits, which go to the library whole."""
 
-    def __init__(self, path: str, drops: bool, unsafe: re.Pattern[str]):
+    def __init__(self, path: str, drops: bool, unsafe: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops, self.unsafe = drops, unsafe
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        # Letters whose class, case and composition are the same in every Unicode version.
+        self._plain = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ȯ]+" if drops else " ?[A-Za-zÀ-ÖØ-öø-ȯ]+")
+        # Byte-level models name bytes by letters: those that are none move up from 256 on.
+        unnamed = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self._table = {b: 256 + i for i, b in enumerate(unnamed)}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _split(self, column: pa.Array) -> pa.Array:
         if self.drops:
@@ -51,24 +56,40 @@ class LibraryEncoder:
         column = pc.replace_substring_regex(column, r"([^\s\pZ\x00\x{85}\x1c-\x1f])\n", "\\1\0\n")
         return pc.split_pattern(column, "\0")
 
-    def _ids_of(self, parts: list[str]) -> list[tuple[int, ...]]:
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part as 32-bit integers."""
         young, old = self.young, self.old
         out = list(map(young.get, parts))
         todo = [i for i, ids in enumerate(out) if ids is None]
-        new = []
         for i in todo:
-            ids = out[i] = old.get(parts[i])
-            if ids is None:
-                new.append(i)
-        for i, e in zip(new, self.library.encode_batch_fast([parts[i] for i in new], add_special_tokens=False)):
-            out[i] = tuple(e.ids)
+            out[i] = old.get(parts[i])
+        new = [i for i in todo if out[i] is None]
+        for i, ids in zip(new, self._encode_new([parts[i] for i in new])):
+            out[i] = ids
         for i in todo:
-            if len(parts[i]) <= MEMO_CHARS:
-                young[parts[i]] = out[i]
+            part = parts[i]
+            if len(part) <= MEMO_CHARS:
+                young[part] = out[i]
         if len(young) > MEMO:
             self.old, self.young = young, {}
         return out
 
+    def _encode_new(self, parts: list[str]) -> list[bytes]:
+        """A part of plain letters is one word to the library: its model alone is asked.  The
+        rest goes through all of the library."""
+        plain, tokenize, table = self._plain.fullmatch, self.library.model.tokenize, self._table
+        out: list[bytes | None] = []
+        for p in parts:
+            if plain(p):
+                word = (p.lower() if self.drops else p).encode().decode("latin-1").translate(table)
+                out.append(array("I", [t.id for t in tokenize(word)]).tobytes())
+            else:
+                out.append(None)
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32, one text after another, and the end of each text in them.  Each
         text's ids are followed by ``end_id`` if given."""
@@ -82,18 +103,20 @@ class LibraryEncoder:
             pa.default_memory_pool().release_unused()
 
     def _encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        whole = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if self.unsafe.search(t)}
-        split = self._split(pa.array([None if i in whole else t for i, t in enumerate(texts)] if whole else texts, pa.large_string()))
+        column = pa.array(texts, pa.large_string())
+        unsafe = pc.match_substring_regex(column, self.unsafe)
+        whole = {i: self.library.encode(texts[i], add_special_tokens=False).ids for i in np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))}
+        split = self._split(pc.if_else(unsafe, pa.scalar(None, pa.large_string()), column) if whole else column)
         numbered = split.flatten().dictionary_encode()
         ids = self._ids_of(numbered.dictionary.to_pylist())
-        number = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        number = numbered.indices.to_numpy(zero_copy_only=False)
         counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         sizes = size[number]
         ends = np.cumsum(sizes)
         shift = (np.cumsum(size) - size)[number] - (ends - sizes)
-        out = flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+        out = flat[np.repeat(shift, sizes) + np.arange(len(shift) and int(ends[-1]))]
         text_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
         if whole:
             cut = np.split(out, text_ends[:-1])
@@ -110,7 +133,7 @@ class LibraryEncoder:
 def word_encoder(path: str) -> LibraryEncoder:
     """For a vocabulary that drops white space and never merges across it.  The four control
     characters are white space to Arrow but not to the library."""
-    return LibraryEncoder(path, True, re.compile("[\x1c-\x1f]"))
+    return LibraryEncoder(path, True, r"[\x1c-\x1f]")
 
 
 @lru_cache(4)
@@ -118,7 +141,7 @@ def piece_encoder(path: str) -> LibraryEncoder:
     """For a byte-level vocabulary whose words take one space before them.  Where three white
     space characters meet, which of them belong together depends on what follows; the null
     character marks the cuts."""
-    return LibraryEncoder(path, False, re.compile(r"\s\s\s|\x00"))
+    return LibraryEncoder(path, False, r"[\s\pZ\x{85}\x0b\x1c-\x1f]{3}|\x00")
 
 
 def text_runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
