@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.functions import dates
 from tessera.functions.exprs import Layers, Panel, clip, div, safe_log, signed_ratio
-from tessera.operators import clustering, cross_section, daily_factors, extended_factors, firm_factors, graph, joins, portfolio
+from tessera.operators import clustering, cross_section, daily_factors, dynamics, extended_factors, firm_factors, graph, joins, portfolio
 from tessera.plans import walkforward
 from tessera.sources import panels as sources
 from tessera.streaming.bars import tumbling_bars
@@ -243,3 +243,29 @@ def test_stream_equals_table(spark, sf_dir, tmp_path):
 def test_ple_and_vectors(spark):
     row = spark.range(1).select(C.encode_ple(F.lit(0.5), 8, -4.0, 4.0).alias("p"), C.softmax(F.array(F.lit(0.0), F.lit(0.0))).alias("s"), C.argmax(F.array(F.lit(1.0), F.lit(3.0))).alias("a"), C.zscore_vector(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).alias("z")).first()
     assert row.p == [1, 1, 1, 1, 0.5, 0, 0, 0] and row.s == [0.5, 0.5] and row.a == 1 and row.z == pytest.approx([-1, 0, 1], abs=1e-6)
+
+
+def test_graph_recovery(spark):
+    truth, labels = dynamics.cluster_graph(spark, 12, 3)
+    assert labels.count() == 12 and truth.where("w < 0").isEmpty()
+    series = dynamics.simulate(truth, 12, 1500, noise=0.5)
+    for lasso in (None, 1e-4):
+        pred = dynamics.recover_graph(series, 0.01, lasso=lasso)
+        row = dynamics.weight_errors(pred, truth).first()
+        assert row.frobenius_share < 1.0
+        assert graph.edge_scores(pred, truth.where("w > 0.5"), 12, 0.4).first().recall > 0.8
+    report = dynamics.dynamics_report(truth, series, 0.01).first()
+    assert report.verdict in ("green", "yellow", "red") and report.ic_mean > 0
+    full = dynamics.recovery_report(spark, 12, 3, 800).first()
+    assert 0 <= full.nmi <= 1 and full.tp + full.fp + full.fn + full.tn == 66
+
+
+def test_losses(spark):
+    d = spark.createDataFrame([(i, [float(i == k) for k in range(4)], [float(i == k) for k in range(4)]) for i in range(4)], "i int, a array<double>, b array<double>")
+    assert dynamics.info_nce(d).first().loss < 0.01
+    e = spark.createDataFrame([([0.5, 0.5],), ([0.5, 0.5],)], "share array<double>")
+    assert dynamics.cluster_entropy(e).first().entropy == pytest.approx(math.log(2), abs=1e-6)
+    walk = spark.createDataFrame([(1, t, 0.5**t) for t in range(20)], "i int, t int, f double")
+    good, bad = (dynamics.mean_reversion_nll(walk, k, 0.1).first().nll for k in (math.log(2), 5.0))
+    assert good < bad
+    assert dynamics.augment(walk, ["f"], mask=1.0).agg(F.max("f")).first()[0] == 0.0
