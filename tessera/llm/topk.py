@@ -1,7 +1,8 @@
 """Exact top-k by inner product over vector-approximation files.
 
-Every component is quantised to one byte, a cell with a lower and an upper end.  A task scans
-the cells of its vectors only, which bounds each score from both sides; the k-th best lower
+The approximation file holds each component as one byte, a cell with a lower and an upper end,
+beside the exact vectors; it is written once and scanned for every block of queries.  A task
+computes with the cells, which bound each score from both sides; the k-th best lower
 bound and the k-th best exact score found so far rule out all rows whose upper bound is below.
 The exact vectors of the rest are read in descending order of their upper bound until the next
 bound cannot reach the k-th result.  The partitions' own top k are merged at the end.
@@ -16,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,13 +74,59 @@ def _search(best: Best, first: int, query_ids: np.ndarray, queries: np.ndarray,
             at += step
 
 
-def cells_of(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cells uint8, lower ends, upper ends): equal widths between each component's extremes."""
-    least, most = exact.min(axis=0), exact.max(axis=0)
-    width = np.maximum((most - least) // CELLS + 1, 1)
-    cells = ((exact - least) // width).astype(np.uint8)
+def cells_of(exact: np.ndarray, least: np.ndarray, width: np.ndarray) -> np.ndarray:
+    return ((exact - least) // width).astype(np.uint8)
+
+
+def ends_of(cells: np.ndarray, least: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper end of each cell."""
     low = least + cells.astype(np.int64) * width
-    return cells, low.astype(np.float64), np.minimum(low + width - 1, most).astype(np.float64)
+    return low.astype(np.float64), (low + width - 1).astype(np.float64)
+
+
+def _rows_by_length(ids: np.ndarray, lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) for each length of vectors in a column."""
+    lengths = np.diff(lists.offsets.to_numpy())
+    values, start = lists.flatten().to_numpy(), np.cumsum(lengths) - lengths
+    for d in np.unique(lengths):
+        mine = np.flatnonzero(lengths == d)
+        yield mine, values[start[mine][:, None] + np.arange(d)]
+
+
+def grid(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length, every component's least value and its cells' width.  A partition sends
+    its extremes only."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for _, x in _rows_by_length(b.column(0), b.column(1)):
+                low, high = x.min(axis=0), x.max(axis=0)
+                was = seen.get(x.shape[1], (low, high))
+                seen[x.shape[1]] = np.minimum(low, was[0]), np.maximum(high, was[1])
+        columns = [pa.array([lo for lo, _ in seen.values()], pa.list_(pa.int64())), pa.array([hi for _, hi in seen.values()], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["least", "most"])
+
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for r in vectors.mapInArrow(run, "least array<long>, most array<long>").collect():
+        low, high = np.array(r.least, np.int64), np.array(r.most, np.int64)
+        was = out.get(len(low), (low, high))
+        out[len(low)] = np.minimum(low, was[0]), np.maximum(high, was[1])
+    return {d: (low, np.maximum((high - low) // CELLS + 1, 1)) for d, (low, high) in out.items()}
+
+
+def approximation_file(vectors: DataFrame, cell_grid: dict[int, tuple[np.ndarray, np.ndarray]], scratch: Scratch) -> DataFrame:
+    """(id, cells binary, v array<long>) as written: one byte a component beside the exact vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            cells: list[bytes] = [b""] * b.num_rows
+            for mine, x in _rows_by_length(b.column(0), b.column(1)):
+                for row, c in zip(mine, cells_of(x, *cell_grid[x.shape[1]])):
+                    cells[row] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary()), b.column(1)], names=["id", "cells", "v"])
+
+    return scratch.cut(vectors.mapInArrow(run, "id long, cells binary, v array<long>"), "cells")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -92,11 +140,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch) ->
     stored = scratch.cut(one.repartitionByRange(F.col("id")).sortWithinPartitions("id").withColumn("place", F.monotonically_increasing_id()), "queries")
     starts = sorted((r[0], r[1], r[2]) for r in stored.groupBy(F.shiftright("place", 33)).agg(F.min("id"), F.count("*")).collect())
     cuts = _block_starts(stored, starts)
+    cell_grid = grid(vectors)
+    file = approximation_file(vectors, cell_grid, scratch)
     parts = []
     for a, b in zip(cuts, [*cuts[1:], None]):
         block = stored.where(F.col("id") >= a) if b is None else stored.where((F.col("id") >= a) & (F.col("id") < b))
         rows = block.select("id", "v").collect()  # QUERIES_AT_ONCE at most
-        parts.append(_scan(vectors, spark.sparkContext.broadcast(_by_length(rows)), k))
+        parts.append(_scan(file, cell_grid, spark.sparkContext.broadcast(_by_length(rows)), k))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = reduce(DataFrame.unionAll, parts)
@@ -125,26 +175,28 @@ def _by_length(rows) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.array([r.id for r in some], np.int64), np.array([r.v for r in some], np.float64)) for some in by.values()]
 
 
-def _scan(vectors: DataFrame, shared, k: int) -> DataFrame:
+def _scan(file: DataFrame, cell_grid: dict[int, tuple[np.ndarray, np.ndarray]], shared, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         groups = shared.value
         best = [Best(len(ids), k) for ids, _ in groups]
         for b in batches:
             for at in range(0, b.num_rows, ROWS_AT_ONCE):
                 part = b.slice(at, ROWS_AT_ONCE)
-                every, flat = part.column(0).to_numpy(), part.column(1)
-                lengths = np.diff(flat.offsets.to_numpy())
-                values, offset = flat.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)])
+                every, cells = part.column(0).to_numpy(), part.column(1)
+                lengths = pc.binary_length(cells).to_numpy()
                 for (query_ids, q), kept in zip(groups, best):
-                    mine = np.flatnonzero(lengths == q.shape[1])
+                    d = q.shape[1]
+                    mine = np.flatnonzero(lengths == d)
                     if not len(mine):
                         continue
-                    exact = values[offset[mine][:, None] + np.arange(q.shape[1])]
-                    _, low, high = cells_of(exact)
+                    mask = pa.array(lengths == d)
+                    bytes_ = b"".join(cells.filter(mask).to_pylist())
+                    low, high = ends_of(np.frombuffer(bytes_, np.uint8).reshape(-1, d), *cell_grid[d])
+                    exact = part.column(2).filter(mask).flatten().to_numpy().reshape(-1, d)
                     for i in range(0, len(q), QUERIES_TOGETHER):
                         _search(kept, i, query_ids[i : i + QUERIES_TOGETHER], q[i : i + QUERIES_TOGETHER], low, high, exact, every[mine])
         out = [(i, r[1], -r[0]) for (ids, _), kept in zip(groups, best) for i, rows in zip(ids.tolist(), kept.rows) for r in rows]
         columns = list(zip(*out)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+    return file.mapInArrow(run, "query_id long, vec_id long, score long")

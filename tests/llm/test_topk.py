@@ -50,7 +50,13 @@ def test_op3_empty(spark):
     assert [tuple(r) for r in topk.search(v, v.where("id = 0"), 5, Scratch(spark)).collect()] == [(0, 1, 1, 256 * 512)]
 
 
-def test_cells_bound():
+def test_cells_bound(spark):
     x = np.random.default_rng(0).integers(-1000, 1000, (500, 7))
-    cells, low, high = topk.cells_of(x)
-    assert cells.dtype == np.uint8 and (low <= x).all() and (x <= high).all() and (high - low <= 2000 / 256 + 1).all()
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<long>").repartition(4)
+    grid = topk.grid(df)
+    least, width = grid[7]
+    assert least.tolist() == x.min(axis=0).tolist() and (width <= 2000 // 256 + 1).all()
+    for r in topk.approximation_file(df, grid, Scratch(spark)).collect():
+        cells = np.frombuffer(bytes(r.cells), np.uint8)
+        low, high = topk.ends_of(cells, least, width)
+        assert r.v == x[r.id].tolist() and (low <= r.v).all() and (r.v <= high).all()
