@@ -25,7 +25,7 @@ SAMPLE_ROWS, MAX_LANGUAGES = 2000, 64
 #: Trigram buckets; weight of one trigram, since neighbours overlap; pseudo-counts of a level.
 BUCKETS, WEIGHT, PSEUDO = 1 << 16, 0.3, 20.0
 #: Bytes of one text scored at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: A document is rejected below this posterior, or without any letter.
 LEAST = 0.5
 

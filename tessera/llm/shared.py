@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows of one Arrow batch: texts are long, and Spark's default of 10,000 rows would make a
+#: worker hold tens of MB of them twice.
+ARROW_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even if it isn't installed on their path."""
+    """Let Python workers import this package even if it isn't installed on their path, and keep
+    their batches small unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
@@ -75,6 +83,3 @@ def part_offsets(df: DataFrame, part: str, total: str) -> dict[int, int]:
         at += sums[p]
     return out
 
-
-def offsets_frame(spark: SparkSession, offsets: dict[int, int]) -> DataFrame:
-    return spark.createDataFrame(sorted(offsets.items()) or [], "part int, base long")
