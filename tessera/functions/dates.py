@@ -36,14 +36,10 @@ def month_shift(date: Column, n: int, align: str = "beginning") -> Column:
 
 
 def add_weekdays(date: Column, n: int) -> Column:
-    """n weekdays on (or back); a weekend counts as the Friday before it when going on, as the
-    Monday after it when going back."""
+    """n weekdays on, or back if negative; a weekend counts as the Friday before it."""
     k = F.weekday(date)
-    if n >= 0:
-        base, at = F.date_sub(date, F.greatest(k - 4, F.lit(0))), F.least(k, F.lit(4))
-        return F.date_add(base, (F.floor((at + n) / 5) * 2 + n).cast("int"))
-    base, at = F.date_add(date, F.when(k > 4, 7 - k).otherwise(0)), F.when(k > 4, 0).otherwise(k)
-    return F.date_add(base, (F.floor((at + n) / 5) * 2 + n).cast("int"))
+    friday, at = F.date_sub(date, F.greatest(k - 4, F.lit(0))), F.least(k, F.lit(4))
+    return F.date_add(friday, (F.floor((at + n) / 5) * 2 + n).cast("int"))
 
 
 def week_end(date: Column) -> Column:

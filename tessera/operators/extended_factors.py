@@ -13,6 +13,14 @@ from tessera.functions.exprs import Layers, Panel, div, flag
 RATINGS = "AAA AA+ AA AA- A+ A A- BBB+ BBB BBB- BB+ BB BB- B+ B B- CCC+ CCC CCC- CC C D".split()
 #: Corporate tax rate from each fiscal year on, first match from the top.
 TAX_RATES = [(1993, 0.35), (1988, 0.34), (1987, 0.40), (1979, 0.46), (0, 0.48)]
+#: Consumer prices by year.
+CPI = {
+    2015: 236.53, 2014: 229.91, 2013: 229.17, 2012: 229.594, 2011: 224.939, 2010: 218.056, 2009: 214.537, 2008: 215.303, 2007: 207.342,
+    2006: 201.6, 2005: 195.3, 2004: 188.9, 2003: 183.96, 2002: 179.88, 2001: 177.1, 2000: 172.2, 1999: 166.6, 1998: 163.00, 1997: 160.5,
+    1996: 156.9, 1995: 152.4, 1994: 148.2, 1993: 144.5, 1992: 140.3, 1991: 136.2, 1990: 130.7, 1989: 124.00, 1988: 118.3, 1987: 113.6,
+    1986: 109.6, 1985: 107.6, 1984: 103.9, 1983: 99.6, 1982: 96.5, 1981: 90.9, 1980: 82.4, 1979: 72.6, 1978: 65.2, 1977: 60.6,
+    1976: 56.9, 1975: 53.8, 1974: 49.3,
+}
 #: Assumed delisting returns by exchange group, and the least possible return.
 DELIST_LISTED, DELIST_OTHER, LEAST_RETURN = -0.35, -0.55, -1.0
 
@@ -46,6 +54,35 @@ def tax_rate(year: Column) -> Column:
     return out
 
 
+def with_cpi(df: DataFrame, year: str = "fyear") -> DataFrame:
+    """Consumer prices of the year as ``cpi``; a table of a few dozen rows."""
+    prices = F.create_map(*(F.lit(v) for pair in sorted(CPI.items()) for v in pair))
+    return df.withColumn("cpi", prices[F.col(year)])
+
+
+def industry_momentum(time: str = "date", industry: str = "sic2") -> Layers:
+    return Layers({"indmom": f"avg(mom12m) OVER (PARTITION BY {industry}, {time})"})
+
+
+def announcement_factors(daily: DataFrame, events: DataFrame, entity: str = "permno", date: str = "date", announced: str = "rdq") -> DataFrame:
+    """Abnormal volume and return around announcements, in weekdays: volume from one before to
+    one after against the mean from 30 to 10 before, and the sum of returns.  Days of a window
+    are spelled out for each event, so both are equality joins."""
+    from tessera.functions.dates import add_weekdays
+
+    e = events.select(entity, announced).where(F.col(announced).isNotNull()).distinct()
+    d = daily.select(entity, F.col(date).cast("date").alias("_d"), "vol", "ret")
+
+    def window(first: int, last: int, *aggs):
+        days = e.withColumn("_d", F.explode(F.sequence(add_weekdays(F.col(announced), first), add_weekdays(F.col(announced), last))))
+        return days.join(d, [entity, "_d"], "left").groupBy(entity, announced).agg(*aggs)
+
+    before = window(-30, -10, F.avg("vol").alias("avgvol"))
+    around = window(-1, 1, F.avg("vol").alias("_v"), F.sum("ret").alias("ear"))
+    out = around.join(before, [entity, announced])
+    return out.select(entity, announced, F.try_divide(F.col("_v") - F.col("avgvol"), F.col("avgvol")).alias("aeavol"), "ear")
+
+
 def organisation_capital(df: DataFrame, entity: str, time: str, spend: str = "xsga", price: str = "cpi", decay: float = 0.15, growth: float = 0.10, assets: str | None = "at") -> DataFrame:
     """Perpetual inventory of real spending: the first year's over (growth + decay), then
     depreciated and added to; over assets if given.  The recursion is a sum of decayed terms:
@@ -60,13 +97,14 @@ def organisation_capital(df: DataFrame, entity: str, time: str, spend: str = "xs
     return d.drop("_x", "_n")
 
 
-def delisting_return(ret: Column, dlret: Column, code: Column, listed: Column) -> Column:
-    """Return with the delisting's compounded in; performance delistings without a return get the
-    assumed one; never below a total loss."""
+def delisting_return(ret: Column, dlret: Column, code: Column, exchange: Column) -> Column:
+    """Return plus the delisting's, alone where the return is missing.  A performance delisting
+    without a return gets its exchange group's; none is below a total loss."""
     performance = (code == 500) | code.between(520, 584)
-    assumed = F.when(dlret.isNotNull(), dlret).when(performance & listed, DELIST_LISTED).when(performance, DELIST_OTHER).otherwise(0.0)
-    both = F.when(ret.isNull() & (assumed != 0), assumed).otherwise((1 + ret) * (1 + assumed) - 1)
-    return F.when(both.isNotNull(), F.greatest(both, F.lit(LEAST_RETURN)))
+    known = F.when(dlret.isNotNull(), F.greatest(dlret, F.lit(LEAST_RETURN)))
+    assumed = F.when(performance & exchange.isin(1, 2), DELIST_LISTED).when(performance & (exchange == 3), DELIST_OTHER).otherwise(0.0)
+    extra = F.coalesce(known, assumed)
+    return F.when(ret.isNull() & (extra != 0), extra).otherwise(ret + extra)
 
 
 def monthly_from_daily(daily: DataFrame, entity: str = "permno", time: str = "date") -> DataFrame:

@@ -59,6 +59,8 @@ layered(
 layered("quarterly_factors", Query(QUARTER, firm_factors.quarterly_layers(), FIRM, rounded(firm_factors.QUARTERLY_FACTORS, 4)))
 layered("industry_structure", Query(YEAR, firm_factors.annual_layers() + extended_factors.industry_structure(), ("gvkey", "fyear"), rounded(["age", "indsale", "herf"], 4)))
 layered("needs_history", Query(MONTH, firm_factors.monthly_layers(*KEY) + extended_factors.enough_history({"mom1m": 1, "mom6m": 6, "mom12m": 12}, *KEY), KEY, rounded(["mom1m", "mom6m", "mom12m"])))
+_MOM = firm_factors.monthly_layers(*KEY) + Layers({"sic2": "CAST(permno % 7 AS INT)"}) + extended_factors.industry_momentum()
+layered("industry_momentum", Query(MONTH, _MOM, KEY, rounded(["indmom"], 4)))
 layered(
     "rolling_statistics",
     Query(
@@ -248,6 +250,28 @@ def event_columns(spark, sf_dir):
     return d.select("permno", "date", F.col("ea_days_since").cast("int").alias("ea_days_since"), r6("ea_effect", 4))
 
 
+def _weekday(n: int) -> str:
+    return f"CAST(rdq - CAST(greatest(isodow(rdq) - 5, 0) AS INT) + CAST(floor((least(isodow(rdq), 5) - 1 + {n}) / 5.0) * 2 + {n} AS INT) AS DATE)"
+
+
+@register(f"""WITH e AS ({plain(_EVENTS)}), d AS (SELECT permno, date, vol, ret FROM {DAY.source()}),
+    b AS (SELECT e.permno, e.rdq, avg(vol) AS avgvol FROM e LEFT JOIN d ON d.permno = e.permno AND d.date BETWEEN {_weekday(-30)} AND {_weekday(-10)} GROUP BY 1, 2),
+    a AS (SELECT e.permno, e.rdq, avg(vol) AS v, sum(ret) AS ear FROM e LEFT JOIN d ON d.permno = e.permno AND d.date BETWEEN {_weekday(-1)} AND {_weekday(1)} GROUP BY 1, 2)
+    SELECT a.permno, a.rdq, round((v - avgvol) / nullif(avgvol, 0), 4) + 0.0e0 AS aeavol, round(ear, 4) + 0.0e0 AS ear FROM a JOIN b ON a.permno = b.permno AND a.rdq = b.rdq""")
+def announcement_factors(spark, sf_dir):
+    d = extended_factors.announcement_factors(DAY.frame(spark, sf_dir), run(spark, sf_dir, _EVENTS))
+    return d.select("permno", "rdq", r6("aeavol", 4), r6("ear", 4))
+
+
+_CPI = "CASE fyear " + " ".join(f"WHEN {y} THEN {v}e0" for y, v in sorted(extended_factors.CPI.items())) + " END"
+
+
+@register(f"SELECT gvkey, fyear, round(xsga / {_CPI}, 6) + 0.0e0 AS real_xsga FROM {YEAR.source()}")
+def real_spending(spark, sf_dir):
+    d = extended_factors.with_cpi(YEAR.frame(spark, sf_dir))
+    return d.select("gvkey", "fyear", F.try_divide("xsga", "cpi").alias("real_xsga")).select("gvkey", "fyear", r6("real_xsga"))
+
+
 @register("""WITH c AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE isodow(ts) <= 5), o AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events)
     SELECT o.date, (SELECT min(d) FROM c WHERE c.d > o.date) AS next_td FROM o""")
 def next_trading_day(spark, sf_dir):
