@@ -158,7 +158,7 @@ def banding(rows: int, similarity: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8, recall: float = 0.97, lanes: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8, recall: float = 0.97, lanes: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every document in a group of near-duplicates, the smallest id of the
     group as component.  Ids that are null take no part.
 
