@@ -8,21 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, tolerance_days: int | None = None, suffix: str = "_r", tie: list[str] | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, tolerance_days: int | None = None, suffix: str = "_r", tie: list[str] | None = None, bucket_days: int | None = None) -> DataFrame:
     """Every left row with the latest right row of its key at or before its time, not older than
     the tolerance.  Of right rows at one time the last by ``tie`` (else by all columns) counts.
     Rows with a null key or time match nothing; right columns that clash get ``suffix``.
 
     Both sides are stacked and sorted once by key and time; the last right row is carried
     forward inside the key.  One exchange, no fan-out, and a long history costs only its own rows.
+    Where one key holds a large part of all rows, ``bucket_days`` (with a tolerance) splits keys by
+    time as well: a right row then goes to its own bucket and those that the tolerance reaches.
     """
+    if bucket_days is not None and tolerance_days is None:
+        raise ValueError("buckets need a tolerance")
     payload = [c for c in right.columns if c not in on]
     names = {c: c + suffix if c in left.columns else c for c in payload}
     order = tie or sorted(payload)
     r = right.where(F.col(right_time).isNotNull()).select(*on, F.col(right_time).alias("_t"), F.struct(*payload).alias("_p"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
     lcols = F.struct(*(F.col(c) for c in left.columns))
-    both = left.select(*on, F.col(left_time).alias("_t"), lcols.alias("_l"), F.lit(1).alias("_s")).unionByName(r.withColumn("_s", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy("_t", "_s", *(f"_o{i}" for i in range(len(order)))).rowsBetween(Window.unboundedPreceding, 0)
+    l = left.select(*on, F.col(left_time).alias("_t"), lcols.alias("_l"), F.lit(1).alias("_s"))  # noqa: E741
+    split = list(on)
+    if bucket_days is not None:
+        days = F.datediff("_t", F.lit("1970-01-01").cast("date"))
+        first, last = F.floor(days / bucket_days), F.floor((days + tolerance_days) / bucket_days)
+        l, r, split = l.withColumn("_b", first), r.withColumn("_b", F.explode(F.sequence(first, last))), [*on, "_b"]  # noqa: E741
+    both = l.unionByName(r.withColumn("_s", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*split).orderBy("_t", "_s", *(f"_o{i}" for i in range(len(order)))).rowsBetween(Window.unboundedPreceding, 0)
     keyed: Column = reduce(Column.__and__, (F.col(k).isNotNull() for k in on), F.col("_t").isNotNull())
     both = both.withColumn("_p", F.when(keyed, F.last("_p", ignorenulls=True).over(w))).where("_s = 1")
     if tolerance_days is not None:

@@ -169,3 +169,22 @@ def force_controller(force: Column, stiffness: Column, velocity: Column | None =
     and velocity oppose each other."""
     push = -force * F.sqrt(F.greatest(stiffness, F.lit(0.0)))
     return push if velocity is None else F.when(-force * velocity < 0, 0.0).otherwise(push)
+
+
+def edge_controller(edges: DataFrame, series: DataFrame, scale: float) -> DataFrame:
+    """(t, i, pos) from each edge's own bounded pull, so that one far neighbour cannot dominate:
+    the weighted sum of tanh of the neighbour's lead.  Directed edges (i, j, w)."""
+    near = edges.join(series.select("t", F.col("i").alias("j"), F.col("f").alias("fj")), "j").join(series.select("t", "i", "f"), ["t", "i"])
+    pull = F.sum(F.col("w") * F.tanh((F.col("fj") - F.col("f")) / scale))
+    return near.groupBy("t", "i").agg(pull.alias("pos"))
+
+
+def age_gate(df: DataFrame, longest: int, entity: str, time: str, pos: str = "pos") -> DataFrame:
+    """Positions held in one direction for more than ``longest`` periods are closed until the
+    direction changes; ``age`` counts the periods of the present run."""
+    w = Window.partitionBy(entity).orderBy(time)
+    turn = (F.signum(pos) != F.coalesce(F.lag(F.signum(pos)).over(w), F.lit(0.0))).cast("int")
+    d = df.withColumn("_turn", turn)
+    d = d.withColumn("_run", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("age", F.row_number().over(Window.partitionBy(entity, "_run").orderBy(time)))
+    return d.withColumn(pos, F.when(F.col("age") > longest, 0).otherwise(F.col(pos))).drop("_turn", "_run")

@@ -55,6 +55,17 @@ def test_asof(spark):
     assert joins.asof_join(left, right, ["k"], "date", "d").where("x = 3").first().v in (7.0, 8.0)
 
 
+def test_asof_buckets(spark):
+    r = random.Random(9)
+    left = spark.createDataFrame([(i % 3, day(r.randrange(400)), i) for i in range(300)], "k int, date date, x int")
+    right = spark.createDataFrame([(r.randrange(3), day(r.randrange(400)), float(i)) for i in range(60)], "k int, d date, v double")
+    plain = {x.x: (x.d, x.v) for x in joins.asof_join(left, right, ["k"], "date", "d", 45).collect()}
+    for days in (1, 30, 1000):
+        assert {x.x: (x.d, x.v) for x in joins.asof_join(left, right, ["k"], "date", "d", 45, bucket_days=days).collect()} == plain
+    with pytest.raises(ValueError):
+        joins.asof_join(left, right, ["k"], "date", "d", bucket_days=3)
+
+
 def test_intervals(spark):
     left = spark.createDataFrame([("u", day(i)) for i in (1, 5, 10, 50)], "k string, d date")
     link = spark.createDataFrame([("u", day(1), day(5), 1), ("u", day(5), day(10), 2), ("u", day(40), None, 3), ("z", day(0), None, 4)], "n string, a date, b date, p int")
@@ -269,3 +280,24 @@ def test_losses(spark):
     good, bad = (dynamics.mean_reversion_nll(walk, k, 0.1).first().nll for k in (math.log(2), 5.0))
     assert good < bad
     assert dynamics.augment(walk, ["f"], mask=1.0).agg(F.max("f")).first()[0] == 0.0
+
+
+def test_edge_controller_and_age_gate(spark):
+    e = graph.both_ways(spark.createDataFrame([(0, 1, 0.5), (0, 2, 2.0)], "i int, j int, w double"))
+    f = spark.createDataFrame([(0, 0, 0.0), (0, 1, 1.0), (0, 2, -100.0)], "t int, i int, f double")
+    got = {r.i: r.pos for r in portfolio.edge_controller(e, f, 1.0).collect()}
+    assert got == pytest.approx({0: 0.5 * math.tanh(1) - 2.0, 1: -0.5 * math.tanh(1), 2: 2.0})
+    rows = [(1, t, p) for t, p in enumerate([0, 1, 1, 1, -1, -1, 1, 0, 0, 1])]
+    d = portfolio.age_gate(spark.createDataFrame(rows, "e int, t int, pos int"), 2, "e", "t")
+    assert [r.pos for r in d.orderBy("t").collect()] == [0, 1, 1, 0, -1, -1, 1, 0, 0, 1]
+
+
+def test_join_helpers(spark):
+    left = spark.createDataFrame([(1, day(10)), (1, day(200)), (2, day(10))], "k int, d date")
+    right = spark.createDataFrame([(1, day(9), "a"), (1, day(20), "b")], "k int, r date, v string")
+    assert sorted(x.v for x in joins.band_join(left, right, "k", "d", "r", -1, 3).collect()) == ["a"]
+    got = {(x.k, x.d): x.v for x in joins.months_join(left, right.limit(1), "k", "d", "r", 6, 8).collect()}
+    assert got == {(1, day(10)): None, (1, day(200)): "a", (2, day(10)): None}
+    assert joins.without_overlap(right.withColumn("d", F.lit(1)), left, ["k"]).columns == ["k", "r", "v"]
+    stitched = walkforward.stitch([left.withColumn("x", F.lit(1)), left.limit(1).withColumn("x", F.lit(2))], ["k", "d"])
+    assert sorted(x.x for x in stitched.collect()) == [1, 1, 2]
