@@ -9,7 +9,6 @@ host's counts.  The reliability of declarations is learned the same way, by coun
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
