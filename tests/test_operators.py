@@ -301,3 +301,91 @@ def test_join_helpers(spark):
     assert joins.without_overlap(right.withColumn("d", F.lit(1)), left, ["k"]).columns == ["k", "r", "v"]
     stitched = walkforward.stitch([left.withColumn("x", F.lit(1)), left.limit(1).withColumn("x", F.lit(2))], ["k", "d"])
     assert sorted(x.x for x in stitched.collect()) == [1, 1, 2]
+
+
+def walks(n=4, steps=120, seed=5):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    f = rng.normal(size=(steps, n))
+    f[1:, 1] += 0.8 * f[:-1, 0]  # 0 leads 1
+    f[:, 2] = np.cumsum(f[:, 2])  # a unit root
+    f[:, 3] = f[:, 0] + 0.1 * f[:, 3]
+    return f
+
+
+def series_of(spark, f):
+    return spark.createDataFrame([(t, i, float(f[t, i])) for t in range(f.shape[0]) for i in range(f.shape[1])], "t int, i int, f double")
+
+
+def test_granger_unit_root_and_modes(spark):
+    import numpy as np
+
+    f = walks()
+    s = series_of(spark, f)
+    pairs = spark.createDataFrame([(0, 1), (1, 0)], "i int, j int")
+    got = {(r.i, r.j): r for r in graph.granger(s, pairs).collect()}
+    y, x = f[:, 1], f[:, 0]
+    own = np.column_stack([np.ones(119), y[:-1]])
+    full = np.column_stack([own, x[:-1]])
+    rss = [((y[1:] - m @ np.linalg.lstsq(m, y[1:], rcond=None)[0]) ** 2).sum() for m in (own, full)]
+    assert got[0, 1].f_stat == pytest.approx((rss[0] - rss[1]) / (rss[1] / 116))
+    assert got[0, 1].p < 1e-6 and got[1, 0].p > 0.001
+    adf = {r.i: r.adf for r in graph.dickey_fuller(s).collect()}
+    assert adf[2] > -2.86 and adf[0] < -2.86
+    values = np.linalg.eigvalsh(np.cov(f.T))[::-1]
+    assert [v for _, v in graph.covariance_modes(s, 3)] == pytest.approx(list(values[:3] / values.sum()))
+
+
+def test_graph_stability(spark):
+    import numpy as np
+
+    f = walks(steps=60)
+    got = {r.start: (r.jaccard, r.cosine) for r in graph.stability(series_of(spark, f), 20, 10, 0.1).collect()}
+    edges = {}
+    for start in range(0, 40, 10):
+        c = np.abs(np.corrcoef(f[start : start + 20].T))
+        edges[start] = {(i, j): c[i, j] for i in range(4) for j in range(i + 1, 4) if c[i, j] > 0.1}
+    for start in (10, 20, 30):
+        a, b = edges[start], edges[start - 10]
+        both, either = set(a) & set(b), set(a) | set(b)
+        cosine = sum(a[k] * b[k] for k in both) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        assert got[start] == pytest.approx((len(both) / len(either), cosine))
+
+
+def test_price_delay(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    r = rng.normal(0, 0.02, (80, 5))
+    df = spark.createDataFrame([(i, day(7 * t), float(r[t, i])) for t in range(80) for i in range(5)], "permno int, week date, wkret double")
+    got = {x.permno: x.pricedelay for x in extended_factors.price_delay(df).collect()}
+    m = r.mean(axis=1)
+    lagged = np.column_stack([m[4 - k : 80 - k] for k in range(5)])
+    for i in range(5):
+        y, adj = r[4:, i], []
+        for x in (lagged[:, :1], lagged):
+            X = np.column_stack([np.ones(76), x])
+            e = y - X @ np.linalg.lstsq(X, y, rcond=None)[0]
+            adj.append(1 - (e @ e) / ((y - y.mean()) ** 2).sum() * 75 / (76 - X.shape[1]))
+        assert got[i] == pytest.approx(1 - adj[0] / adj[1], rel=1e-6)
+
+
+def test_intraday_against_pandas(spark):
+    r = random.Random(7)
+    rows, price = [], 100.0
+    for i in range(60):
+        price *= 1 + r.gauss(0, 0.01)
+        rows.append((1, i, price * 0.999, price * 1.01, price * 0.99, price, float(r.randrange(1, 50))))
+    df = spark.createDataFrame(rows, "k int, ts int, open double, high double, low double, close double, volume double")
+    got = daily_factors.intraday_features(df, ["k"]).first()
+    p = df.toPandas()
+    ret = p["close"].pct_change().dropna()
+    assert got.realized_kurtosis == pytest.approx(ret.kurtosis()) and got.realized_skew == pytest.approx(ret.skew())
+    assert got.price_vol_corr == pytest.approx(ret.corr(p["volume"].iloc[1:])) and got.autocorr_1min == pytest.approx(ret.autocorr(1))
+    import numpy as np
+
+    rs = np.log(p.high / p.close) * np.log(p.high / p.open) + np.log(p.low / p.close) * np.log(p.low / p.open)
+    assert got.rogers_satchell_vol == pytest.approx(math.sqrt(rs.mean()))
+    grown = (1 + ret).cumprod()
+    assert got.intraday_max_drawdown == pytest.approx((grown / grown.cummax() - 1).min())
