@@ -26,8 +26,9 @@ from tessera.llm.components import connected
 from tessera.llm.shared import Scratch
 
 SEED = 42
-#: Standard deviations that a pair's differing bits may exceed what the similarity lets expect.
-DEVIATIONS = 1.5
+#: Share of bits in which similar sets differ at most: 0.15 for large sets at similarity 0.8, 3/16 for
+#: four shingles of five, the worst of small ones; and standard deviations that a pair may exceed it.
+SHARE, DEVIATIONS = 3 / 16, 4.5
 
 
 def _signed(x: int) -> int:
@@ -158,14 +159,43 @@ def banding(rows: int, similarity: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
+def _most(width: int) -> int:
+    """Differing bits up to which a pair is verified: what it discards is dissimilar."""
+    return math.floor(SHARE * width + DEVIATIONS * math.sqrt(SHARE * (1 - SHARE) * width))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, words: int, similarity: float, lane: list[str], id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have this Jaccard similarity or more, exactly; the
+    fingerprints only spare the sets of pairs that are far apart."""
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in lane)), end)
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in lane))
+    pairs = scratch.cut(pairs.where(differ <= _most(64 * len(lane))).select("a", "b").distinct(), "close")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ends, "id", "left_semi")
+    sets = scratch.cut(named.mapInArrow(run, "id long, set array<long>"), "sets")
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("set").alias(f"{end}_set")), end)
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    pairs = pairs.select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set") - both).alias("any"))
+    links = scratch.cut(pairs.where(F.col("both") >= F.col("any") * similarity - 1e-9).select("a", "b").distinct(), "links")
+    scratch.drop(sets)
+    return links
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8, recall: float = 0.97, lanes: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every document in a group of near-duplicates, the smallest id of the
     group as component.  Ids that are null take no part.
 
     Fingerprints of 64 * ``lanes`` bits.  Bands of bits, spread over the lanes, meet within two
-    differing bits on the grid of one-bit segments; each pair that meets is accepted if all its
-    bits differ in no more than the share that the similarity lets expect, plus
-    DEVIATIONS.  Shingles count once each, as in a similarity of sets.
+    differing bits on the grid of one-bit segments; pairs that meet are accepted if the true
+    similarity of their sets of shingles is ``similarity`` or more.
     Documents of one band value are compared in a chain and with the first of them, values that
     meet by their first and last documents, so a group of copies costs no more than its size.
     """
@@ -178,11 +208,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
         found.append(scratch.cut(_band_pairs(classes, [(k, _band(k, bits, lanes)) for k in range(at, min(at + 4, bands))], bits), "pairs"))
         scratch.release()
     pairs = reduce(DataFrame.unionAll, found).distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in lane)), end)
-    differ = reduce(Column.__add__, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in lane))
-    p, width = expected_share(similarity), 64 * lanes
-    links = pairs.where(differ <= math.floor(p * width + DEVIATIONS * math.sqrt(p * (1 - p) * width))).select("a", "b")
+    links = _verified(pairs, docs, classes, scratch, words, similarity, lane, id_col, text_col)
     roots = connected(links, scratch)
     # Copies of a class hang on its first document.
     label = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*lane, F.coalesce("root", "id").alias("component_id"))

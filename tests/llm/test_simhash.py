@@ -133,3 +133,29 @@ def test_near_duplicates(spark):
     assert {d for d, c in got.items() if d != c} == {*copies, 7778}
     assert all(got[d] == c for d, c in copies.items()) and got[7778] == 7777
     assert simhash.near_duplicates(df.limit(0), Scratch(spark)).count() == 0
+
+
+def jaccard(a, b):
+    x, y = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similarity_is_exact(spark):
+    """Pairs just below the line are told from pairs just above it, which no estimate does."""
+    r = random.Random(8)
+    docs, below, above = [], set(), set()
+    for i in range(60):
+        words = [f"v{r.randrange(10**6)}" for _ in range(404)]
+        other = list(words)
+        for at in range(5, 5 * (8, 11, 13)[i % 3], 5):  # each word replaced apart changes five shingles
+            other[at] = "other"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        like = jaccard(docs[-2][1], docs[-1][1])
+        if 0.7 < like < 0.8:
+            below.add(2 * i + 1)
+        if like >= 0.82:
+            above.add(2 * i + 1)
+    assert len(below) >= 20 and len(above) == 20
+    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark)).collect()
+    gone = {x.doc_id for x in got if x.doc_id != x.component_id}
+    assert not gone & below and len(gone & above) >= 0.9 * len(above)
