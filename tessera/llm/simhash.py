@@ -13,8 +13,8 @@ share a visited cell.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -164,7 +164,7 @@ def _most(width: int) -> int:
     return math.floor(SHARE * width + DEVIATIONS * math.sqrt(SHARE * (1 - SHARE) * width))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, words: int, similarity: float, lane: list[str], id_col: str, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, *, docs: DataFrame, classes: DataFrame, scratch: Scratch, words: int, similarity: float, lane: list[str], id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have this Jaccard similarity or more, exactly; the
     fingerprints only spare the sets of pairs that are far apart."""
     for end in ("a", "b"):
@@ -196,19 +196,25 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
     Fingerprints of 64 * ``lanes`` bits.  Bands of bits, spread over the lanes, meet within two
     differing bits on the grid of one-bit segments; pairs that meet are accepted if the true
     similarity of their sets of shingles is ``similarity`` or more.
-    Documents of one band value are compared in a chain and with the first of them, values that
-    meet by their first and last documents, so a group of copies costs no more than its size.
+    Documents of one band value are first compared in a chain and with the first of them, which
+    joins copies at a cost of their number.  Then every pair that meets in any band and is not
+    yet joined is compared, so that no pair's chance depends on the order of ids.
     """
     marks = scratch.cut(fingerprints(docs, words, lanes, id_col, text_col, True).where("id is not null"), "marks")
     lane = [f"f{i}" for i in range(lanes)]
     classes = scratch.cut(marks.groupBy(*lane).agg(F.min("id").alias("id")), "classes")
     bits, bands = banding(classes.count(), similarity, recall)
+    plan = [(k, _band(k, bits, lanes)) for k in range(bands)]
+    verified = partial(_verified, docs=docs, classes=classes, scratch=scratch, words=words, similarity=similarity, lane=lane, id_col=id_col, text_col=text_col)
+
+    links = verified(_chained(classes, plan))
+    roots = connected(links, scratch)
+    rooted = scratch.cut(classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     found = []
     for at in range(0, bands, 4):
-        found.append(scratch.cut(_band_pairs(classes, [(k, _band(k, bits, lanes)) for k in range(at, min(at + 4, bands))], bits), "pairs"))
+        found.append(scratch.cut(_apart(rooted, plan[at : at + 4], bits, lanes), "pairs"))
         scratch.release()
-    pairs = reduce(DataFrame.unionAll, found).distinct()
-    links = _verified(pairs, docs, classes, scratch, words, similarity, lane, id_col, text_col)
+    links = links.unionAll(verified(reduce(DataFrame.unionAll, found).distinct()))
     roots = connected(links, scratch)
     # Copies of a class hang on its first document.
     label = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*lane, F.coalesce("root", "id").alias("component_id"))
@@ -225,14 +231,38 @@ def _band(k: int, bits: int, lanes: int) -> Column:
     return low.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _band_pairs(classes: DataFrame, bands: list[tuple[int, Column]], bits: int) -> DataFrame:
-    values = F.array(*(F.struct(F.lit(k).alias("band"), value.alias("value")) for k, value in bands))
-    rows = classes.select("id", F.explode(values).alias("x")).select("id", "x.band", "x.value")
+def _values(bands: list[tuple[int, Column]], *more: Callable[[int], Column]) -> Column:
+    """A row (band, value, p0, p1 ..) for each band."""
+    return F.explode(F.array(*(F.struct(F.lit(k).alias("band"), value.alias("value"), *(m(k).alias(f"p{i}") for i, m in enumerate(more))) for k, value in bands))).alias("x")
+
+
+def _chained(classes: DataFrame, bands: list[tuple[int, Column]]) -> DataFrame:
+    """Pairs (a, b) of each document with the one before and the first of the same band value."""
+    rows = classes.select("id", _values(bands)).select("id", "x.*")
     own = Window.partitionBy("band", "value").orderBy("id")
-    chain = rows.withColumn("before", F.lag("id").over(own)).withColumn("first", F.first("id").over(own))
-    same = chain.where("before is not null").select(F.explode(F.array("before", "first")).alias("a"), F.col("id").alias("b"))
-    ends = rows.groupBy("band", "value").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    met = ends.select("band", "first", "last", F.explode(_around_bits(F.col("value"), bits)).alias("cell")).repartition("band", "cell")
-    met = met.groupBy("band", "cell").agg(F.count("*").alias("n"), F.min("first").alias("a"), F.max("first").alias("b"), F.max("last").alias("c")).where("n > 1")
-    across = met.select("a", F.explode(F.array("b", "c")).alias("b"))
-    return same.unionAll(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = rows.withColumn("before", F.lag("id").over(own)).withColumn("first", F.first("id").over(own))
+    pairs = rows.where("before is not null").select(F.explode(F.array("before", "first")).alias("a"), F.col("id").alias("b"))
+    return pairs.where("a <> b").distinct()
+
+
+def _apart(rooted: DataFrame, bands: list[tuple[int, Column]], bits: int, lanes: int) -> DataFrame:
+    """All pairs (a, b) with different ``root`` whose values of one of ``bands`` are within two
+    bits, less those that two other lanes show to be far apart.  A cell has no more values than
+    bits and one; their documents meet in joins on the value, which Spark may split."""
+
+    def other(step: int) -> Callable[[int], Column]:
+        return lambda k: F.col(f"f{(k * bits // 64 + lanes // 2 + step) % lanes}")
+
+    rows = rooted.select("id", "root", _values(bands, other(0), other(1))).select("id", "root", "x.*")
+    values = rows.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    met = values.select("band", F.struct("value", "low", "high").alias("v"), F.explode(_around_bits(F.col("value"), bits)).alias("cell")).repartition("band", "cell")
+    met = met.groupBy("band", "cell").agg(F.collect_list("v").alias("here"), F.min("v.low").alias("low"), F.max("v.high").alias("high"))
+    met = met.where((F.size("here") > 1) & (F.col("low") < F.col("high"))).select("band", "here", F.explode("here").alias("l"))
+    met = met.select("band", "l", F.explode("here").alias("r")).where("l.value < r.value and least(l.low, r.low) < greatest(l.high, r.high)")
+    met = met.select("band", F.col("l.value").alias("l"), F.col("r.value").alias("r")).distinct()
+    met = met.unionAll(values.where("low < high").select("band", F.col("value").alias("l"), F.col("value").alias("r")))
+    left = rows.select("band", F.col("value").alias("l"), *(F.col(c).alias(f"l_{c}") for c in ("id", "root", "p0", "p1")))
+    right = rows.select("band", F.col("value").alias("r"), *(F.col(c).alias(f"r_{c}") for c in ("id", "root", "p0", "p1")))
+    differ = F.bit_count(F.col("l_p0").bitwiseXOR(F.col("r_p0"))) + F.bit_count(F.col("l_p1").bitwiseXOR(F.col("r_p1")))
+    pairs = met.join(left, ["band", "l"]).join(right, ["band", "r"]).where((F.col("l_root") != F.col("r_root")) & (differ <= _most(128)))
+    return pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()

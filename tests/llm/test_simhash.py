@@ -159,3 +159,26 @@ def test_similarity_is_exact(spark):
     got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark)).collect()
     gone = {x.doc_id for x in got if x.doc_id != x.component_id}
     assert not gone & below and len(gone & above) >= 0.9 * len(above)
+
+
+def test_all_that_meet_are_compared(spark):
+    """Whatever the ids: every pair of different roots within two bits of a band is found."""
+    r = random.Random(9)
+    values = [0, 1, 3, 7, 0, 1, 1 << 20, 0, 5, 1 << 20, 0, *(r.getrandbits(24) for _ in range(20))]
+    rows = [(i + 1, i % 9, v, *[0] * 11) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, root long, " + ", ".join(f"f{i} long" for i in range(12)))
+    got = {(x.a, x.b) for x in simhash._apart(df, [(0, simhash._band(0, 24, 12))], 24, 12).collect()}
+    assert got == {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] != y[1] and (x[2] ^ y[2]).bit_count() <= 2}
+
+
+def test_copies_inside_a_family(spark):
+    """Texts that share a template, at 0.70 of one another, and a near copy at 0.88 of each."""
+    template = [f"t{i}" for i in range(330)]
+    docs = []
+    for i in range(150):
+        own = [f"o{i}x{k}" for k in range(65)]
+        copy = [f"c{i}" if k % 12 == 5 else x for k, x in enumerate(own)]
+        docs += [(i, " ".join(template + own)), (150 + i, " ".join(template + copy))]
+    assert jaccard(docs[0][1], docs[2][1]) < 0.75 and 0.87 < jaccard(docs[0][1], docs[1][1]) < 0.9
+    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark)).collect()
+    assert {x.doc_id: x.component_id for x in got} == {d: d % 150 for d, _ in docs}
