@@ -159,6 +159,11 @@ def banding(rows: int, similarity: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
+def lanes_of(bits: int, bands: int) -> int:
+    """Lanes of 64 bits that hold all bands without sharing a bit."""
+    return math.ceil(bits * bands / 64)
+
+
 def _most(width: int) -> int:
     """Differing bits up to which a pair is verified: what it discards is dissimilar."""
     return math.floor(SHARE * width + DEVIATIONS * math.sqrt(SHARE * (1 - SHARE) * width))
@@ -193,18 +198,20 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
     """(id, component_id) of every document in a group of near-duplicates, the smallest id of the
     group as component.  Ids that are null take no part.
 
-    Fingerprints of 64 * ``lanes`` bits.  Bands of bits, spread over the lanes, meet within two
+    Fingerprints of 64 * ``lanes`` bits, or as many as the bands of this number of rows take
+    without sharing a bit.  Bands meet within two
     differing bits on the grid of one-bit segments; pairs that meet are accepted if the true
     similarity of their sets of shingles is ``similarity`` or more.
     Documents of one band value are first compared in a chain and with the first of them, which
     joins copies at a cost of their number.  Then every pair that meets in any band and is not
     yet joined is compared, so that no pair's chance depends on the order of ids.
     """
+    bits, bands = banding(docs.where(F.col(id_col).isNotNull()).count(), similarity, recall)
+    lanes = max(lanes, lanes_of(bits, bands))
     marks = scratch.cut(fingerprints(docs, words, lanes, id_col, text_col, True).where("id is not null"), "marks")
     lane = [f"f{i}" for i in range(lanes)]
     classes = scratch.cut(marks.groupBy(*lane).agg(F.min("id").alias("id")), "classes")
-    bits, bands = banding(classes.count(), similarity, recall)
-    plan = [(k, _band(k, bits, lanes)) for k in range(bands)]
+    plan = [(k, _band(k, bits)) for k in range(bands)]
     verified = partial(_verified, docs=docs, classes=classes, scratch=scratch, words=words, similarity=similarity, lane=lane, id_col=id_col, text_col=text_col)
 
     links = verified(_chained(classes, plan))
@@ -221,13 +228,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
     return marks.join(label, lane).select(F.col("id").alias(id_col), "component_id")
 
 
-def _band(k: int, bits: int, lanes: int) -> Column:
-    """Band k: ``bits`` consecutive bits of all lanes in a ring."""
-    at = k * bits % (64 * lanes)
+def _band(k: int, bits: int) -> Column:
+    """Band k: the ``bits`` consecutive bits after those of the bands before it."""
+    at = k * bits
     first, shift = at // 64, at % 64
     low = F.shiftrightunsigned(F.col(f"f{first}"), shift) if shift else F.col(f"f{first}")
     if shift + bits > 64:
-        low = low.bitwiseOR(F.shiftleft(F.col(f"f{(first + 1) % lanes}"), 64 - shift))
+        low = low.bitwiseOR(F.shiftleft(F.col(f"f{first + 1}"), 64 - shift))
     return low.bitwiseAND(F.lit((1 << bits) - 1))
 
 

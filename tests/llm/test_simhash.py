@@ -167,7 +167,7 @@ def test_all_that_meet_are_compared(spark):
     values = [0, 1, 3, 7, 0, 1, 1 << 20, 0, 5, 1 << 20, 0, *(r.getrandbits(24) for _ in range(20))]
     rows = [(i + 1, i % 9, v, *[0] * 11) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "id long, root long, " + ", ".join(f"f{i} long" for i in range(12)))
-    got = {(x.a, x.b) for x in simhash._apart(df, [(0, simhash._band(0, 24, 12))], 24, 12).collect()}
+    got = {(x.a, x.b) for x in simhash._apart(df, [(0, simhash._band(0, 24))], 24, 12).collect()}
     assert got == {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] != y[1] and (x[2] ^ y[2]).bit_count() <= 2}
 
 
@@ -182,3 +182,15 @@ def test_copies_inside_a_family(spark):
     assert jaccard(docs[0][1], docs[2][1]) < 0.75 and 0.87 < jaccard(docs[0][1], docs[1][1]) < 0.9
     got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark)).collect()
     assert {x.doc_id: x.component_id for x in got} == {d: d % 150 for d, _ in docs}
+
+
+@pytest.mark.parametrize("rows", [10, 10**6, 10**7, 10**8, 10**9])
+def test_bands_share_no_bit(spark, monkeypatch, rows):
+    """The plan of any number of rows reads each bit of the fingerprint once at most."""
+    seen = {}
+    bits, bands = simhash.banding(rows, 0.8, 0.97)
+    monkeypatch.setattr(simhash, "banding", lambda *_: (bits, bands))
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words, lanes, *_: seen.update(lanes=lanes) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        simhash.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), Scratch(spark))
+    assert seen["lanes"] * 64 >= bits * bands
