@@ -14,21 +14,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected
 from tessera.llm.shared import Scratch
 
 SEED = 42
-#: Share of bits in which similar sets differ at most: 0.15 for large sets at similarity 0.8, 3/16 for
-#: four shingles of five, the worst of small ones; and standard deviations that a pair may exceed it.
-SHARE, DEVIATIONS = 3 / 16, 4.5
+#: Share of bits in which sets of similarity 0.8 differ at most, and that of sets of fewer than five
+#: shingles (four of five: 3/16); and standard deviations that a pair may exceed it.
+SHARE, SHARE_TINY, DEVIATIONS = 0.157, 3 / 16, 4.0
+#: Bits of a band: unrelated documents rarely meet, even among 10^9 (some hundred a band and document).
+BAND_BITS = 30
 
 
 def _signed(x: int) -> int:
@@ -60,9 +62,9 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str, words: int, lanes: int = 1, distinct: bool = False) -> list[int]:
-    """A bit is 1 if it is set in over half the shingles' hashes (each counted once if
-    ``distinct``); zero for a text without words."""
+def fingerprint(text: str, words: int, lanes: int = 1, distinct: bool = False) -> tuple[list[int], int]:
+    """Lanes, and the number of shingles.  A bit is 1 if it is set in over half the shingles'
+    hashes (each counted once if ``distinct``); zero for a text without words."""
     hashes = shingle_hashes(text, words)
     if distinct:
         hashes = np.unique(hashes)
@@ -73,20 +75,20 @@ def fingerprint(text: str, words: int, lanes: int = 1, distinct: bool = False) -
             h = _mixed(hashes[at : at + (1 << 16)], lane).astype("<u8", copy=False)
             counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]))
-    return out
+    return out, len(hashes)
 
 
 def fingerprints(docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """(id, f0 .. f{lanes-1} long) of every whole text; a null text counts as empty."""
+    """(id, f0 .. f{lanes-1} long, n long: shingles) of every whole text; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             rows = [fingerprint(t.as_py() or "", words, lanes, distinct) for t in b.column(1)]
-            lane = [pa.array([_signed(r[i]) for r in rows], pa.int64()) for i in range(lanes)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lane], names=["id", *(f"f{i}" for i in range(lanes))])
+            lane = [pa.array([_signed(r[i]) for r, _ in rows], pa.int64()) for i in range(lanes)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lane, pa.array([n for _, n in rows], pa.int64())], names=["id", *(f"f{i}" for i in range(lanes)), "n"])
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, "id long, " + ", ".join(f"f{i} long" for i in range(lanes)))
+    return named.mapInArrow(run, "id long, " + "".join(f"f{i} long, " for i in range(lanes)) + "n long")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -114,7 +116,9 @@ def _around_bits(fp: Column, bits: int = 64) -> Column:
 def close_pairs(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b) that connect all fingerprints of ``distinct`` (column fp) within two bits."""
     placed = distinct.select("fp", segment_counts(F.col("fp")).alias("counts"))
-    vectors = placed.groupBy("counts").agg(F.count("*").alias("n"))
+    # Dealt anew, since each vector becomes 65 rows and adaptive execution only sees their small number.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = placed.groupBy("counts").agg(F.count("*").alias("n")).repartition(tasks, "counts")
     met = vectors.select("counts", F.explode(_around(F.col("counts"))).alias("cell"))
     met = met.groupBy("cell").agg(F.collect_list("counts").alias("here")).where(F.size("here") > 1)
     met = met.select(F.explode("here").alias("counts")).unionAll(vectors.where("n > 1").select("counts")).distinct()
@@ -150,92 +154,119 @@ def expected_share(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def banding(rows: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(bits of a band, bands): bands wide enough that unrelated documents rarely meet at this
-    number of rows, and as many as the recall at exactly this similarity takes."""
-    bits = min(60, max(24, math.ceil(math.log2(max(rows, 2))) + 8))
+def banding(similarity: float, recall: float) -> int:
+    """Number of bands of BAND_BITS bits that a pair of exactly this similarity needs to meet in
+    one of them with this probability.  It does not depend on the number of documents."""
     p = expected_share(similarity)
-    meets = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(3))
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
+    meets = sum(math.comb(BAND_BITS, i) * p**i * (1 - p) ** (BAND_BITS - i) for i in range(3))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
-def lanes_of(bits: int, bands: int) -> int:
+def lanes_of(bands: int) -> int:
     """Lanes of 64 bits that hold all bands without sharing a bit."""
-    return math.ceil(bits * bands / 64)
+    return math.ceil(BAND_BITS * bands / 64)
 
 
-def _most(width: int) -> int:
-    """Differing bits up to which a pair is verified: what it discards is dissimilar."""
-    return math.floor(SHARE * width + DEVIATIONS * math.sqrt(SHARE * (1 - SHARE) * width))
+def _alike(x: list[Column], y: list[Column], n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of n and m shingles may have this similarity: the sizes allow it, and no more
+    of these lanes' bits differ than SHARE and DEVIATIONS allow."""
 
+    def most(share: float) -> int:
+        width = 64 * len(x)
+        return math.floor(share * width + DEVIATIONS * math.sqrt(share * (1 - share) * width))
 
-def _verified(pairs: DataFrame, *, docs: DataFrame, classes: DataFrame, scratch: Scratch, words: int, similarity: float, lane: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have this Jaccard similarity or more, exactly; the
-    fingerprints only spare the sets of pairs that are far apart."""
-    for end in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in lane)), end)
-    differ = reduce(Column.__add__, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in lane))
-    pairs = scratch.cut(pairs.where(differ <= _most(64 * len(lane))).select("a", "b").distinct(), "close")
+    differ = reduce(Column.__add__, (F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x, y)))
+    small, large = F.least(n, m), F.greatest(n, m)
+    return (small >= large * similarity - 1e-9) & (differ <= F.when(small < 5, most(SHARE_TINY)).otherwise(most(SHARE)))
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ends, "id", "left_semi")
-    sets = scratch.cut(named.mapInArrow(run, "id long, set array<long>"), "sets")
-    for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("set").alias(f"{end}_set")), end)
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    pairs = pairs.select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set") - both).alias("any"))
-    links = scratch.cut(pairs.where(F.col("both") >= F.col("any") * similarity - 1e-9).select("a", "b").distinct(), "links")
-    scratch.drop(sets)
-    return links
+class _Verifier:
+    """Accepts pairs of documents by the exact similarity of their sets of shingles."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, scratch: Scratch, words: int, similarity: float, lane: list[str]):
+        self.docs, self.classes, self.scratch = docs, classes, scratch
+        self.words, self.similarity, self.lane = words, similarity, lane
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of this Jaccard similarity or more; the fingerprints only spare the
+        sets of pairs that are far apart."""
+        scratch, words, lane = self.scratch, self.words, self.lane
+        pairs = pairs.distinct()
+        for end in ("a", "b"):
+            pairs = pairs.join(self.classes.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"), *(F.col(c).alias(f"{end}_{c}") for c in lane)), end)
+        a, b = ([F.col(f"{end}_{c}") for c in lane] for end in ("a", "b"))
+        pairs = scratch.cut(pairs.where(_alike(a, b, F.col("a_n"), F.col("b_n"), self.similarity)).select("a", "b"), "close")
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            for b in batches:
+                sets = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = scratch.cut(self.docs.join(ends, "id", "left_semi").mapInArrow(run, "id long, set array<long>"), "sets")
+        for end in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("set").alias(f"{end}_set")), end)
+        both = F.size(F.array_intersect("a_set", "b_set"))
+        pairs = pairs.select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set") - both).alias("any"))
+        out = scratch.cut(pairs.where(F.col("both") >= F.col("any") * self.similarity - 1e-9).select("a", "b").distinct(), "links")
+        scratch.drop(sets)
+        return out
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8, recall: float = 0.97, lanes: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every document in a group of near-duplicates, the smallest id of the
-    group as component.  Ids that are null take no part.
-
-    Fingerprints of 64 * ``lanes`` bits, or as many as the bands of this number of rows take
-    without sharing a bit.  Bands meet within two
-    differing bits on the grid of one-bit segments; pairs that meet are accepted if the true
-    similarity of their sets of shingles is ``similarity`` or more.
-    Documents of one band value are first compared in a chain and with the first of them, which
-    joins copies at a cost of their number.  Then every pair that meets in any band and is not
-    yet joined is compared, so that no pair's chance depends on the order of ids.
+    group as component.  Ids that are null take no part; null and empty texts are copies of each
+    other.  Rows that repeat an id are one document: what is similar to one of them is linked to it.
+
+    Fingerprints have 64 * ``lanes`` bits, or as many as the bands take without sharing a bit.
+    Bands meet within two differing bits on the grid of one-bit segments; pairs that meet are
+    accepted if the true similarity of their sets of shingles is ``similarity`` or more.  First,
+    by a few bands at a time, each document is compared with one other of its band value, chosen
+    by a hash, unless they are joined already: this joins large groups of near copies at a cost of
+    their number.  Then every pair that meets in any band and is not yet joined is compared, so no
+    pair depends on the order of ids, on the size of its group or on the number of documents.
     """
-    bits, bands = banding(docs.where(F.col(id_col).isNotNull()).count(), similarity, recall)
-    lanes = max(lanes, lanes_of(bits, bands))
-    marks = scratch.cut(fingerprints(docs, words, lanes, id_col, text_col, True).where("id is not null"), "marks")
+    bands = banding(similarity, recall)
+    lanes = max(lanes, lanes_of(bands))
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    marks = scratch.cut(fingerprints(named, words, lanes, "id", "text", True), "marks")
     lane = [f"f{i}" for i in range(lanes)]
-    classes = scratch.cut(marks.groupBy(*lane).agg(F.min("id").alias("id")), "classes")
-    plan = [(k, _band(k, bits)) for k in range(bands)]
-    verified = partial(_verified, docs=docs, classes=classes, scratch=scratch, words=words, similarity=similarity, lane=lane, id_col=id_col, text_col=text_col)
-
-    links = verified(_chained(classes, plan))
-    roots = connected(links, scratch)
-    rooted = scratch.cut(classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    classes = scratch.cut(marks.groupBy(*lane, "n").agg(F.min("id").alias("id")), "classes")
+    plan = [(k, _band(k)) for k in range(bands)]
+    verifier = _Verifier(named, classes, scratch, words, similarity, lane)
+
+    links, rooted = None, classes.withColumn("root", F.col("id"))
+    for step, some in enumerate(_steps(plan)):
+        found = verifier.links(_mates(rooted, some, step))
+        links = found if links is None else links.unionAll(found)
+        roots = connected(links, scratch).withColumnRenamed("node", "id")
+        rooted = scratch.cut(classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        scratch.release()
     found = []
     for at in range(0, bands, 4):
-        found.append(scratch.cut(_apart(rooted, plan[at : at + 4], bits, lanes), "pairs"))
+        found.append(scratch.cut(_apart(rooted, plan[at : at + 4], lanes, similarity), "pairs"))
         scratch.release()
-    links = links.unionAll(verified(reduce(DataFrame.unionAll, found).distinct()))
+    links = links.unionAll(verifier.links(reduce(DataFrame.unionAll, found)))
     roots = connected(links, scratch)
     # Copies of a class hang on its first document.
-    label = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*lane, F.coalesce("root", "id").alias("component_id"))
-    return marks.join(label, lane).select(F.col("id").alias(id_col), "component_id")
+    label = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*lane, "n", F.coalesce("root", "id").alias("component_id"))
+    return marks.join(label, [*lane, "n"]).select(F.col("id").alias(id_col), "component_id")
+
+
+def _steps(plan: list) -> list[list]:
+    """The bands in three lots, small ones first: most copies join in the first."""
+    cuts = [0, min(3, len(plan)), min(9, len(plan)), len(plan)]
+    return [plan[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def _band(k: int, bits: int) -> Column:
-    """Band k: the ``bits`` consecutive bits after those of the bands before it."""
-    at = k * bits
+def _band(k: int) -> Column:
+    """Band k: the BAND_BITS consecutive bits after those of the bands before it."""
+    at = k * BAND_BITS
     first, shift = at // 64, at % 64
     low = F.shiftrightunsigned(F.col(f"f{first}"), shift) if shift else F.col(f"f{first}")
-    if shift + bits > 64:
+    if shift + BAND_BITS > 64:
         low = low.bitwiseOR(F.shiftleft(F.col(f"f{first + 1}"), 64 - shift))
-    return low.bitwiseAND(F.lit((1 << bits) - 1))
+    return low.bitwiseAND(F.lit((1 << BAND_BITS) - 1))
 
 
 def _values(bands: list[tuple[int, Column]], *more: Callable[[int], Column]) -> Column:
@@ -243,33 +274,51 @@ def _values(bands: list[tuple[int, Column]], *more: Callable[[int], Column]) ->
     return F.explode(F.array(*(F.struct(F.lit(k).alias("band"), value.alias("value"), *(m(k).alias(f"p{i}") for i, m in enumerate(more))) for k, value in bands))).alias("x")
 
 
-def _chained(classes: DataFrame, bands: list[tuple[int, Column]]) -> DataFrame:
-    """Pairs (a, b) of each document with the one before and the first of the same band value."""
-    rows = classes.select("id", _values(bands)).select("id", "x.*")
-    own = Window.partitionBy("band", "value").orderBy("id")
-    rows = rows.withColumn("before", F.lag("id").over(own)).withColumn("first", F.first("id").over(own))
-    pairs = rows.where("before is not null").select(F.explode(F.array("before", "first")).alias("a"), F.col("id").alias("b"))
-    return pairs.where("a <> b").distinct()
+def _mates(rooted: DataFrame, bands: list[tuple[int, Column]], step: int) -> DataFrame:
+    """Pairs (a, b) of each document with one of its band value that has another root: the one
+    whose hash is smallest, or largest if that has the same root."""
+    rows = rooted.select("id", "root", F.xxhash64("id", F.lit(step)).alias("h"), _values(bands)).select("id", "root", "h", "x.*")
+    ends = rows.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("h").alias("least"), F.max("h").alias("most"))
+    mixed = rows.join(ends.where("low < high"), ["band", "value"])
+    chosen = mixed.where("h = least or h = most").groupBy("band", "value").agg(
+        *(F.min(F.when(F.col("h") == F.col(end), F.col(c))).alias(f"{end}_{c}") for end in ("least", "most") for c in ("id", "root"))
+    )
+    mate = F.when(F.col("least_root") != F.col("root"), F.col("least_id")).when(F.col("most_root") != F.col("root"), F.col("most_id"))
+    pairs = mixed.select("id", "root", "band", "value").join(chosen, ["band", "value"]).select(mate.alias("m"), "id").where("m is not null")
+    return pairs.select(F.least("m", "id").alias("a"), F.greatest("m", "id").alias("b"))
 
 
-def _apart(rooted: DataFrame, bands: list[tuple[int, Column]], bits: int, lanes: int) -> DataFrame:
+def _apart(rooted: DataFrame, bands: list[tuple[int, Column]], lanes: int, similarity: float) -> DataFrame:
     """All pairs (a, b) with different ``root`` whose values of one of ``bands`` are within two
-    bits, less those that two other lanes show to be far apart.  A cell has no more values than
-    bits and one; their documents meet in joins on the value, which Spark may split."""
+    bits, less those that sizes or two other lanes show to be far apart.
+
+    A cell has no more values than bits and one.  Values are paired if they hold different roots,
+    then the roots they hold, then the documents of these, so that documents joined already meet
+    nobody, however many they are.  Most roots have one document at a value and are compared at once.
+    """
 
     def other(step: int) -> Callable[[int], Column]:
-        return lambda k: F.col(f"f{(k * bits // 64 + lanes // 2 + step) % lanes}")
+        return lambda k: F.col(f"f{(k * BAND_BITS // 64 + lanes // 2 + step) % lanes}")
 
-    rows = rooted.select("id", "root", _values(bands, other(0), other(1))).select("id", "root", "x.*")
-    values = rows.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    met = values.select("band", F.struct("value", "low", "high").alias("v"), F.explode(_around_bits(F.col("value"), bits)).alias("cell")).repartition("band", "cell")
+    rows = rooted.select("id", "root", "n", _values(bands, other(0), other(1))).select("id", "root", "n", "x.*")
+    here = rows.groupBy("band", "value", "root").agg(F.count("*").alias("c"), *(F.min(x).alias(x) for x in ("id", "n", "p0", "p1")))
+    values = here.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    met = values.select("band", F.struct("value", "low", "high").alias("v"), F.explode(_around_bits(F.col("value"), BAND_BITS)).alias("cell")).repartition("band", "cell")
     met = met.groupBy("band", "cell").agg(F.collect_list("v").alias("here"), F.min("v.low").alias("low"), F.max("v.high").alias("high"))
     met = met.where((F.size("here") > 1) & (F.col("low") < F.col("high"))).select("band", "here", F.explode("here").alias("l"))
     met = met.select("band", "l", F.explode("here").alias("r")).where("l.value < r.value and least(l.low, r.low) < greatest(l.high, r.high)")
     met = met.select("band", F.col("l.value").alias("l"), F.col("r.value").alias("r")).distinct()
     met = met.unionAll(values.where("low < high").select("band", F.col("value").alias("l"), F.col("value").alias("r")))
-    left = rows.select("band", F.col("value").alias("l"), *(F.col(c).alias(f"l_{c}") for c in ("id", "root", "p0", "p1")))
-    right = rows.select("band", F.col("value").alias("r"), *(F.col(c).alias(f"r_{c}") for c in ("id", "root", "p0", "p1")))
-    differ = F.bit_count(F.col("l_p0").bitwiseXOR(F.col("r_p0"))) + F.bit_count(F.col("l_p1").bitwiseXOR(F.col("r_p1")))
-    pairs = met.join(left, ["band", "l"]).join(right, ["band", "r"]).where((F.col("l_root") != F.col("r_root")) & (differ <= _most(128)))
+
+    def side(frame: DataFrame, end: str, *columns: str) -> DataFrame:
+        return frame.select("band", F.col("value").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("root", "id", "n", "p0", "p1", *columns)))
+
+    close = _alike(*([F.col(f"{end}_p0"), F.col(f"{end}_p1")] for end in ("l", "r")), F.col("l_n"), F.col("r_n"), similarity)
+    once = (F.col("l") != F.col("r")) | (F.col("l_root") < F.col("r_root"))
+    single = (F.col("l_c") == 1) & (F.col("r_c") == 1)
+    roots = met.join(side(here, "l", "c"), ["band", "l"]).join(side(here, "r", "c"), ["band", "r"])
+    roots = roots.where((F.col("l_root") != F.col("r_root")) & once & (~single | close))
+    many = roots.where(~single).select("band", "l", "r", "l_root", "r_root")
+    many = many.join(side(rows, "l"), ["band", "l", "l_root"]).join(side(rows, "r"), ["band", "r", "r_root"]).where(close)
+    pairs = roots.where(single).select("l_id", "r_id").unionAll(many.select("l_id", "r_id"))
     return pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()

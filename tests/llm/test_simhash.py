@@ -3,6 +3,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import simhash
 from tessera.llm.components import connected
@@ -162,13 +163,26 @@ def test_similarity_is_exact(spark):
 
 
 def test_all_that_meet_are_compared(spark):
-    """Whatever the ids: every pair of different roots within two bits of a band is found."""
+    """Whatever the ids: every pair of different roots within two bits of a band is found, once
+    each is one document of its root or more."""
     r = random.Random(9)
-    values = [0, 1, 3, 7, 0, 1, 1 << 20, 0, 5, 1 << 20, 0, *(r.getrandbits(24) for _ in range(20))]
-    rows = [(i + 1, i % 9, v, *[0] * 11) for i, v in enumerate(values)]
-    df = spark.createDataFrame(rows, "id long, root long, " + ", ".join(f"f{i} long" for i in range(12)))
-    got = {(x.a, x.b) for x in simhash._apart(df, [(0, simhash._band(0, 24))], 24, 12).collect()}
-    assert got == {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] != y[1] and (x[2] ^ y[2]).bit_count() <= 2}
+    values = [0, 1, 3, 7, 0, 1, 1 << 20, 0, 5, 1 << 20, 0, *(r.getrandbits(30) for _ in range(20))]
+    rows = [(i + 1, i % 4, 9, v, *[0] * 11) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, root long, n long, " + ", ".join(f"f{i} long" for i in range(12)))
+    found = [(x.a, x.b) for x in simhash._apart(df, [(0, simhash._band(0))], 12, 0.8).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] != y[1] and (x[3] ^ y[3]).bit_count() <= 2}
+
+
+def test_mates_cost_their_number(spark):
+    """A document meets one of another root with its band value, if there is any."""
+    r = random.Random(10)
+    rows = [(i, r.choice([1, 1, 1, 2, 3]), 9, r.choice([5, 6]), *[0] * 11) for i in range(60)] + [(100, 7, 9, 8, *[0] * 11), (101, 7, 9, 8, *[0] * 11)]
+    df = spark.createDataFrame(rows, "id long, root long, n long, " + ", ".join(f"f{i} long" for i in range(12)))
+    root, value = {x[0]: x[1] for x in rows}, {x[0]: x[3] for x in rows}
+    pairs = [(x.a, x.b) for x in simhash._mates(df, [(0, simhash._band(0))], 0).collect()]
+    assert all(root[a] != root[b] and value[a] == value[b] for a, b in pairs)
+    assert {x for p in pairs for x in p} >= {x[0] for x in rows if x[3] in (5, 6) and x[1] != 1} and len(pairs) <= 60
 
 
 def test_copies_inside_a_family(spark):
@@ -184,13 +198,43 @@ def test_copies_inside_a_family(spark):
     assert {x.doc_id: x.component_id for x in got} == {d: d % 150 for d, _ in docs}
 
 
-@pytest.mark.parametrize("rows", [10, 10**6, 10**7, 10**8, 10**9])
-def test_bands_share_no_bit(spark, monkeypatch, rows):
-    """The plan of any number of rows reads each bit of the fingerprint once at most."""
-    seen = {}
-    bits, bands = simhash.banding(rows, 0.8, 0.97)
-    monkeypatch.setattr(simhash, "banding", lambda *_: (bits, bands))
-    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words, lanes, *_: seen.update(lanes=lanes) or 1 / 0)
-    with pytest.raises(ZeroDivisionError):
-        simhash.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), Scratch(spark))
-    assert seen["lanes"] * 64 >= bits * bands
+@pytest.mark.parametrize("pages", [100, 1500])
+def test_recall_in_families(spark, pages):
+    """Pages of one template, at 0.54 of one another, half of them with a partner at 0.80 to 0.90:
+    recall does not fall with the size of the family, and nothing else is linked."""
+    r = random.Random(pages)
+    template = [f"t{i}" for i in range(210)]
+    docs, wanted = [], set()
+    for i in range(pages // 2):
+        own = [f"o{i}x{k}" for k in range(90)]
+        copy = [f"c{i}x{k}" if k % 18 < r.choice([1, 2]) else x for k, x in enumerate(own)]
+        docs += [(i, " ".join(template + own)), (pages + i, " ".join(template + copy))]
+        if jaccard(docs[-2][1], docs[-1][1]) >= 0.8:
+            wanted.add(pages + i)
+    assert 0.5 < jaccard(docs[0][1], docs[2][1]) < 0.58 and len(wanted) > pages // 4
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark)).collect()}
+    linked = {d for d, c in got.items() if d != c}
+    assert linked <= wanted and all(got[d] == d - pages for d in linked)
+    assert len(linked) >= 0.95 * len(wanted)
+
+
+def test_bands_share_no_bit(spark):
+    """The bands read each bit of the fingerprint once at most; their number is fixed."""
+    bands = simhash.banding(0.8, 0.97)
+    assert simhash.lanes_of(bands) <= 12
+    whole = [0] * 12
+    for k in range(bands):
+        for bit in range(k * simhash.BAND_BITS, (k + 1) * simhash.BAND_BITS):
+            f = list(whole)
+            f[bit // 64] = simhash._signed(1 << bit % 64)
+            row = spark.range(1).select(*(F.lit(x).cast("long").alias(f"f{i}") for i, x in enumerate(f)))
+            if bit % 7 == 0:
+                values = row.select(*(simhash._band(j).alias(f"b{j}") for j in range(bands))).first()
+                assert [j for j in range(bands) if values[j]] == [k]
+
+
+def test_repeated_rows(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = [(1, a), (5, a), (5, b), (9, b), (9, b), (7, "x")]
+    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark)).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (5, 1), (5, 1), (7, 7), (9, 1), (9, 1)]
