@@ -29,6 +29,7 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         now, before, state = following, state, _state(following)
         if state == before:
             break
+        scratch.release()
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
 

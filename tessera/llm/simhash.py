@@ -19,18 +19,20 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected
 from tessera.llm.shared import Scratch
 
 SEED = 42
-#: Share of bits in which sets of similarity 0.8 differ at most, and that of sets of fewer than five
-#: shingles (four of five: 3/16); and standard deviations that a pair may exceed it.
-SHARE, SHARE_TINY, DEVIATIONS = 0.157, 3 / 16, 4.0
+#: Shares of bits in which sets of similarity 0.8 differ at most, by measurement: of sets of fewer
+#: than 5 shingles, fewer than 16, more; and standard deviations that a pair may exceed it.
+SHARES, DEVIATIONS = ((5, 0.19), (16, 0.165), (1 << 62, 0.1545)), 3.0
 #: Bits of a band: unrelated documents rarely meet, even among 10^9 (some hundred a band and document).
 BAND_BITS = 30
+#: Bands after which the roots of compared mates are renewed.
+MATES = 5
 
 
 def _signed(x: int) -> int:
@@ -64,7 +66,9 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
 
 def fingerprint(text: str, words: int, lanes: int = 1, distinct: bool = False) -> tuple[list[int], int]:
     """Lanes, and the number of shingles.  A bit is 1 if it is set in over half the shingles'
-    hashes (each counted once if ``distinct``); zero for a text without words."""
+    hashes; zero for a text without words.  If ``distinct``, each hash counts once, and where half
+    of them have the bit that of the smallest hash decides, without which the fingerprints of few
+    shingles would hold few ones and be close to each other."""
     hashes = shingle_hashes(text, words)
     if distinct:
         hashes = np.unique(hashes)
@@ -74,7 +78,10 @@ def fingerprint(text: str, words: int, lanes: int = 1, distinct: bool = False) -
         for at in range(0, len(hashes), 1 << 16):
             h = _mixed(hashes[at : at + (1 << 16)], lane).astype("<u8", copy=False)
             counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]))
+        ones = counts * 2
+        if distinct and len(hashes):
+            ones += np.unpackbits(_mixed(hashes[:1], lane).astype("<u8", copy=False).view(np.uint8), bitorder="little")
+        out.append(int(np.packbits(ones > len(hashes), bitorder="little").view("<u8")[0]))
     return out, len(hashes)
 
 
@@ -169,7 +176,7 @@ def lanes_of(bands: int) -> int:
 
 def _alike(x: list[Column], y: list[Column], n: Column, m: Column, similarity: float) -> Column:
     """Whether sets of n and m shingles may have this similarity: the sizes allow it, and no more
-    of these lanes' bits differ than SHARE and DEVIATIONS allow."""
+    of these lanes' bits differ than SHARES and DEVIATIONS allow."""
 
     def most(share: float) -> int:
         width = 64 * len(x)
@@ -177,7 +184,7 @@ def _alike(x: list[Column], y: list[Column], n: Column, m: Column, similarity: f
 
     differ = reduce(Column.__add__, (F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x, y)))
     small, large = F.least(n, m), F.greatest(n, m)
-    return (small >= large * similarity - 1e-9) & (differ <= F.when(small < 5, most(SHARE_TINY)).otherwise(most(SHARE)))
+    return (small >= large * similarity - 1e-9) & (differ <= F.coalesce(*(F.when(small < n, most(share)) for n, share in SHARES)))
 
 
 class _Verifier:
@@ -187,23 +194,28 @@ class _Verifier:
         self.docs, self.classes, self.scratch = docs, classes, scratch
         self.words, self.similarity, self.lane = words, similarity, lane
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, set array<long>): the distinct shingle hashes of these documents."""
+        words = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            for b in batches:
+                sets = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+
+        return self.scratch.cut(self.docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, set array<long>"), "sets")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of this Jaccard similarity or more; the fingerprints only spare the
         sets of pairs that are far apart."""
-        scratch, words, lane = self.scratch, self.words, self.lane
+        scratch, lane = self.scratch, self.lane
         pairs = pairs.distinct()
         for end in ("a", "b"):
             pairs = pairs.join(self.classes.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"), *(F.col(c).alias(f"{end}_{c}") for c in lane)), end)
         a, b = ([F.col(f"{end}_{c}") for c in lane] for end in ("a", "b"))
         pairs = scratch.cut(pairs.where(_alike(a, b, F.col("a_n"), F.col("b_n"), self.similarity)).select("a", "b"), "close")
 
-        def run(batches: Iterator[pa.RecordBatch]):
-            for b in batches:
-                sets = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
-
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = scratch.cut(self.docs.join(ends, "id", "left_semi").mapInArrow(run, "id long, set array<long>"), "sets")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         for end in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("set").alias(f"{end}_set")), end)
         both = F.size(F.array_intersect("a_set", "b_set"))
@@ -219,11 +231,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
     other.  Rows that repeat an id are one document: what is similar to one of them is linked to it.
 
     Fingerprints have 64 * ``lanes`` bits, or as many as the bands take without sharing a bit.
-    Bands meet within two differing bits on the grid of one-bit segments; pairs that meet are
-    accepted if the true similarity of their sets of shingles is ``similarity`` or more.  First,
-    by a few bands at a time, each document is compared with one other of its band value, chosen
-    by a hash, unless they are joined already: this joins large groups of near copies at a cost of
-    their number.  Then every pair that meets in any band and is not yet joined is compared, so no
+    Sets of equal fingerprints are one; a set of too few shingles to be this similar to any other
+    (three at 0.8) has no other partners.  Bands meet within two differing bits on the grid of
+    accepted if the true similarity of their sets of shingles is ``similarity`` or more.
+
+    First each document is compared with one other of its band value, chosen by a hash, unless
+    they are joined already: this joins large groups of near copies at a cost of their number.
+    Then all cells are visited.  Two documents of different roots alone in a cell are compared.
+    Where more meet, as pages of one template do, all documents of such cells are joined by their
+    rarest shingles, which loses no pair and spares those that only share the template.  So no
     pair depends on the order of ids, on the size of its group or on the number of documents.
     """
     bands = banding(similarity, recall)
@@ -235,30 +251,29 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
     plan = [(k, _band(k)) for k in range(bands)]
     verifier = _Verifier(named, classes, scratch, words, similarity, lane)
 
-    links, rooted = None, classes.withColumn("root", F.col("id"))
-    for step, some in enumerate(_steps(plan)):
+    able = classes.where(F.col("n") + 1e-9 >= (F.col("n") + 1) * similarity)
+    links, rooted = None, able.withColumn("root", F.col("id"))
+    for step, some in enumerate((plan[:MATES], plan[MATES:])):
         found = verifier.links(_mates(rooted, some, step))
         links = found if links is None else links.unionAll(found)
         roots = connected(links, scratch).withColumnRenamed("node", "id")
-        rooted = scratch.cut(classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        rooted = scratch.cut(able.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
         scratch.release()
-    found = []
-    for at in range(0, bands, 4):
-        found.append(scratch.cut(_apart(rooted, plan[at : at + 4], lanes, similarity), "pairs"))
+    alone, crowd = [], []
+    for at in range(0, bands, 4):  # four bands at a time bound the shuffle files on disk
+        pairs, ids = _meetings(rooted, plan[at : at + 4], scratch)
+        alone.append(pairs)
+        crowd.append(ids)
         scratch.release()
-    links = links.unionAll(verifier.links(reduce(DataFrame.unionAll, found)))
-    roots = connected(links, scratch)
+    sets = verifier.sets(reduce(DataFrame.unionAll, crowd).distinct())
+    alone.append(_rare_pairs(sets, rooted, similarity))
+    links = links.unionAll(verifier.links(reduce(DataFrame.unionAll, alone)))
+    roots = connected(links, scratch).withColumnRenamed("node", "id")
     # Copies of a class hang on its first document.
-    label = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(*lane, "n", F.coalesce("root", "id").alias("component_id"))
+    label = classes.join(roots, "id", "left").select(*lane, "n", F.coalesce("root", "id").alias("component_id"))
     return marks.join(label, [*lane, "n"]).select(F.col("id").alias(id_col), "component_id")
 
 
-def _steps(plan: list) -> list[list]:
-    """The bands in three lots, small ones first: most copies join in the first."""
-    cuts = [0, min(3, len(plan)), min(9, len(plan)), len(plan)]
-    return [plan[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
-
-
 def _band(k: int) -> Column:
     """Band k: the BAND_BITS consecutive bits after those of the bands before it."""
     at = k * BAND_BITS
@@ -288,37 +303,52 @@ def _mates(rooted: DataFrame, bands: list[tuple[int, Column]], step: int) -> Dat
     return pairs.select(F.least("m", "id").alias("a"), F.greatest("m", "id").alias("b"))
 
 
-def _apart(rooted: DataFrame, bands: list[tuple[int, Column]], lanes: int, similarity: float) -> DataFrame:
-    """All pairs (a, b) with different ``root`` whose values of one of ``bands`` are within two
-    bits, less those that sizes or two other lanes show to be far apart.
+def _meetings(rooted: DataFrame, bands: list[tuple[int, Column]], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Who meets whom in ``bands``: (a, b), pairs of documents with different roots that alone
+    share a cell, and (id), the documents of cells that more share, of different roots.
 
-    A cell has no more values than bits and one.  Values are paired if they hold different roots,
-    then the roots they hold, then the documents of these, so that documents joined already meet
-    nobody, however many they are.  Most roots have one document at a value and are compared at once.
+    A document visits the cells within one bit of its value, so two meet if their values are
+    within two bits.  There are fewer pairs than visits, however many documents share a cell.
     """
-
-    def other(step: int) -> Callable[[int], Column]:
-        return lambda k: F.col(f"f{(k * BAND_BITS // 64 + lanes // 2 + step) % lanes}")
-
-    rows = rooted.select("id", "root", "n", _values(bands, other(0), other(1))).select("id", "root", "n", "x.*")
-    here = rows.groupBy("band", "value", "root").agg(F.count("*").alias("c"), *(F.min(x).alias(x) for x in ("id", "n", "p0", "p1")))
-    values = here.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    met = values.select("band", F.struct("value", "low", "high").alias("v"), F.explode(_around_bits(F.col("value"), BAND_BITS)).alias("cell")).repartition("band", "cell")
-    met = met.groupBy("band", "cell").agg(F.collect_list("v").alias("here"), F.min("v.low").alias("low"), F.max("v.high").alias("high"))
-    met = met.where((F.size("here") > 1) & (F.col("low") < F.col("high"))).select("band", "here", F.explode("here").alias("l"))
-    met = met.select("band", "l", F.explode("here").alias("r")).where("l.value < r.value and least(l.low, r.low) < greatest(l.high, r.high)")
-    met = met.select("band", F.col("l.value").alias("l"), F.col("r.value").alias("r")).distinct()
-    met = met.unionAll(values.where("low < high").select("band", F.col("value").alias("l"), F.col("value").alias("r")))
+    rows = rooted.select("id", "root", _values(bands)).select("id", "root", "x.*")
+    values = rows.groupBy("band", "value").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("a"), F.max("id").alias("b"))
+    visits = values.select("band", F.explode(_around_bits(F.col("value"), BAND_BITS)).alias("cell"), "c", "low", "high", "a", "b").repartition("band", "cell")
+    cells = visits.groupBy("band", "cell").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("a").alias("a"), F.max("b").alias("b"))
+    cells = scratch.cut(cells.where("c > 1 and low < high").select("band", "cell", "c", "a", "b"), "cells")
+    crowded = cells.where("c > 2").select("band", F.explode(_around_bits(F.col("cell"), BAND_BITS)).alias("value")).distinct()
+    ids = scratch.cut(rows.join(crowded, ["band", "value"], "left_semi").select("id").distinct(), "crowd")
+    return cells.where("c = 2").select("a", "b").distinct(), ids
+
+
+def _rare_pairs(sets: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different roots among ``sets`` (id, set) that may have this similarity.
+
+    Two similar sets share one of their rarest shingles: of n in one order for all, the first
+    n - ceil(similarity * n) + 1.  Rare ones come first, so pages of one template meet by what
+    few of them have, not by the template, and no pair is lost.  The first shingle that they share
+    must leave enough behind it on both sides.  Documents joined already do not meet: the roots at
+    a shingle are paired first, then the documents of these.
+    """
+    sized = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("s"))
+    often = sized.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    shared = sized.join(often, "s")
+    own = Window.partitionBy("id")
+    # What no other set has comes before all that is shared.
+    rare = shared.withColumn("at", F.row_number().over(own.orderBy("c", "s")) + F.col("n") - F.count("*").over(own))
+    rare = rare.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
+    rare = rare.select("id", "n", "at", "s").join(rooted.select("id", "root"), "id")
+    here = rare.groupBy("s", "root").agg(F.count("*").alias("c"), *(F.min(x).alias(x) for x in ("id", "n", "at")))
+    mixed = here.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
+    here, rare = here.join(mixed, "s", "left_semi"), rare.join(mixed, "s", "left_semi")
 
     def side(frame: DataFrame, end: str, *columns: str) -> DataFrame:
-        return frame.select("band", F.col("value").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("root", "id", "n", "p0", "p1", *columns)))
+        return frame.select("s", *(F.col(c).alias(f"{end}_{c}") for c in ("root", "id", "n", "at", *columns)))
 
-    close = _alike(*([F.col(f"{end}_p0"), F.col(f"{end}_p1")] for end in ("l", "r")), F.col("l_n"), F.col("r_n"), similarity)
-    once = (F.col("l") != F.col("r")) | (F.col("l_root") < F.col("r_root"))
+    both = (F.col("l_n") + F.col("r_n")) * (similarity / (1 + similarity))
+    fit = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) + 1 >= both - 1e-9
     single = (F.col("l_c") == 1) & (F.col("r_c") == 1)
-    roots = met.join(side(here, "l", "c"), ["band", "l"]).join(side(here, "r", "c"), ["band", "r"])
-    roots = roots.where((F.col("l_root") != F.col("r_root")) & once & (~single | close))
-    many = roots.where(~single).select("band", "l", "r", "l_root", "r_root")
-    many = many.join(side(rows, "l"), ["band", "l", "l_root"]).join(side(rows, "r"), ["band", "r", "r_root"]).where(close)
+    roots = side(here, "l", "c").join(side(here, "r", "c"), "s").where((F.col("l_root") < F.col("r_root")) & (~single | fit))
+    many = roots.where(~single).select("s", "l_root", "r_root")
+    many = many.join(side(rare, "l"), ["s", "l_root"]).join(side(rare, "r"), ["s", "r_root"]).where(fit)
     pairs = roots.where(single).select("l_id", "r_id").unionAll(many.select("l_id", "r_id"))
     return pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()

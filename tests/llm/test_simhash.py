@@ -163,15 +163,30 @@ def test_similarity_is_exact(spark):
 
 
 def test_all_that_meet_are_compared(spark):
-    """Whatever the ids: every pair of different roots within two bits of a band is found, once
-    each is one document of its root or more."""
+    """Whatever the ids: every pair of different roots within two bits of a band is a pair alone
+    in a cell, or both are in the crowd, which is joined without loss."""
     r = random.Random(9)
     values = [0, 1, 3, 7, 0, 1, 1 << 20, 0, 5, 1 << 20, 0, *(r.getrandbits(30) for _ in range(20))]
+    values += [v ^ 1 << r.randrange(30) for v in values[-9:]] + [values[-1] ^ 3]
     rows = [(i + 1, i % 4, 9, v, *[0] * 11) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "id long, root long, n long, " + ", ".join(f"f{i} long" for i in range(12)))
-    found = [(x.a, x.b) for x in simhash._apart(df, [(0, simhash._band(0))], 12, 0.8).collect()]
-    assert len(found) == len(set(found))
-    assert set(found) == {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] != y[1] and (x[3] ^ y[3]).bit_count() <= 2}
+    pairs, crowd = simhash._meetings(df, [(0, simhash._band(0))], Scratch(spark))
+    pairs, crowd = {(x.a, x.b) for x in pairs.collect()}, {x.id for x in crowd.collect()}
+    meet = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] != y[1] and (x[3] ^ y[3]).bit_count() <= 2}
+    assert pairs <= meet and pairs and all(p in pairs or crowd >= set(p) for p in meet)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rare_pairs_lose_nothing(spark, seed):
+    r = random.Random(seed)
+    sets = [r.sample(range(60), r.randrange(1, 40)) for _ in range(40)]
+    sets += [[x for x in r.choice(sets) if r.random() > 0.1] + r.sample(range(60, 500), 2) for _ in range(160)]
+    sets = [sorted(set(x)) for x in sets if x]
+    rows = [(i, x, i % 7) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id long, set array<long>, root long")
+    got = {(x.a, x.b) for x in simhash._rare_pairs(df.select("id", "set"), df.select("id", "root"), 0.8).collect()}
+    like = {(a, b) for a, x, p in rows for b, y, q in rows if a < b and p != q and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))}
+    assert like and like <= got and len(got) < 0.2 * len(rows) ** 2
 
 
 def test_mates_cost_their_number(spark):
@@ -234,7 +249,7 @@ def test_bands_share_no_bit(spark):
 
 
 def test_repeated_rows(spark):
-    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
-    docs = [(1, a), (5, a), (5, b), (9, b), (9, b), (7, "x")]
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    docs = [(1, a), (5, a), (4, b), (4, c), (9, b), (9, b), (6, c), (7, "x")]
     got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark)).collect()
-    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (5, 1), (5, 1), (7, 7), (9, 1), (9, 1)]
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (4, 4), (4, 4), (5, 1), (6, 4), (7, 7), (9, 4), (9, 4)]
