@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment.
 
-A block of equal lines that two documents share is one long line or holds two lines in a row,
-so hashes of long lines and of adjacent lines find every pair that can share a block of the
-length asked for; most such hashes occur once and go at once.  Each remaining hash links every
-document that has it to the first one only, so a passage in n documents makes n - 1 pairs.
-Each pair is aligned by patience diff, and what the later document shares with the earlier one
-in an aligned block goes.  The first document of all keeps every line.
+A block is a run of equal lines; blank lines neither break it nor count.  From each line on, the
+shortest run of the words asked for is a window, and so is the shortest run that ends with it: every
+block that two documents share is made of windows that both have.  A window is as rare as the
+rarest of its lines, and most windows' hashes occur once and go at once.  Each of the others links
+every document that has it to the first one, so a passage in n documents makes n - 1 pairs and no
+shared block is missed, whichever documents share it.  Each pair is aligned by patience diff; what
+the later document shares with the earlier one in an aligned block goes, and so do windows that it
+shares in another order.  The first document of all keeps every line.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -31,12 +34,27 @@ def line_hashes(text: str) -> tuple[list[int], list[int]]:
     return hashes, counts
 
 
+def _filled(hashes: list[int], counts: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Places of the lines with words, their hashes, and words up to each line's end, from 0."""
+    at = [i for i, n in enumerate(counts) if n]
+    return at, np.array([hashes[i] for i in at], np.int64), np.concatenate([[0], np.cumsum([counts[i] for i in at], dtype=np.int64)])
+
+
+def windows(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Windows (start, end) over the lines with words: from each line the shortest with
+    ``min_words``, and to each line the shortest with as many."""
+    n = len(words) - 1
+    ends = np.searchsorted(words, words[:-1] + min_words)
+    starts = np.searchsorted(words, words[1:] - min_words, side="right") - 1
+    out = {(i, int(e)) for i, e in enumerate(ends) if e <= n}
+    return sorted(out | {(int(b), j + 1) for j, b in enumerate(starts) if b >= 0})
+
+
 def anchors(hashes: list[int], counts: list[int], min_words: int) -> set[int]:
-    """Hashes that any shared block of ``min_words`` words must have one of."""
-    filled = [i for i, n in enumerate(counts) if n]
-    long = {hashes[i] for i in filled if counts[i] >= min_words}
-    two = (hashes[i].to_bytes(8, "little", signed=True) + hashes[j].to_bytes(8, "little", signed=True) for i, j in zip(filled, filled[1:]))
-    return long | {xxhash.xxh64_intdigest(x, 7) - (1 << 63) for x in two}
+    """Hashes of all windows, of which any shared block of ``min_words`` words has some."""
+    _, lines, words = _filled(hashes, counts)
+    data = lines.astype("<i8", copy=False).tobytes()
+    return {xxhash.xxh64_intdigest(data[8 * a : 8 * b], 7) - (1 << 63) for a, b in windows(words, min_words)}
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -61,7 +79,7 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Matched positions (i, j), rising in both: equal ends first, then lines that are unique on
-    both sides (the first of each if none is), then the same between those."""
+    both sides, then the same between those."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -82,9 +100,6 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             if place.get(a[i], -1) >= 0:
                 once[a[i]] = -1 if a[i] in once else i
         fixed = [(i, place[h]) for h, i in once.items() if i >= 0]
-        if not fixed:  # no line is unique on both sides: the first of each
-            first = {h: j for j, h in reversed(list(enumerate(b[j0:j1], j0)))}
-            fixed = [(i, first.pop(h)) for i, h in enumerate(a[i0:i1], i0) if h in first]
         fixed = _longest_rising(fixed)
         if fixed:
             ends = [(i0 - 1, j0 - 1), *fixed, (i1, j1)]
@@ -93,31 +108,42 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def shared_blocks(later: list[int], counts: list[int], earlier: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Line ranges of ``later`` in aligned blocks of ``min_words`` words or more; blank lines
-    neither break a block nor count.  What is found is set aside and the rest aligned again, and
-    so are short blocks when nothing else is found; so blocks in another order, and further
-    copies of a block, are found too."""
-    filled = [i for i, n in enumerate(counts) if n]
-    mine, theirs = [later[i] for i in filled], [h for h in earlier if h]
+def shared_blocks(later: list[int], counts: list[int], earlier: list[int], earlier_counts: list[int], min_words: int) -> list[tuple[int, int]]:
+    """Line ranges of ``later`` in blocks of ``min_words`` words or more that ``earlier`` has too.
+
+    Lines of no shared window can be in no block, and are set aside before the alignment.  Blocks
+    that the alignment does not hold, moved or repeated ones, are the shared windows it left."""
+    at, mine, words = _filled(later, counts)
+    _, theirs, their_words = _filled(earlier, earlier_counts)
+    data, other = mine.astype("<i8", copy=False).tobytes(), theirs.astype("<i8", copy=False).tobytes()
+    there = {other[8 * a : 8 * b] for a, b in windows(their_words, min_words)}
+    shared = [(a, b) for a, b in windows(words, min_words) if data[8 * a : 8 * b] in there]
+    if not shared:
+        return []
+    lines, hit = mine.tolist(), [False] * len(mine)
+    for a, b in shared:
+        hit[a:b] = [True] * (b - a)
+    theirs_ = theirs.tolist()
+    known = {lines[i] for i, h in enumerate(hit) if h}
+    matched = patience([x if h else None for x, h in zip(lines, hit)], [x if x in known else -1 for x in theirs_])
+    spans, start = [], 0
+    for k in range(1, len(matched) + 1):
+        if k == len(matched) or (matched[k][0], matched[k][1]) != (matched[k - 1][0] + 1, matched[k - 1][1] + 1):
+            i, j = matched[start][0], matched[k - 1][0] + 1
+            if words[j] - words[i] >= min_words:
+                spans.append((i, j))
+            start = k
+    gone = [False] * len(lines)
+    for i, j in spans:
+        gone[i:j] = [True] * (j - i)
+    spans += [(a, b) for a, b in shared if not all(gone[a:b])]
     out: list[tuple[int, int]] = []
-    while True:
-        matched = patience(mine, theirs)
-        start, short, found = 0, [], len(out)
-        for k in range(1, len(matched) + 1):
-            if k == len(matched) or (matched[k][0], matched[k][1]) != (matched[k - 1][0] + 1, matched[k - 1][1] + 1):
-                lines = [i for i, _ in matched[start:k]]
-                if sum(counts[filled[i]] for i in lines) >= min_words:
-                    out.append((filled[lines[0]], filled[lines[-1]] + 1))
-                    for i in lines:
-                        mine[i] = (i,)  # equal to no line
-                else:
-                    short += lines
-                start = k
-        if not matched:
-            return out
-        for i in short if len(out) == found else ():
-            mine[i] = (i,)
+    for i, j in sorted(spans):
+        if out and i < out[-1][1]:  # a blank line between two blocks stays
+            out[-1] = (out[-1][0], max(out[-1][1], j))
+        else:
+            out.append((i, j))
+    return [(at[i], at[j - 1] + 1) for i, j in out]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -144,17 +170,18 @@ def blocks_to_delete(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_
     at = lines.select(F.struct("_id", "_h").alias("doc"), F.explode("anchors").alias("anchor"))
     firsts = at.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first._id < last._id").drop("last")
     pairs = at.join(firsts, "anchor").where("first._id < doc._id").select("doc._id", "doc._h", F.col("first._id").alias("e_id"), F.col("first._h").alias("e_h")).distinct()
-    earlier = lines.select(F.col("_id").alias("e_id"), F.col("_h").alias("e_h"), F.col("hashes").alias("e_hashes"))
-    pairs = pairs.join(lines.select("_id", "_h", "hashes", "counts"), ["_id", "_h"]).join(earlier, ["e_id", "e_h"])
+    lines = lines.select("_id", "_h", "hashes", "counts").dropDuplicates(["_id", "_h"])
+    earlier = lines.toDF("e_id", "e_h", "e_hashes", "e_counts")
+    pairs = pairs.join(lines, ["_id", "_h"]).join(earlier, ["e_id", "e_h"])
 
     def align(batches: Iterator[pa.RecordBatch]):
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for b in batches:
-            spans = [shared_blocks(x, c, y, min_words) for x, c, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+            spans = [shared_blocks(*x, min_words) for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)))]
             spans = pa.array([[{"a": p, "b": q} for p, q in s] for s in spans], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), spans], names=["_id", "_h", "spans"])
 
-    found = pairs.select("_id", "_h", "hashes", "counts", "e_hashes").mapInArrow(align, "_id long, _h long, spans array<struct<a:int,b:int>>")
+    found = pairs.select("_id", "_h", "hashes", "counts", "e_hashes", "e_counts").mapInArrow(align, "_id long, _h long, spans array<struct<a:int,b:int>>")
     found = found.select("_id", "_h", F.explode("spans").alias("s")).distinct()
     return found.groupBy("_id", "_h").agg(F.collect_list("s").alias("spans"))  # a document's own lines at most
 
@@ -162,7 +189,8 @@ def blocks_to_delete(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_
 def line_dedup(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, ``text`` without the deleted lines, and n_lines, n_removed.
 
-    Documents are ordered by id; the later one loses the block.  Rows with a null id or text stay
+    A line goes if it lies in a run of lines with ``min_words`` words that an earlier document has
+    too, whichever that is.  Documents are ordered by id; the later one loses the block.  Rows with a null id or text stay
     as they are, and count as no one's earlier document.  Rows of one id are not compared with
     each other.  A text none of whose lines is left becomes empty.
     """

@@ -93,6 +93,32 @@ ORACLE_SQL: dict[str, str] = {
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p)
         SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op5_line_dedup": r"""
+        WITH line AS (
+          SELECT doc_id, i, ls[i] AS line,
+            trim(regexp_replace(ls[i], '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS f
+          FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+        filled AS (
+          SELECT doc_id, i, f, len(string_split(f, ' ')) AS n,
+            row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k,
+            sum(len(string_split(f, ' '))) OVER (PARTITION BY doc_id ORDER BY i) AS w
+          FROM line WHERE f <> ''),
+        whole AS (SELECT doc_id, list(f ORDER BY i) AS fs FROM filled GROUP BY doc_id),
+        run AS (
+          SELECT a.doc_id, a.i AS i, b.i AS j, md5(array_to_string(fs[a.k:b.k], chr(10))) AS key
+          FROM filled a JOIN filled b ON a.doc_id = b.doc_id AND a.k <= b.k AND b.w - a.w + a.n >= 50
+            AND (b.w - b.n - a.w + a.n < 50 OR b.w - a.w < 50)
+          JOIN whole ON a.doc_id = whole.doc_id),
+        gone AS (
+          SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i
+          FROM run JOIN (SELECT key, min(doc_id) AS least FROM run GROUP BY key) USING (key) WHERE least < doc_id),
+        kept AS (
+          SELECT line.doc_id, string_agg(line, chr(10) ORDER BY line.i) AS text, count(*) AS n
+          FROM line ANTI JOIN gone ON line.doc_id = gone.doc_id AND line.i = gone.i GROUP BY line.doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
+          CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INT) AS n_lines,
+          CAST(coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(kept.n, 0) AS INT) AS n_removed
+        FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
     "op10_url_rules": """
         WITH rest AS (
           SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),

@@ -29,14 +29,25 @@ def words(r, n):
 
 
 def brute(rows, min_words):
-    out, first, text = {}, {}, {}
-    for d, t in sorted((d, t) for d, t in rows if d is not None and t is not None):
-        gone, text[d] = set(), t
-        h, c = ld.line_hashes(t)
-        partners = {first.setdefault(x, d) for x in ld.anchors(h, c, min_words)} - {d}
-        for e in partners:
-            for a, b in ld.shared_blocks(h, c, ld.line_hashes(text[e])[0], min_words):
-                gone |= set(range(a, b))
+    """All pairs, no function of the module: a line goes if some run of filled lines around it has
+    the words and is a run of an earlier document's filled lines."""
+    docs = sorted((d, t) for d, t in rows if d is not None and t is not None)
+    runs, out = {}, {}
+    for d, t in docs:
+        lines = [" ".join(x.split()) for x in t.split("\n")]
+        filled = [i for i, x in enumerate(lines) if x]
+        mine, gone = {}, set()
+        for i in range(len(filled)):
+            total = 0
+            for j in range(i, min(len(filled), i + 70)):
+                total += len(lines[filled[j]].split())
+                if total >= min_words:
+                    mine.setdefault("\n".join(lines[k] for k in filled[i : j + 1]), []).append((filled[i], filled[j]))
+        for run, places in mine.items():
+            if runs.get(run, d) < d:
+                for a, b in places:
+                    gone |= set(range(a, b + 1))
+            runs.setdefault(run, d)
         out[d] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
     return out
 
@@ -80,6 +91,38 @@ def test_op5(spark, seed):
     assert texts[100] == "" and texts[105] == "between"
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_all_pairs(spark, seed):
+    """Documents of few kinds of lines, so that blocks overlap, move, repeat and nest."""
+    r = random.Random(seed)
+    kinds = [words(r, k) for k in (60, 30, 25, 25, 20, 12, 12, 8, 5, 3, 1, 1)]
+    rows = [(d, "\n".join(r.choice([*kinds, ""]) if r.random() < 0.8 else words(r, 9) for _ in range(r.randrange(0, 9)))) for d in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.text for x in ld.line_dedup(df, Scratch(spark)).collect()} == brute(rows, 50)
+
+
+def test_blocks_of_later_documents(spark):
+    """Documents 3 and 4 share a block whose parts occurred in others before; 6 has it moved."""
+    a, b, c = (words(random.Random(i), 20) for i in range(3))
+    x, y, z, v, w = (words(random.Random(10 + i), 30) for i in range(5))
+    rows = [(1, f"{a}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\n{b}\n{c}"), (4, f"{a}\n{b}\n{c}"), (5, "\n".join((x, z, x, y, v))), (6, "\n".join((x, y, w)))]
+    got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+    assert got == dict(rows) | {4: "", 6: w}
+
+
+def test_long_repetitive_texts_take_linear_time():
+    import time
+
+    def run(n):
+        lines = [i % 7 + 1 for i in range(n)]
+        start = time.perf_counter()
+        assert ld.shared_blocks(lines, [9] * n, lines[3:] + lines[:3], [9] * n, 50) == [(0, n)]
+        return time.perf_counter() - start
+
+    run(1000)
+    assert run(64000) < 40 * max(run(4000), 0.01)
+
+
 def test_op5_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ld.line_dedup(empty, Scratch(spark)).count() == 0

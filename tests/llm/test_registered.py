@@ -34,7 +34,7 @@ def test_query(spark, sf_dir, name):
         assert len(rows) == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     if name in queries.ORACLE_SQL:
         c = duckdb.connect()
-        for t in ("embeddings", "pages"):
+        for t in ("documents", "embeddings", "pages"):
             c.execute(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
         cursor = c.execute(queries.ORACLE_SQL[name])
         names = [d[0] for d in cursor.description]
