@@ -1,10 +1,12 @@
 """Language identification by Bayesian evidence fusion.
 
 Evidence on each document: the likelihood of its byte trigrams under each language, the language
-its markup declares, and a prior from its host.  Priors come from one grouped aggregation of the
-text-only decisions over all documents, smoothed level by level: host towards domain, domain
-towards address suffix, suffix towards all.  A document's own decision is taken out of its
-host's counts.  The reliability of declarations is learned the same way, by counting.
+its markup declares, and a prior from its host.  Besides the languages of the model there is one
+alternative, that the text is in none of them, under which all trigrams are equally likely.
+Priors come from one grouped aggregation of the text-only decisions over all documents, smoothed
+level by level: host towards domain, domain towards address suffix, suffix towards all; a
+document's own decision is taken out of every level.  The reliability of declarations is learned
+the same way, by counting.
 """
 
 from __future__ import annotations
@@ -14,25 +16,35 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Scratch
 
-#: Labelled rows that the trigram model is fitted on at most, and languages it can hold.
-SAMPLE_ROWS, MAX_LANGUAGES = 2000, 64
+#: Labelled rows of each language that the trigram model is fitted on at most.  It holds every
+#: labelled language, at 256 kB each.
+SAMPLE_ROWS = 500
 #: Trigram buckets; weight of one trigram, since neighbours overlap; pseudo-counts of a level.
 BUCKETS, WEIGHT, PSEUDO = 1 << 16, 0.3, 20.0
 #: Bytes of one text scored at a time.
 CHUNK = 1 << 18
-#: A document is rejected below this posterior, or without any letter.
+#: A document is rejected below this posterior, if no language of the model is likelier than none,
+#: or without any letter.
 LEAST = 0.5
+#: Prior weight of "none of these" beside the counted decisions, where each language has 1.
+NONE_WEIGHT = 0.1
+#: ISO 639-2 codes whose bibliographic form differs from the terminological one.
+BIBLIOGRAPHIC = {
+    "alb": "sq", "arm": "hy", "baq": "eu", "bur": "my", "chi": "zh", "cze": "cs", "dut": "nl", "fre": "fr", "geo": "ka", "ger": "de",
+    "gre": "el", "ice": "is", "mac": "mk", "mao": "mi", "may": "ms", "per": "fa", "rum": "ro", "slo": "sk", "tib": "bo", "wel": "cy",
+}
 
 
 @dataclass(frozen=True)
 class TrigramModel:
     languages: list[str]
     scores: np.ndarray  # BUCKETS x languages, log probabilities
+    last: dict[str, int]  # largest hash of id and text in the sample, by language
 
 
 def _buckets(data: bytes) -> np.ndarray:
@@ -43,10 +55,17 @@ def _buckets(data: bytes) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TrigramModel:
-    """From SAMPLE_ROWS labelled rows at most, those of the lowest id hash; whole texts."""
+    """From SAMPLE_ROWS labelled rows of each language at most, those of the lowest hashes of id and
+    text; whole texts.  Rows with a null text or label don't count; without any labelled row the
+    model has no languages."""
     good = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     good = good.select(F.lower(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    last = good.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    order = Window.partitionBy("lang").orderBy("h")  # a partition passes on SAMPLE_ROWS of a language at most
+    ranked = good.select("lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_ROWS)
+    last = {r[0]: r[1] for r in ranked.groupBy("lang").agg(F.max("h")).collect()}  # one row a language
+    if not last:
+        return TrigramModel([], np.zeros((BUCKETS, 0), np.float32), {})
+    limits = labelled.sparkSession.createDataFrame(list(last.items()), "lang string, last long")
 
     def count(batches: Iterator[pa.RecordBatch]):
         by: dict[str, np.ndarray] = {}
@@ -61,20 +80,20 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(have[at], pa.int64())], names=["lang", "bucket", "n"])
 
     found: dict[str, np.ndarray] = {}
-    counts = good.where(F.col("h") <= F.lit(last)).select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
+    counts = good.join(F.broadcast(limits), "lang").where("h <= last").select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
     counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))  # BUCKETS rows a language at most
     for lang, bucket, n in counts.collect():
         found.setdefault(lang, np.zeros(BUCKETS, np.int64))[bucket] = n
-    kept = sorted(sorted(found, key=lambda x: (-found[x].sum(), x))[:MAX_LANGUAGES])
-    if not kept:
-        raise ValueError("no labelled text to learn languages from")
-    table = np.stack([found[x] for x in kept], axis=1) + 0.1
-    return TrigramModel(kept, np.log(table / table.sum(axis=0)).astype(np.float32))
+    kept = sorted(last)
+    table = np.stack([found.get(x, np.zeros(BUCKETS, np.int64)) for x in kept], axis=1) + 0.1
+    return TrigramModel(kept, np.log(table / table.sum(axis=0)).astype(np.float32), last)
 
 
 def score(rows: DataFrame, model: TrigramModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns, ``evidence`` array<double> of weighted log-likelihoods (all 0 without
-    three bytes of text), ``best`` index of the largest, and ``letters``: whether there is any."""
+    three bytes of text), that of none of the languages last, ``best`` index of the largest, and
+    ``letters``: whether there is any."""
+    even = -np.log(BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]):
         k = len(model.languages)
@@ -82,9 +101,11 @@ def score(rows: DataFrame, model: TrigramModel, keep: list[str], text_col: str =
             evidence, best, letters = [], [], []
             for t in b.column(len(keep)):
                 text = t.as_py() or ""
-                data, total = text.encode(), np.zeros(k)
+                data, total = text.encode(), np.zeros(k + 1)
                 for at in range(0, len(data), CHUNK):
-                    total += model.scores[_buckets(data[at : at + CHUNK + 2])].sum(axis=0, dtype=np.float64)
+                    buckets = _buckets(data[at : at + CHUNK + 2])
+                    total[:k] += model.scores[buckets].sum(axis=0, dtype=np.float64)
+                    total[k] += even * len(buckets)
                 evidence.append((total * WEIGHT).tolist())
                 best.append(int(total.argmax()))
                 letters.append(any(c.isalpha() for c in text))
@@ -101,7 +122,20 @@ def visible_text(html: Column) -> Column:
 
 
 def declared_language(html: Column) -> Column:
-    return F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    return F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})(?![a-z])", 1))
+
+
+def _language_index(declared: Column, languages: list[str]) -> Column:
+    """Place of a declared language in the model: by its whole name, else by the first part of its
+    tag, a code of three letters standing for that of two; -1 if the model hasn't got it."""
+    order = {x: i for i, x in enumerate(languages)}
+    locale = SparkSession.getActiveSession()._jvm.java.util.Locale
+    long_codes = {locale.forLanguageTag(x).getISO3Language(): x for x in set(languages) & set(locale.getISOLanguages())}
+    long_codes |= {k: v for k, v in BIBLIOGRAPHIC.items() if v in order}
+    places = {**{k: order[v] for k, v in long_codes.items() if k}, **order}
+    table = F.create_map(*(F.lit(v) for pair in places.items() for v in pair))
+    whole = F.lower(F.coalesce(declared, F.lit("")))
+    return F.coalesce(F.element_at(table, whole), F.element_at(table, F.regexp_extract(whole, r"^([a-z]{2,3})(?=$|[-_])", 1)), F.lit(-1))
 
 
 def identify(rows: DataFrame, model: TrigramModel, scratch: Scratch, keep: list[str], text_col: str, host_col: str, declared_col: str) -> DataFrame:
@@ -109,53 +143,59 @@ def identify(rows: DataFrame, model: TrigramModel, scratch: Scratch, keep: list[
 
     A null or empty text, host or declaration is no evidence of its kind; what has none at all
     gets the corpus prior and is rejected, as is any text without a letter.  Ties go to the
-    language that sorts first.  Rows that repeat count as often as they occur.
+    language that sorts first.  Rows that repeat count as often as they occur.  lang is the
+    likeliest of the model's languages even where none of them is accepted.  A model without
+    languages names and accepts none: lang and posterior are null.
     """
-    k, order = len(model.languages), {x: i for i, x in enumerate(model.languages)}
+    k = len(model.languages)
+    if not k:
+        nothing = (F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
+        return rows.select(*keep, *nothing)
     host = F.lower(F.coalesce(F.col(host_col), F.lit("")))
-    index = F.coalesce(F.element_at(F.create_map(*(F.lit(v) for pair in order.items() for v in pair)), F.lower(F.substring(F.coalesce(declared_col, F.lit("")), 1, 2))), F.lit(-1))
+    index = _language_index(F.col(declared_col), model.languages)
     named = rows.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), host.alias("host"), index.alias("declared"), F.col(text_col).alias("text"))
     scored = scratch.cut(score(named, model, [*(f"k{i}" for i in range(len(keep))), "host", "declared"]), "scored")
 
     # Hosts without dots have themselves as domain and suffix.
-    counted = scored.groupBy("host", "declared", "best").agg(F.count("*").alias("n"))
-    counted = scratch.cut(counted, "counts")
-    each = [F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i in range(k)]
-    hosts = counted.groupBy("host").agg(*each)
+    counted = scratch.cut(scored.groupBy("host", "declared", "best").agg(F.count("*").alias("n")), "counts")
+
+    def counts() -> Column:
+        return F.array(*(F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)).cast("double") for i in range(k + 1)))
+
+    hosts = counted.groupBy("host").agg(counts().alias("of_host"))
     hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
-    totals = counted.groupBy().agg(*each).first()
-    everywhere = [(totals[f"n{i}"] or 0.0) + 1.0 for i in range(k)]
-    prior = [F.lit(x / sum(everywhere)) for x in everywhere]
-    levels = [("suffix", prior)]
-    table = hosts
-    for level in ("suffix", "domain"):
-        sums = hosts.groupBy(level).agg(*(F.sum(f"n{i}").alias(f"{level}{i}") for i in range(k)))
-        table = table.join(sums, level)
-        whole = sum((F.col(f"{level}{i}") for i in range(k)), F.lit(0.0))
-        smooth = [(F.col(f"{level}{i}") + PSEUDO * p) / (whole + PSEUDO) for i, p in enumerate(levels[-1][1])]
-        levels.append((level, smooth))
-    counts, above = F.array(*(F.col(f"n{i}") for i in range(k))), F.array(*levels[-1][1])
-    table = scratch.cut(table.select("host", counts.alias("counts"), above.alias("above")), "hosts")
+    for level in ("domain", "suffix"):
+        sums = F.array(*(F.sum(F.col("of_host")[i]) for i in range(k + 1)))
+        hosts = hosts.join(hosts.groupBy(level).agg(sums.alias(f"of_{level}")), level)
+    table = scratch.cut(hosts.select("host", "of_host", "of_domain", "of_suffix"), "hosts")
+    totals = counted.groupBy().agg(counts().alias("n")).first()["n"]
+    everywhere = [(x or 0.0) + (1.0 if i < k else NONE_WEIGHT) for i, x in enumerate(totals)]
 
     # Reliability of declarations, against text-only decisions: log p(declared | language).
-    seen = np.full((k, k), 0.0)
+    seen = np.full((k + 1, k), 0.0)
     for r in counted.where("declared >= 0").groupBy("declared", "best").agg(F.sum("n")).collect():
         seen[r[1], r[0]] = r[2]
-    chance = np.log((seen + 1.0 + 8.0 * np.eye(k)) / (seen.sum(axis=1, keepdims=True) + k + 8.0))
-    says = F.array(*(F.array(*(F.lit(float(chance[i, d])) for i in range(k))) for d in range(k)))
+    chance = np.log((seen + 1.0 + 8.0 * np.eye(k + 1, k)) / (seen + 1.0 + 8.0 * np.eye(k + 1, k)).sum(axis=1, keepdims=True))
+    says = F.array(*(F.array(*(F.lit(float(chance[i, d])) for i in range(k + 1))) for d in range(k)))
 
     d = scored.join(table, "host").withColumn("says", F.when(F.col("declared") >= 0, F.element_at(says, F.col("declared") + 1)))
-    size = F.aggregate("counts", F.lit(0.0), lambda s, x: s + x)
-
-    def fused(i: int) -> Column:
-        own = F.when(F.col("best") == i, 1.0).otherwise(0.0)
-        p = (F.greatest(F.col("counts")[i] - own, F.lit(0.0)) + PSEUDO * F.col("above")[i]) / (size - 1.0 + PSEUDO)
-        return F.col("evidence")[i] + F.log(p) + F.coalesce(F.col("says")[i], F.lit(0.0))
-
-    d = d.withColumn("total", F.array(*(fused(i) for i in range(k)))).withColumn("most", F.array_max("total"))
-    d = d.withColumn("posterior", F.lit(1.0) / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("most"))))
+    # Corpus, suffix, domain, host: each level without the document's own decision.
+    everywhere_ = F.array(*(F.lit(float(x)) for x in everywhere))
+
+    def without_own(column: str) -> Column:
+        return F.transform(F.col(column), lambda x, i: F.greatest(x - F.when(i == F.col("best"), 1.0).otherwise(0.0), F.lit(0.0)))
+
+    d = d.withColumn("p", everywhere_).withColumn("p", F.transform("p", lambda x: x / F.lit(float(sum(everywhere)))))
+    for level in ("of_suffix", "of_domain", "of_host"):
+        d = d.withColumn("c", without_own(level)).withColumn("all", F.aggregate("c", F.lit(PSEUDO), lambda s, x: s + x))
+        d = d.withColumn("p", F.zip_with("c", "p", lambda c, p: (c + PSEUDO * p) / F.col("all")))
+    total = F.zip_with("evidence", "p", lambda e, p: e + F.log(p))
+    d = d.withColumn("total", F.when(F.col("says").isNull(), total).otherwise(F.zip_with(total, "says", lambda t, x: t + x)))
+    d = d.withColumn("most", F.array_max(F.slice("total", 1, k))).withColumn("top", F.array_max("total"))
+    posterior = F.exp(F.col("most") - F.col("top")) / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     names = F.array(*(F.lit(x) for x in model.languages))
     lang = F.element_at(names, F.array_position("total", F.col("most")).cast("int"))
+    d = d.withColumn("posterior", posterior)
     return d.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), lang.alias("lang"), "posterior", (F.col("letters") & (F.col("posterior") >= LEAST)).alias("accepted"))
 
 
@@ -171,11 +211,17 @@ def identify_pages(pages: DataFrame, model: TrigramModel, scratch: Scratch, id_c
 def keep_identified(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", host_col: str = "source") -> DataFrame:
     """Rows of ``docs`` with an accepted language, ``lang_col`` set to it; all columns kept.
 
-    The source stands for the host and the language column for the declaration.  Rows that repeat
-    id and text are decided together.
+    The source stands for the host and the language column for the declaration, but not for rows
+    that the model was fitted on, whose label would confirm itself.  Rows that repeat id and text
+    are decided together.  Without a labelled text nothing can be told from anything: rows with a
+    letter in their text stay as they are.
     """
     model = fit(docs, id_col, text_col, lang_col)
-    keys = {"_i": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_n": F.isnull(id_col), "_h": F.xxhash64(F.coalesce(text_col, F.lit(""))), "_d": F.coalesce(lang_col, F.lit("")), "_s": F.coalesce(host_col, F.lit(""))}
+    if not model.languages:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    last = F.create_map(*(F.lit(v) for pair in model.last.items() for v in pair))
+    told = F.when(F.xxhash64(id_col, text_col) > F.element_at(last, F.lower(lang_col)), F.col(lang_col))
+    keys = {"_i": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_n": F.isnull(id_col), "_h": F.xxhash64(F.coalesce(text_col, F.lit(""))), "_d": F.coalesce(told, F.lit("")), "_s": F.coalesce(host_col, F.lit(""))}
     keyed = docs.withColumns(keys)
     found = identify(keyed, model, scratch, list(keys), text_col, "_s", "_d").where("accepted")
     found = scratch.cut(found.select(*keys, F.col("lang").alias("_lang")).dropDuplicates(list(keys)), "languages")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import language, quotes
@@ -51,6 +52,75 @@ def test_pages(spark, sf_dir):
     assert html.select(language.visible_text(F.col("h"))).first()[0].split() == ["x", "y"]
 
 
+def test_fusion_by_brute_force(spark):
+    """Counts, smoothing and fusion in numpy, from the texts' scores."""
+    r = random.Random(3)
+    words = {"aa": "lorem ipsum dolor amet", "bb": "wxyz kjqv zzkw qvxj", "ccc": "mnop rstu ghij bcde"}
+    said = lambda x, n: " ".join(r.choice(words[x].split()) for _ in range(n))
+    train = spark.createDataFrame([(i, said(x, 30), x) for i, x in enumerate(list(words) * 10)], "doc_id long, text string, lang string")
+    model = language.fit(train)
+    assert model.languages == ["aa", "bb", "ccc"]
+    rows = []
+    for i in range(200):
+        x = r.choice(list(words))
+        host = r.choice(["a.one.net", "b.one.net", "two.net", "x.org", "plain", ""])
+        rows.append((i, said(x, r.choice([0, 1, 1, 2])), host, r.choice([x, x, "aa-US", "ccc", "fr", "", None])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, declared string").repartition(3)
+    got = {x.doc_id: x for x in language.identify(df, model, Scratch(spark), ["doc_id"], "text", "host", "declared").collect()}
+
+    scores = []
+    for _, text, _, _ in rows:
+        b = language._buckets(text.encode())
+        scores.append(np.append(model.scores[b].sum(axis=0, dtype=np.float64), -len(b) * np.log(language.BUCKETS)) * language.WEIGHT)
+    best = [int(x.argmax()) for x in scores]
+    index = [{"aa": 0, "bb": 1, "ccc": 2}.get((d or "").split("-")[0], -1) for *_, d in rows]
+    seen = np.zeros((4, 3)) + 1.0 + 8.0 * np.eye(4, 3)
+    for b, d in zip(best, index):
+        if d >= 0:
+            seen[b, d] += 1
+    says = np.log(seen / seen.sum(axis=1, keepdims=True))
+    part = lambda h, n: ".".join(h.split(".")[-n:]) if n else h
+    for at, (i, text, host, _) in enumerate(rows):
+        p = np.bincount(best, minlength=4) + np.array([1, 1, 1, language.NONE_WEIGHT])
+        p = p / p.sum()
+        for n in (1, 2, 0):
+            c = np.bincount([b for j, b in enumerate(best) if j != at and part(rows[j][2], n) == part(host, n)], minlength=4)
+            p = (c + language.PSEUDO * p) / (c.sum() + language.PSEUDO)
+        total = scores[at] + np.log(p) + (says[:, index[at]] if index[at] >= 0 else 0)
+        post = np.exp(total - total.max())
+        post /= post.sum()
+        assert got[i].lang == model.languages[int(total[:3].argmax())] and abs(got[i].posterior - post[:3].max()) < 1e-9
+        assert got[i].accepted == (post[:3].max() >= 0.5 and text != "")
+
+
+def test_other_languages_and_noise(spark, sf_dir):
+    model = language.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    odd = ["Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива", "吾輩は猫である。名前はまだ無い。どこで生れたか", "xq zzkjw qpwx vbnq jjkq wwxz pqzx kkjv qqxz bvvw zxqj"]
+    df = spark.createDataFrame([(i, t * 5, None, None) for i, t in enumerate(odd)], "doc_id long, text string, source string, lang string")
+    assert not any(r.accepted for r in language.identify(df, model, Scratch(spark), ["doc_id"], "text", "source", "lang").collect())
+
+
+def test_every_labelled_language_and_none(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{r.choice('xyz')}" for _ in range(40)), f"l{i % 90:02}") for i in range(180)]
+    df = spark.createDataFrame([(*x, "s", len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(language.fit(df).languages) == 90
+    assert language.keep_identified(df.limit(0), Scratch(spark)).count() == 0
+    bare = df.withColumn("lang", F.lit(None).cast("string"))
+    assert language.fit(bare).languages == [] and language.fit(bare.limit(0)).languages == []
+    odd = bare.union(spark.createDataFrame([(500, "12 34", None, "s", 5), (501, None, None, None, None)], bare.schema))
+    assert language.keep_identified(odd, Scratch(spark)).count() == 180
+    none = language.identify(bare, language.fit(bare), Scratch(spark), ["doc_id"], "text", "source", "lang")
+    assert none.where("lang is null and posterior is null and not accepted").count() == 180
+
+
+def test_three_letter_codes(spark):
+    said = ["eng", "en-GB", "EST", "fry", "fre", "fra", "deu", "ger", "frx", "english", "fr_FR", "", None]
+    df = spark.createDataFrame([(x,) for x in said], "d string").coalesce(1)
+    got = [r[0] for r in df.select(language._language_index(F.col("d"), ["de", "en", "es", "fr"])).collect()]
+    assert got == [1, 1, -1, -1, 3, 3, 0, 0, -1, -1, 3, -1, -1]
+
+
 MARKS = re.compile(r"^[ \t]*(>[ \t]?)+")
 
 
