@@ -48,10 +48,13 @@ class TrigramModel:
 
 
 def _buckets(data: bytes) -> np.ndarray:
+    """Bucket of each byte trigram without a digit; numbers and keys are in no language."""
     b = np.frombuffer(data.lower(), np.uint8).astype(np.uint32)
     if len(b) < 3:
         return np.zeros(0, np.uint32)
-    return ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))) >> np.uint32(16)
+    digit = (b >= 48) & (b <= 57)
+    found = ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))) >> np.uint32(16)
+    return found[~(digit[:-2] | digit[1:-1] | digit[2:])] if digit.any() else found
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TrigramModel:
