@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Scratch
+from tessera.llm.shared import Scratch, give_back
 
 #: Labelled rows of each language that the trigram model is fitted on at most.  It holds every
 #: labelled language, at 256 kB each.
@@ -114,6 +114,7 @@ def score(rows: DataFrame, model: TrigramModel, keep: list[str], text_col: str =
                 letters.append(any(c.isalpha() for c in text))
             columns = [*(b.column(i) for i in range(len(keep))), pa.array(evidence, pa.list_(pa.float64())), pa.array(best, pa.int32()), pa.array(letters, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "evidence", "best", "letters"])
+            give_back()
 
     d = rows.select(*keep, F.col(text_col).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Scratch
+from tessera.llm.shared import Scratch, give_back
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
@@ -164,6 +164,7 @@ def blocks_to_delete(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_
                 marks.append(list(anchors(h, c, min_words)))
             columns = [b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "_h", "hashes", "counts", "anchors"])
+            give_back()
 
     named = _keyed(docs, id_col, text_col).where(F.col("_id").isNotNull() & F.col(text_col).isNotNull()).select("_id", "_h", text_col)
     lines = scratch.cut(named.mapInArrow(read, "_id long, _h long, hashes array<long>, counts array<int>, anchors array<long>"), "lines")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Rows of one Arrow batch: texts are long, and Spark's default of 10,000 rows would make a
 #: worker hold tens of MB of them twice.
-ARROW_ROWS = "2000"
+ARROW_ROWS = "1000"
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,6 +32,14 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers outlive the stage that needed it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local one only where that isn't set."""
     sc = spark.sparkContext

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected
-from tessera.llm.shared import Scratch
+from tessera.llm.shared import Scratch, give_back
 
 SEED = 42
 #: Shares of bits in which sets of similarity 0.8 differ at most, by measurement: of sets of fewer
@@ -93,6 +93,7 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc
             rows = [fingerprint(t.as_py() or "", words, lanes, distinct) for t in b.column(1)]
             lane = [pa.array([_signed(r[i]) for r, _ in rows], pa.int64()) for i in range(lanes)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lane, pa.array([n for _, n in rows], pa.int64())], names=["id", *(f"f{i}" for i in range(lanes)), "n"])
+            give_back()
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return named.mapInArrow(run, "id long, " + "".join(f"f{i} long, " for i in range(lanes)) + "n long")
@@ -202,6 +203,8 @@ class _Verifier:
             for b in batches:
                 sets = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+                del sets
+                give_back()
 
         return self.scratch.cut(self.docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, set array<long>"), "sets")
 

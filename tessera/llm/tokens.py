@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm.shared import give_back
+
 #: Parts in each of the two generations of the memo, and the longest part kept there.
 MEMO, MEMO_CHARS = 400_000, 40
 #: Characters of text taken together.
-RUN_CHARS = 6 << 20
+RUN_CHARS = 3 << 20
 
 
 class LibraryEncoder:
@@ -100,7 +102,7 @@ class LibraryEncoder:
         finally:
             gc.freeze()
             gc.enable()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     def _encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         column = pa.array(texts, pa.large_string())
