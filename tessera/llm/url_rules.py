@@ -1,14 +1,17 @@
 """URL rules by a sorted sweep over reversed-host keys.
 
 Reversing a host's labels ("a.b.org" -> "org.b.a.") turns "this host and all its subdomains"
-into a prefix, that is an interval of keys, and such intervals nest.  URLs sorted by key and
-rules sorted by key are merged in one sweep that keeps a stack of the hosts whose interval is
-open; each open host holds its rules' paths.  URLs are sorted inside their own scan task, so
-there is no exchange and a hot host costs no more than any other.
+into a prefix, that is an interval of keys, and such intervals nest; so do the paths of one host's
+rules.  URLs sorted by key and rules sorted by key are merged in one sweep that keeps a stack of the
+hosts whose interval is open.  Each open host has its paths in order, each with the longest other
+path around it: the last path not after the URL's, or one around it, is the longest that fits.  So
+a URL costs a binary search for each open host, however many rules the host has.  URLs are sorted
+inside their own scan task, so there is no exchange and a hot host costs no more than any other.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +45,32 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x00"), F.lit("\x00"))
 
 
-def _sweep(keys: list[str], paths: list[str], rules: list[tuple[str, list[tuple[str, str, str, int]]]], open_: list, at: int):
+class HostRules:
+    """The rules of one host: paths in order, what each rule says, and the path around each."""
+
+    def __init__(self, rules: list[tuple[str, str, str, int]]):
+        by_path: dict[str, tuple[str, str, int]] = {}
+        for path, rule, verdict, rank in rules:
+            if path not in by_path or rank > by_path[path][2]:
+                by_path[path] = (rule, verdict, rank)
+        self.paths = sorted(by_path)
+        self.says = [by_path[p] for p in self.paths]
+        self.around, open_ = [], []
+        for i, p in enumerate(self.paths):
+            while open_ and not p.startswith(self.paths[open_[-1]]):
+                open_.pop()
+            self.around.append(open_[-1] if open_ else -1)
+            open_.append(i)
+
+    def best(self, path: str) -> tuple[str, str, int] | None:
+        """What the longest path that begins ``path`` says."""
+        at = bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.around[at]
+        return self.says[at] if at >= 0 else None
+
+
+def _sweep(keys: list[str], paths: list[str], rules: list[tuple[str, HostRules]], open_: list, at: int):
     """Best rule (rule, verdict, rank) for each key in order.  ``open_`` is the stack; returns where the rules stand."""
     found = []
     for key, path in zip(keys, paths):
@@ -55,9 +83,9 @@ def _sweep(keys: list[str], paths: list[str], rules: list[tuple[str, list[tuple[
             open_.pop()
         best = None
         for _, of_host in open_:
-            for prefix, rule, verdict, rank in of_host:
-                if path.startswith(prefix) and (best is None or rank > best[2]):
-                    best = (rule, verdict, rank)
+            says = of_host.best(path)
+            if says is not None and (best is None or says[2] > best[2]):
+                best = says
         found.append(best)
     return found, at
 
@@ -86,7 +114,7 @@ def _sweep_frame(urls: DataFrame, rules: list[tuple[str, str, str]], key: str) -
         k = "\x00".join(reversed(host.split("."))) + "\x00"
         rank = ((len(host) + len(path)) << 20 | len(host)) << 1 | (verdict == "block")
         by_host.setdefault(k, []).append((path, host + path, verdict, rank))
-    in_order = sorted(by_host.items())
+    in_order = [(k, HostRules(by_host[k])) for k in sorted(by_host)]
     shared = urls.sparkSession.sparkContext.broadcast(in_order)
 
     def run(batches: Iterator[pa.RecordBatch]):
