@@ -4,8 +4,8 @@ Canonical text: compatibility composition, full case folding, composition again
 undo it), runs of white space as one space, none at the ends.  Two xxhash64 values with different
 seeds make a 128-bit digest.  Documents of one digest form a bucket; the smallest and largest
 canonical bytes of a bucket are compared, and only where they differ, which takes a collision of
-128 bits, each member's fingerprint also gets its SHA-256.  So fingerprints are equal exactly
-when canonical texts are.
+128 bits, each member's fingerprint also gets its SHA-256, and so does an edited text's with that
+digest.  So fingerprints of equal canonical texts are equal, and those of others differ.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import Scratch
 
 _MASK33 = (1 << 33) - 1
+#: Parts that the rows of one digest are dealt to.
+SALTS = 256
 
 
 def _compose(text: Column) -> Column:
@@ -36,26 +38,45 @@ def _hex(column: str) -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sizes(rows: DataFrame, *extra: Column) -> DataFrame:
+    """(h1, h2, salt, bucket, ..) of each digest: how many rows have it in all, and sums of the
+    ``extra`` columns' least values, once for each salt its rows have.  Rows join on the salt too,
+    so that a digest that a third of all rows share is not in one task."""
+    parts = rows.groupBy("h1", "h2", "salt").agg(F.count("*").alias("part"), *extra)
+    names = [c for c in parts.columns if c not in ("h1", "h2", "salt", "part")]
+    whole = parts.groupBy("h1", "h2").agg(F.sum("part").alias("bucket"), *(F.min(c).alias(c) for c in names))
+    return parts.select("h1", "h2", "salt").join(whole, ["h1", "h2"])
+
+
+def _clashes(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(h1, h2) of the digests whose bucket holds different canonical bytes; None if there are
+    none, as ever but for a collision of 128 bits.  Copies merge before the exchange."""
+    ends = rows.groupBy("h1", "h2").agg(F.min("canon").alias("a"), F.max("canon").alias("b"))
+    found = scratch.cut(ends.where("a <> b").select("h1", "h2", F.lit(True).alias("clash")), "clashes")
+    return found if found.count() else None
+
+
+def _told_apart(d: DataFrame, clash: DataFrame | None, h1: str, h2: str, canon: Column, name: str) -> DataFrame:
+    """``d`` with the fingerprint ``name`` of digest (h1, h2), and of the bytes if digests clash."""
+    mark = F.concat(_hex(h1), _hex(h2))
+    if clash is None:
+        return d.withColumn(name, mark)
+    joined = d.join(F.broadcast(clash.toDF(h1, h2, "clash")), [h1, h2], "left")
+    return joined.withColumn(name, F.when(F.col("clash"), F.concat(mark, F.lit("-"), F.sha2(canon, 256))).otherwise(mark)).drop("clash")
+
+
+def exact_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, group_id, group_size): group_id is the smallest id among the documents
     of equal canonical text.  Repeated rows and null ids stay; an all-null group has a null id."""
     d = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("canon"))
     h1, h2 = wide_hash(F.col("canon"))
     d = d.select("id", "canon", h1.alias("h1"), h2.alias("h2"))
-    clash = _clashes(d)
-    d = d.select("id", "h1", "h2", F.sha2("canon", 256).alias("sha")).join(clash, ["h1", "h2"], "left")
-    d = d.select("id", F.concat(_hex("h1"), _hex("h2"), F.when(F.col("clash"), F.concat(F.lit("-"), F.col("sha"))).otherwise("")).alias("fingerprint"))
-    groups = d.groupBy("fingerprint").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
-    return d.join(groups, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "group_id", "group_size")
-
-
-def _clashes(rows: DataFrame) -> DataFrame:
-    """Digests whose bucket holds different canonical bytes.  Copies merge before the exchange.
-
-    Ids are counted so that this reads the same columns as its caller's other branches and Spark
-    reuses their exchange of the texts."""
-    ends = rows.groupBy("h1", "h2").agg(F.min("canon").alias("a"), F.max("canon").alias("b"), F.count("id").alias("ids"))
-    return ends.where("a <> b and ids >= 0").select("h1", "h2", F.lit(True).alias("clash"))
+    d = _told_apart(d, _clashes(d, scratch), "h1", "h2", F.col("canon"), "fingerprint")
+    # Group by the whole fingerprint: its hashes take the place of the digest.
+    g1, g2 = wide_hash(F.col("fingerprint"))
+    d = scratch.cut(d.select("id", "fingerprint", g1.alias("h1"), g2.alias("h2"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")), "digests")
+    groups = _sizes(d, F.min("id").alias("group_id"))
+    return d.join(groups, ["h1", "h2", "salt"]).select(F.col("id").alias(id_col), "fingerprint", "group_id", F.col("bucket").alias("group_size"))
 
 
 def edit_report(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,7 +90,8 @@ def edit_report(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     digest knows no other likeness.
 
     Ids, lengths and hashes alone are put in order; each text then moves once, to the row that
-    holds its neighbours, and a third of its predecessor's length moves on from there.
+    holds its neighbours, and a third of its predecessor's length moves on from there.  Rows that
+    repeat id and text merge before they move, and are repeated at the end.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     r1, r2 = wide_hash(F.isnull("id"), F.col("id"), F.col("text"))
@@ -77,7 +99,8 @@ def edit_report(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
 
     h1, h2 = wide_hash(F.col("canon"))
     info = base.select("id", "r1", "r2", F.char_length("text").cast("long").alias("n"), canonical(F.col("text")).alias("canon"))
-    info = info.select("id", "r1", "r2", "n", h1.alias("h1"), h2.alias("h2")).dropDuplicates(["r1", "r2"])
+    info = info.select("id", "r1", "r2", "n", h1.alias("h1"), h2.alias("h2"))
+    info = info.groupBy("r1", "r2").agg(F.count("*").alias("times"), *(F.min(c).alias(c) for c in ("id", "n", "h1", "h2")))
     ordered = info.repartitionByRange(F.col("id").desc_nulls_last(), "r1", "r2").sortWithinPartitions(F.col("id").desc_nulls_last(), "r1", "r2")
     ordered = scratch.cut(ordered.withColumn("place", F.monotonically_increasing_id()), "order")
     ordered = ordered.withColumn("part", F.shiftright("place", 33)).withColumn("row", F.col("place").bitwiseAND(F.lit(_MASK33)))
@@ -85,6 +108,7 @@ def edit_report(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ordered.groupBy("part").agg(F.count("*").alias("rows")).select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
     ordered = ordered.join(F.broadcast(starts), "part").withColumn("pos", F.col("start") + F.col("row")).drop("part", "row", "start", "place")
+    ordered = ordered.withColumn("salt", F.pmod(F.col("pos"), F.lit(SALTS)))
     total = max(ordered.count(), 1)
     ahead = ordered.select(
         F.pmod(F.col("pos") - 1, F.lit(total)).alias("pos"),
@@ -94,40 +118,32 @@ def edit_report(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
         F.pmod(F.col("pos") + 1, F.lit(total)).alias("pos"),
         *(F.col(c).alias(f"prev_{c}") for c in ("r1", "r2", "n", "h1", "h2")),
     )
-    sizes = ordered.groupBy("h1", "h2").agg(F.count("*").alias("bucket")).where("bucket > 1")
-    meta = ordered.join(ahead, "pos").join(behind, "pos").drop("id", "pos").join(sizes, ["h1", "h2"], "left")
+    sizes = _sizes(ordered).where("bucket > 1")
+    meta = ordered.join(ahead, "pos").join(behind, "pos").join(sizes, ["h1", "h2", "salt"], "left").drop("id", "pos", "salt")
     meta = scratch.cut(meta, "neighbours")
 
-    rows = base.join(meta, ["r1", "r2"])
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("r1", "r2").orderBy("n")))
-    passed = rows.where("copy = 1").select(
+    rows = base.dropDuplicates(["r1", "r2"]).join(meta, ["r1", "r2"])
+    passed = rows.select(
         F.col("prev_r1").alias("r1"),
         F.col("prev_r2").alias("r2"),
         F.col("id").alias("next_id"),
         F.left("text", F.floor(F.col("prev_n") / 3).cast("int")).alias("head"),
         F.when((F.col("h1") == F.col("prev_h1")) & (F.col("h2") == F.col("prev_h2")), canonical(F.col("text"))).alias("next_canon"),
     )
+    clash = _clashes(rows.where("bucket > 1").select("h1", "h2", canonical(F.col("text")).alias("canon")), scratch)
     kept = F.left("text", (F.col("n") - F.floor(F.col("n") / 3)).cast("int"))
     out = rows.join(passed, ["r1", "r2"]).withColumn("edited", F.concat(kept, F.col("head"))).withColumn("edited_canon", canonical(F.col("edited")))
     e1, e2 = wide_hash(F.col("edited_canon"))
-    out = out.select("id", "text", "n", "h1", "h2", "next_h1", "next_h2", "next_id", "next_canon", "bucket", "edited_canon", F.sha2("edited", 256).alias("edited_sha256"), e1.alias("e1"), e2.alias("e2"))
+    out = out.withColumns({"e1": e1, "e2": e2, "edited_sha256": F.sha2("edited", 256)})
     same_next = (F.col("h1") == F.col("next_h1")) & (F.col("h2") == F.col("next_h2")) & F.col("next_canon").isNotNull()
     same_edited = (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))
-    out = out.select(
-        "id", "n", "h1", "h2", "e1", "e2", "edited_sha256", "next_id",
-        F.when(same_edited, (canonical(F.col("text")) == F.col("edited_canon")).cast("double")).otherwise(0.0).alias("near_edited"),
-        F.when(same_next, (canonical(F.col("text")) == F.col("next_canon")).cast("double")).otherwise(0.0).alias("near_next"),
-        F.when(F.col("bucket") > 1, F.sha2(canonical(F.col("text")), 256)).alias("sha"),
-    )
-    clash = _clashes(rows.where("bucket > 1").select("id", "h1", "h2", canonical(F.col("text")).alias("canon")))
-    out = out.join(clash, ["h1", "h2"], "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_chars"),
-        "edited_sha256",
-        F.concat(_hex("h1"), _hex("h2"), F.when(F.col("clash"), F.concat(F.lit("-"), F.col("sha"))).otherwise("")).alias("fingerprint"),
-        F.concat(_hex("e1"), _hex("e2")).alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
-        F.col("next_id"),
-    )
+    out = out.withColumns({
+        "near_edited": F.when(same_edited, (canonical(F.col("text")) == F.col("edited_canon")).cast("double")).otherwise(0.0),
+        "near_next": F.when(same_next, (canonical(F.col("text")) == F.col("next_canon")).cast("double")).otherwise(0.0),
+    })
+    out = _told_apart(out, clash, "h1", "h2", canonical(F.col("text")), "fingerprint")
+    out = _told_apart(out, clash, "e1", "e2", F.col("edited_canon"), "edited_fingerprint")
+    # Repeats in thousands, so that no list is long.
+    out = out.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / 1000).cast("int"))))
+    out = out.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(1000), F.col("times") - 1000 * F.col("lot")).cast("int"))))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id")

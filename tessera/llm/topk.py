@@ -1,13 +1,15 @@
 """Exact top-k by inner product over vector-approximation files.
 
-The approximation file holds each component as one byte, a cell with a lower and an upper end,
-beside the exact vectors; it is written once and scanned for every block of queries.  A task
-computes with the cells, which bound each score from both sides; the k-th best lower
-bound and the k-th best exact score found so far rule out all rows whose upper bound is below.
-The exact vectors of the rest are read in descending order of their upper bound until the next
-bound cannot reach the k-th result.  The partitions' own top k are merged at the end.
-
-Queries go out in blocks of a fixed size, so what is broadcast does not grow with the data.
+The approximation file holds each component as one byte, a cell with a lower and an upper end; the
+exact vectors are a table of their own.  Each block of queries scans the cells, which bound every
+score from both sides: a task keeps the rows whose upper bound reaches the k-th best lower bound it
+has seen, and the k-th best lower bound of all tasks rules out more.  The exact vectors of the
+rest are read in descending order of their upper bound, a lot at a time, until the next bound
+of each query cannot reach its k-th result.
+
+Queries go out in blocks of a fixed size, one after another; each block's candidates are written
+and its broadcast destroyed before the next, so neither the driver nor what is broadcast grows
+with the data.  The exact vectors are read for all blocks together.
 """
 
 from __future__ import annotations
@@ -23,55 +25,50 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import Scratch
 
-#: Queries broadcast at once (2 MB at 64 components), cells of a component, rows scanned together.
-QUERIES_AT_ONCE, CELLS, ROWS_AT_ONCE, QUERIES_TOGETHER = 4096, 256, 4096, 256
+#: Queries broadcast at once (2 MB at 64 components), cells of a component, rows scanned together,
+#: and exact vectors read in the first lot for each result asked for.
+QUERIES_AT_ONCE, CELLS, ROWS_AT_ONCE, QUERIES_TOGETHER, READ_AT_ONCE = 4096, 256, 4096, 256, 4
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(id, v array<long>): floor(scale * x), x as double.  Rows with a null id, a null vector, or
-    null or non-finite components are left out; so are vectors without components."""
+    null or non-finite components are left out."""
     x: Column = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     good = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    d = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), good.alias("good"))
+    d = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), good.alias("good"))
     return d.where("good").select("id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
-class Best:
-    """Each query's k best (score, smaller id first) so far."""
+class Bounds:
+    """Candidates of each query: rows whose upper bound reaches the k-th best lower bound."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.rows, self.floor = k, [[] for _ in range(n)], np.full(n, -np.inf)
-
-    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        rows = sorted([*self.rows[q], *((-int(s), int(i)) for s, i in zip(scores, ids))])[: self.k]
-        self.rows[q] = rows
-        if len(rows) == self.k:
-            self.floor[q] = -rows[-1][0]
-
-
-def _search(best: Best, first: int, query_ids: np.ndarray, queries: np.ndarray, low: np.ndarray, high: np.ndarray, exact: np.ndarray, ids: np.ndarray) -> None:
-    k, plus, minus = best.k, np.maximum(queries, 0.0), np.minimum(queries, 0.0)
-    upper = plus @ high.T + minus @ low.T
-    lower = plus @ low.T + minus @ high.T
+        self.k, self.floor = k, np.full(n, -np.inf)
+        none = np.zeros(0, np.int64)
+        self.rows = [(none, none, np.zeros(0), np.zeros(0)) for _ in range(n)]  # row, id, lower, upper
+
+    def add(self, q: int, *more: np.ndarray) -> None:
+        some = [np.concatenate(x) for x in zip(self.rows[q], more)]
+        lower, upper = some[2:]
+        if len(lower) >= self.k:
+            self.floor[q] = max(self.floor[q], np.partition(lower, len(lower) - self.k)[len(lower) - self.k])
+        self.rows[q] = tuple(x[upper >= self.floor[q]] for x in some)
+
+
+def _search(bounds: Bounds, first: int, query_ids: np.ndarray, queries: np.ndarray, low: np.ndarray, high: np.ndarray, slack: float, places: np.ndarray, ids: np.ndarray) -> None:
+    k, plus, minus = bounds.k, np.maximum(queries, 0.0), np.minimum(queries, 0.0)
+    upper = plus @ high.T + minus @ low.T + slack
+    lower = plus @ low.T + minus @ high.T - slack
     own = query_ids[:, None] == ids[None, :]
     upper[own], lower[own] = -np.inf, -np.inf
+    floors = bounds.floor[first : first + len(queries)]
     if len(ids) >= k:
-        sure = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k]
-    else:
-        sure = np.full(len(queries), -np.inf)
-    floors = np.maximum(sure, best.floor[first : first + len(queries)])
-    q_at, row_at = np.nonzero((upper >= floors[:, None]) & (upper > -np.inf))
+        floors = np.maximum(floors, np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k])
+    q_at, row_at = np.nonzero((upper >= floors[:, None]) & ~own)
     ends = np.searchsorted(q_at, np.arange(len(queries) + 1))
     for q in np.flatnonzero(np.diff(ends)):
         rows = row_at[ends[q] : ends[q + 1]]
-        bounds = upper[q, rows]
-        order = np.argsort(-bounds, kind="stable")
-        rows, bounds = rows[order], bounds[order]
-        at, step = 0, max(4 * k, 16)
-        while at < len(rows) and bounds[at] >= best.floor[first + q]:
-            some = rows[at : at + step]
-            best.add(first + q, exact[some] @ queries[q].astype(np.int64), ids[some])
-            at += step
+        bounds.add(first + q, places[rows], ids[rows], lower[q, rows], upper[q, rows])
 
 
 def cells_of(exact: np.ndarray, least: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -116,42 +113,66 @@ def grid(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def approximation_file(vectors: DataFrame, cell_grid: dict[int, tuple[np.ndarray, np.ndarray]], scratch: Scratch) -> DataFrame:
-    """(id, cells binary, v array<long>) as written: one byte a component beside the exact vector."""
+    """(row, id, cells binary) of vectors (row, id, v), as written: one byte a component."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             cells: list[bytes] = [b""] * b.num_rows
-            for mine, x in _rows_by_length(b.column(0), b.column(1)):
+            for mine, x in _rows_by_length(b.column(1), b.column(2)):
                 for row, c in zip(mine, cells_of(x, *cell_grid[x.shape[1]])):
                     cells[row] = c.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary()), b.column(1)], names=["id", "cells", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.binary())], names=["row", "id", "cells"])
 
-    return scratch.cut(vectors.mapInArrow(run, "id long, cells binary, v array<long>"), "cells")
+    return scratch.cut(vectors.select("row", "id", "v").mapInArrow(run, "row long, id long, cells binary"), "cells")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(query_id, rank, vec_id, score) for each query id in ``queries``, both as made by
     ``integer_vectors``: its k best rows of another id, fewer if there are fewer; ties go to the
     smaller id.  Rows that repeat an id are candidates each; of queries with one id the least
-    vector counts.  Vectors of another length than the query's take no part in it.
+    vector counts.  Vectors of another length than the query's take no part in it, and those
+    without components have product 0 with each other.  Scores must fit 63 bits.
     """
     spark = vectors.sparkSession
     one = queries.groupBy("id").agg(F.min("v").alias("v"))
     stored = scratch.cut(one.repartitionByRange(F.col("id")).sortWithinPartitions("id").withColumn("place", F.monotonically_increasing_id()), "queries")
     starts = sorted((r[0], r[1], r[2]) for r in stored.groupBy(F.shiftright("place", 33)).agg(F.min("id"), F.count("*")).collect())
     cuts = _block_starts(stored, starts)
-    cell_grid = grid(vectors)
-    file = approximation_file(vectors, cell_grid, scratch)
-    parts = []
+    # Rows that repeat an id are told apart by their place.
+    exact = scratch.cut(vectors.select("id", "v").withColumn("row", F.monotonically_increasing_id()), "vectors")
+    cell_grid = grid(exact.select("id", "v"))
+    file = approximation_file(exact, cell_grid, scratch)
+    found = []
     for a, b in zip(cuts, [*cuts[1:], None]):
         block = stored.where(F.col("id") >= a) if b is None else stored.where((F.col("id") >= a) & (F.col("id") < b))
-        rows = block.select("id", "v").collect()  # QUERIES_AT_ONCE at most
-        parts.append(_scan(file, cell_grid, spark.sparkContext.broadcast(_by_length(rows)), k))
-    if not parts:
+        shared = spark.sparkContext.broadcast(_by_length(block.select("id", "v").collect()))  # QUERIES_AT_ONCE at most
+        found.append(scratch.cut(_scan(file, cell_grid, shared, k), "bounds"))
+        shared.destroy()
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = reduce(DataFrame.unionAll, parts)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _refine(reduce(DataFrame.unionAll, found), exact, stored, k, scratch)
+
+
+def _refine(near: DataFrame, exact: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Results from the bounds (query_id, row, vec_id, lower, upper) of the tasks' candidates."""
+    by_lower, by_upper = (Window.partitionBy("query_id").orderBy(F.col(c).desc(), "row") for c in ("lower", "upper"))
+    sure = near.withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("lower").alias("least"), F.count("*").alias("have"))
+    near = near.join(sure, "query_id").where((F.col("upper") >= F.col("least")) | (F.col("have") < k))
+    near = scratch.cut(near.select("query_id", "row", "vec_id", "upper").withColumn("at", F.row_number().over(by_upper)), "near")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "row")
+    asked = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    score = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    now, before, done, lot = near.where(F.col("at") <= READ_AT_ONCE * k), None, 0, READ_AT_ONCE * k
+    while True:
+        scores = now.join(exact.select("row", "v"), "row").join(asked, "query_id").select("query_id", "row", "vec_id", score.alias("score"))
+        scores = scores if before is None else scores.unionAll(before.select("query_id", "row", "vec_id", "score"))
+        before = scratch.cut(scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
+        done, lot = done + lot, 4 * lot
+        kth = before.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        rest = near.where(F.col("at") > done).join(kth, "query_id", "left").where("least is null or upper >= least").drop("least")
+        if not rest.limit(1).count():
+            return before.select("query_id", "rank", "vec_id", "score")
+        now = rest.where(F.col("at") <= done + lot)
 
 
 def _block_starts(stored: DataFrame, starts: list[tuple[int, int, int]]) -> list[int]:
@@ -175,28 +196,39 @@ def _by_length(rows) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.array([r.id for r in some], np.int64), np.array([r.v for r in some], np.float64)) for some in by.values()]
 
 
+def _slack(queries: np.ndarray, least: np.ndarray, width: np.ndarray) -> float:
+    """How far rounding can move a bound; nothing while all sums are exact."""
+    ends = np.maximum(np.abs(least), np.abs(least + CELLS * width)).astype(np.float64)
+    most = float(np.abs(queries).max(initial=0.0) * ends.sum()) if len(ends) else 0.0
+    return 0.0 if most < 2.0**53 else most * (len(ends) + 2) * 2.0**-52
+
+
 def _scan(file: DataFrame, cell_grid: dict[int, tuple[np.ndarray, np.ndarray]], shared, k: int) -> DataFrame:
+    """(query_id, row, vec_id, lower, upper) of each task's candidates."""
+
     def run(batches: Iterator[pa.RecordBatch]):
         groups = shared.value
-        best = [Best(len(ids), k) for ids, _ in groups]
+        bounds = [Bounds(len(ids), k) for ids, _ in groups]
         for b in batches:
             for at in range(0, b.num_rows, ROWS_AT_ONCE):
                 part = b.slice(at, ROWS_AT_ONCE)
-                every, cells = part.column(0).to_numpy(), part.column(1)
+                places, every, cells = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2)
                 lengths = pc.binary_length(cells).to_numpy()
-                for (query_ids, q), kept in zip(groups, best):
+                for (query_ids, q), kept in zip(groups, bounds):
                     d = q.shape[1]
                     mine = np.flatnonzero(lengths == d)
-                    if not len(mine):
+                    if not len(mine) or d not in cell_grid:
                         continue
-                    mask = pa.array(lengths == d)
-                    bytes_ = b"".join(cells.filter(mask).to_pylist())
-                    low, high = ends_of(np.frombuffer(bytes_, np.uint8).reshape(-1, d), *cell_grid[d])
-                    exact = part.column(2).filter(mask).flatten().to_numpy().reshape(-1, d)
+                    bytes_ = b"".join(cells.filter(pa.array(lengths == d)).to_pylist())
+                    low, high = ends_of(np.frombuffer(bytes_, np.uint8).reshape(len(mine), d), *cell_grid[d])
+                    slack = _slack(q, *cell_grid[d])
                     for i in range(0, len(q), QUERIES_TOGETHER):
-                        _search(kept, i, query_ids[i : i + QUERIES_TOGETHER], q[i : i + QUERIES_TOGETHER], low, high, exact, every[mine])
-        out = [(i, r[1], -r[0]) for (ids, _), kept in zip(groups, best) for i, rows in zip(ids.tolist(), kept.rows) for r in rows]
-        columns = list(zip(*out)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    return file.mapInArrow(run, "query_id long, vec_id long, score long")
+                        _search(kept, i, query_ids[i : i + QUERIES_TOGETHER], q[i : i + QUERIES_TOGETHER], low, high, slack, places[mine], every[mine])
+        for (query_ids, _), kept in zip(groups, bounds):
+            for i in range(0, len(query_ids), QUERIES_TOGETHER):
+                some = kept.rows[i : i + QUERIES_TOGETHER]
+                ids = np.repeat(query_ids[i : i + QUERIES_TOGETHER], [len(r[0]) for r in some])
+                columns = [ids, *(np.concatenate([r[j] for r in some]) for j in range(4))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "row", "vec_id", "lower", "upper"])
+
+    return file.mapInArrow(run, "query_id long, row long, vec_id long, lower double, upper double")

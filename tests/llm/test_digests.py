@@ -57,10 +57,22 @@ def test_collision_is_told_apart(spark, monkeypatch):
     want = brute(TEXTS)
     assert {r.doc_id: (r.near_edited, r.near_next) for r in rows} == {d: w[2:4] for d, w in want.items()}
     assert len({r.fingerprint for r in rows}) == len({w[4] for w in want.values()})
+    marks = {r.fingerprint: want[r.doc_id][4] for r in rows}
+    assert all(marks.get(r.edited_fingerprint, want[r.doc_id][5]) == want[r.doc_id][5] for r in rows)
+    groups = digests.exact_groups(frame(spark, TEXTS), Scratch(spark)).collect()
+    assert len({r.fingerprint for r in groups}) == len({fold(t) for t in TEXTS.values()})
+
+
+def test_repeated_rows(spark):
+    """Many copies of one text, and many repeats of one row."""
+    texts = {d: "the same text of all" for d in range(300)}
+    rows = digests.edit_report(frame(spark, texts, [(7, texts[7])] * 2500), Scratch(spark)).collect()
+    assert len(rows) == 2800 and sum(r.doc_id == 7 for r in rows) == 2501
+    assert len({r.fingerprint for r in rows}) == 1 and all(r.near_next == 1.0 for r in rows)
 
 
 def test_groups(spark):
-    rows = digests.exact_groups(frame(spark, TEXTS, [(7, "Hello  World")])).collect()
+    rows = digests.exact_groups(frame(spark, TEXTS, [(7, "Hello  World")]), Scratch(spark)).collect()
     smallest, size = {}, {}
     every = [*TEXTS.items(), (7, "Hello  World")]
     for d, t in every:

@@ -9,7 +9,7 @@ from tessera.llm.shared import Scratch
 
 
 def brute(rows, k, every):
-    vecs = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    vecs = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     queries = {}
     for i, v in vecs:
         if i % every == 0:
@@ -56,7 +56,35 @@ def test_cells_bound(spark):
     grid = topk.grid(df)
     least, width = grid[7]
     assert least.tolist() == x.min(axis=0).tolist() and (width <= 2000 // 256 + 1).all()
-    for r in topk.approximation_file(df, grid, Scratch(spark)).collect():
+    for r in topk.approximation_file(df.withColumn("row", df.id + 1000), grid, Scratch(spark)).collect():
         cells = np.frombuffer(bytes(r.cells), np.uint8)
         low, high = topk.ends_of(cells, least, width)
-        assert r.v == x[r.id].tolist() and (low <= r.v).all() and (r.v <= high).all()
+        assert r.row == r.id + 1000 and (low <= x[r.id]).all() and (x[r.id] <= high).all()
+
+
+def test_one_broadcast_lives_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES_AT_ONCE", 2)
+    live, most, real = [], [], topk._scan
+
+    def scan(file, grid, shared, k):
+        live.append(shared)
+        destroy = shared.destroy
+        monkeypatch.setattr(shared, "destroy", lambda: (live.remove(shared), destroy()))
+        most.append((len(live), sum(len(ids) for ids, _ in shared.value)))
+        return real(file, grid, shared, k)
+
+    monkeypatch.setattr(topk, "_scan", scan)
+    v = topk.integer_vectors(spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(20)], "vec_id long, embedding array<float>"))
+    assert topk.search(v, v.where("id % 2 = 0"), 3, Scratch(spark)).count() == 30
+    assert len(most) >= 5 and not live and all(n == 1 and size <= 2 for n, size in most)
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**19, 2.0**22])
+def test_wide_values(spark, monkeypatch, scale):
+    """Few exact vectors at a time, many candidates, and sums beyond 53 bits."""
+    monkeypatch.setattr(topk, "READ_AT_ONCE", 1)
+    r = random.Random(7)
+    rows = [(i, [scale * (1 + r.randrange(-9, 9) * 2.0**-8) for _ in range(3)]) for i in range(200)]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))
+    got = topk.search(v, v.where("id % 50 = 0"), 5, Scratch(spark))
+    assert sorted(tuple(x) for x in got.collect()) == brute(rows, 5, 50)
