@@ -140,25 +140,34 @@ def brute(rows):
             else:
                 runs.append((level, [body]))
         own = [re.sub(r"^\s+|\s+$", "", "\n".join(b)) for lv, b in runs if lv == 0]
-        parsed.append((c, t, role, "\n".join(x for x in own if x), [(lv, fold("\n".join(b))) for lv, b in runs if lv and fold("\n".join(b))]))
-    units = {}
-    for c, t, _, body, _ in parsed:
-        if c is not None and t is not None:
-            for u in {fold(x) for x in [body, *re.split(r"\n\s*\n", body), *body.split("\n")]} - {""}:
-                units.setdefault(u, []).append((c, t))
-    out, links = [], {}
-    for c, t, role, body, quoted in parsed:
+        quoted = [(lv, fold("\n".join(b)), [fold(x) for x in b if fold(x)]) for lv, b in runs if lv and fold("\n".join(b))]
+        said = [["\n".join(b), [fold(x) for x in b if fold(x)]] for lv, b in runs if lv == 0]
+        parsed.append((c, t, role, "\n".join(x for x in own if x), quoted, said))
+
+    def has(message, text, lines):
+        """Whether a message says this: as a whole, passage or paragraph, or as lines in a row."""
+        texts = [message[3], *(x for x, _ in message[5])]
+        if text in {fold(x) for t in texts for x in [t, *re.split(r"\n\s*\n", t)]}:
+            return True
+        return any(own[i : i + len(lines)] == lines for _, own in message[5] for i in range(len(own)))
+
+    numbered = [m for m in parsed if m[0] is not None and m[1] is not None]
+    out, links, ups = [], {}, {}
+    for c, t, role, body, quoted, _ in parsed:
         best, linked = None, 0
-        for at, (lv, q) in enumerate(quoted if c is not None and t is not None else []):
-            near = [x for x in units.get(q, []) if x[0] == c and x[1] < t]
-            far = [x for x in units.get(q, []) if x < (c, t)]
+        for at, (lv, text, lines) in enumerate(quoted if c is not None and t is not None else []):
+            where = [(m[0], m[1]) for m in numbered if has(m, text, lines)]
+            near = [x for x in where if x[0] == c and x[1] < t]
+            far = [x for x in where if x < (c, t)]
             o = min(near) if near else min(far) if far else None
             if o:
                 linked += 1
                 best = min(best or (lv, at, o), (lv, at, o))
+                if o[0] != c:
+                    links.setdefault(c, set()).add(o[0])
+                    links.setdefault(o[0], set()).add(c)
         if best and best[2][0] != c:
-            links.setdefault(c, set()).add(best[2][0])
-            links.setdefault(best[2][0], set()).add(c)
+            ups[c] = min(ups.get(c, (t, best[2])), (t, best[2]))
         n = len(quoted) if c is not None and t is not None else 0
         out.append((c, t, role, body, best and best[2][0], best and best[2][1], n, linked))
     thread = {}
@@ -170,7 +179,15 @@ def brute(rows):
                 seen.add(x)
                 todo += links.get(x, ())
         thread[c] = min(seen)
-    return [(*o, thread.get(o[0])) for o in out]
+
+    def walk(c):  # a conversation's messages, each followed by the conversations that reply to it
+        for t in sorted({r[1] for r in rows if r[0] == c}, key=lambda t: (t is None, t)):
+            yield c, t
+            for d in sorted(d for d, (_, up) in ups.items() if up == (c, t)):
+                yield from walk(d)
+
+    order = {x: [m for c in sorted(thread) if thread[c] == x and c not in ups for m in walk(c)] for x in set(thread.values())}
+    return [(*o, thread.get(o[0])) for o in out], order
 
 
 def test_op4(spark):
@@ -186,7 +203,7 @@ def test_op4(spark):
     rows += [(None, 1, "user", "> alpha"), (3, None, "user", "alpha"), (4, 9, None, None), rows[0], (5, 3, "user", rows[1][3]), (90, 0, "user", "one\ntwo\n\nthree"), (91, 0, "user", "> ONE\n>  two\nnew"), (91, 1, "user", "> three\n>> gone\nok"), (91, 2, "user", "> New")]
     df = spark.createDataFrame([(*x, "b") for x in rows], "conv_id long, turn long, role string, text string, body string").repartition(3)
     got = quotes.link(df, Scratch(spark)).collect()
-    want = brute(rows)
+    want, order = brute(rows)
     key = lambda x: tuple((v is not None, v if v is not None else 0) if not isinstance(v, str) else v for v in x)
     have = sorted(((g.conv, g.turn, g.role or "", g.body, g.reply_conv, g.reply_turn, g.n_quotes, g.n_linked, g.thread_id) for g in got), key=key)
     assert have == sorted(((c, t, role or "", *rest) for c, t, role, *rest in want), key=key)
@@ -198,6 +215,21 @@ def test_op4(spark):
     for some in threads.values():
         some.sort(key=lambda g: g.position)
         assert [g.position for g in some] == list(range(len(some)))
-        order = [(g.conv, -1 if g.turn is None else g.turn) for g in some]
-        assert order == sorted(order)
+        assert list(dict.fromkeys((g.conv, g.turn) for g in some)) == order[some[0].thread_id]
     assert quotes.link(df.limit(0), Scratch(spark)).count() == 0
+
+
+def test_threads_and_partial_quotes(spark):
+    long = "\n".join(f"line {i}" for i in range(11))
+    rows = [
+        (1, 0, "u", "first one"), (1, 1, "u", "second one"), (2, 0, "u", "other talk\n\nof three\n\nparagraphs"),
+        (4, 0, "u", "> second one\nI see\n> other talk\n>\n> of  three\nok"),  # quotes two conversations
+        (5, 0, "u", ">> nothing known\nx"), (6, 0, "u", long), (7, 0, "u", "\n".join(f"> LINE {i}" for i in range(2, 9)) + "\nsure"),
+        (8, 0, "u", "> sure\nfollow up"), (9, 0, "u", "> line 3\n> line 5\nno"), (3, 0, "u", "> first one\nearly reply"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r.conv, r.turn): r for r in quotes.link(df, Scratch(spark)).collect()}
+    assert {got[k].thread_id for k in ((1, 0), (2, 0), (3, 0), (4, 0))} == {1} and got[4, 0].n_linked == 2
+    assert [k for k, r in sorted(got.items(), key=lambda x: x[1].position) if r.thread_id == 1] == [(1, 0), (3, 0), (1, 1), (4, 0), (2, 0)]
+    assert [k for k, r in sorted(got.items(), key=lambda x: x[1].position) if r.thread_id == 6] == [(6, 0), (7, 0), (8, 0)]
+    assert got[5, 0].n_linked == 0 and got[9, 0].n_linked == 0 and got[9, 0].thread_id == 9
