@@ -315,10 +315,13 @@ def _meetings(rooted: DataFrame, bands: list[tuple[int, Column]], scratch: Scrat
     """
     rows = rooted.select("id", "root", _values(bands)).select("id", "root", "x.*")
     values = rows.groupBy("band", "value").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("a"), F.max("id").alias("b"))
-    visits = values.select("band", F.explode(_around_bits(F.col("value"), BAND_BITS)).alias("cell"), "c", "low", "high", "a", "b").repartition("band", "cell")
+    visits = values.withColumn("cell", F.explode(_around_bits(F.col("value"), BAND_BITS))).repartition("band", "cell")
     cells = visits.groupBy("band", "cell").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("a").alias("a"), F.max("b").alias("b"))
     cells = scratch.cut(cells.where("c > 1 and low < high").select("band", "cell", "c", "a", "b"), "cells")
-    crowded = cells.where("c > 2").select("band", F.explode(_around_bits(F.col("cell"), BAND_BITS)).alias("value")).distinct()
+    # The values come again to their cells, rather than each crowded cell to all values around it,
+    # so that the cost is one of documents.
+    crowded = cells.where("c > 2").select("band", "cell").hint("shuffle_hash")
+    crowded = visits.select("band", "cell", "value").join(crowded, ["band", "cell"], "left_semi").select("band", "value").distinct()
     ids = scratch.cut(rows.join(crowded, ["band", "value"], "left_semi").select("id").distinct(), "crowd")
     return cells.where("c = 2").select("a", "b").distinct(), ids
 

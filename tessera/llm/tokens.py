@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from tessera.llm.shared import give_back
 
 #: Parts in each of the two generations of the memo, and the longest part kept there.
-MEMO, MEMO_CHARS = 400_000, 40
+MEMO, MEMO_CHARS = 250_000, 40
 #: Characters of text taken together.
-RUN_CHARS = 3 << 20
+RUN_CHARS = 2 << 20
 
 
 class LibraryEncoder:
