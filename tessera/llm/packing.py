@@ -18,21 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Scratch, part_offsets
-from tessera.llm.tokens import piece_encoder, text_runs
+from tessera.llm.tokens import MEMO, RUN_CHARS, piece_encoder, text_runs
 
 
-def tokenize(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO, run_chars: int = RUN_CHARS) -> DataFrame:
     """(part, local_start, doc_id, n, ids binary of little-endian 32-bit ids), as written.
 
+    ``memo`` and ``run_chars`` trade a worker's memory for time and change no result.
     A null text counts as empty and has the end id only; rows with null or repeated ids stay.
     """
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder, part, start = piece_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, start = piece_encoder(vocabulary, memo), TaskContext.get().partitionId(), 0
         for b in batches:
             texts = b.column(1).to_pylist()
-            for at, end in text_runs(texts):
+            for at, end in text_runs(texts, run_chars):
                 flat, ends = encoder.encode([t or "" for t in texts[at:end]], end_id)
                 n = np.diff(ends, prepend=0)
                 before = start + ends - n
@@ -47,11 +48,11 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, id
     return scratch.cut(named.mapInArrow(run, f"part int, local_start long, doc_id {key}, n long, ids binary"), "ids")
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, window: int = 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, window: int = 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO, run_chars: int = RUN_CHARS) -> DataFrame:
     """One row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset[, ids]).  Every id of every document lies in exactly one piece; offsets inside a
     sequence leave no gap.  An empty table gives no rows."""
-    tokens = tokenize(docs, vocabulary, end_id, scratch, id_col, text_col)
+    tokens = tokenize(docs, vocabulary, end_id, scratch, id_col, text_col, memo, run_chars)
     base = part_offsets(tokens, "part", "n")
     key = tokens.schema["doc_id"].dataType.simpleString()
 

@@ -18,7 +18,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Rows of one Arrow batch: texts are long, and Spark's default of 10,000 rows would make a
 #: worker hold tens of MB of them twice.
-ARROW_ROWS = "1000"
+ARROW_ROWS = "2000"
 
 
 def ship(spark: SparkSession) -> None:

@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from tessera.llm.shared import give_back
 
 #: Parts in each of the two generations of the memo, and the longest part kept there.
-MEMO, MEMO_CHARS = 250_000, 40
+MEMO, MEMO_CHARS = 400_000, 40
 #: Characters of text taken together.
-RUN_CHARS = 2 << 20
+RUN_CHARS = 6 << 20
 
 
 class LibraryEncoder:
@@ -34,13 +34,13 @@ class LibraryEncoder:
     else a part keeps the white space before it.  ``unsafe`` finds the texts that no such rule
     fits, which go to the library whole."""
 
-    def __init__(self, path: str, drops: bool, unsafe: str):
+    def __init__(self, path: str, drops: bool, unsafe: str, memo: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.drops, self.unsafe = drops, unsafe
+        self.drops, self.unsafe, self.memo = drops, unsafe, memo
         # Letters whose class, case and composition are the same in every Unicode version.
         self._plain = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ȯ]+" if drops else " ?[A-Za-zÀ-ÖØ-öø-ȯ]+")
         # Byte-level models name bytes by letters: those that are none move up from 256 on.
@@ -72,7 +72,7 @@ class LibraryEncoder:
             part = parts[i]
             if len(part) <= MEMO_CHARS:
                 young[part] = out[i]
-        if len(young) > MEMO:
+        if len(young) > self.memo:
             self.old, self.young = young, {}
         return out
 
@@ -139,19 +139,19 @@ def word_encoder(path: str) -> LibraryEncoder:
 
 
 @lru_cache(4)
-def piece_encoder(path: str) -> LibraryEncoder:
+def piece_encoder(path: str, memo: int = MEMO) -> LibraryEncoder:
     """For a byte-level vocabulary whose words take one space before them.  Where three white
     space characters meet, which of them belong together depends on what follows; the null
     character marks the cuts."""
-    return LibraryEncoder(path, False, r"[\s\pZ\x{85}\x0b\x1c-\x1f]{3}|\x00")
+    return LibraryEncoder(path, False, r"[\s\pZ\x{85}\x0b\x1c-\x1f]{3}|\x00", memo)
 
 
-def text_runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Slices of a list that hold about RUN_CHARS characters each, one text at least."""
+def text_runs(texts: list[str | None], chars: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
+    """Slices of a list that hold about so many characters each, one text at least."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") <= RUN_CHARS):
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= chars):
             size += len(texts[end] or "")
             end += 1
         yield at, end
