@@ -21,6 +21,9 @@ BLOCK_WORDS = 50
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Id that ends each document in the packed sequences, and their length.
 END_ID, WINDOW = 1, 2048
+#: Parts in the tokenizer's memo and characters encoded together: small, since the workers of the
+#: stages before still hold memory.
+MEMO, RUN_CHARS = 250_000, 2 << 20
 
 #: No SQL: it has neither the trigram model nor SimHash nor the tokenizer.
 ORACLE_SQL = None
@@ -54,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences of WINDOW ids, with their ids."""
     ship(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, Scratch(spark), WINDOW, with_ids=True)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, Scratch(spark), WINDOW, with_ids=True, memo=MEMO, run_chars=RUN_CHARS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
