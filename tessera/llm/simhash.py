@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
 
     able = classes.where(F.col("n") + 1e-9 >= (F.col("n") + 1) * similarity)
     links, rooted = None, able.withColumn("root", F.col("id"))
-    for step, some in enumerate((plan[:MATES], plan[MATES:])):
+    for step, some in enumerate((plan[:MATES], plan[MATES:], plan)):
         found = verifier.links(_mates(rooted, some, step))
         links = found if links is None else links.unionAll(found)
         roots = connected(links, scratch).withColumnRenamed("node", "id")
