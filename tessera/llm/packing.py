@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Scratch, part_offsets
-from tessera.llm.tokens import MEMO, RUN_CHARS, piece_encoder, text_runs
+from tessera.llm.tokens import MEMO, RUN_CHARS, forget, piece_encoder, text_runs
+
+#: Documents cut together.
+ROWS_CUT = 250
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO, run_chars: int = RUN_CHARS) -> DataFrame:
@@ -57,8 +60,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, window
     key = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            doc, out, data = [], [[] for _ in range(6)], []
+        forget()
+        for b in (x.slice(at, ROWS_CUT) for x in batches for at in range(0, x.num_rows, ROWS_CUT)):
+            doc, out = [], [[] for _ in range(6)]
             for row, (part, local, n, raw) in enumerate(zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)))):
                 first, at = base[part] + local, 0
                 while at < n:
@@ -68,13 +72,13 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, window
                     for c, v in zip(out, (at, size, zlib.crc32(piece), n, place // window, place % window)):
                         c.append(v)
                     doc.append(row)
-                    if with_ids:
-                        data.append(np.frombuffer(piece, "<u4").astype(np.int32))
                     at += size
             columns = [b.column(2).take(pa.array(doc, pa.int32())), *(pa.array(c, pa.int64()) for c in out)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                columns.append(pa.array(data, pa.list_(pa.int32())))
+                # The pieces of a document, and documents, follow each other without a gap.
+                ids = np.frombuffer(b"".join(b.column(4).to_pylist()), "<i4")
+                columns.append(pa.ListArray.from_arrays(np.cumsum([0, *out[1]]).astype(np.int32), pa.array(ids, pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

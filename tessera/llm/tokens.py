@@ -146,6 +146,13 @@ def piece_encoder(path: str, memo: int = MEMO) -> LibraryEncoder:
     return LibraryEncoder(path, False, r"[\s\pZ\x{85}\x0b\x1c-\x1f]{3}|\x00", memo)
 
 
+def forget() -> None:
+    """Free a worker's vocabularies and memos once a stage needs them no more."""
+    word_encoder.cache_clear()
+    piece_encoder.cache_clear()
+    give_back()
+
+
 def text_runs(texts: list[str | None], chars: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
     """Slices of a list that hold about so many characters each, one text at least."""
     at = 0
