@@ -577,8 +577,8 @@ def soft_assignment(spark, sf_dir):
 
 @register()
 def pca_kmeans(spark, sf_dir):
-    d = _vectors(spark, sf_dir).select("id", *(F.col("v")[k].alias(f"x{k}") for k in range(16)))
-    return clustering.pca_kmeans(d, [f"x{k}" for k in range(16)], 5, 10, inits=2)[0].select("id", "cluster")
+    d = _vectors(spark, sf_dir).select("id", *(F.col("v")[k].alias(f"x{k}") for k in range(64)))
+    return clustering.pca_kmeans(d, [f"x{k}" for k in range(64)], 5, 10, inits=10)[0].select("id", "cluster")
 
 
 @register()
