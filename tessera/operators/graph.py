@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,12 +109,11 @@ def information_coefficients(pairs: DataFrame, by: str = "t", x: str = "x", y: s
     return pairs.groupBy(by).agg(F.when(flat, 0.0).otherwise(F.coalesce(guarded_corr(x, y), F.lit(0.0))).alias("ic"), F.count("*").alias("n"))
 
 
-def student_p(t: float, df: int) -> float:
-    """Two-sided p-value by the incomplete beta function's continued fraction."""
-    x, a, b = df / (df + t * t), df / 2.0, 0.5
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if x > 0 else 0.0
+def _beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0.0 or x >= 1.0:
+        return 0.0 if x <= 0.0 else 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
 
     def fraction(x: float, a: float, b: float) -> float:
         tiny, c, d = 1e-300, 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0) or 1e-300)
@@ -132,6 +132,29 @@ def student_p(t: float, df: int) -> float:
     return 1.0 - front * fraction(1.0 - x, b, a) / b
 
 
+def student_p(t: float, df: int) -> float:
+    """Two-sided p-value of a t statistic."""
+    return _beta_share(df / (df + t * t), df / 2.0, 0.5)
+
+
+def f_p(f: float, df1: int, df2: int) -> float:
+    """Upper p-value of an F statistic."""
+    return _beta_share(df2 / (df2 + df1 * f), df2 / 2.0, df1 / 2.0) if f > 0 else 1.0
+
+
+#: MacKinnon's approximation (1994) for one series with a constant: below the first
+#: bound p is 0, above the last 1; polynomials of the statistic up to the middle bound and beyond.
+ADF_BOUNDS, ADF_LOW, ADF_HIGH = (-18.83, -1.61, 2.74), (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def dickey_fuller_p(t: float) -> float:
+    """Approximate p-value of a unit-root statistic, the normal share of a polynomial in it."""
+    if not ADF_BOUNDS[0] <= t <= ADF_BOUNDS[2]:
+        return math.nan if math.isnan(t) else float(t > 0)
+    z = sum(c * t**k for k, c in enumerate(ADF_LOW if t <= ADF_BOUNDS[1] else ADF_HIGH))
+    return 0.5 * math.erfc(-z / math.sqrt(2.0))
+
+
 def ic_summary(ics: DataFrame) -> DataFrame:
     """Mean, population deviation, ratio, share above zero, one-sample t."""
     n = F.count("ic").cast("double")
@@ -228,16 +251,24 @@ def granger(series: DataFrame, pairs: DataFrame, lags: int = 1) -> DataFrame:
             free = n - full.shape[1]
             if rss[1] > 0:
                 stat = (rss[0] - rss[1]) / lags / (rss[1] / free)
-                p = student_p(math.sqrt(max(stat, 0.0)), free) if lags == 1 else float("nan")
+                p = f_p(stat, lags, free)
         return pd.DataFrame({"i": [key[0]], "j": [key[1]], "f_stat": [stat], "p": [p]})
 
     kind = series.schema["i"].dataType.simpleString()
     return a.groupBy("i", "j").applyInPandas(test, f"i {kind}, j {kind}, f_stat double, p double")
 
 
+def granger_graph(series: DataFrame, pairs: DataFrame, longest: int = 5, alpha: float = 0.05) -> DataFrame:
+    """Directed edges (i, j, w) where the past of i helps to predict j at some lag up to
+    ``longest``: the least p of the lags is below ``alpha``, and the weight is 1 - p."""
+    tests = reduce(DataFrame.unionAll, (granger(series, pairs, k).select("i", "j", "p") for k in range(1, longest + 1)))
+    least = tests.where("not isnan(p)").groupBy("i", "j").agg(F.min("p").alias("p"))
+    return least.where(F.col("p") < alpha).select("i", "j", (1 - F.col("p")).alias("w"))
+
+
 def dickey_fuller(series: DataFrame, by: str = "i", lags: int = 1) -> DataFrame:
-    """(i, adf): t statistic of the lagged level with intercept and lagged differences; below
-    about -2.86 the unit root is rejected at 5 %."""
+    """(i, adf, p): t statistic of the lagged level with intercept and lagged differences; below
+    about -2.86 the unit root is rejected at 5 %.  p by ``dickey_fuller_p``."""
 
     def test(key, pdf):
         import numpy as np
@@ -252,6 +283,6 @@ def dickey_fuller(series: DataFrame, by: str = "i", lags: int = 1) -> DataFrame:
             rest = d[lags:] - m @ beta
             cov = np.linalg.pinv(m.T @ m) * (rest @ rest) / (n - m.shape[1])
             out = float(beta[1] / math.sqrt(cov[1, 1])) if cov[1, 1] > 0 else float("nan")
-        return pd.DataFrame({by: [key[0]], "adf": [out]})
+        return pd.DataFrame({by: [key[0]], "adf": [out], "p": [dickey_fuller_p(out)]})
 
-    return series.select("t", by, "f").groupBy(by).applyInPandas(test, f"{by} {series.schema[by].dataType.simpleString()}, adf double")
+    return series.select("t", by, "f").groupBy(by).applyInPandas(test, f"{by} {series.schema[by].dataType.simpleString()}, adf double, p double")

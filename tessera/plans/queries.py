@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.functions import dates
 from tessera.functions.exprs import Layers, Panel, rounded
-from tessera.operators import clustering, cross_section, daily_factors, extended_factors, firm_factors, graph, joins, portfolio
+from tessera.operators import clustering, cross_section, daily_factors, dynamics, extended_factors, firm_factors, graph, joins, portfolio
 from tessera.plans import walkforward
 from tessera.plans.panels import DAY, MONTH, NATION, QUARTER, YEAR, Query, plain, run
 
@@ -527,7 +527,15 @@ def granger_pairs(spark, sf_dir):
 
 @register()
 def unit_root(spark, sf_dir):
-    return graph.dickey_fuller(NATION.frame(spark, sf_dir)).select("i", r6("adf", 4))
+    return graph.dickey_fuller(NATION.frame(spark, sf_dir)).select("i", r6("adf", 4), r6("p", 4))
+
+
+@register()
+def granger_graph(spark, sf_dir):
+    s = NATION.frame(spark, sf_dir)
+    n = s.select("i").distinct()
+    pairs = n.join(n.select(F.col("i").alias("j")), F.col("i") != F.col("j"))
+    return graph.granger_graph(s, pairs, 5, 0.05).select("i", "j", r6("w", 6))
 
 
 @register()
@@ -632,3 +640,137 @@ def factor_cross_section(spark, sf_dir):
     top = cross_section.top_n(d, "permno", F.col("prc") * F.col("vol"), 100)
     z = cross_section.winsor_zscore(cross_section.in_universe(d, top, "permno").drop("prc", "vol"), ["max_ret_1m", "clv_mean_1m"], ["date"])
     return z.select("permno", "date", r6("max_ret_1m", 4), r6("clv_mean_1m", 4))
+
+
+# Position rules, revisions, availability.
+_POS = DAY.source(RESIDUAL + portfolio.threshold_signal(2.0))
+
+
+@register(f"""WITH s AS (SELECT permno, date, pos, sum(abs(pos)) OVER d AS g, count(CASE WHEN abs(pos) > 1e-8 THEN 1 END) OVER d AS n FROM {_POS} WINDOW d AS (PARTITION BY date))
+    SELECT permno, date, round(pos / (g + 1e-8), 6) + 0.0e0 AS gross, round(CAST(pos AS DOUBLE) / greatest(n, 1), 6) + 0.0e0 AS level, round(pos * 0.1e0, 6) + 0.0e0 AS independent FROM s""")
+def weight_rules(spark, sf_dir):
+    d = (RESIDUAL + portfolio.threshold_signal(2.0)).apply(DAY.frame(spark, sf_dir)).select("permno", "date", "pos")
+    for rule, name in (("gross", "gross"), ("equal", "level"), ("independent", "independent")):
+        d = portfolio.weight_rule(d, rule).withColumnRenamed("weight", name)
+    return d.select("permno", "date", r6("gross"), r6("level"), r6("independent"))
+
+
+@register(f"""SELECT permno, date, round(-tanh(2 * z_score) / (1 + exp(-2 * (abs(z_score) - 0.5e0))) * (1 - 1 / (1 + exp(-2 * (abs(z_score) - 3)))) * CASE WHEN permno % 4 = 0 THEN 0 ELSE 1 END, 4) + 0.0e0 AS position
+    FROM {DAY.source(RESIDUAL)}""")
+def band_pass_positions(spark, sf_dir):
+    d = RESIDUAL.apply(DAY.frame(spark, sf_dir))
+    gate = F.when(F.col("permno") % 4 == 0, 0).otherwise(1)
+    return d.withColumn("position", portfolio.band_pass_position(F.col("z_score"), gate, 0.5, 3.0, 2.0)).select("permno", "date", r6("position", 4))
+
+
+@register(f"""WITH n AS ({_N}), e AS {_BOTH}, p AS (SELECT n.t, e.i, sum(w) AS d, sum(w * n.f) AS q FROM e JOIN n ON n.i = e.j GROUP BY n.t, e.i),
+    x AS (SELECT n.t, n.i, -2 * (coalesce(d, 0) * f - coalesce(q, 0)) AS force, 2 * coalesce(d, 0) AS stiff, f - lag(f) OVER (PARTITION BY n.i ORDER BY n.t) AS v FROM n LEFT JOIN p ON p.t = n.t AND p.i = n.i)
+    SELECT t, i, round(CASE WHEN -force * v < 0 THEN 0 ELSE -force * sqrt(stiff) END, 4) + 0.0e0 AS pos FROM x""")
+def force_positions(spark, sf_dir):
+    d = graph.force(graph.both_ways(_edges(spark, sf_dir)), NATION.frame(spark, sf_dir))
+    speed = F.col("f") - F.lag("f").over(Window.partitionBy("i").orderBy("t"))
+    return d.withColumn("pos", portfolio.force_controller(F.col("force"), F.col("stiffness"), speed)).select("t", "i", r6("pos", 4))
+
+
+@register(f"""SELECT permno, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month,
+    round((count(CASE WHEN vol = 0 THEN 1 END) + 1 / sum(vol / shrout) / 480000) * 21 / count(*), 6) + 0.0e0 AS zerotrade FROM {DAY.source()} GROUP BY 1, 2, 3""")
+def zero_trading(spark, sf_dir):
+    d = extended_factors.zero_trade().apply(extended_factors.monthly_from_daily(DAY.frame(spark, sf_dir)))
+    return d.select("permno", "year", "month", r6("zerotrade"))
+
+
+#: Analyst months: deterministic forecasts around a monthly panel, some missing.
+_ANALYST = {
+    "meanest": "CASE WHEN permno % 7 = 1 THEN NULL ELSE prc / 40.0e0 + permno % 5 END",
+    "stdev": "vol / 90.0e0",
+    "meanrec": "1.0e0 + (permno + month(date)) % 5",
+    "numest": "CAST((permno * 3 + month(date)) % 11 AS INT)",
+    "credrat": "CAST((permno + month(date) * 5) % 23 AS INT)",
+    "announced": "date + CAST((permno % 3) * 20 AS INT)",
+}
+_ANALYST_SQL = f"(SELECT permno, date, prc, {', '.join(f'{e} AS {n}' for n, e in _ANALYST.items())} FROM {MONTH.source()})"
+
+
+def _analyst(spark, sf_dir):
+    return MONTH.frame(spark, sf_dir).withColumns({n: F.expr(e) for n, e in _ANALYST.items()})
+
+
+@register(f"""SELECT permno, date, round(meanest - lag(meanest) OVER w, 4) + 0.0e0 AS chfeps, meanrec - lag(meanrec) OVER w AS chrec, numest - lag(numest, 3) OVER w AS chnanalyst,
+    round(stdev / nullif(abs(meanest), 0), 6) + 0.0e0 AS disp, round(meanest / nullif(abs(prc), 0), 6) + 0.0e0 AS sfe, CASE WHEN credrat > lag(credrat) OVER w THEN 1 ELSE 0 END AS credrat_dwn,
+    CASE WHEN date_trunc('month', date) = date_trunc('month', announced) THEN 1 ELSE 0 END AS eamonth FROM {_ANALYST_SQL} WINDOW w AS (PARTITION BY permno ORDER BY date)""")
+def analyst_revisions(spark, sf_dir):
+    d = (extended_factors.analyst_changes(*KEY) + extended_factors.downgrade(*KEY)).apply(_analyst(spark, sf_dir))
+    d = d.withColumn("eamonth", extended_factors.announcement_month(F.col("date"), F.col("announced")))
+    return d.select("permno", "date", r6("chfeps", 4), "chrec", "chnanalyst", r6("disp"), r6("sfe"), "credrat_dwn", "eamonth")
+
+
+@register(f"""WITH f AS (SELECT permno, date, ret, vol FROM {MONTH.source()}), q AS (SELECT date, min(ret) AS a, quantile_cont(ret, 0.99) AS b FROM f GROUP BY date)
+    SELECT permno, date, round(CASE WHEN ret IS NOT NULL THEN least(greatest(ret, a), b) END, 6) + 0.0e0 AS ret, round(vol - avg(vol) OVER (PARTITION BY date), 4) + 0.0e0 AS vol FROM f JOIN q USING (date)""")
+def high_cut_and_demean(spark, sf_dir):
+    d = cross_section.winsorize(MONTH.frame(spark, sf_dir).select("permno", "date", "ret", "vol"), ["ret"], ["date"], low=None)
+    return cross_section.demean(d, ["vol"], ["date"]).select("permno", "date", r6("ret"), r6("vol", 4))
+
+
+@register(f"""WITH a AS (SELECT * FROM {_CORR} WHERE w > 0.2), b AS {_CORR}
+    SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, round(0.3e0 * coalesce(a.w, 0) + 0.7e0 * coalesce(b.w, 0), 6) AS w FROM a FULL JOIN b ON a.i = b.i AND a.j = b.j""")
+def fused_graph(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    return graph.fuse_prior(e.where("w > 0.2"), e, 0.3).select("i", "j", r6("w"))
+
+
+@register("SELECT a.n_nationkey AS i, b.n_nationkey AS j, 1.0e0 AS w FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE a.n_regionkey >= 0")
+def cluster_adjacency(spark, sf_dir):
+    return clustering.adjacency(read(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey")
+
+
+@register(f"""WITH p AS (SELECT date, daily_ret, turnover, turnover / 2 AS leverage FROM ({_pnl_sql(10.0)}))
+    SELECT round(-avg(daily_ret) * sqrt(252) / (stddev_pop(daily_ret) + 1e-8) + 0.1e0 * avg(turnover) + 0.2e0 * avg(leverage), 6) AS loss FROM p""")
+def trading_loss(spark, sf_dir):
+    return dynamics.sharpe_loss(_pnl(spark, sf_dir).withColumn("leverage", F.col("turnover") / 2), 0.1, 0.2).select(r6("loss"))
+
+
+@register(f"""WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-8 AS s FROM e),
+    u AS (SELECT id, label, v, list_transform(v, lambda x: x / s) AS u FROM n), s AS (SELECT id, label, v, [{_SIMS}] AS sim FROM u),
+    x AS (SELECT label, v, list_transform(sim, lambda y: exp((y - list_max(sim)) / 0.1e0)) AS ex, 1 / (1 + exp(-20 * (list_max(sim) - 0.1e0))) AS gate FROM s),
+    k AS (SELECT label, v, k, gate * ex[k] / list_sum(ex) AS w FROM x CROSS JOIN (SELECT unnest(range(1, 5)) AS k)),
+    l AS (SELECT label, k, d, w, v[d] AS x FROM k CROSS JOIN (SELECT unnest(range(1, 65)) AS d))
+    SELECT label, CAST(k - 1 AS INT) AS cluster, CAST(d - 1 AS INT) AS d, round(sum(w * x) / (sum(w) + 1e-8), 4) + 0.0e0 AS consensus FROM l GROUP BY 1, 2, 3""")
+def cluster_consensus(spark, sf_dir):
+    d = clustering.soft_assign(_vectors(spark, sf_dir), _CENTRES, 0.1, 0.1).drop("label").join(_vectors(spark, sf_dir).select("id", F.col("label").alias("by_")), "id")
+    d = clustering.cluster_consensus(d, ["by_"], "v", 4)
+    return d.select(F.col("by_").alias("label"), F.col("k").alias("cluster"), F.posexplode("consensus").alias("d", "consensus")).select("label", "cluster", "d", r6("consensus", 4))
+
+
+@register(f"""WITH v AS (SELECT permno, date, list(prc) OVER w AS v, count(*) OVER w AS n FROM {DAY.source()} WINDOW w AS (PARTITION BY permno ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+    m AS (SELECT permno, date, v, list_sum(v) / 5 AS m FROM v WHERE n = 5), s AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: (x - m) * (x - m))) / 4) AS s FROM m),
+    k AS (SELECT unnest(range(1, 6)) AS k) SELECT permno, date, CAST(k - 1 AS INT) AS k, round((v[k] - m) / (s + 1e-8), 4) + 0.0e0 AS z FROM s CROSS JOIN k""")
+def window_vectors(spark, sf_dir):
+    d = DAY.frame(spark, sf_dir).withColumn("v", C.window_vectors("prc", "permno", "date", 5)).where("v IS NOT NULL")
+    return d.select("permno", "date", F.posexplode(C.zscore_vector(F.col("v"))).alias("k", "z")).select("permno", "date", "k", r6("z", 4))
+
+
+@register(f"""WITH b AS (SELECT min(date) AS a, max(date) AS z FROM {MONTH.source()}), c AS (SELECT a + CAST(floor((z - a) * 0.8) AS INT) AS cut FROM b)
+    SELECT CASE WHEN date < cut THEN 'train' ELSE 'test' END AS part, count(*) AS n, max(date) AS last FROM {MONTH.source()}, c GROUP BY 1""")
+def time_split(spark, sf_dir):
+    p = MONTH.frame(spark, sf_dir).select("date")
+    cut = dates.split_date(*p.agg(F.min("date"), F.max("date")).first(), 0.8)
+    return p.groupBy(F.when(F.col("date") < F.lit(cut), "train").otherwise("test").alias("part")).agg(F.count("*").alias("n"), F.max("date").alias("last"))
+
+
+@register(f"""WITH a AS (SELECT gvkey AS permno, CAST(coalesce(CASE WHEN gvkey % 3 = 0 THEN datadate + 60 END, datadate + 90) AS DATE) AS date, ib, ceq, sale FROM {YEAR.source()}),
+    q AS (SELECT gvkey AS permno, CAST(coalesce(CASE WHEN gvkey % 4 = 0 THEN datadate + 30 END, datadate + 45) AS DATE) AS date, ibq FROM {QUARTER.source()}),
+    m AS (SELECT permno, date, prc, prc * shrout AS mve FROM {MONTH.source()}),
+    x AS (SELECT m.*, CASE WHEN m.date - a.date <= 365 THEN a.ib END AS ib, CASE WHEN m.date - a.date <= 365 THEN a.ceq END AS ceq, CASE WHEN m.date - a.date <= 365 THEN a.sale END AS sale FROM m ASOF LEFT JOIN a ON m.permno = a.permno AND m.date >= a.date),
+    y AS (SELECT x.*, CASE WHEN x.date - q.date <= 180 THEN q.ibq END AS ibq FROM x ASOF LEFT JOIN q ON x.permno = q.permno AND x.date >= q.date),
+    z AS (SELECT *, lag(mve) OVER (PARTITION BY permno ORDER BY date) AS mve_m FROM y)
+    SELECT permno, date, round(ib / nullif(mve_m, 0), 8) + 0.0e0 AS ep_m, round(ceq / nullif(mve_m, 0), 8) + 0.0e0 AS bm_m, round(sale / nullif(mve_m, 0), 8) + 0.0e0 AS sp_m, round(ibq, 4) + 0.0e0 AS ibq FROM z""")
+def factor_merge(spark, sf_dir):
+    """Statements by availability onto months (365 and 180 days), then value ratios on last month's size."""
+    y = YEAR.frame(spark, sf_dir).withColumn("filed", F.when(F.col("gvkey") % 3 == 0, F.date_add("datadate", 60)))
+    a = y.select(F.col("gvkey").alias("permno"), dates.available_annual("datadate", "filed").alias("date"), "ib", "ceq", "sale")
+    q = QUARTER.frame(spark, sf_dir).withColumn("rdq", F.when(F.col("gvkey") % 4 == 0, F.date_add("datadate", 30)))
+    q = q.select(F.col("gvkey").alias("permno"), dates.available_quarterly("datadate", "rdq").alias("date"), "ibq")
+    m = Layers({"mve_m": f"lag(prc * shrout) OVER ({P.over})"}).apply(MONTH.frame(spark, sf_dir)).select("permno", "date", "mve_m")
+    d = joins.asof_join(m, a, ["permno"], "date", "date", 365).drop("date_r")
+    d = joins.asof_join(d, q, ["permno"], "date", "date", 180).drop("date_r")
+    return firm_factors.VALUE_RATIOS.apply(d).select("permno", "date", r6("ep_m", 8), r6("bm_m", 8), r6("sp_m", 8), r6("ibq", 4))

@@ -333,6 +333,13 @@ def test_granger_unit_root_and_modes(spark):
     assert got[0, 1].p < 1e-6 and got[1, 0].p > 0.001
     adf = {r.i: r.adf for r in graph.dickey_fuller(s).collect()}
     assert adf[2] > -2.86 and adf[0] < -2.86
+    two = graph.granger(s, pairs, 2).where("i = 0").first()
+    full2 = np.column_stack([np.ones(118), y[1:-1], y[:-2], x[1:-1], x[:-2]])
+    rss2 = [((y[2:] - m @ np.linalg.lstsq(m, y[2:], rcond=None)[0]) ** 2).sum() for m in (full2[:, :3], full2)]
+    assert two.f_stat == pytest.approx((rss2[0] - rss2[1]) / 2 / (rss2[1] / 113)) and 0 <= two.p < 1e-6
+    assert {(r.i, r.j) for r in graph.granger_graph(s, pairs, 3, 1e-4).collect()} == {(0, 1)}
+    p = {r.i: r.p for r in graph.dickey_fuller(s).collect()}
+    assert p[0] < 0.05 < p[2]
     values = np.linalg.eigvalsh(np.cov(f.T))[::-1]
     assert [v for _, v in graph.covariance_modes(s, 3)] == pytest.approx(list(values[:3] / values.sum()))
 
@@ -389,3 +396,64 @@ def test_intraday_against_pandas(spark):
     assert got.rogers_satchell_vol == pytest.approx(math.sqrt(rs.mean()))
     grown = (1 + ret).cumprod()
     assert got.intraday_max_drawdown == pytest.approx((grown / grown.cummax() - 1).min())
+
+
+def test_p_values():
+    # With two and two, or one and any, degrees of freedom the shares have closed forms.
+    for f in (0.1, 1.0, 3.7, 40.0):
+        assert graph.f_p(f, 2, 2) == pytest.approx(1 / (1 + f))
+        assert graph.f_p(f, 1, 17) == pytest.approx(graph.student_p(math.sqrt(f), 17))
+        assert graph.f_p(f, 2, 10) == pytest.approx((1 + f / 5) ** -5)
+    # Published critical values of the test with a constant.
+    for t, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)):
+        assert graph.dickey_fuller_p(t) == pytest.approx(p, abs=0.002)
+    assert graph.dickey_fuller_p(-30.0) == 0 and graph.dickey_fuller_p(5.0) == 1
+    assert math.isnan(graph.dickey_fuller_p(math.nan))
+
+
+def test_warehouse_pull(spark):
+    """Statements with their company over JDBC, a task for each month and key range."""
+    url = "jdbc:derby:memory:tessera;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(f"{g:06d}", D(2020, m, 15), float(g * m), "STD" if g % 2 else "OTH") for g in range(1, 8) for m in (1, 2, 3)]
+    spark.createDataFrame(rows, "GVKEY string, DATADATE date, SALE double, DATAFMT string").write.option("createTableColumnTypes", "GVKEY VARCHAR(6), DATAFMT VARCHAR(3)").jdbc(url, "FUNDA", "overwrite", driver)
+    spark.createDataFrame([(f"{g:06d}", str(2000 + g), "1111") for g in range(1, 6)], "GVKEY string, SIC string, NAICS string").write.option("createTableColumnTypes", "GVKEY VARCHAR(6), SIC VARCHAR(4), NAICS VARCHAR(6)").jdbc(url, "COMPANY", "overwrite", driver)
+    query = sources.statement_query("FUNDA", ["GVKEY", "DATADATE", "SALE"], "COMPANY", {"DATAFMT": "STD"})
+    whole = sources.pull(spark, url, query, None, driver)
+    want = {(r[0], r[1], r[2], str(2000 + int(r[0])) if int(r[0]) < 6 else None) for r in rows if r[3] == "STD"}
+    assert {(r.GVKEY, r.DATADATE, r.SALE, r.SIC) for r in whole.collect()} == want
+    # Derby takes a day as text rather than as a literal.
+    parts = [p.replace("DATE '", "'") for p in sources.pull_predicates("DATADATE", D(2020, 1, 10), D(2020, 2, 29), "GVKEY", sources.key_ranges(1, 7, 4, 6), True)]
+    pulled = sources.pull(spark, url, query, parts, driver)
+    assert pulled.rdd.getNumPartitions() == len(parts) == 4
+    assert {(r.GVKEY, r.DATADATE, r.SALE, r.SIC) for r in pulled.collect()} == {w for w in want if w[1] < D(2020, 3, 1)}
+
+
+def test_files(spark, tmp_path):
+    long = spark.createDataFrame([(day(0), "A", 1.0), (day(0), "B", 2.0), (day(1), "A", 3.0)], "date date, ticker string, close double")
+    sources.write_wide(long, f"{tmp_path}/wide/close", "close", ["A", "B"])
+    back = {(r.date, r.ticker): r.close for r in sources.read_wide(spark, f"{tmp_path}/wide/close", "close").collect()}
+    assert back == {(day(0), "A"): 1.0, (day(0), "B"): 2.0, (day(1), "A"): 3.0, (day(1), "B"): None}
+    long.write.parquet(f"{tmp_path}/wide/open")
+    assert sources.list_variables(spark, f"{tmp_path}/wide") == ["close", "open"]
+    assert sources.list_variables(spark, f"{tmp_path}/none") == []
+    assert sources.describe(long, "date").first() == (3, day(0), day(1))
+
+    for year in (2019, 2020):
+        pd.DataFrame({"x": [year]}).to_parquet(tmp_path / f"panel_{year}_v2.parquet")
+    (tmp_path / "years").mkdir()
+    for year in (2019, 2020):
+        (tmp_path / f"panel_{year}_v2.parquet").rename(tmp_path / "years" / f"panel_{year}_v2.parquet")
+    pd.DataFrame({"x": [0]}).to_parquet(tmp_path / "years" / "panel.parquet")
+    assert {(r.x, r.file_year) for r in sources.with_file_year(spark, f"{tmp_path}/years").collect()} == {(2019, 2019), (2020, 2020), (0, None)}
+
+    (tmp_path / "days.csv").write_text("date\n2024-01-03\nnone\n2024-01-02\n2024-01-03\n")
+    assert [r.date for r in sources.read_calendar(spark, f"{tmp_path}/days.csv").collect()] == [day(1), day(2)]
+    sources.write_results(long, f"{tmp_path}/out")
+    assert len(list((tmp_path / "out").glob("part-*.csv"))) == 1
+    assert spark.read.csv(f"{tmp_path}/out", header=True).count() == 3
+
+
+def test_feature_columns(spark):
+    d = spark.createDataFrame([(1, "a", 1.0, 2, 3.0)], "permno int, name string, x double, n int, x_y double")
+    assert C.feature_columns(d, {"permno"}) == ["x", "n"]
