@@ -89,3 +89,26 @@ def useful_features(df: DataFrame, features: list[str], most_missing: float = 0.
     parts = [e for f in features for e in (F.avg(F.col(f).isNull().cast("double")), F.stddev_samp(F.coalesce(F.col(f).cast("double"), F.lit(0.0))))]
     row = df.agg(*parts).first()
     return [f for i, f in enumerate(features) if row[2 * i] is not None and row[2 * i] < most_missing and (row[2 * i + 1] or 0.0) > least_sd]
+
+
+def tradable(df: DataFrame, price: str = "close", date: str = "date", entity: str = "ticker") -> DataFrame:
+    """(date, entity) of every entity with a positive price on that date."""
+    return df.where(F.col(price) > 0).select(date, entity).distinct()
+
+
+def _shuffled(entity: Column, seed: int) -> Column:
+    """An order by chance that a lost task finds again."""
+    return F.md5(F.concat_ws("-", entity.cast("string"), F.lit(seed).cast("string")))
+
+
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows by chance (all, if fewer), the same ones at every run; ``key`` is unique."""
+    return df.orderBy(_shuffled(F.col(key), seed), key).limit(n)
+
+
+def monthly_batches(df: DataFrame, size: int, key: str, time: str = "date", seed: int = 42) -> DataFrame:
+    """Rows of each month dealt by chance to batches of ``size``, the last one shorter: columns
+    month and batch (from 0).  ``key`` is unique inside a month."""
+    month = F.trunc(time, "MM")
+    w = Window.partitionBy("month").orderBy(_shuffled(F.col(key), seed), key)
+    return df.withColumn("month", month).withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))

@@ -216,11 +216,19 @@ def hurst(series: DataFrame, longest: int, by: str = "i") -> DataFrame:
     return long.groupBy(by).agg((2 * F.regr_slope(F.log("tau"), F.log("lag"))).alias("hurst"))
 
 
-def covariance_modes(series: DataFrame, k: int) -> list[tuple[int, float]]:
+def bounded_nodes(series: DataFrame, most: int) -> None:
+    """Raises where a matrix of one row a node would not fit the driver."""
+    n = series.select("i").distinct().limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} nodes; choose a universe first or raise the bound")
+
+
+def covariance_modes(series: DataFrame, k: int, most: int = 3000) -> list[tuple[int, float]]:
     """Share of variance of the k leading modes: pair covariances by aggregation, and the small
-    symmetric matrix of one row an asset decomposed on the driver."""
+    symmetric matrix of one row an asset, ``most`` at most, decomposed on the driver."""
     import numpy as np
 
+    bounded_nodes(series, most)
     a, b = series.select("t", "i", F.col("f").alias("x")), series.select("t", F.col("i").alias("j"), F.col("f").alias("y"))
     rows = a.join(b, "t").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("c")).collect()
     names = {n: p for p, n in enumerate(sorted({r.i for r in rows}))}

@@ -774,3 +774,58 @@ def factor_merge(spark, sf_dir):
     d = joins.asof_join(m, a, ["permno"], "date", "date", 365).drop("date_r")
     d = joins.asof_join(d, q, ["permno"], "date", "date", 180).drop("date_r")
     return firm_factors.VALUE_RATIOS.apply(d).select("permno", "date", r6("ep_m", 8), r6("bm_m", 8), r6("sp_m", 8), r6("ibq", 4))
+
+
+@register(f"SELECT date, permno FROM {DAY.source()} WHERE prc > 0")
+def tradable_entities(spark, sf_dir):
+    return cross_section.tradable(DAY.frame(spark, sf_dir), "prc", "date", "permno")
+
+
+@register("SELECT c_custkey, c_acctbal FROM customer ORDER BY md5(concat(CAST(c_custkey AS STRING), '-42')), c_custkey LIMIT 100")
+def sampled_rows(spark, sf_dir):
+    return cross_section.sample_rows(read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), 100, "c_custkey")
+
+
+@register(f"""SELECT permno, date, CAST(date_trunc('month', date) AS DATE) AS month,
+    CAST((row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY md5(concat(CAST(permno AS STRING), '-42')), permno) - 1) // 16 AS INT) AS batch FROM {MONTH.source()}""")
+def batched_months(spark, sf_dir):
+    return cross_section.monthly_batches(MONTH.frame(spark, sf_dir).select("permno", "date"), 16, "permno")
+
+
+@register(f"""SELECT permno, date, round((coalesce(lag(vol) OVER w, 0) + coalesce(lag(vol, 2) OVER w, 0)) / nullif(CASE WHEN lag(vol) OVER w IS NULL THEN 0 ELSE 1 END + CASE WHEN lag(vol, 2) OVER w IS NULL THEN 0 ELSE 1 END, 0), 4) + 0.0e0 AS mean_lags,
+    CASE WHEN row_number() OVER w = 1 THEN 1 ELSE 0 END AS first_, CASE WHEN lead(date) OVER w IS NULL THEN 1 ELSE 0 END AS last_ FROM {MONTH.source()} WINDOW w AS (PARTITION BY permno ORDER BY date)""")
+def lag_means_and_ends(spark, sf_dir):
+    """Means over lags that are there, and flags of an entity's first and last row."""
+    layers = Layers({"mean_lags": P.roll("avg", "vol", 2, 1, 1), "first_": f"CASE WHEN {P.row()} = 1 THEN 1 ELSE 0 END", "last_": f"CASE WHEN {P.lead('date')} IS NULL THEN 1 ELSE 0 END"})
+    return layers.apply(MONTH.frame(spark, sf_dir)).select("permno", "date", r6("mean_lags", 4), "first_", "last_")
+
+
+@register(f"""WITH p AS (SELECT date, daily_ret / 1000 AS r FROM ({_pnl_sql(10.0)})), g AS (SELECT *, 1 + sum(r) OVER (ORDER BY date) AS g FROM p),
+    d AS (SELECT *, g / max(g) OVER (ORDER BY date) - 1 AS dd FROM g),
+    a AS (SELECT count(*) AS n, avg(r) AS m, stddev_pop(r) AS s, arg_max(g, date) AS l, min(dd) AS dd, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS w FROM d)
+    SELECT n AS n_days, round(m / (s + 1e-9) * sqrt(252), 6) AS sharpe, round(l - 1, 6) AS total_return, round(m * 252, 6) AS annualized_return,
+      round(s * sqrt(252), 6) AS volatility, round(dd, 6) AS max_drawdown, round(m * 252 / nullif(abs(dd), 0), 4) AS calmar, round(w, 6) AS win_rate FROM a""")
+def summed_performance(spark, sf_dir):
+    """The definitions with population deviation, summed returns and an arithmetic year."""
+    d = portfolio.performance(_pnl(spark, sf_dir).withColumn("daily_ret", F.col("daily_ret") / 1000), population=True, compound=False, eps=1e-9)
+    return d.select("n_days", *(r6(c, 4 if c == "calmar" else 6) for c in d.columns[1:]))
+
+
+_WALK = portfolio.residual_layers(*KEY, window=6) + portfolio.threshold_signal(1.0) + portfolio.portfolio_layers(*KEY)
+_WALK_SQL = f"""(WITH p AS (SELECT permno, date, ret FROM {MONTH.source()}), w AS (SELECT DISTINCT date AS month FROM p WHERE date - INTERVAL 12 MONTH >= (SELECT min(date) FROM p)),
+    m AS (SELECT w.month, p.permno, round(avg(p.ret), 9) AS m FROM w JOIN p ON p.date >= w.month - INTERVAL 12 MONTH AND p.date < w.month GROUP BY 1, 2),
+    l AS (SELECT month, permno, CAST(ntile(5) OVER (PARTITION BY month ORDER BY m, permno) AS INT) AS cluster FROM m WHERE m IS NOT NULL)
+    SELECT p.permno, p.date, p.ret, l.cluster FROM p JOIN l ON p.permno = l.permno AND p.date = l.month)"""
+
+
+@register(f"""SELECT date, round(sum(pnl), 6) + 0.0e0 AS gross_ret, round(sum(trade), 6) + 0.0e0 AS turnover, round(sum(pnl) - sum(trade) * 0.001e0, 6) + 0.0e0 AS daily_ret
+    FROM {_WALK.sql(_WALK_SQL, ["permno", "date", "ret", "cluster"])} GROUP BY date""")
+def walk_forward_strategy(spark, sf_dir):
+    """Groups formed on the twelve months before each month, its residuals, signals and profit:
+    all windows in one plan."""
+    p = MONTH.frame(spark, sf_dir).select("permno", "date", "ret")
+    mean = walkforward.training_rows(p, walkforward.month_windows(p, 12)).groupBy("month", "permno").agg(F.round(F.avg("ret"), 9).alias("m"))
+    label = mean.where("m IS NOT NULL").withColumn("cluster", F.ntile(5).over(Window.partitionBy("month").orderBy("m", "permno")))
+    d = p.join(label.select("permno", F.col("month").alias("date"), "cluster"), ["permno", "date"])
+    out = portfolio.daily_pnl(_WALK.apply(d), 10.0)
+    return out.select("date", r6("gross_ret"), r6("turnover"), r6("daily_ret"))

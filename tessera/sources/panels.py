@@ -150,15 +150,28 @@ def write_results(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def markdown_table(df: DataFrame, rows: int = 100, digits: int = 4) -> str:
+    """The first rows of a small result as a Markdown table; a report, not an export."""
+
+    def cell(v) -> str:
+        return "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+
+    lines = [df.columns, ["-"] * len(df.columns), *([cell(v) for v in r] for r in df.take(rows))]
+    return "\n".join(f"| {' | '.join(x)} |" for x in lines)
+
+
 def derive_missing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """Quarterly inputs that a source lacks, from those it has; any other becomes 0."""
+    """Quarterly inputs that a source lacks, from those it has; any other, or one whose rule lacks
+    an input as well, becomes 0."""
+    from pyspark.errors import AnalysisException
+
     rules = {"niq": "ibq", "dlttq": "ltq - lctq", "oiadpq": "saleq - cogsq - xsgaq", "piq": "ibq + txtq", "epspxq": "ibq / nullif(cshoq, 0)", "dpq": "0.0e0"}
     for name in wanted:
         if name not in df.columns:
             try:
                 df.select(F.expr(rules.get(name, "0.0e0"))).schema
                 df = df.withColumn(name, F.expr(rules.get(name, "0.0e0")).cast("double"))
-            except Exception:  # an input of the rule is missing too
+            except AnalysisException:  # an input of the rule is missing too
                 df = df.withColumn(name, F.lit(0.0))
     return df
 

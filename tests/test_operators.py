@@ -457,3 +457,25 @@ def test_files(spark, tmp_path):
 def test_feature_columns(spark):
     d = spark.createDataFrame([(1, "a", 1.0, 2, 3.0)], "permno int, name string, x double, n int, x_y double")
     assert C.feature_columns(d, {"permno"}) == ["x", "n"]
+
+
+def test_bounded_nodes(spark):
+    with pytest.raises(ValueError, match="more than 3 nodes"):
+        graph.covariance_modes(series_of(spark, walks()), 2, most=3)
+
+
+def test_samples_and_batches(spark):
+    d = spark.range(50).select("id", F.lit(day(0)).alias("date")).unionAll(spark.range(7).select("id", F.lit(day(40)).alias("date")))
+    got = cross_section.monthly_batches(d, 16, "id").groupBy("month", "batch").count().collect()
+    assert sorted((r.month.month, r.batch, r["count"]) for r in got) == [(1, 0, 16), (1, 1, 16), (1, 2, 16), (1, 3, 2), (2, 0, 7)]
+    some = [r.id for r in cross_section.sample_rows(spark.range(50), 10, "id").collect()]
+    assert len(set(some)) == 10 and some == [r.id for r in cross_section.sample_rows(spark.range(50).repartition(7), 10, "id").collect()]
+    assert cross_section.sample_rows(spark.range(5), 10, "id").count() == 5
+    assert cross_section.sample_rows(spark.range(0), 10, "id").count() == 0
+
+
+def test_markdown_and_missing_inputs(spark):
+    d = spark.createDataFrame([("a|b", 1, 0.5), ("c", None, None)], "name string, n int, x double")
+    assert sources.markdown_table(d, digits=2) == "| name | n | x |\n| - | - | - |\n| a\\|b | 1 | 0.50 |\n| c |  |  |"
+    q = spark.createDataFrame([(2.0, 5.0)], "ibq double, ltq double")
+    assert sources.derive_missing(q, ["niq", "dlttq", "ibq"]).first().asDict() == {"ibq": 2.0, "ltq": 5.0, "niq": 2.0, "dlttq": 0.0}
