@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
@@ -46,17 +48,24 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column, eps: float = 1e-8) -> Column:
-    return F.transform(v, lambda x: x / (norm(v) + eps))
+    return let(v, lambda u: let(norm(u) + eps, lambda n: F.transform(u, lambda x: x / n)))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body uses it; inside a
+    lambda function an expression would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
+
+    return let(v, lambda u: let(F.array_max(u), lambda top: let(F.transform(u, lambda x: F.exp(x - top)), shares)))
 
 
 def sigmoid(x: Column) -> Column:
@@ -83,8 +92,12 @@ def window_vectors(x: str, entity: str, time: str, size: int) -> Column:
 def zscore_vector(v: Column, eps: float = 1e-8) -> Column:
     n = F.size(v).cast("double")
     mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
-    sd = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / (n - 1))
-    return F.transform(v, lambda x: (x - mean) / (sd + eps))
+
+    def scaled(m: Column) -> Column:
+        sd = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (n - 1))
+        return let(sd, lambda d: F.transform(v, lambda x: (x - m) / (d + eps)))
+
+    return let(mean, scaled)
 
 
 def feature_columns(df: DataFrame, keys: set[str]) -> list[str]:

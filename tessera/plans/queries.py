@@ -681,7 +681,7 @@ def zero_trading(spark, sf_dir):
 
 #: Analyst months: deterministic forecasts around a monthly panel, some missing.
 _ANALYST = {
-    "meanest": "CASE WHEN permno % 7 = 1 THEN NULL ELSE prc / 40.0e0 + permno % 5 END",
+    "meanest": "CASE WHEN permno % 7 = 1 THEN NULL ELSE prc / 41.3719e0 + permno % 5 END",
     "stdev": "vol / 90.0e0",
     "meanrec": "1.0e0 + (permno + month(date)) % 5",
     "numest": "CAST((permno * 3 + month(date)) % 11 AS INT)",
