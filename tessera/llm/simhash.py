@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
     Fingerprints have 64 * ``lanes`` bits, or as many as the bands take without sharing a bit.
     Sets of equal fingerprints are one; a set of too few shingles to be this similar to any other
     (three at 0.8) has no other partners.  Bands meet within two differing bits on the grid of
-    accepted if the true similarity of their sets of shingles is ``similarity`` or more.
+    one-bit segments.  A pair that meets is accepted if the true similarity of its sets of shingles
+    is ``similarity`` or more.
 
     First each document is compared with one other of its band value, chosen by a hash, unless
     they are joined already: this joins large groups of near copies at a cost of their number.
