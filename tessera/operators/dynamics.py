@@ -49,15 +49,16 @@ def simulate(edges: DataFrame, nodes: int, steps: int, dt: float = 0.01, noise:
     return edges.sparkSession.createDataFrame(pd.DataFrame({"t": t.astype("int32"), "i": i.astype("int32"), "f": f.ravel()}))
 
 
-def recover_graph(series: DataFrame, dt: float, ridge: float = 1e-6, lasso: float | None = None, sweeps: int = 200) -> DataFrame:
+def recover_graph(series: DataFrame, dt: float, ridge: float = 1e-6, lasso: float | None = None, sweeps: int = 200, most: int = 3000) -> DataFrame:
     """Edges i < j with positive weight from regressing each node's velocity on all states.
 
     Products of states are aggregated to one row a pair of nodes; each node's regression (ridge,
     or coordinate descent for the lasso) then needs that small matrix only.  The coefficients are
-    symmetrised and cut at zero.
+    symmetrised and cut at zero.  More than ``most`` nodes are an error.
     """
     from pyspark.sql import Window
 
+    graph.bounded_nodes(series, most)
     w = Window.partitionBy("i").orderBy("t")
     s = series.withColumn("v", (F.lead("f").over(w) - F.col("f")) / dt).where("v IS NOT NULL")
     a = s.select("t", "i", F.col("f").alias("x"))
