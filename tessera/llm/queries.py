@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, digests, language, line_dedup, packing, pfor, quotes, simhash, topk, url_rules
+from tessera.llm import audit, bpe, digests, language, lexical, line_dedup, mixture, packing, pfor, quotes, simhash, topk, url_rules
 from tessera.llm.shared import Scratch, ship
 
 #: (verdict, host, path) of the registered URL query.
@@ -70,6 +70,18 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark), 10)
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_report(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
@@ -81,6 +93,9 @@ QUERIES = {
     "op8_exact_digest": op8_exact_digest,
     "op9_packing": op9_packing,
     "op10_url_rules": op10_url_rules,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_source_mix": op12_source_mix,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -135,4 +150,68 @@ ORACLE_SQL: dict[str, str] = {
         FROM split s LEFT JOIN rules
           ON (s.host = rules.h OR ends_with(s.host, '.' || rules.h)) AND starts_with(s.path, rules.p)
         GROUP BY s.page_id, s.host, s.path""",
+    "op11_lexical_search": r"""
+        WITH lower AS (
+          SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        word AS (
+          SELECT r, doc_id, unnest(ts) AS term, len(ts) AS n FROM (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM lower)),
+        posting AS (SELECT r, doc_id, term, any_value(n) AS n, count(*) AS tf FROM word GROUP BY r, doc_id, term),
+        stat AS (SELECT count(DISTINCT r) AS docs, CAST(sum(tf) AS BIGINT) AS len FROM posting),
+        vocab AS (SELECT term, count(*) AS df FROM posting GROUP BY term),
+        asked AS (
+          SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+        score AS (
+          SELECT item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+            * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // len)))) AS BIGINT) AS score
+          FROM asked JOIN vocab USING (term) JOIN posting USING (term), stat WHERE doc_id IS NOT NULL GROUP BY item_id, r, doc_id),
+        best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0)
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM best WHERE rank <= 10""",
+    "op12_source_mix": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce('1' || source, '2') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+            md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS mix FROM documents),
+        s AS (
+          SELECT key, CAST(sum(size) AS BIGINT) AS total, [5, 2, 1][CAST((row_number() OVER (ORDER BY key) - 1) % 3 AS INT) + 1] AS weight FROM d GROUP BY key),
+        stopped AS (
+          SELECT sum(total) OVER w AS words, sum(weight) OVER w AS weights FROM s
+          WINDOW w AS (ORDER BY CAST(total AS DOUBLE) / weight, key ROWS UNBOUNDED PRECEDING)
+          UNION ALL SELECT 0, 0),
+        level AS (
+          SELECT max(CAST(150 * (SELECT sum(total) FROM s) - 200 * words AS DOUBLE) / CAST(100 * ((SELECT sum(weight) FROM s) - weights) AS DOUBLE)) AS level
+          FROM stopped WHERE weights < (SELECT sum(weight) FROM s)),
+        t AS (SELECT key, total, least(weight * level, CAST(2 * total AS DOUBLE)) AS target FROM s, level),
+        run AS (SELECT d.*, sum(size) OVER (PARTITION BY key ORDER BY mix ROWS UNBOUNDED PRECEDING) - size AS since FROM d)
+        SELECT doc_id, size, total AS source_size, target, CAST(
+            greatest(0, least(size, CAST(floor(target) AS BIGINT) - since)) + greatest(0, least(size, CAST(floor(target) AS BIGINT) - total - since)) AS BIGINT) AS taken
+        FROM run JOIN t USING (key)""",
+    "op13_filter_audit": r"""
+        WITH word AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        mark AS (
+          SELECT word.doc_id, part,
+            [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+             regexp_matches(t, '[#$%&*|]'), coalesce(word.doc_id > min(word.doc_id) OVER (PARTITION BY t), false)] AS f,
+            coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+          FROM word LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON word.doc_id = l.doc_id),
+        letter(i, c) AS (VALUES (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')),
+        ways AS (
+          SELECT [a.i, b.i, c.i, d.i, e.i] AS o, a.c || b.c || c.c || d.c || e.c AS filter_order
+          FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        step AS (SELECT filter_order, o, unnest(range(1, 6)) AS step FROM ways),
+        kind AS (SELECT part, f, good, toxic, count(*) AS n FROM mark GROUP BY part, f, good, toxic),
+        seen AS (
+          SELECT part, filter_order, step, o[step] AS filter, f, good, toxic, n, f[o[step]] AS fails,
+            len(list_filter(o[1:step - 1], lambda i: f[i])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS many
+          FROM kind, step),
+        counted AS (
+          SELECT part, filter_order, step, filter, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS BIGINT) AS kept,
+            CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant,
+            CAST(coalesce(sum(n) FILTER (fails AND many = 1), 0) AS BIGINT) AS unique_fails,
+            CAST(coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0) AS BIGINT) AS good_lost,
+            CAST(coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0) AS BIGINT) AS toxic_lost
+          FROM seen GROUP BY part, filter_order, step, filter)
+        SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+          CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM counted""",
 }
