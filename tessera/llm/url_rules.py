@@ -40,11 +40,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+#: U+0000 closes a label in a key; U+0000 and U+0001 inside a label are written as two characters.
+_ESCAPED = (("\x01", "\x01\x02"), ("\x00", "\x01\x01"))
+
+
 def host_key(host: Column) -> Column:
-    """Labels in reverse order, each closed by a character below any other, so that hosts nest."""
+    """Labels in reverse order, each closed by a character that no label holds, so that hosts nest:
+    one key begins another exactly if its host is the other's or a parent of it."""
+    for plain, pair in _ESCAPED:
+        host = F.replace(host, F.lit(plain), F.lit(pair))
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x00"), F.lit("\x00"))
 
 
+def _key_of(host: str) -> str:
+    """``host_key`` of a rule's host."""
+    for plain, pair in _ESCAPED:
+        host = host.replace(plain, pair)
+    return "\x00".join(reversed(host.split("."))) + "\x00"
+
+
 class HostRules:
     """The rules of one host: paths in order, what each rule says, and the path around each."""
 
@@ -111,7 +125,7 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pag
 def _sweep_frame(urls: DataFrame, rules: list[tuple[str, str, str]], key: str) -> DataFrame:
     by_host: dict[str, list[tuple[str, str, str, int]]] = {}
     for host, path, verdict in rules:
-        k = "\x00".join(reversed(host.split("."))) + "\x00"
+        k = _key_of(host)
         rank = ((len(host) + len(path)) << 20 | len(host)) << 1 | (verdict == "block")
         by_host.setdefault(k, []).append((path, host + path, verdict, rank))
     in_order = [(k, HostRules(by_host[k])) for k in sorted(by_host)]

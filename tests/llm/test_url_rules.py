@@ -34,6 +34,19 @@ def test_op10_nested_paths(spark, monkeypatch):
     assert url_rules.judge(df.limit(0), rules).count() == 0 and url_rules.judge(df, []).where("rule is null and verdict = 'allow'").count() == len(urls)
 
 
+def test_any_character_in_a_host(spark):
+    """Labels with U+0000 and U+0001, and empty ones, are no borders between labels."""
+    r = random.Random(3)
+    label = lambda: "".join(r.choice(["\x00", "\x01", "\x02", "a", "é"]) for _ in range(r.randrange(0, 4)))
+    host = lambda: ".".join(label() for _ in range(r.randrange(1, 4)))
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), *((r.choice(["allow", "block"]), host(), "/") for _ in range(150))]
+    urls = ["http://example\x00sub.org/es/x", "http://org\x00example/es/", "http://example.org\x00/es/", *(f"x://{host()}/" for _ in range(600))]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_rules.judge(df, rules).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)}
+    assert got[0][2:] == ("org/", "allow") and got[1][2:] == (None, "allow")
+
+
 def test_many_paths_of_a_host():
     """A URL's time does not grow with the number of its host's path rules."""
     r = random.Random(2)
