@@ -7,6 +7,10 @@ has seen, and the k-th best lower bound of all tasks rules out more.  The exact
 rest are read in descending order of their upper bound, a lot at a time, until the next bound
 of each query cannot reach its k-th result.
 
+Copies of a vector have one score: the few of the smallest ids can be results, and only they are
+scanned.  Where a row's upper bound equals the k-th lower bound, the smaller id decides, so equal
+scores leave no more than k rows either.
+
 Queries go out in blocks of a fixed size, one after another; each block's candidates are written
 and its broadcast destroyed before the next, so neither the driver nor what is broadcast grows
 with the data.  The exact vectors are read for all blocks together.
@@ -40,7 +44,8 @@ def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 class Bounds:
-    """Candidates of each query: rows whose upper bound reaches the k-th best lower bound."""
+    """Candidates of each query: rows whose upper bound exceeds the k-th best lower bound, or equals
+    it and has no k rows before it that are as good for certain, by lower bound and smaller id."""
 
     def __init__(self, n: int, k: int):
         self.k, self.floor = k, np.full(n, -np.inf)
@@ -49,10 +54,18 @@ class Bounds:
 
     def add(self, q: int, *more: np.ndarray) -> None:
         some = [np.concatenate(x) for x in zip(self.rows[q], more)]
-        lower, upper = some[2:]
-        if len(lower) >= self.k:
-            self.floor[q] = max(self.floor[q], np.partition(lower, len(lower) - self.k)[len(lower) - self.k])
-        self.rows[q] = tuple(x[upper >= self.floor[q]] for x in some)
+        row, id_, lower, upper = some
+        if len(lower) < self.k:
+            self.rows[q] = tuple(some)
+            return
+        self.floor[q] = floor = max(self.floor[q], np.partition(lower, len(lower) - self.k)[len(lower) - self.k])
+        kept = upper >= floor
+        even = np.flatnonzero(lower == floor)
+        room = self.k - int((lower > floor).sum())
+        if len(even) > room:
+            last = even[np.lexsort((row[even], id_[even]))[room - 1]]
+            kept &= (upper > floor) | (id_ < id_[last]) | ((id_ == id_[last]) & (row <= row[last]))
+        self.rows[q] = tuple(x[kept] for x in some)
 
 
 def _search(bounds: Bounds, first: int, query_ids: np.ndarray, queries: np.ndarray, low: np.ndarray, high: np.ndarray, slack: float, places: np.ndarray, ids: np.ndarray) -> None:
@@ -139,9 +152,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch) ->
     starts = sorted((r[0], r[1], r[2]) for r in stored.groupBy(F.shiftright("place", 33)).agg(F.min("id"), F.count("*")).collect())
     cuts = _block_starts(stored, starts)
     # Rows that repeat an id are told apart by their place.
-    exact = scratch.cut(vectors.select("id", "v").withColumn("row", F.monotonically_increasing_id()), "vectors")
+    copy = F.unhex(F.sha2(F.array_join("v", ","), 256)).alias("copy")
+    exact = scratch.cut(vectors.select("id", "v", copy).withColumn("row", F.monotonically_increasing_id()), "vectors")
     cell_grid = grid(exact.select("id", "v"))
     file = approximation_file(exact, cell_grid, scratch)
+    first = scratch.cut(_first_copies(exact, k), "first")
+    if first.count() < exact.count():
+        file = scratch.cut(file.join(first.hint("merge"), "row", "left_semi"), "cells")
     found = []
     for a, b in zip(cuts, [*cuts[1:], None]):
         block = stored.where(F.col("id") >= a) if b is None else stored.where((F.col("id") >= a) & (F.col("id") < b))
@@ -153,11 +170,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch) ->
     return _refine(reduce(DataFrame.unionAll, found), exact, stored, k, scratch)
 
 
+def _first_copies(exact: DataFrame, k: int) -> DataFrame:
+    """(row) of those that can be among any query's k best: of equal vectors the k + 1 smallest ids,
+    since one may be the query's own, and k rows of each.  Vectors are told apart by SHA-256.  Each
+    task passes on as many of a group at most."""
+    rows = exact.select("copy", "id", "row")
+    of_id = F.row_number().over(Window.partitionBy("copy", "id").orderBy("row"))
+    rows = rows.withColumn("n", of_id).where(F.col("n") <= k).select("copy", "id", "row")
+    ids = rows.withColumn("n", F.dense_rank().over(Window.partitionBy("copy").orderBy("id")))
+    return ids.where(F.col("n") <= k + 1).select("row")
+
+
 def _refine(near: DataFrame, exact: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """Results from the bounds (query_id, row, vec_id, lower, upper) of the tasks' candidates."""
-    by_lower, by_upper = (Window.partitionBy("query_id").orderBy(F.col(c).desc(), "row") for c in ("lower", "upper"))
-    sure = near.withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("lower").alias("least"), F.count("*").alias("have"))
-    near = near.join(sure, "query_id").where((F.col("upper") >= F.col("least")) | (F.col("have") < k))
+    by_lower, by_upper = (Window.partitionBy("query_id").orderBy(F.col(c).desc(), "vec_id", "row") for c in ("lower", "upper"))
+    sure = near.withColumn("n", F.row_number().over(by_lower)).where(F.col("n") == k)
+    sure = sure.select("query_id", F.col("lower").alias("least"), F.struct("vec_id", "row").alias("last"))
+    near = near.join(sure, "query_id", "left").where(_may_enter("upper"))
     near = scratch.cut(near.select("query_id", "row", "vec_id", "upper").withColumn("at", F.row_number().over(by_upper)), "near")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "row")
     asked = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
@@ -168,13 +197,19 @@ def _refine(near: DataFrame, exact: DataFrame, queries: DataFrame, k: int, scrat
         scores = scores if before is None else scores.unionAll(before.select("query_id", "row", "vec_id", "score"))
         before = scratch.cut(scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
         done, lot = done + lot, 4 * lot
-        kth = before.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        rest = near.where(F.col("at") > done).join(kth, "query_id", "left").where("least is null or upper >= least").drop("least")
+        kth = before.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"), F.struct("vec_id", "row").alias("last"))
+        rest = near.where(F.col("at") > done).join(kth, "query_id", "left").where(_may_enter("upper")).drop("least", "last")
         if not rest.limit(1).count():
             return before.select("query_id", "rank", "vec_id", "score")
         now = rest.where(F.col("at") <= done + lot)
 
 
+def _may_enter(bound: str) -> Column:
+    """Whether a row may rank before the k-th of its query, ``last`` with score ``least``, or is it."""
+    even = (F.col(bound) == F.col("least")) & (F.struct("vec_id", "row") <= F.col("last"))
+    return F.col("least").isNull() | (F.col(bound) > F.col("least")) | even
+
+
 def _block_starts(stored: DataFrame, starts: list[tuple[int, int, int]]) -> list[int]:
     """First id of each block of QUERIES_AT_ONCE queries, from the partitions' counts."""
     cuts, at = [], 0
