@@ -1,13 +1,16 @@
 """Line dedup by pairwise alignment.
 
-A block is a run of equal lines; blank lines neither break it nor count.  From each line on, the
-shortest run of the words asked for is a window, and so is the shortest run that ends with it: every
-block that two documents share is made of windows that both have.  A window is as rare as the
-rarest of its lines, and most windows' hashes occur once and go at once.  Each of the others links
-every document that has it to the first one, so a passage in n documents makes n - 1 pairs and no
-shared block is missed, whichever documents share it.  Each pair is aligned by patience diff; what
-the later document shares with the earlier one in an aligned block goes, and so do windows that it
-shares in another order.  The first document of all keeps every line.
+A block is a run of equal lines; blank lines neither break it nor count.  Lines that only one document
+has are in no block and go first; their number of documents makes the others rare or common.  From
+each line on, the shortest run of the words asked for is a window, and so is the shortest run that
+ends with it: every block that two documents share is made of windows that both have.  A window is
+filed under its rarest line, and each document that has it is paired with the first one, so a passage in
+n documents makes n - 1 pairs and no shared block is missed, whichever documents share it.
+
+Each pair is aligned by patience diff, and what the later document has in aligned blocks goes.  One
+alignment keeps the order, so it misses blocks that moved or repeat: where a shared window is left,
+the later document from there on is aligned again with the earlier one from where that has the window, until no
+window is left.  Nothing goes that no alignment holds.  The first document of all keeps every line.
 """
 
 from __future__ import annotations
@@ -37,7 +40,11 @@ def line_hashes(text: str) -> tuple[list[int], list[int]]:
 def _filled(hashes: list[int], counts: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Places of the lines with words, their hashes, and words up to each line's end, from 0."""
     at = [i for i, n in enumerate(counts) if n]
-    return at, np.array([hashes[i] for i in at], np.int64), np.concatenate([[0], np.cumsum([counts[i] for i in at], dtype=np.int64)])
+    return at, np.array([hashes[i] for i in at], np.int64), _through([counts[i] for i in at])
+
+
+def _through(counts: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
 
 
 def windows(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
@@ -50,11 +57,19 @@ def windows(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
     return sorted(out | {(int(b), j + 1) for j, b in enumerate(starts) if b >= 0})
 
 
-def anchors(hashes: list[int], counts: list[int], min_words: int) -> set[int]:
-    """Hashes of all windows, of which any shared block of ``min_words`` words has some."""
-    _, lines, words = _filled(hashes, counts)
-    data = lines.astype("<i8", copy=False).tobytes()
-    return {xxhash.xxh64_intdigest(data[8 * a : 8 * b], 7) - (1 << 63) for a, b in windows(words, min_words)}
+def anchors(places: list[int], lines: list[int], counts: list[int], often: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(rarest line, hash) of each distinct window in some of a document's filled lines: their
+    places among all of them in order, hashes, words, and documents that have each."""
+    out: set[tuple[int, int]] = set()
+    start = 0
+    for end in range(1, len(places) + 1):
+        if end == len(places) or places[end] != places[end - 1] + 1:
+            run = lines[start:end]
+            data, rarity = np.array(run, "<i8").tobytes(), list(zip(often[start:end], run))
+            for a, b in windows(_through(counts[start:end]), min_words):
+                out.add((min(rarity[a:b])[1], xxhash.xxh64_intdigest(data[8 * a : 8 * b], 7) - (1 << 63)))
+            start = end
+    return list(out)
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -108,35 +123,58 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _blocks(matched: list[tuple[int, int]], words: np.ndarray, min_words: int) -> Iterator[tuple[int, int]]:
+    """Ranges of lines that an alignment holds without a gap on either side, with the words asked for."""
+    start = 0
+    for k in range(1, len(matched) + 1):
+        if k == len(matched) or (matched[k][0], matched[k][1]) != (matched[k - 1][0] + 1, matched[k - 1][1] + 1):
+            i, j = matched[start][0], matched[k - 1][0] + 1
+            if words[j] - words[i] >= min_words:
+                yield i, j
+            start = k
+
+
+def _equal_run(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements from the start on are equal."""
+    at, step, n = 0, 64, min(len(x), len(y))
+    while at < n:
+        same = x[at : min(at + step, n)] == y[at : min(at + step, n)]
+        if not same.all():
+            return at + int(same.argmin())
+        at, step = at + len(same), 2 * step
+    return n
+
+
 def shared_blocks(later: list[int], counts: list[int], earlier: list[int], earlier_counts: list[int], min_words: int) -> list[tuple[int, int]]:
     """Line ranges of ``later`` in blocks of ``min_words`` words or more that ``earlier`` has too.
 
-    Lines of no shared window can be in no block, and are set aside before the alignment.  Blocks
-    that the alignment does not hold, moved or repeated ones, are the shared windows it left."""
+    Lines of no shared window can be in no block, and are set aside before the first alignment.
+    While a shared window has lines left, the equal run from its place on in both documents is
+    aligned, which takes moved and repeated blocks."""
     at, mine, words = _filled(later, counts)
     _, theirs, their_words = _filled(earlier, earlier_counts)
     data, other = mine.astype("<i8", copy=False).tobytes(), theirs.astype("<i8", copy=False).tobytes()
-    there = {other[8 * a : 8 * b] for a, b in windows(their_words, min_words)}
-    shared = [(a, b) for a, b in windows(words, min_words) if data[8 * a : 8 * b] in there]
+    there: dict[bytes, int] = {}
+    for a, b in windows(their_words, min_words):
+        there.setdefault(other[8 * a : 8 * b], a)
+    shared = [(a, b, there[w]) for a, b in windows(words, min_words) if (w := data[8 * a : 8 * b]) in there]
     if not shared:
         return []
     lines, hit = mine.tolist(), [False] * len(mine)
-    for a, b in shared:
+    for a, b, _ in shared:
         hit[a:b] = [True] * (b - a)
     theirs_ = theirs.tolist()
     known = {lines[i] for i, h in enumerate(hit) if h}
-    matched = patience([x if h else None for x, h in zip(lines, hit)], [x if x in known else -1 for x in theirs_])
-    spans, start = [], 0
-    for k in range(1, len(matched) + 1):
-        if k == len(matched) or (matched[k][0], matched[k][1]) != (matched[k - 1][0] + 1, matched[k - 1][1] + 1):
-            i, j = matched[start][0], matched[k - 1][0] + 1
-            if words[j] - words[i] >= min_words:
-                spans.append((i, j))
-            start = k
-    gone = [False] * len(lines)
+    spans = list(_blocks(patience([x if h else None for x, h in zip(lines, hit)], [x if x in known else -1 for x in theirs_]), words, min_words))
+    gone = np.zeros(len(lines), bool)
     for i, j in spans:
-        gone[i:j] = [True] * (j - i)
-    spans += [(a, b) for a, b in shared if not all(gone[a:b])]
+        gone[i:j] = True
+    for a, b, c in shared:
+        if not gone[a:b].all():
+            size = _equal_run(mine[a:], theirs[c:])
+            for i, j in _blocks(patience(lines[a : a + size], theirs_[c : c + size]), words[a : a + size + 1], min_words):
+                spans.append((a + i, a + j))
+                gone[a + i : a + j] = True
     out: list[tuple[int, int]] = []
     for i, j in sorted(spans):
         if out and i < out[-1][1]:  # a blank line between two blocks stays
@@ -156,22 +194,38 @@ def blocks_to_delete(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_
 
     def read(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            hashes, counts, marks = [], [], []
+            hashes, counts = [], []
             for t in b.column(2):
                 h, c = line_hashes(t.as_py())
                 hashes.append(h)
                 counts.append(c)
-                marks.append(list(anchors(h, c, min_words)))
-            columns = [b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_h", "hashes", "counts", "anchors"])
+            columns = [b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_h", "hashes", "counts"])
             give_back()
 
+    def mark(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            rare, window, of = [], [], []
+            for row, found in enumerate(b.column(2).to_pylist()):
+                found.sort(key=lambda x: x["place"])
+                for r, w in anchors(*([x[c] for x in found] for c in ("place", "line", "words", "often")), min_words):
+                    of.append(row)
+                    rare.append(r)
+                    window.append(w)
+            of = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(rare, pa.int64()), pa.array(window, pa.int64())], names=["_id", "_h", "rare", "window"])
+
     named = _keyed(docs, id_col, text_col).where(F.col("_id").isNotNull() & F.col(text_col).isNotNull()).select("_id", "_h", text_col)
-    lines = scratch.cut(named.mapInArrow(read, "_id long, _h long, hashes array<long>, counts array<int>, anchors array<long>"), "lines")
-    at = lines.select(F.struct("_id", "_h").alias("doc"), F.explode("anchors").alias("anchor"))
-    firsts = at.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first._id < last._id").drop("last")
-    pairs = at.join(firsts, "anchor").where("first._id < doc._id").select("doc._id", "doc._h", F.col("first._id").alias("e_id"), F.col("first._h").alias("e_h")).distinct()
-    lines = lines.select("_id", "_h", "hashes", "counts").dropDuplicates(["_id", "_h"])
+    lines = scratch.cut(named.mapInArrow(read, "_id long, _h long, hashes array<long>, counts array<int>"), "lines")
+    filled = F.filter(F.zip_with("hashes", "counts", lambda h, n: F.struct(h.alias("line"), n.alias("words"))), lambda x: x["words"] > 0)
+    flat = lines.select("_id", "_h", F.posexplode(filled).alias("place", "x")).select("_id", "_h", "place", "x.*")
+    once = lines.select("_id", F.explode(F.array_distinct("hashes")).alias("line"))
+    often = once.groupBy("line").agg(F.count("*").alias("often"), F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("line", "often")
+    common = flat.join(often.hint("merge"), "line").groupBy("_id", "_h").agg(F.collect_set(F.struct("place", "line", "words", "often")).alias("found"))  # a document's own lines at most
+    at = scratch.cut(common.mapInArrow(mark, "_id long, _h long, rare long, window long"), "windows").select(F.struct("_id", "_h").alias("doc"), "rare", "window")
+    firsts = at.groupBy("rare", "window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first._id < last._id").drop("last")
+    pairs = at.join(firsts, ["rare", "window"]).where("first._id < doc._id").select("doc._id", "doc._h", F.col("first._id").alias("e_id"), F.col("first._h").alias("e_h")).distinct()
+    lines = lines.dropDuplicates(["_id", "_h"])
     earlier = lines.toDF("e_id", "e_h", "e_hashes", "e_counts")
     pairs = pairs.join(lines, ["_id", "_h"]).join(earlier, ["e_id", "e_h"])
 

@@ -110,6 +110,29 @@ def test_blocks_of_later_documents(spark):
     assert got == dict(rows) | {4: "", 6: w}
 
 
+def test_nothing_goes_without_an_alignment(spark, monkeypatch):
+    """Both documents share a block in place, a moved one and a repeated one; all of them go by way
+    of the alignment alone."""
+    r = random.Random(5)
+    a, b, c = ([words(r, 30), words(r, 30)] for _ in range(3))
+    own = [words(r, 9) for _ in range(3)]
+    counts = [30] * 4 + [9] + [30] * 2
+    earlier, later = [*a, *b, own[0], *c], [*c, own[1], *a, *a, own[2], *b]
+    number = {x: i + 1 for i, x in enumerate({*earlier, *later})}
+    args = ([number[x] for x in later], [30, 30, 9, 30, 30, 30, 30, 9, 30, 30], [number[x] for x in earlier], counts, 50)
+    assert ld.shared_blocks(*args) == [(0, 2), (3, 5), (5, 7), (8, 10)]
+    monkeypatch.setattr(ld, "patience", lambda a, b: [])
+    assert ld.shared_blocks(*args) == []
+
+
+def test_windows_are_filed_under_their_rarest_line():
+    lines, counts = [11, 12, 13, 14, 21, 22], [30, 30, 5, 30, 60, 1]
+    got = ld.anchors([0, 1, 2, 3, 7, 8], lines, counts, [9, 2, 2, 5, 3, 4], 50)
+    assert {r for r, _ in got} == {12, 21} and len(got) == len(set(got)) == 5
+    again = ld.anchors([5, 6, 7], lines[1:4], counts[1:4], [2, 2, 5], 50)
+    assert set(again) < set(got)
+
+
 def test_long_repetitive_texts_take_linear_time():
     import time
 
