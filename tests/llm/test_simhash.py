@@ -213,7 +213,15 @@ def test_copies_inside_a_family(spark):
     assert {x.doc_id: x.component_id for x in got} == {d: d % 150 for d, _ in docs}
 
 
-@pytest.mark.parametrize("pages", [100, 1500])
+def test_a_template_makes_no_pairs(spark):
+    """Sets that share 86 of 100 shingles, at 0.75 of one another, do not meet at the template's."""
+    n = 3000
+    rows = [(i, [*range(86), *range(1000 + 14 * i, 1014 + 14 * i)], i) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, set array<long>, root long")
+    assert simhash._rare_pairs(df.select("id", "set"), df.select("id", "root"), 0.8).count() == 0
+
+
+@pytest.mark.parametrize("pages", [100, 1500, 10_000])
 def test_recall_in_families(spark, pages):
     """Pages of one template, at 0.54 of one another, half of them with a partner at 0.80 to 0.90:
     recall does not fall with the size of the family, and nothing else is linked."""
