@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import argmax, dot, sigmoid, softmax, unit
+from tessera.operators import hierarchy
+from tessera.operators.neighbours import Space, l1_matrix
+from tessera.sources.shared import Rounds
 
 
 def min_points(n: int) -> int:
@@ -43,16 +46,16 @@ def density_filter(df: DataFrame, vector: str = "v", cluster: str = "cluster", p
     return d.join(cut, cluster, "left").withColumn(cluster, F.when(F.col("dist") > F.col("_cut"), -1).otherwise(F.col(cluster))).drop("_c", "_cut")
 
 
-def knn_distance(df: DataFrame, k: int, queries: DataFrame | None = None, id_col: str = "id", vector: str = "v") -> DataFrame:
-    """L1 distance to the k-th nearest other row, for the rows of one cross-section."""
-    q = (queries or df).select(F.col(id_col).alias("_q"), F.col(vector).alias("_qv"))
-    pairs = q.join(df.select(id_col, vector), F.col("_q") != F.col(id_col)).withColumn("dist", l1("_qv", vector))
-    w = Window.partitionBy("_q").orderBy("dist", id_col)
-    return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == k).select(F.col("_q").alias(id_col), "dist")
+def knn_distance(df: DataFrame, k: int, id_col: str = "id", vector: str = "v") -> DataFrame:
+    """L1 distance of each row to its k-th nearest other row, NULL if there are fewer; exact, by
+    metric partitioning (``neighbours.Space``) instead of all pairs."""
+    space = Space(df, [], Rounds(df.sparkSession), id_col, vector)
+    few = space.rows.count() <= k
+    return space.nearest(k).select(F.col("id").alias(id_col), F.lit(None).cast("double").alias("dist") if few else F.col("dist"))
 
 
 def dynamic_eps(df: DataFrame, k: int, quantile: float, id_col: str = "id", vector: str = "v") -> DataFrame:
-    return knn_distance(df, k, None, id_col, vector).agg(F.percentile("dist", quantile).alias("eps"))
+    return knn_distance(df, k, id_col, vector).agg(F.percentile("dist", quantile).alias("eps"))
 
 
 def soft_assign(df: DataFrame, centres: list[list[float]], temperature: float, gate_at: float, vector: str = "v") -> DataFrame:
@@ -97,91 +100,53 @@ def _snapshot(df: DataFrame, by: list[str], id_col: str, vector: str, label) ->
     return df.select(*by, id_col, vector).groupBy(*by).applyInPandas(run, f"{keys}, {id_col} {kind}, cluster int")
 
 
-def _distances(x):
-    import numpy as np
-
-    return np.stack([np.abs(x - row).sum(axis=1) for row in x])
+def snapshot_sizes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., k, m): the neighbours that a row of each snapshot needs, at most all others, and the
+    rows that make a core."""
+    n = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    m = F.greatest(F.lit(3), F.floor(F.log("n")).cast("int"))
+    return n.select(*by, m.alias("m"), F.greatest(F.least(m, F.col("n") - 1), F.lit(1)).cast("int").alias("k"))
 
 
 def dbscan(df: DataFrame, by: list[str], eps: float | None = None, quantile: float = 0.5, id_col: str = "id", vector: str = "v") -> DataFrame:
-    """DBSCAN under L1 of each snapshot; without ``eps`` the quantile of the kth-neighbour
-    distances.  A snapshot is one cross-section, a few thousand rows; snapshots run in parallel."""
-
-    def label(x):
-        import numpy as np
-
-        k, dist = min_points(len(x)), _distances(x)
-        reach = eps if eps is not None else float(np.quantile(np.sort(dist, axis=1)[:, min(k, len(x) - 1)], quantile))
-        near = dist <= reach
-        core = near.sum(axis=1) >= k
-        out, now = np.full(len(x), -1, np.int32), 0
-        for i in np.flatnonzero(core):
-            if out[i] < 0:
-                todo, out[i] = [i], now
-                while todo:
-                    p = todo.pop()
-                    for q in np.flatnonzero(near[p] & (out < 0)):
-                        out[q] = now
-                        if core[q]:
-                            todo.append(q)
-                now += 1
-        return out
-
-    return _snapshot(df, by, id_col, vector, label)
+    """(by.., id, cluster) of DBSCAN under L1 in each snapshot; without ``eps`` the quantile of the
+    kth-neighbour distances, k being the logarithm of the snapshot's size.
+
+    A snapshot is not one task: neighbours come by metric partitioning, clusters as components of
+    core links (``neighbours.Space.density_clusters``).  Clusters are numbered by their smallest
+    core's id; a border row goes to the first of those that reach it."""
+    tables = Rounds(df.sparkSession)
+    keyed = df.withColumn("_one", F.lit(0))
+    by_ = by or ["_one"]
+    space = Space(keyed, by_, tables, id_col, vector)
+    sizes = tables.cut(snapshot_sizes(space.rows, by_))
+    if eps is None:
+        dist = space.nearest(sizes.select(*by_, "k"))
+        reach = dist.groupBy(*by_).agg(F.coalesce(F.percentile("dist", quantile), F.lit(0.0)).alias("eps"))
+    else:
+        reach = sizes.select(*by_, F.lit(float(eps)).alias("eps"))
+    out = space.density_clusters(tables.cut(reach), sizes.select(*by_, F.col("m").alias("k")))
+    return out.select(*by, F.col("id").alias(id_col), "cluster")
 
 
 def agglomerative(df: DataFrame, by: list[str], threshold: float, id_col: str = "id", vector: str = "v") -> DataFrame:
-    """Average linkage under L1, merging while the closest pair is nearer than the threshold."""
+    """Average linkage under L1, merging while the closest pair is nearer than the threshold.  A
+    snapshot is one task's matrix; snapshots run in parallel."""
 
     def label(x):
-        import numpy as np
-
-        dist = _distances(x)
-        np.fill_diagonal(dist, np.inf)
-        size, member = np.ones(len(x)), np.arange(len(x))
-        while len(x) > 1:
-            a, b = np.unravel_index(np.argmin(dist), dist.shape)
-            if not dist[a, b] < threshold:
-                break
-            a, b = min(a, b), max(a, b)
-            merged = (dist[a] * size[a] + dist[b] * size[b]) / (size[a] + size[b])
-            dist[a], dist[:, a] = merged, merged
-            dist[a, a], dist[b], dist[:, b] = np.inf, np.inf, np.inf
-            size[a] += size[b]
-            member[member == b] = a
-        return np.unique(member, return_inverse=True)[1].astype(np.int32)
+        return hierarchy.cut_tree(len(x), hierarchy.average_linkage(l1_matrix(x, x)), threshold)
 
     return _snapshot(df, by, id_col, vector, label)
 
 
-def optics(df: DataFrame, by: list[str], xi: float = 0.5, id_col: str = "id", vector: str = "v") -> DataFrame:
-    """Ordering by reachability under L1, split at its highest peaks as long as a peak stands out
-    from the medians on both sides by the factor 1 - xi; parts of too few points are noise."""
+def optics(df: DataFrame, by: list[str], xi: float = 0.05, max_eps: float = math.inf, id_col: str = "id", vector: str = "v") -> DataFrame:
+    """OPTICS under L1 with xi extraction: innermost clusters of the reachability order that have
+    the logarithm of the snapshot's size in rows or more; noise is -1.  A snapshot is one task's
+    matrix; snapshots run in parallel."""
 
     def label(x):
-        import numpy as np
-
-        n, dist = len(x), _distances(x)
-        k = min(min_points(n), n)
-        core, reach, done, order = np.sort(dist, axis=1)[:, k - 1], np.full(n, np.inf), np.zeros(n, bool), []
-        for _ in range(n):
-            open_ = np.where(done, np.inf, reach)
-            p = int(np.argmin(open_)) if np.isfinite(open_).any() else int(np.flatnonzero(~done)[0])
-            done[p] = True
-            order.append(p)
-            reach = np.where(done, reach, np.minimum(reach, np.maximum(core[p], dist[p])))
-        r, out, now, todo = reach[order], np.full(n, -1, np.int32), 0, [(0, n)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < k:
-                continue
-            peak = a + 1 + int(np.argmax(r[a + 1 : b])) if b - a > 1 else a
-            sides = [np.median(part) for part in (r[a + 1 : peak], r[peak + 1 : b]) if len(part)]
-            if peak > a and sides and r[peak] * (1 - xi) > max(sides):
-                todo += [(peak, b), (a, peak)]
-            else:
-                out[np.array(order[a:b])] = now
-                now += 1
-        return out
+        k = min(min_points(len(x)), len(x))
+        order, reach, before = hierarchy.reachability_order(l1_matrix(x, x), k, max_eps)
+        return hierarchy.leaf_labels(order, hierarchy.xi_clusters(order, reach, before, k, xi))
 
     return _snapshot(df, by, id_col, vector, label)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
+from tessera.operators.modes import spectral_clusters
 
 #: Acceptance thresholds of the reports.
 LEAST_NMI, LEAST_ARI, MOST_P, LEAST_IC, LEAST_R2, LEAST_DIRECTION = 0.7, 0.6, 0.05, 0.05, 0.5, 0.55
@@ -91,15 +92,6 @@ def recover_graph(series: DataFrame, dt: float, ridge: float = 1e-6, lasso: floa
     return series.sparkSession.createDataFrame(out, f"i {kind}, j {kind}, w double")
 
 
-def spectral_clusters(edges: DataFrame, k: int, seed: int = 42, iterations: int = 30) -> DataFrame:
-    """(i, pred) by power iteration on the normalised affinities, in Spark ML."""
-    from pyspark.ml.clustering import PowerIterationClustering
-
-    named = edges.select(F.col("i").cast("long").alias("src"), F.col("j").cast("long").alias("dst"), F.col("w").alias("weight"))
-    found = PowerIterationClustering(k=k, maxIter=iterations, initMode="degree", weightCol="weight").assignClusters(named)
-    return found.select(F.col("id").cast("int").alias("i"), F.col("cluster").alias("pred"))
-
-
 def weight_errors(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Frobenius error, its share of the truth's norm, and the correlation over true edges."""
     d = truth.select("i", "j", F.col("w").alias("t")).join(pred.select("i", "j", F.col("w").alias("p")), ["i", "j"], "full").fillna({"t": 0.0, "p": 0.0})

@@ -145,6 +145,27 @@ def market_beta(weekly: DataFrame, entity: str = "permno", time: str = "week", w
     return d.withColumns({"beta": F.col("b_"), "betasq": F.col("b_") ** 2, "idiovol": resid}).drop("n_", "b_", "sd_", "r2_")
 
 
+def calendar_beta(weekly: DataFrame, months: DataFrame, entity: str = "permno", week: str = "week", month: str = "date", back: int = 36, least: int = 52) -> DataFrame:
+    """(entity, month, n_weeks, beta, betasq, idiovol) over the weeks whose end lies from the first day of
+    the ``back``-th month before a month to the first day of the month before it.
+
+    Weeks and months are stacked on one scale, two steps a calendar month (its first day, and the
+    rest), on which the window is a RANGE frame of fixed width: one sort, and no join of ranges."""
+    d = weekly.where("wkret IS NOT NULL").withColumn("ewmkt", F.avg("wkret").over(Window.partitionBy(week)))
+
+    def step(day: Column) -> Column:
+        return 2 * (F.year(day) * 12 + F.month(day))
+
+    weeks = d.select(entity, (step(F.col(week)) + F.when(F.dayofmonth(week) > 1, 1).otherwise(0)).alias("_s"), F.lit(None).cast("date").alias(month), "wkret", "ewmkt")
+    asked = months.select(entity, (step(F.col(month)) - 2).alias("_s"), F.col(month).cast("date").alias(month), F.lit(None).cast("double").alias("wkret"), F.lit(None).cast("double").alias("ewmkt")).distinct()
+    w = Window.partitionBy(entity).orderBy("_s").rangeBetween(-2 * (back - 1), 0)
+    n, r2, sd = F.count("wkret").over(w), F.regr_r2("wkret", "ewmkt").over(w), F.stddev_samp("wkret").over(w)
+    out = weeks.unionByName(asked).withColumns({"n_weeks": n, "beta": F.regr_slope("wkret", "ewmkt").over(w), "_r2": r2, "_sd": sd})
+    out = out.where(F.col(month).isNotNull() & (F.col("n_weeks") >= least))
+    resid = F.col("_sd") * F.sqrt(F.greatest(1 - F.col("_r2"), F.lit(0.0)) * (F.col("n_weeks") - 1) / (F.col("n_weeks") - 2))
+    return out.select(entity, month, "n_weeks", "beta", (F.col("beta") ** 2).alias("betasq"), resid.alias("idiovol"))
+
+
 def price_delay(weekly: DataFrame, entity: str = "permno", time: str = "week", lags: int = 4) -> DataFrame:
     """1 - R2 of the market alone over R2 with its lags, adjusted.  The normal equations of each
     entity come from grouped sums; a small system is then solved for each row."""
@@ -185,6 +206,22 @@ def analyst_changes(entity: str, time: str) -> Layers:
     return Layers({"chfeps": f"meanest - {p.lag('meanest')}", "chrec": f"meanrec - {p.lag('meanrec')}", "chnanalyst": f"numest - {p.lag('numest', 3)}", "disp": div("stdev", "abs(meanest)"), "sfe": div("meanest", "abs(prc)")})
 
 
+def forecast_levels(time: str, since: int = 1989) -> Layers:
+    """Standardised surprise (from forecasts where there are any, else from the change of earnings),
+    dispersion with a floor for a mean of zero, coverage and long-term growth, which count as none from
+    the year on in which the source covers all firms."""
+    covered = f"year({time}) >= {since}"
+    return Layers(
+        {
+            "sue": f"CASE WHEN medest IS NULL OR actual IS NULL THEN {div('che', 'mveq')} ELSE {div('actual - medest', 'abs(prccq)')} END",
+            "disp": f"CASE WHEN meanest = 0 THEN stdev / 0.01e0 ELSE {div('stdev', 'abs(meanest)')} END",
+            "nanalyst": f"CASE WHEN numest IS NULL AND {covered} THEN 0 ELSE numest END",
+            "ltg": f"CASE WHEN {covered} THEN {flag('fgr5yr IS NOT NULL')} END",
+            "sfe": div("meanest", "abs(prccq)"),
+        }
+    )
+
+
 def announcement_month(month: Column, announced: Column) -> Column:
     return F.coalesce((F.trunc(month, "MM") == F.trunc(announced, "MM")).cast("int"), F.lit(0))
 

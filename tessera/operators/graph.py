@@ -223,25 +223,14 @@ def bounded_nodes(series: DataFrame, most: int) -> None:
         raise ValueError(f"more than {most} nodes; choose a universe first or raise the bound")
 
 
-def covariance_modes(series: DataFrame, k: int, most: int = 3000) -> list[tuple[int, float]]:
-    """Share of variance of the k leading modes: pair covariances by aggregation, and the small
-    symmetric matrix of one row an asset, ``most`` at most, decomposed on the driver."""
-    import numpy as np
-
-    bounded_nodes(series, most)
-    a, b = series.select("t", "i", F.col("f").alias("x")), series.select("t", F.col("i").alias("j"), F.col("f").alias("y"))
-    rows = a.join(b, "t").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("c")).collect()
-    names = {n: p for p, n in enumerate(sorted({r.i for r in rows}))}
-    m = np.zeros((len(names), len(names)))
-    for r in rows:
-        m[names[r.i], names[r.j]] = r.c or 0.0
-    values = np.linalg.eigvalsh(m)[::-1]
-    return [(i, float(v / values.sum())) for i, v in enumerate(values[:k])]
+def granger(series: DataFrame, pairs: DataFrame, lags: int = 1) -> DataFrame:
+    """(i, j, f_stat, p): whether the past of i helps to predict j, for the pairs asked for."""
+    return granger_lags(series, pairs, [lags]).drop("lag")
 
 
-def granger(series: DataFrame, pairs: DataFrame, lags: int = 1) -> DataFrame:
-    """(i, j, f_stat, p): whether the past of i helps to predict j, for the pairs asked for.
-    A pair's two series, one row a time, meet in one group; the groups are spread over the cluster."""
+def granger_lags(series: DataFrame, pairs: DataFrame, lags: list[int]) -> DataFrame:
+    """(i, j, lag, f_stat, p) for the pairs asked for at each number of lags.  A pair's two series,
+    one row a time, meet in one group, which serves all lags; the groups are spread over the cluster."""
     a = pairs.join(series.select("t", "i", F.col("f").alias("x")), "i").join(series.select("t", F.col("i").alias("j"), F.col("f").alias("y")), ["t", "j"])
 
     def test(key, pdf):
@@ -249,27 +238,29 @@ def granger(series: DataFrame, pairs: DataFrame, lags: int = 1) -> DataFrame:
         import pandas as pd
 
         pdf = pdf.sort_values("t")
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        n = len(y) - lags
-        stat, p = float("nan"), float("nan")
-        if n > 2 * lags + 1:
-            own = np.column_stack([np.ones(n), *(y[lags - k : len(y) - k] for k in range(1, lags + 1))])
-            full = np.column_stack([own, *(x[lags - k : len(x) - k] for k in range(1, lags + 1))])
-            rss = [float(((y[lags:] - m @ np.linalg.lstsq(m, y[lags:], rcond=None)[0]) ** 2).sum()) for m in (own, full)]
-            free = n - full.shape[1]
-            if rss[1] > 0:
-                stat = (rss[0] - rss[1]) / lags / (rss[1] / free)
-                p = f_p(stat, lags, free)
-        return pd.DataFrame({"i": [key[0]], "j": [key[1]], "f_stat": [stat], "p": [p]})
+        x, y, out = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), []
+        for lag in lags:
+            n = len(y) - lag
+            stat, p = float("nan"), float("nan")
+            if n > 2 * lag + 1:
+                own = np.column_stack([np.ones(n), *(y[lag - k : len(y) - k] for k in range(1, lag + 1))])
+                full = np.column_stack([own, *(x[lag - k : len(x) - k] for k in range(1, lag + 1))])
+                rss = [float(((y[lag:] - m @ np.linalg.lstsq(m, y[lag:], rcond=None)[0]) ** 2).sum()) for m in (own, full)]
+                free = n - full.shape[1]
+                if rss[1] > 0:
+                    stat = (rss[0] - rss[1]) / lag / (rss[1] / free)
+                    p = f_p(stat, lag, free)
+            out.append((*key, lag, stat, p))
+        return pd.DataFrame(out, columns=["i", "j", "lag", "f_stat", "p"])
 
     kind = series.schema["i"].dataType.simpleString()
-    return a.groupBy("i", "j").applyInPandas(test, f"i {kind}, j {kind}, f_stat double, p double")
+    return a.groupBy("i", "j").applyInPandas(test, f"i {kind}, j {kind}, lag int, f_stat double, p double")
 
 
 def granger_graph(series: DataFrame, pairs: DataFrame, longest: int = 5, alpha: float = 0.05) -> DataFrame:
     """Directed edges (i, j, w) where the past of i helps to predict j at some lag up to
     ``longest``: the least p of the lags is below ``alpha``, and the weight is 1 - p."""
-    tests = reduce(DataFrame.unionAll, (granger(series, pairs, k).select("i", "j", "p") for k in range(1, longest + 1)))
+    tests = granger_lags(series, pairs, list(range(1, longest + 1)))
     least = tests.where("not isnan(p)").groupBy("i", "j").agg(F.min("p").alias("p"))
     return least.where(F.col("p") < alpha).select("i", "j", (1 - F.col("p")).alias("w"))
 

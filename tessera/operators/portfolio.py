@@ -88,25 +88,38 @@ def sequential_backtest(df: DataFrame, cost_bps: float, portfolio: str, time: st
     """Equity path of each portfolio: rebalance to target weights, pay for what is traded, earn
     the next period's return, let holdings drift.  Rows (portfolio, time, weights array, rets
     array), the return being that of the following period; (portfolio, step, equity, turnover,
-    cost).  The path is a fold over the portfolio's own periods, inside the JVM."""
-    steps = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("weights").alias("w"), F.col("rets").alias("r"))))
-    start = F.struct(
-        F.lit(float(initial)).alias("equity"),
-        F.transform(F.get(F.col("steps"), 0)["w"], lambda x: x * 0.0).alias("held"),
-        F.array().cast("array<struct<t:timestamp_ntz,equity:double,turnover:double,cost:double>>").alias("path"),
-    )
-
-    def add(s: Column, x: Column) -> Column:
-        target = F.transform(x["w"], lambda w: w * s["equity"])
-        traded = F.aggregate(F.zip_with(target, s["held"], lambda a, b: F.abs(a - b)), F.lit(0.0), lambda u, v: u + v)
-        cost = linear_cost(cost_bps)(traded)
-        equity = s["equity"] - cost + dot(target, x["r"])
-        row = F.struct(x["t"].cast("timestamp_ntz").alias("t"), equity.alias("equity"), traded.alias("turnover"), cost.alias("cost"))
-        return F.struct(equity.alias("equity"), F.zip_with(target, x["r"], lambda h, r: h * (1.0 + r)).alias("held"), F.concat(s["path"], F.array(row)).alias("path"))
-
-    d = df.groupBy(portfolio).agg(steps.alias("steps"))
-    d = d.select(portfolio, F.posexplode(F.aggregate("steps", start, add, lambda s: s["path"])).alias("step", "x"))
-    return d.select(portfolio, "step", F.col("x.t").alias(time), "x.equity", "x.turnover", "x.cost")
+    cost).
+
+    Periods come sorted in batches, and what goes on from one to the next is a portfolio's equity and
+    holdings alone: a path takes time in proportion to its length, and memory for one batch."""
+    cost_of = linear_cost(cost_bps)
+    d = df.select(portfolio, time, F.col("weights").cast("array<double>"), F.col("rets").cast("array<double>"))
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, step, equity, held = object(), 0, initial, None
+        for b in batches:
+            out = []
+            for name, weights, rets in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                target_share, gain = np.array(weights, float), np.array(rets, float)
+                if name != key:
+                    key, step, equity, held = name, 0, initial, np.zeros(len(target_share))
+                target = target_share * equity
+                traded = float(np.abs(target - held).sum())
+                cost = cost_of(traded)
+                equity = equity - cost + float(target @ gain)
+                held = target * (1.0 + gain)
+                out.append((step, equity, traded, cost))
+                step += 1
+            steps, *rest = zip(*out) if out else ([], [], [], [])
+            columns = [b.column(0), pa.array(steps, pa.int32()), b.column(1), *(pa.array(x, pa.float64()) for x in rest)]
+            yield pa.RecordBatch.from_arrays(columns, names=[portfolio, "step", time, "equity", "turnover", "cost"])
+
+    schema = f"{portfolio} {kinds[portfolio]}, step int, {time} {kinds[time]}, equity double, turnover double, cost double"
+    return d.repartition(portfolio).sortWithinPartitions(portfolio, time).mapInArrow(run, schema)
 
 
 def performance(returns: DataFrame, by: list[str] | None = None, time: str = "date", ret: str = "daily_ret", population: bool = False, compound: bool = True, eps: float = 0.0, year: int = 252) -> DataFrame:
@@ -144,6 +157,30 @@ def performance(returns: DataFrame, by: list[str] | None = None, time: str = "da
     return agg.select(*by, "n_days", *(F.when(live, e).otherwise(0.0).alias(k) for k, e in out.items()))
 
 
+def plain_performance(returns: DataFrame, by: list[str] | None = None, ret: str = "daily_ret", year: int = 252) -> DataFrame:
+    """(by.., sharpe, win_rate, n_days): mean over sample deviation and the share of gains; a flat
+    or single return has a Sharpe ratio of 0."""
+    sd = F.stddev_samp(ret)
+    sharpe = F.when(F.coalesce(sd, F.lit(0.0)) > 0, F.avg(ret) / sd * math.sqrt(year)).otherwise(0.0)
+    win = F.avg((F.col(ret) > 0).cast("double"))
+    return returns.where(F.col(ret).isNotNull()).groupBy(*(by or [])).agg(sharpe.alias("sharpe"), win.alias("win_rate"), F.count(ret).alias("n_days"))
+
+
+def equity_performance(path: DataFrame, by: list[str], step: str = "step", equity: str = "equity", year: int = 252) -> DataFrame:
+    """(by.., sharpe, max_drawdown, total_return) of equity curves: returns are those of the curve
+    itself, drawdowns from its running peak."""
+    w = Window.partitionBy(*by).orderBy(step)
+    r = F.try_divide(F.col(equity), F.lag(equity).over(w)) - 1
+    dd = F.try_divide(F.col(equity), F.max(equity).over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1
+    d = path.withColumns({"_r": r, "_dd": dd})
+    sd = F.stddev_samp("_r")
+    return d.groupBy(*by).agg(
+        F.when(F.coalesce(sd, F.lit(0.0)) > 0, F.avg("_r") / sd * math.sqrt(year)).otherwise(0.0).alias("sharpe"),
+        F.min("_dd").alias("max_drawdown"),
+        (F.try_divide(F.max_by(equity, step), F.min_by(equity, step)) - 1).alias("total_return"),
+    )
+
+
 def weight_rule(df: DataFrame, rule: str, time: str = "date", pos: str = "pos") -> DataFrame:
     """gross: absolute weights sum to one; equal: by the number of active positions; independent:
     a tenth of the position."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.functions import dates
 from tessera.functions.exprs import Layers, Panel, rounded
-from tessera.operators import clustering, cross_section, daily_factors, dynamics, extended_factors, firm_factors, graph, joins, portfolio
+from tessera.operators import clustering, cross_section, daily_factors, dynamics, extended_factors, firm_factors, graph, joins, modes, portfolio
 from tessera.plans import walkforward
 from tessera.plans.panels import DAY, MONTH, NATION, QUARTER, YEAR, Query, plain, run
 
@@ -540,7 +540,7 @@ def granger_graph(spark, sf_dir):
 
 @register()
 def covariance_modes(spark, sf_dir):
-    return spark.createDataFrame(graph.covariance_modes(NATION.frame(spark, sf_dir), 5), "mode int, explained double")
+    return spark.createDataFrame(modes.covariance_modes(NATION.frame(spark, sf_dir), 5)[0], "mode int, explained double")
 
 
 # Clusters.
@@ -829,3 +829,6 @@ def walk_forward_strategy(spark, sf_dir):
     d = p.join(label.select("permno", F.col("month").alias("date"), "cluster"), ["permno", "date"])
     out = portfolio.daily_pnl(_WALK.apply(d), 10.0)
     return out.select("date", r6("gross_ret"), r6("turnover"), r6("daily_ret"))
+
+
+from tessera.plans import file_queries, model_queries  # noqa: E402, F401  register their queries

@@ -162,17 +162,16 @@ def markdown_table(df: DataFrame, rows: int = 100, digits: int = 4) -> str:
 
 def derive_missing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Quarterly inputs that a source lacks, from those it has; any other, or one whose rule lacks
-    an input as well, becomes 0."""
+    an input as well, is NULL, which is missing and not zero."""
     from pyspark.errors import AnalysisException
 
     rules = {"niq": "ibq", "dlttq": "ltq - lctq", "oiadpq": "saleq - cogsq - xsgaq", "piq": "ibq + txtq", "epspxq": "ibq / nullif(cshoq, 0)", "dpq": "0.0e0"}
     for name in wanted:
         if name not in df.columns:
             try:
-                df.select(F.expr(rules.get(name, "0.0e0"))).schema
-                df = df.withColumn(name, F.expr(rules.get(name, "0.0e0")).cast("double"))
+                df = df.withColumn(name, F.expr(rules.get(name, "NULL")).cast("double"))
             except AnalysisException:  # an input of the rule is missing too
-                df = df.withColumn(name, F.lit(0.0))
+                df = df.withColumn(name, F.lit(None).cast("double"))
     return df
 
 
@@ -188,3 +187,27 @@ def random_walks(spark: SparkSession, entities: int, steps: int, clusters: int =
         hit = (F.col("entity") == shock[0]) & F.col("t").between(shock[1], shock[2])
         d = d.withColumn("price", F.col("price") + F.when(hit, shock[3]).otherwise(0.0))
     return d
+
+
+def cointegrated_prices(spark: SparkSession, clusters: int, each: int, steps: int, speed: float = 0.1, spread: float = 0.5, shock: tuple[int, int, int, float] | None = None, seed: int = 42) -> DataFrame:
+    """(entity, cluster, t, price): members of a cluster follow one random walk, each with a spread
+    that reverts to it at ``speed`` a step, so any two of them are cointegrated.  ``shock`` adds (entity,
+    from, to, size).  Each entity's path comes from its own seed, however rows are dealt."""
+
+    def paths(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            for entity in frame["id"]:
+                cluster = int(entity) % clusters
+                walk = 100 + np.cumsum(np.random.default_rng([seed, 0, cluster]).normal(size=steps))
+                noise, gap = np.random.default_rng([seed, 1, int(entity)]).normal(scale=spread, size=steps), np.zeros(steps)
+                for t in range(1, steps):
+                    gap[t] = (1 - speed) * gap[t - 1] + noise[t]
+                price = walk + gap
+                if shock and shock[0] == entity:
+                    price[shock[1] : shock[2] + 1] += shock[3]
+                yield pd.DataFrame({"entity": int(entity), "cluster": cluster, "t": np.arange(steps), "price": price})
+
+    return spark.range(clusters * each).mapInPandas(paths, "entity long, cluster int, t int, price double")

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.functions import dates
 from tessera.functions.exprs import Layers, Panel, clip, div, safe_log, signed_ratio
-from tessera.operators import clustering, cross_section, daily_factors, dynamics, extended_factors, firm_factors, graph, joins, portfolio
+from tessera.operators import clustering, cross_section, daily_factors, dynamics, extended_factors, firm_factors, graph, hierarchy, joins, modes, neighbours, portfolio, window_models
 from tessera.plans import walkforward
 from tessera.sources import panels as sources
+from tessera.sources.shared import Rounds
 from tessera.streaming.bars import tumbling_bars
 
 D = dt.date
@@ -341,7 +342,7 @@ def test_granger_unit_root_and_modes(spark):
     p = {r.i: r.p for r in graph.dickey_fuller(s).collect()}
     assert p[0] < 0.05 < p[2]
     values = np.linalg.eigvalsh(np.cov(f.T))[::-1]
-    assert [v for _, v in graph.covariance_modes(s, 3)] == pytest.approx(list(values[:3] / values.sum()))
+    assert [v for _, v in modes.covariance_modes(s, 3)[0]] == pytest.approx(list(values[:3] / values.sum()))
 
 
 def test_graph_stability(spark):
@@ -461,7 +462,7 @@ def test_feature_columns(spark):
 
 def test_bounded_nodes(spark):
     with pytest.raises(ValueError, match="more than 3 nodes"):
-        graph.covariance_modes(series_of(spark, walks()), 2, most=3)
+        dynamics.recover_graph(series_of(spark, walks()), 0.01, most=3)
 
 
 def test_samples_and_batches(spark):
@@ -478,4 +479,4 @@ def test_markdown_and_missing_inputs(spark):
     d = spark.createDataFrame([("a|b", 1, 0.5), ("c", None, None)], "name string, n int, x double")
     assert sources.markdown_table(d, digits=2) == "| name | n | x |\n| - | - | - |\n| a\\|b | 1 | 0.50 |\n| c |  |  |"
     q = spark.createDataFrame([(2.0, 5.0)], "ibq double, ltq double")
-    assert sources.derive_missing(q, ["niq", "dlttq", "ibq"]).first().asDict() == {"ibq": 2.0, "ltq": 5.0, "niq": 2.0, "dlttq": 0.0}
+    assert sources.derive_missing(q, ["niq", "dlttq", "ibq"]).first().asDict() == {"ibq": 2.0, "ltq": 5.0, "niq": 2.0, "dlttq": None}
