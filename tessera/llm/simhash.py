@@ -341,7 +341,8 @@ def _rare_pairs(sets: DataFrame, rooted: DataFrame, similarity: float) -> DataFr
     short beginnings of the smaller sets meet the longer ones of the larger, no pair is lost, and
     pages that only share a template below the line do not meet at its shingles.  The first shingle
     that two share must leave enough behind it on both sides.  Documents joined already do not
-    meet: the roots at a shingle are paired first, then the documents of these.
+    meet: a document is paired with the roots at a shingle first, then with those of their documents that may
+    be similar, so there are no more rows than documents and candidates.
     """
     sized = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("s"))
     often = sized.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
@@ -358,18 +359,14 @@ def _rare_pairs(sets: DataFrame, rooted: DataFrame, similarity: float) -> DataFr
     large = large.join(meets.where("low < high and any").select("s"), "s", "left_semi")
     small = large.where(begins(2 * similarity / (1 + similarity)))
 
-    def side(frame: DataFrame, end: str, *columns: str) -> DataFrame:
-        return frame.select("s", *(F.col(c).alias(f"{end}_{c}") for c in ("root", "id", "n", "at", *columns)))
-
-    def of_roots(frame: DataFrame) -> DataFrame:
-        return frame.groupBy("s", "root").agg(F.count("*").alias("c"), *(F.min(x).alias(x) for x in ("id", "n", "at")))
-
-    both = (F.col("l_n") + F.col("r_n")) * (similarity / (1 + similarity))
-    fit = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) + 1 >= both - 1e-9
-    fit = fit & (F.struct("l_n", "l_id") < F.struct("r_n", "r_id"))
-    single = (F.col("l_c") == 1) & (F.col("r_c") == 1)
-    roots = side(of_roots(small), "l", "c").join(side(of_roots(large), "r", "c"), "s").where((F.col("l_root") != F.col("r_root")) & (~single | fit))
-    many = roots.where(~single).select("s", "l_root", "r_root")
-    many = many.join(side(small, "l"), ["s", "l_root"]).join(side(large, "r"), ["s", "r_root"]).where(fit)
-    pairs = roots.where(single).select("l_id", "r_id").unionAll(many.select("l_id", "r_id"))
+    share = similarity / (1 + similarity)
+    left = small.select("s", *(F.col(c).alias(f"l_{c}") for c in ("root", "id", "n", "at")))
+    right = large.select("s", *(F.col(c).alias(f"r_{c}") for c in ("root", "id", "n", "at")))
+    # First with the roots at a shingle: could any document of the root be similar?
+    roots = right.groupBy("s", "r_root").agg(F.min("r_n").alias("least"), F.max("r_n").alias("most"), F.max(F.col("r_n") - F.col("r_at")).alias("room"))
+    room = F.least(F.col("l_n") - F.col("l_at"), F.col("room")) + 1
+    could = (F.col("l_root") != F.col("r_root")) & (F.col("l_n") <= F.col("most")) & (room >= (F.col("l_n") + F.greatest("l_n", "least")) * share - 1e-9)
+    met = left.join(roots, "s").where(could).select("s", "l_id", "l_n", "l_at", "r_root")
+    fit = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) + 1 >= (F.col("l_n") + F.col("r_n")) * share - 1e-9
+    pairs = met.join(right, ["s", "r_root"]).where(fit & (F.struct("l_n", "l_id") < F.struct("r_n", "r_id")))
     return pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
