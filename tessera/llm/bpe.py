@@ -114,6 +114,8 @@ class BytePairCodec:
                 out.pop()
                 at -= length[last]
                 token = last
+        if at < n:
+            raise ValueError(f"the vocabulary has no token for byte {piece[at]:#04x}")
         return out
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import shared_dir
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -40,17 +41,6 @@ def give_back() -> None:
         trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that isn't set."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(where)
-        where = sc.getCheckpointDir()
-    return where.rstrip("/")
-
-
 class Scratch:
     """Written tables in the shared folder that cut lineage: a lost executor costs a re-read only.
 

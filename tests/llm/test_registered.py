@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_exact_digest": ("documents", ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]),
     "op9_packing": (None, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]),
     "op10_url_rules": ("pages", ["page_id", "host", "path", "rule", "verdict"]),
+    "op11_lexical_search": (None, ["item_id", "rank", "doc_id", "score"]),
+    "op12_source_mix": ("documents", ["doc_id", "size", "source_size", "target", "taken"]),
+    "op13_filter_audit": (None, ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]),
 }
 
 
@@ -34,7 +37,7 @@ def test_query(spark, sf_dir, name):
         assert len(rows) == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     if name in queries.ORACLE_SQL:
         c = duckdb.connect()
-        for t in ("documents", "embeddings", "pages"):
+        for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
             c.execute(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
         cursor = c.execute(queries.ORACLE_SQL[name])
         names = [d[0] for d in cursor.description]
@@ -49,9 +52,15 @@ def test_wider_documents(spark, sf_dir, tmp_path):
     for c in ("id", "fp", "part", "ids", "n", "spans", "host", "place", "start"):
         d = d.selectExpr("*", f"'x' AS {c}")
     d.write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").selectExpr("*", "'x' AS id", "'x' AS term", "'x' AS part").write.parquet(str(tmp_path / f"{t}.parquet"))
     n = d.count()
     for name, (table, _) in COLUMNS.items():
         if table == "documents":
             assert queries.QUERIES[name](spark, str(tmp_path)).count() == n, name
     pieces = queries.QUERIES["op9_packing"](spark, str(tmp_path)).collect()
     assert sum(p.start == 0 for p in pieces) == n
+    found = queries.QUERIES["op11_lexical_search"](spark, str(tmp_path)).collect()
+    assert found and all(r.doc_id is not None and r.score > 0 for r in found)
+    first = queries.QUERIES["op13_filter_audit"](spark, str(tmp_path)).where("filter_order = 'ABCDE' AND step = 1")
+    assert first.agg({"kept": "sum"}).first()[0] + first.agg({"removed": "sum"}).first()[0] == n

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import topk
 from tessera.llm.shared import Scratch
@@ -88,3 +89,32 @@ def test_wide_values(spark, monkeypatch, scale):
     v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))
     got = topk.search(v, v.where("id % 50 = 0"), 5, Scratch(spark))
     assert sorted(tuple(x) for x in got.collect()) == brute(rows, 5, 50)
+
+
+@pytest.mark.parametrize("kind", ["copies", "scores"])
+def test_ties_leave_k_rows(spark, monkeypatch, kind):
+    """Copies of one vector, or vectors of one score, make k candidates a query and task, not all rows."""
+    seen, real = [], topk._scan
+    monkeypatch.setattr(topk, "_scan", lambda *a: seen.append(real(*a)) or seen[-1])
+    n, wide = 600, 300.0  # cells wider than one value, so that bounds of copies are not exact
+    rows = [(i, [1.0, 2.0, wide] if kind == "copies" else [1.0, float(i % 90), 0.0]) for i in range(n)]
+    if kind == "copies":
+        rows.append((10_001, [-wide, 5.0, 0.0]))
+        queries = "id % 50 = 0"
+    else:
+        rows += [(50_000 + i, [1.0, 0.0, 0.0]) for i in range(4)]
+        queries = "id >= 50000"
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))
+    asked = v.where(queries)
+    got = topk.search(v, asked, 5, Scratch(spark))
+    ids = {r.id for r in asked.collect()}
+    vecs = {i: [math.floor(256 * x) for x in w] for i, w in rows}
+    for q in ids:
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got.where(f"query_id = {q}").collect())
+        want = sorted((-sum(a * b for a, b in zip(vecs[q], w)), i) for i, w in vecs.items() if i != q)[:5]
+        assert [(i, s) for _, i, s in mine] == [(i, -s) for s, i in want]
+    per_task = [r["count"] for f in seen for r in f.groupBy("query_id", F.spark_partition_id()).count().collect()] if kind == "scores" else []
+    assert all(c <= 5 for c in per_task)
+    if kind == "copies":
+        named = v.withColumns({"copy": F.unhex(F.sha2(F.array_join("v", ","), 256)), "row": F.monotonically_increasing_id()})
+        assert topk._first_copies(named, 5).count() == 7
