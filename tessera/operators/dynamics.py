@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.operators.modes import spectral_clusters
+from tessera.sources.shared import Rounds
 
 #: Acceptance thresholds of the reports.
 LEAST_NMI, LEAST_ARI, MOST_P, LEAST_IC, LEAST_R2, LEAST_DIRECTION = 0.7, 0.6, 0.05, 0.05, 0.5, 0.55
@@ -50,12 +51,36 @@ def simulate(edges: DataFrame, nodes: int, steps: int, dt: float = 0.01, noise:
     return edges.sparkSession.createDataFrame(pd.DataFrame({"t": t.astype("int32"), "i": i.astype("int32"), "f": f.ravel()}))
 
 
+#: Nodes whose regressions one task solves.
+TARGETS = 64
+
+
+def _lasso(gram, cross, penalty: float, sweeps: int):
+    """Coordinate descent on products alone: each update moves the fitted part of every product."""
+    import numpy as np
+
+    beta, fitted = np.zeros(len(gram)), np.zeros(len(gram))
+    for _ in range(sweeps):
+        most = 0.0
+        for d in range(len(gram)):
+            rho = cross[d] - fitted[d] + gram[d, d] * beta[d]
+            step = np.sign(rho) * max(abs(rho) - penalty, 0.0) / max(gram[d, d], 1e-12) - beta[d]
+            if step:
+                beta[d] += step
+                fitted += step * gram[:, d]
+                most = max(most, abs(step))
+        if most < 1e-9:
+            break
+    return beta
+
+
 def recover_graph(series: DataFrame, dt: float, ridge: float = 1e-6, lasso: float | None = None, sweeps: int = 200, most: int = 3000) -> DataFrame:
     """Edges i < j with positive weight from regressing each node's velocity on all states.
 
-    Products of states are aggregated to one row a pair of nodes; each node's regression (ridge,
-    or coordinate descent for the lasso) then needs that small matrix only.  The coefficients are
-    symmetrised and cut at zero.  More than ``most`` nodes are an error.
+    Products of states are aggregated to one row a pair of nodes.  Each node's regression (ridge, or
+    coordinate descent for the lasso) needs these products and its own with the velocity; TARGETS
+    nodes are solved in a task, which holds the products of all pairs, so more than ``most`` nodes are an
+    error.  The coefficients are symmetrised and cut at zero.
     """
     from pyspark.sql import Window
 
@@ -64,32 +89,43 @@ def recover_graph(series: DataFrame, dt: float, ridge: float = 1e-6, lasso: floa
     s = series.withColumn("v", (F.lead("f").over(w) - F.col("f")) / dt).where("v IS NOT NULL")
     a = s.select("t", "i", F.col("f").alias("x"))
     b = s.select("t", F.col("i").alias("j"), F.col("f").alias("y"), "v")
+    tables = Rounds(series.sparkSession)
     sums = a.join(b, "t").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xx"), F.sum(F.col("x") * F.col("v")).alias("xv"), F.count("*").alias("n"))
-    import numpy as np
-
-    rows = sums.collect()  # one row a pair of nodes
-    names = sorted({r.i for r in rows})
-    at = {n: k for k, n in enumerate(names)}
-    gram, cross, n = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2), 1
-    for r in rows:
-        gram[at[r.i], at[r.j]], cross[at[r.i], at[r.j]], n = r.xx, r.xv, max(n, r.n)
-    if lasso is None:
-        coef = np.linalg.solve(gram + ridge * np.eye(len(names)), cross).T
-    else:
-        coef = np.zeros_like(gram)
-        for k in range(len(names)):
-            beta = coef[k]
-            for _ in range(sweeps):
-                before = beta.copy()
-                for d in range(len(names)):
-                    rho = cross[d, k] - gram[d] @ beta + gram[d, d] * beta[d]
-                    beta[d] = np.sign(rho) * max(abs(rho) - lasso * n, 0.0) / max(gram[d, d], 1e-12)
-                if np.abs(beta - before).max() < 1e-9:
-                    break
-    weights = np.maximum((coef + coef.T) / 2, 0.0)
+    sums = tables.cut(sums)
+    tasks = max(1, -(-series.select("i").distinct().count() // TARGETS))
+    rows = sums.groupBy("i").agg(F.collect_list(F.struct("j", "xx")).alias("products"))  # a row a node
+    rows = rows.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    asked = sums.select(F.pmod(F.xxhash64("j"), F.lit(tasks)).cast("int").alias("task"), F.col("i").alias("node"), F.col("j").alias("target"), "xv", "n")
     kind = series.schema["i"].dataType.simpleString()
-    out = [(names[i], names[j], float(weights[i, j])) for i in range(len(names)) for j in range(i + 1, len(names)) if weights[i, j] > 0]
-    return series.sparkSession.createDataFrame(out, f"i {kind}, j {kind}, w double")
+
+    def solve(products, wanted):
+        import numpy as np
+        import pandas as pd
+
+        if not len(wanted):
+            return pd.DataFrame(columns=["i", "j", "c"], dtype=object)
+        names = sorted(products["i"])
+        at = {x: k for k, x in enumerate(names)}
+        gram = np.zeros((len(names), len(names)))
+        for i, some in zip(products["i"], products["products"]):
+            for p in some:
+                gram[at[i], at[p["j"]]] = p["xx"]
+        targets = sorted(set(wanted["target"]))
+        place = {x: k for k, x in enumerate(targets)}
+        cross = np.zeros((len(names), len(targets)))
+        for node, target, xv in zip(wanted["node"], wanted["target"], wanted["xv"]):
+            cross[at[node], place[target]] = xv
+        if lasso is None:
+            coef = np.linalg.solve(gram + ridge * np.eye(len(names)), cross)
+        else:
+            n = wanted.groupby("target")["n"].max()
+            coef = np.column_stack([_lasso(gram, cross[:, k], lasso * n[x], sweeps) for x, k in place.items()])
+        used = np.argwhere(coef != 0)
+        return pd.DataFrame({"i": [names[p] for p, _ in used], "j": [targets[q] for _, q in used], "c": coef[used[:, 0], used[:, 1]]})
+
+    coef = rows.groupBy("task").cogroup(asked.toDF(*asked.columns).groupBy("task")).applyInPandas(solve, f"i {kind}, j {kind}, c double")
+    both = coef.where("i <> j").groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg((F.sum("c") / 2).alias("w"))
+    return both.where("w > 0")
 
 
 def weight_errors(pred: DataFrame, truth: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from tessera.functions.exprs import Layers, Panel, div, flag, safe_log, signed_ratio
 
+#: Statement items of the annual characteristics.
 ANNUAL_INPUTS = (
     "sale at act che lct dlc txp dp lt cogs xsga ppent ppegt invt rect ceq emp csho prcc_f ib gdwl capx dvt dltt ebit nopi xrd "
     "revt oancf spi xad gdwlia gdwlip gwo fatb fatl ob dm dcvt cshrc aco intan ao ap lco lo drc drlt xint ni scstkc txfo txfed"
@@ -148,6 +149,7 @@ def annual_layers(entity: str = "gvkey", time: str = "datadate", industry_codes:
     return Layers(start, later, ratios, last)
 
 
+#: Names of the annual characteristics.
 ANNUAL_FACTORS = (
     "bm ep cashpr dy lev sp roic rd_sale rd_mve agr gma chcsho lgr sgr hire acc pctacc absacc cfp chinv spii spi cf chpm chato "
     "pchsale_pchinvt pchsale_pchrect pchgm_pchsale pchsale_pchxsga depr pchdepr chadv invest egr pchcapx grcapx grgw wogw tang sin "
@@ -161,6 +163,7 @@ def industry_adjusted(names: list[str], keys: str = "fyear, sic2") -> Layers:
     return Layers({f"{n}_ia": f"{n} - avg({n}) OVER (PARTITION BY {keys})" for n in names})
 
 
+#: Statement items and names of the quarterly characteristics.
 QUARTERLY_INPUTS = "ibq atq cshoq prccq saleq txtq seqq actq cheq lctq dlcq ppentq".split()
 QUARTERLY_FACTORS = "roaq mveq rsup sue roavol chtx roeq sacc stdacc sgrvol scf stdcf cash cinvest nincr aeavol ear".split()
 
@@ -198,6 +201,7 @@ def quarterly_layers(entity: str = "gvkey", time: str = "datadate") -> Layers:
     return Layers(lags, ratios, second, third)
 
 
+#: Names of the monthly characteristics.
 MONTHLY_FACTORS = "mom1m mom6m mom12m mom36m chmom retvol mve_m mve turn dolvol retcons_pos retcons_neg ipo ewmkt beta idiovol betasq".split()
 
 

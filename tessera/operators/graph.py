@@ -88,15 +88,35 @@ def similarity(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     return s.withColumn("similarity", (F.col("correlation") + F.col("jaccard") + F.col("cosine")) / 3)
 
 
+def window_correlations(series: DataFrame, window: int, step: int) -> DataFrame:
+    """(start, i, j, w): absolute correlation of every pair i < j over the times start .. start +
+    window - 1, for the starts 0, step, 2 step, .. of whole windows; NULL where a side is constant.
+
+    Products are summed once in blocks of the greatest length that divides window and step; a window is
+    a RANGE frame over its blocks.  So a row is shuffled once, however much windows overlap."""
+    g = math.gcd(window, step)
+    centred = series.join(series.groupBy("i").agg(F.avg("f").alias("_m")), "i").select("t", "i", (F.col("f") - F.col("_m")).alias("f"))
+    a, b = centred.select("t", "i", F.col("f").alias("x")), centred.select("t", F.col("i").alias("j"), F.col("f").alias("y"))
+    sums = {"n": F.count("*"), "x": F.sum("x"), "y": F.sum("y"), "xx": F.sum(F.col("x") ** 2), "yy": F.sum(F.col("y") ** 2), "xy": F.sum(F.col("x") * F.col("y"))}
+    ends = {"x0": F.min("x"), "x1": F.max("x"), "y0": F.min("y"), "y1": F.max("y")}
+    blocks = a.join(b, "t").where("i < j").groupBy("i", "j", F.floor(F.col("t") / g).cast("int").alias("block")).agg(*(e.alias(k) for k, e in {**sums, **ends}.items()))
+    last = series.agg(F.max("t")).first()[0]
+    starts = list(range(0, (last if last is not None else -1) - window + 1, step))
+    blank = blocks.select("i", "j").distinct().withColumn("block", F.explode(F.lit([x // g for x in starts]).cast("array<int>"))).withColumn("_start", F.lit(True))
+    both = blocks.withColumn("_start", F.lit(False)).unionByName(blank, allowMissingColumns=True)
+    w = Window.partitionBy("i", "j").orderBy("block").rangeBetween(0, window // g - 1)
+    both = both.withColumns({k: F.sum(k).over(w) for k in sums} | {k: (F.min if k.endswith("0") else F.max)(k).over(w) for k in ends}).where("_start")
+    cov = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    spread = F.sqrt((F.col("xx") - F.col("x") ** 2 / F.col("n")) * (F.col("yy") - F.col("y") ** 2 / F.col("n")))
+    corr = F.when((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")), F.abs(F.try_divide(cov, spread)))
+    return both.where("n > 0").select((F.col("block") * g).alias("start"), "i", "j", corr.alias("w"))
+
+
 def stability(series: DataFrame, window: int, step: int, threshold: float) -> DataFrame:
     """Similarity of the correlation graphs of successive windows of times 0, step, 2 step, ..:
     (window, similarity to the one before).  t counts from 0."""
-    starts = F.expr(f"sequence(greatest(0, int(ceil((t - {window - 1}) / {step}.0)) * {step}), int(t), {step})")
-    s = series.withColumn("start", F.explode(F.filter(starts, lambda x: x <= F.col("t"))))
-    last = series.agg(F.max("t")).first()[0]
-    s = s.where(F.col("start") + window <= F.lit(last))
-    a, b = s.select("start", "t", "i", F.col("f").alias("x")), s.select("start", "t", F.col("i").alias("j"), F.col("f").alias("y"))
-    e = a.join(b, ["start", "t"]).where("i < j").groupBy("start", "i", "j").agg(F.abs(guarded_corr("x", "y")).alias("w")).where(F.col("w") > threshold)
+    last = series.agg(F.max("t")).first()[0] or 0
+    e = window_correlations(series, window, step).where(F.col("w") > threshold)
     prev = e.select((F.col("start") + step).alias("start"), "i", "j", F.col("w").alias("v"))
     both = e.join(prev, ["start", "i", "j"], "full").fillna({"w": 0.0, "v": 0.0})
     out = both.groupBy("start").agg(F.try_divide(F.count_if(F.expr("w > 0 and v > 0")).cast("double"), F.count("*")).alias("jaccard"), F.try_divide(F.sum(F.col("w") * F.col("v")), F.sqrt(F.sum(F.col("w") ** 2) * F.sum(F.col("v") ** 2))).alias("cosine"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators import extended_factors, firm_factors, graph, modes, portfolio, training, window_models
+from tessera.operators import dynamics, extended_factors, firm_factors, graph, modes, portfolio, training, window_models
 from tessera.plans.panels import MONTH, NATION, plain, run
 from tessera.plans.queries import _pnl, _pnl_sql, r6, register
 from tessera.sources.shared import Rounds
@@ -147,6 +147,31 @@ def equity_performance(spark, sf_dir):
     return portfolio.equity_performance(e, ["pf"]).select("pf", r6("sharpe"), r6("max_drawdown"), r6("total_return"))
 
 
+@register(f"""WITH s AS ({_NODES}), w AS (SELECT CAST(unnest(range(0, (SELECT max(t) FROM s) - 24 + 1, 10)) AS INT) AS start)
+    SELECT start, a.i, b.i AS j, round(CASE WHEN min(a.f) < max(a.f) AND min(b.f) < max(b.f) THEN abs(corr(a.f, b.f)) END, 5) AS w
+    FROM w JOIN s a ON a.t >= start AND a.t < start + 24 JOIN s b ON b.t = a.t AND a.i < b.i GROUP BY start, a.i, b.i""")
+def rolling_correlations(spark, sf_dir):
+    """Correlations of all pairs in overlapping windows."""
+    d = graph.window_correlations(NATION.frame(spark, sf_dir), 24, 10)
+    return d.select("start", "i", "j", F.round("w", 5).alias("w"))
+
+
+@register(f"""WITH p AS (SELECT t, i, f FROM ({_NODES}) WHERE i < 2), v AS (SELECT *, lead(f) OVER (PARTITION BY i ORDER BY t) - f AS v FROM p),
+    w AS (SELECT a.f AS x, b.f AS y, a.v AS vx, b.v AS vy FROM v a JOIN v b ON a.t = b.t AND a.i = 0 AND b.i = 1 AND a.v IS NOT NULL AND b.v IS NOT NULL),
+    s AS (SELECT sum(x * x) + 1e-6 AS xx, sum(y * y) + 1e-6 AS yy, sum(x * y) AS xy, sum(x * vx) AS xvx, sum(x * vy) AS xvy, sum(y * vx) AS yvx, sum(y * vy) AS yvy FROM w),
+    c AS (SELECT (xx * yvx - xy * xvx) / (xx * yy - xy * xy) AS a, (yy * xvy - xy * yvy) / (xx * yy - xy * xy) AS b FROM s)
+    SELECT CAST(0 AS INT) AS i, CAST(1 AS INT) AS j, round((a + b) / 2, 4) AS w FROM c WHERE a + b > 0""")
+def recovered_pair(spark, sf_dir):
+    """The graph of two nations from regressions of velocities on states."""
+    d = dynamics.recover_graph(NATION.frame(spark, sf_dir).where("i < 2"), 1.0)
+    return d.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("w", 4).alias("w"))
+
+
+@register()
+def recovered_graph(spark, sf_dir):
+    return dynamics.recover_graph(NATION.frame(spark, sf_dir), 1.0).select("i", "j", r6("w", 4))
+
+
 @register()
 def spectral_groups(spark, sf_dir):
     """Clusters of the correlation graph on its spectral embedding."""

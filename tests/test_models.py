@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import clustering, components, extended_factors, graph, hierarchy, modes, neighbours, portfolio, training, window_models
+from tessera.operators import clustering, components, dynamics, extended_factors, graph, hierarchy, modes, neighbours, portfolio, training, window_models
 from tessera.plans import model_queries
 from tessera.sources import panels as sources
 from tessera.sources.shared import Rounds
@@ -411,6 +411,29 @@ def test_cointegrated_prices(spark):
     assert again.sort_values(["entity", "t"]).price.tolist() == d.sort_values(["entity", "t"]).price.tolist()
 
 
+@pytest.mark.parametrize("lasso", [None, 0.02])
+def test_regressions_in_tasks(spark, monkeypatch, lasso):
+    """The same edges as from one dense matrix, with the nodes spread over several tasks."""
+    monkeypatch.setattr(dynamics, "TARGETS", 3)
+    f = np.cumsum(np.random.default_rng(15).normal(size=(120, 8)), axis=0) / 5
+    series = spark.createDataFrame([(t, i, float(f[t, i])) for t in range(120) for i in range(8)], "t int, i int, f double")
+    got = {(x.i, x.j): x.w for x in dynamics.recover_graph(series, 0.5, lasso=lasso).collect()}
+    x, v = f[:-1], np.diff(f, axis=0) / 0.5
+    gram, cross = x.T @ x, x.T @ v
+    if lasso is None:
+        coef = np.linalg.solve(gram + 1e-6 * np.eye(8), cross)
+    else:
+        coef = np.zeros((8, 8))
+        for k in range(8):
+            for _ in range(3000):
+                for d in range(8):
+                    rho = cross[d, k] - gram[d] @ coef[:, k] + gram[d, d] * coef[d, k]
+                    coef[d, k] = np.sign(rho) * max(abs(rho) - lasso * 119, 0) / gram[d, d]
+    w = (coef + coef.T) / 2
+    want = {(i, j): w[i, j] for i in range(8) for j in range(i + 1, 8) if w[i, j] > 1e-9}
+    assert {k: v for k, v in got.items() if v > 1e-9} == pytest.approx(want, abs=1e-6)
+
+
 # Training.
 def system(seed, n=9, times=14, dims=4):
     r = np.random.default_rng(seed)
