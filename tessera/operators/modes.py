@@ -152,6 +152,5 @@ def spectral_clusters(edges: DataFrame, k: int, seed: int = 42, starts: int = 10
     """(i, pred): k-means on the spectral embedding of the k largest eigenvalues."""
     _, points = spectral_embedding(edges, k)
     rows = points.select(F.lit(0).alias("_one"), F.col("node").alias("id"), F.col("z").alias("v"))
-    # Points lie within 1 / root(degree); k-means works on them in units of their own spread.
-    fitted = window_models.fit_kmeans(rows, ["_one"], k, starts, seed, tolerance=1e-12)
+    fitted = window_models.fit_kmeans(rows, ["_one"], k, starts, seed, tolerance=1e-8)
     return window_models.assign(rows, fitted.drop("loss"), ["_one"]).select(F.col("id").alias("i"), F.col("cluster").alias("pred"))

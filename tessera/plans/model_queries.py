@@ -156,14 +156,15 @@ def rolling_correlations(spark, sf_dir):
     return d.select("start", "i", "j", F.round("w", 5).alias("w"))
 
 
-@register(f"""WITH p AS (SELECT t, i, f FROM ({_NODES}) WHERE i < 2), v AS (SELECT *, lead(f) OVER (PARTITION BY i ORDER BY t) - f AS v FROM p),
-    w AS (SELECT a.f AS x, b.f AS y, a.v AS vx, b.v AS vy FROM v a JOIN v b ON a.t = b.t AND a.i = 0 AND b.i = 1 AND a.v IS NOT NULL AND b.v IS NOT NULL),
-    s AS (SELECT sum(x * x) + 1e-6 AS xx, sum(y * y) + 1e-6 AS yy, sum(x * y) AS xy, sum(x * vx) AS xvx, sum(x * vy) AS xvy, sum(y * vx) AS yvx, sum(y * vy) AS yvy FROM w),
+@register(f"""WITH p AS (SELECT t, i, f FROM ({_NODES}) WHERE i IN (2, 3)), v AS (SELECT *, lead(f) OVER (PARTITION BY i ORDER BY t) - f AS v FROM p),
+    o AS (SELECT sum(CASE WHEN i = 2 THEN f * f END) + 1e-6 AS xx, sum(CASE WHEN i = 3 THEN f * f END) + 1e-6 AS yy, sum(CASE WHEN i = 2 THEN f * v END) AS xvx, sum(CASE WHEN i = 3 THEN f * v END) AS yvy FROM v WHERE v IS NOT NULL),
+    m AS (SELECT sum(a.f * b.f) AS xy, sum(a.f * b.v) AS xvy, sum(b.f * a.v) AS yvx FROM v a JOIN v b ON a.t = b.t AND a.i = 2 AND b.i = 3 AND a.v IS NOT NULL AND b.v IS NOT NULL),
+    s AS (SELECT * FROM o, m),
     c AS (SELECT (xx * yvx - xy * xvx) / (xx * yy - xy * xy) AS a, (yy * xvy - xy * yvy) / (xx * yy - xy * xy) AS b FROM s)
-    SELECT CAST(0 AS INT) AS i, CAST(1 AS INT) AS j, round((a + b) / 2, 4) AS w FROM c WHERE a + b > 0""")
+    SELECT CAST(2 AS INT) AS i, CAST(3 AS INT) AS j, round((a + b) / 2, 4) AS w FROM c WHERE a + b > 0""")
 def recovered_pair(spark, sf_dir):
     """The graph of two nations from regressions of velocities on states."""
-    d = dynamics.recover_graph(NATION.frame(spark, sf_dir).where("i < 2"), 1.0)
+    d = dynamics.recover_graph(NATION.frame(spark, sf_dir).where("i IN (2, 3)"), 1.0)
     return d.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("w", 4).alias("w"))
 
 
