@@ -160,18 +160,19 @@ def markdown_table(df: DataFrame, rows: int = 100, digits: int = 4) -> str:
     return "\n".join(f"| {' | '.join(x)} |" for x in lines)
 
 
-def derive_missing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """Quarterly inputs that a source lacks, from those it has; any other, or one whose rule lacks
-    an input as well, is NULL, which is missing and not zero."""
+def derive_missing(df: DataFrame, wanted: Sequence[str], unknown: float | None = 0.0) -> DataFrame:
+    """Quarterly inputs that a source lacks, from those it has.  Any other, or one whose rule lacks
+    an input as well, becomes ``unknown``: 0 by the specification, or None to keep it missing."""
     from pyspark.errors import AnalysisException
 
     rules = {"niq": "ibq", "dlttq": "ltq - lctq", "oiadpq": "saleq - cogsq - xsgaq", "piq": "ibq + txtq", "epspxq": "ibq / nullif(cshoq, 0)", "dpq": "0.0e0"}
+    none = F.lit(unknown).cast("double")
     for name in wanted:
         if name not in df.columns:
             try:
-                df = df.withColumn(name, F.expr(rules.get(name, "NULL")).cast("double"))
+                df = df.withColumn(name, F.expr(rules[name]).cast("double") if name in rules else none)
             except AnalysisException:  # an input of the rule is missing too
-                df = df.withColumn(name, F.lit(None).cast("double"))
+                df = df.withColumn(name, none)
     return df
 
 

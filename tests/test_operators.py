@@ -152,7 +152,7 @@ def blobs(spark):
 @pytest.mark.parametrize("method", ["dbscan", "agglomerative", "optics"])
 def test_density_methods_find_blobs(spark, method):
     d = blobs(spark)
-    run = {"dbscan": lambda: clustering.dbscan(d, ["day"], 1.0), "agglomerative": lambda: clustering.agglomerative(d, ["day"], 5.0), "optics": lambda: clustering.optics(d, ["day"])}[method]
+    run = {"dbscan": lambda: clustering.dbscan(d, ["day"], 1.0), "agglomerative": lambda: clustering.agglomerative(d, ["day"], 5.0), "optics": lambda: clustering.optics(d, ["day"], 0.5)}[method]
     got = {r.id: r.cluster for r in run().collect()}
     assert all(len({got[i] for i in range(60) if i % 3 == k}) <= 2 for k in range(3))
     assert got[99] == -1 or list(got.values()).count(got[99]) == 1
@@ -479,4 +479,5 @@ def test_markdown_and_missing_inputs(spark):
     d = spark.createDataFrame([("a|b", 1, 0.5), ("c", None, None)], "name string, n int, x double")
     assert sources.markdown_table(d, digits=2) == "| name | n | x |\n| - | - | - |\n| a\\|b | 1 | 0.50 |\n| c |  |  |"
     q = spark.createDataFrame([(2.0, 5.0)], "ibq double, ltq double")
-    assert sources.derive_missing(q, ["niq", "dlttq", "ibq"]).first().asDict() == {"ibq": 2.0, "ltq": 5.0, "niq": 2.0, "dlttq": None}
+    assert sources.derive_missing(q, ["niq", "dlttq", "ibq"]).first().asDict() == {"ibq": 2.0, "ltq": 5.0, "niq": 2.0, "dlttq": 0.0}
+    assert sources.derive_missing(q, ["niq", "dlttq", "other"], None).first().asDict() == {"ibq": 2.0, "ltq": 5.0, "niq": 2.0, "dlttq": None, "other": None}
