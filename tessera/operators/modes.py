@@ -59,13 +59,13 @@ def _combined(q: Column, weights: np.ndarray) -> Column:
     return F.transform(rows, lambda w: F.aggregate(F.zip_with(q, w, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
 
 
-def leading_pairs(nodes: DataFrame, apply: Callable[[DataFrame], DataFrame], k: int, tolerance: float = 1e-10, rounds: int = 40, seed: int = 42) -> tuple[np.ndarray, DataFrame]:
+def leading_pairs(nodes: DataFrame, apply: Callable[[DataFrame], DataFrame], k: int, tolerance: float = 1e-8, rounds: int = 20, seed: int = 42) -> tuple[np.ndarray, DataFrame]:
     """The k largest eigenvalues of a symmetric operator, in falling order, and (node, z array<double>)
     of its orthonormal eigenvectors, the largest entry of each positive.
 
     ``apply`` takes (node, z) to its image.  Starting vectors come from hashes of the nodes.  Rounds of
     DEPTH powers end when the residual of every pair asked for is below ``tolerance`` times the
-    largest value."""
+    largest value, or when rounding keeps it from falling."""
     tables = Rounds(nodes.sparkSession)
     width = k + MORE
 
@@ -73,7 +73,7 @@ def leading_pairs(nodes: DataFrame, apply: Callable[[DataFrame], DataFrame], k:
         return F.pmod(F.xxhash64("node", F.lit(seed), F.lit(c)), F.lit(1 << 30)) / float(1 << 30) - 0.5
 
     now = tables.cut(nodes.select("node", F.array(*(draw(c) for c in range(width))).alias("z")))
-    values = np.zeros(0)
+    values, before = np.zeros(0), np.inf
     for _ in range(rounds):
         held = None
         for _ in range(DEPTH):
@@ -88,18 +88,21 @@ def leading_pairs(nodes: DataFrame, apply: Callable[[DataFrame], DataFrame], k:
         products = gram(held, "q", "p")
         m = len(products) // 2
         scale = np.sqrt(np.maximum(np.diag(products)[:m], 1e-300))
-        g, t, s = (x / np.outer(scale, scale) for x in (products[:m, :m], (products[:m, m:] + products[m:, :m]) / 2, products[m:, m:]))
+        g, t = (x / np.outer(scale, scale) for x in (products[:m, :m], (products[:m, m:] + products[m:, :m]) / 2))
         lengths, axes = np.linalg.eigh(g)
         kept = lengths > lengths.max() * 1e-12
         white = axes[:, kept] / np.sqrt(lengths[kept])
         values, turn = np.linalg.eigh(white.T @ t @ white)
-        values, y = values[::-1][:width], (white @ turn)[:, ::-1][:, :width]
-        residual = np.sqrt(np.maximum(np.einsum("ik,ij,jk->k", y, s, y) - values**2, 0.0))
-        now = tables.cut(held.select("node", _combined(F.col("q"), y / scale[:, None]).alias("z")))
+        values, y = values[::-1][:width], (white @ turn)[:, ::-1][:, :width] / scale[:, None]
         n = min(k, len(values))
-        # Squares of residuals are differences of near equals: no closer than the root of the precision.
-        if (residual[:n] <= max(tolerance, 1e-8) * max(np.abs(values).max(), 1e-300)).all():
+        both = tables.cut(held.select("node", _combined(F.col("q"), y).alias("z"), _combined(F.col("p"), y[:, :n]).alias("w")))
+        now = both.select("node", "z")
+        theta = F.array(*(F.lit(float(x)) for x in values[:n]))
+        gap = F.zip_with("w", F.zip_with(F.slice("z", 1, n), theta, lambda a, b: a * b), lambda a, b: (a - b) * (a - b))
+        residual = max(both.agg(array_sum(gap).alias("r")).first().r) ** 0.5 / max(np.abs(values).max(), 1e-300)
+        if residual <= tolerance or residual > 0.5 * before and residual < 1e-6:
             break
+        before = residual
     n = min(k, len(values))
     peaks = now.agg(*(F.max_by(F.col("z")[c], F.abs(F.col("z")[c])).alias(f"c{c}") for c in range(n))).first()
     signs = F.array(*(F.lit(float(np.sign(x) or 1.0)) for x in peaks))
