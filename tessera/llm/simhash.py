@@ -31,8 +31,8 @@ SEED = 42
 SHARES, DEVIATIONS = ((5, 0.19), (16, 0.165), (1 << 62, 0.1545)), 3.0
 #: Bits of a band: unrelated documents rarely meet, even among 10^9 (some hundred a band and document).
 BAND_BITS = 30
-#: Bands after which the roots of compared mates are renewed.
-MATES = 5
+#: Bands after which the roots of compared mates are renewed, and rounds of mates by shingles.
+MATES, SHINGLE_MATES = 5, 2
 
 
 def _signed(x: int) -> int:
@@ -275,7 +275,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
         crowd.append(ids)
         scratch.release()
     sets = verifier.sets(reduce(DataFrame.unionAll, crowd).distinct())
-    alone.append(_rare_pairs(sets, rooted, similarity))
+    prefixes = scratch.cut(_prefixes(sets, similarity), "prefixes")
+    scratch.release()
+    for step in range(SHINGLE_MATES):  # large families of near copies are joined at a cost of their number
+        links = links.unionAll(verifier.links(_shingle_mates(prefixes, rooted, step)))
+        roots = connected(links, scratch).withColumnRenamed("node", "id")
+        rooted = scratch.cut(able.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        scratch.release()
+    alone.append(scratch.cut(_prefix_pairs(prefixes, rooted, similarity), "pairs"))
+    scratch.release()
     links = links.unionAll(verifier.links(reduce(DataFrame.unionAll, alone)))
     roots = connected(links, scratch).withColumnRenamed("node", "id")
     # Copies of a class hang on its first document.
@@ -344,21 +352,43 @@ def _rare_pairs(sets: DataFrame, rooted: DataFrame, similarity: float) -> DataFr
     meet: a document is paired with the roots at a shingle first, then with those of their documents that may
     be similar, so there are no more rows than documents and candidates.
     """
+    return _prefix_pairs(_prefixes(sets, similarity), rooted, similarity)
+
+
+def _begins(share: float) -> Column:
+    return F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, n, at, s, c): of each set of n shingles the rarest ones that a similar one must share, their
+    places and numbers of sets; what no other set has comes before all that is shared."""
     sized = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("s"))
     often = sized.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    shared = sized.join(often, "s")
     own = Window.partitionBy("id")
-    # What no other set has comes before all that is shared.
-    rare = shared.withColumn("at", F.row_number().over(own.orderBy("c", "s")) + F.col("n") - F.count("*").over(own))
-
-    def begins(share: float) -> Column:
-        return F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
-
-    large = rare.where(begins(similarity)).select("id", "n", "at", "s").join(rooted.select("id", "root"), "id")
-    meets = large.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(begins(2 * similarity / (1 + similarity))).alias("any"))
+    at = F.row_number().over(own.orderBy("c", "s")) + F.col("n") - F.count("*").over(own)
+    return sized.join(often, "s").withColumn("at", at).where(_begins(similarity)).select("id", "n", "at", "s", "c")
+
+
+def _shingle_mates(prefixes: DataFrame, rooted: DataFrame, step: int) -> DataFrame:
+    """Pairs (a, b) of each document with one of another root, at the most common shingle of its
+    prefix where there is one: as ``_mates``, one pair a document at most."""
+    rows = prefixes.select("id", "s", "c").join(rooted.select("id", "root"), "id").withColumn("h", F.xxhash64("id", F.lit(step)))
+    ends = rows.groupBy("s").agg(
+        *(f(F.struct("h", "id", "root")).alias(k) for k, f in (("least", F.min), ("most", F.max))), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    mate = F.when(F.col("least.root") != F.col("root"), F.col("least.id")).when(F.col("most.root") != F.col("root"), F.col("most.id"))
+    met = rows.join(ends.where("low < high"), "s").select("id", "c", "s", mate.alias("m")).where("m is not null")
+    one = met.groupBy("id").agg(F.max(F.struct("c", "s", "m")).alias("x"))
+    return one.select(F.least("id", "x.m").alias("a"), F.greatest("id", "x.m").alias("b")).distinct()
+
+
+def _prefix_pairs(prefixes: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of ``_rare_pairs`` from prefixes."""
+    large = prefixes.select("id", "n", "at", "s").join(rooted.select("id", "root"), "id")
+    index = _begins(2 * similarity / (1 + similarity))
+    meets = large.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(index).alias("any"))
     large = large.join(meets.where("low < high and any").select("s"), "s", "left_semi")
-    small = large.where(begins(2 * similarity / (1 + similarity)))
-
+    small = large.where(index)
     share = similarity / (1 + similarity)
     left = small.select("s", *(F.col(c).alias(f"l_{c}") for c in ("root", "id", "n", "at")))
     right = large.select("s", *(F.col(c).alias(f"r_{c}") for c in ("root", "id", "n", "at")))
