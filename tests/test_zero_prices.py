@@ -52,3 +52,9 @@ def test_rounding_of_ties(spark):
     got = [r.x for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", C.rounded(F.col("x"), 4).alias("x")).orderBy("i").collect()]
     want = [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 4)", [x]).fetchall()[0][0] for x in xs]
     assert [plain(x) for x in got] == [plain(x) for x in want]
+
+
+def test_monthly_from_daily_of_zero_prices(spark, zeros):
+    got = {r["permno"]: r for r in against_sql(spark, zeros, "monthly_from_daily")}
+    assert got[2]["ill"] == math.inf and math.isnan(got[2]["std_dolvol"])
+    assert math.isfinite(got[1]["ill"]) and math.isfinite(got[1]["std_dolvol"])
