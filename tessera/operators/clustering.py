@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import argmax, dot, sigmoid, softmax, unit
 from tessera.operators import hierarchy
-from tessera.operators.neighbours import Space, l1_matrix
+from tessera.operators.neighbours import Space
 from tessera.sources.shared import Rounds
 
 
@@ -131,22 +131,22 @@ def dbscan(df: DataFrame, by: list[str], eps: float | None = None, quantile: flo
 
 def agglomerative(df: DataFrame, by: list[str], threshold: float, id_col: str = "id", vector: str = "v") -> DataFrame:
     """Average linkage under L1, merging while the closest pair is nearer than the threshold.  A
-    snapshot is one task's matrix; snapshots run in parallel."""
+    snapshot's rows are one task's, without a matrix of distances; snapshots run in parallel."""
 
     def label(x):
-        return hierarchy.cut_tree(len(x), hierarchy.average_linkage(l1_matrix(x, x)), threshold)
+        return hierarchy.average_clusters(x, threshold)
 
     return _snapshot(df, by, id_col, vector, label)
 
 
 def optics(df: DataFrame, by: list[str], xi: float = 0.05, max_eps: float = math.inf, id_col: str = "id", vector: str = "v") -> DataFrame:
     """OPTICS under L1 with xi extraction: innermost clusters of the reachability order that have
-    the logarithm of the snapshot's size in rows or more; noise is -1.  A snapshot is one task's
-    matrix; snapshots run in parallel."""
+    the logarithm of the snapshot's size in rows or more; noise is -1.  A snapshot's rows are one
+    task's, without a matrix of distances; snapshots run in parallel."""
 
     def label(x):
         k = min(min_points(len(x)), len(x))
-        order, reach, before = hierarchy.reachability_order(l1_matrix(x, x), k, max_eps)
+        order, reach, before = hierarchy.reachability_order(x, k, max_eps)
         return hierarchy.leaf_labels(order, hierarchy.xi_clusters(order, reach, before, k, xi))
 
     return _snapshot(df, by, id_col, vector, label)

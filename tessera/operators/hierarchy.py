@@ -1,16 +1,47 @@
 """Hierarchical clusterings of one cross-section under L1, as they run inside a task: the
-reachability order with xi extraction, and average linkage by nearest-neighbour chains."""
+reachability order with xi extraction, and average linkage by nearest-neighbour chains.  Neither holds
+the matrix of all distances but ``average_linkage``, for small cross-sections."""
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 
+from tessera.operators.neighbours import l1_matrix
+
+#: Distances of core distances, and of sums of distances kept by average linkage, at a time.
+HELD = 1 << 21
+
+class Rows:
+    """Distances of one row to all rows under L1, computed when asked for: memory is that of the rows."""
+
+    def __init__(self, x: np.ndarray):
+        self.across = np.ascontiguousarray(x.T)
+        self.one, self.n = np.empty(len(x)), len(x)
+
+    def __getitem__(self, p: int) -> np.ndarray:
+        out = np.zeros(self.n)
+        for column in self.across:
+            np.subtract(column[p], column, out=self.one)
+            np.abs(self.one, out=self.one)
+            out += self.one
+        return out
+
 
-def reachability_order(dist: np.ndarray, k: int, max_eps: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, reachability in that order, predecessor in that order, -1 for none).  A row's core
-    distance is that to its k-th nearest row, itself included; beyond ``max_eps`` it has none."""
-    n = len(dist)
-    core = np.sort(dist, axis=1)[:, k - 1] if n >= k else np.full(n, np.inf)
+def core_distances(x: np.ndarray, k: int) -> np.ndarray:
+    """Distance of each row to its k-th nearest row, itself included; a few rows' distances at a time."""
+    step = max(1, HELD // max(len(x), 1))
+    parts = [np.partition(l1_matrix(x[at : at + step], x), k - 1, axis=1)[:, k - 1].copy() for at in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def reachability_order(x: np.ndarray, k: int, max_eps: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, reachability in that order, predecessor in that order, -1 for none) of rows under L1.  A row's
+    core distance is that to its k-th nearest row, itself included; beyond ``max_eps`` it has none.  A row's
+    distances are computed when its turn comes, so there is no matrix."""
+    n, dist = len(x), Rows(x)
+    core = core_distances(x, k) if n >= k else np.full(n, np.inf)
     core = np.where(core <= max_eps, core, np.inf)
     reach, before, left, order = np.full(n, np.inf), np.full(n, -1), np.ones(n, bool), []
     for _ in range(n):
@@ -18,7 +49,8 @@ def reachability_order(dist: np.ndarray, k: int, max_eps: float = np.inf) -> tup
         left[p] = False
         order.append(p)
         if np.isfinite(core[p]):
-            there = np.where(left & (dist[p] <= max_eps), np.maximum(core[p], dist[p]), np.inf)
+            near = dist[p]
+            there = np.where(left & (near <= max_eps), np.maximum(core[p], near), np.inf)
             better = there < reach
             reach[better], before[better] = there[better], p
     order = np.array(order, int)
@@ -155,6 +187,73 @@ def average_linkage(dist: np.ndarray) -> list[tuple[int, int, float]]:
     return sorted(merges, key=lambda m: m[2])
 
 
+def average_clusters(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Cluster of each row by average linkage under L1 after all merges below ``threshold``, numbered by the
+    smallest row: ``cut_tree`` of ``average_linkage`` without the matrix.
+
+    A cluster is known by the sums of its members' distances to each row, HELD of them at a time; those of
+    two that merge are added, those that went are computed again.  A cluster whose nearest one is not
+    below the threshold is done, since no merge brings another nearer, and its rows leave.
+    """
+    n, dist = len(x), Rows(x)
+    label, size = np.arange(n), np.ones(n, np.int64)
+    members: dict[int, list[int]] = {i: [i] for i in range(n)}
+    sums: OrderedDict[int, np.ndarray] = OrderedDict()
+    alive, chain, start = np.ones(n, bool), [], 0
+    most = max(4, HELD * 8 // max(n, 1))
+
+    def held(a: int) -> np.ndarray:
+        if a not in sums:
+            total = dist[members[a][0]]
+            for m in members[a][1:]:
+                total = total + dist[m]
+            sums[a] = total
+            if len(sums) > most:
+                sums.popitem(last=False)
+        sums.move_to_end(a)
+        return sums[a]
+
+    def near(a: int) -> np.ndarray:
+        """Average distances to the other clusters at their smallest members."""
+        out = np.bincount(label, held(a), n)
+        np.divide(out, size * size[a], out=out, where=size > 0)
+        out[~alive] = np.inf
+        out[a] = np.inf
+        return out
+
+    while True:
+        if not chain:
+            while start < n and not alive[start]:
+                start += 1
+            if start == n:
+                break
+            chain = [start]
+        a = chain[-1]
+        row = near(a)
+        b = int(row.argmin())
+        if not row[b] < threshold:
+            # Only the first of a chain can be without a partner; what leaves keeps its label.
+            chain.pop()
+            alive[a] = False
+            sums.pop(a, None)
+            continue
+        # Of equally near ones that before comes first; a chain that would come back to itself has met ties.
+        if len(chain) > 1 and (row[chain[-2]] <= row[b] or b in chain):
+            b = chain[-2]
+        else:
+            chain.append(b)
+            continue
+        del chain[-2:]
+        total = held(a) + held(b)
+        a, b = min(a, b), max(a, b)
+        label[members[b]] = a
+        members[a].extend(members.pop(b))
+        size[a], size[b], alive[b] = size[a] + size[b], 0, False
+        sums.pop(b, None)
+        sums[a] = total
+    return np.unique(label, return_inverse=True)[1].astype(np.int32)
+
+
 def cut_tree(n: int, merges: list[tuple[int, int, float]], threshold: float) -> np.ndarray:
     """Cluster of each row after all merges below ``threshold``, numbered by the smallest row."""
     root = np.arange(n)
