@@ -39,3 +39,21 @@ def test_no_matrix_is_held(monkeypatch, run):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 1500 * 1500 * 8 / 3
+
+
+@pytest.mark.parametrize("most", [np.inf, 2.5])
+def test_reachability_is_that_of_the_matrix(monkeypatch, most):
+    monkeypatch.setattr(hierarchy, "HELD", 100)
+    x = np.random.default_rng(5).normal(0, 1, (60, 3)).round(1)
+    d = l1_matrix(x, x)
+    core = np.sort(d, axis=1)[:, 3]
+    reach, left, order = np.full(60, np.inf), set(range(60)), []
+    while left:
+        p = min(left, key=lambda i: (reach[i], i))
+        left.remove(p)
+        order.append(p)
+        for q in left:
+            if core[p] <= most and d[p, q] <= most:
+                reach[q] = min(reach[q], max(core[p], d[p, q]))
+    got = hierarchy.reachability_order(x, 4, most)
+    assert got[0].tolist() == order and got[1].tolist() == reach[order].tolist()
