@@ -6,9 +6,11 @@ residual from it, a position against it between entry and stop; weights, net ret
 their Sharpe ratio plus penalties for turnover and leverage.
 
 The gradient is derived by hand.  The objective is a function of a few sums over time, and its
-slope in a period's return is linear in that return, so one pass over blocks of time gives all
-that a step needs: those sums, and four sums of derivatives the size of the centres.  Tasks pass on
-one vector each, summed by place; the driver holds the centres and the moments of Adam.
+slope in a period's return is linear in that return.  Rows lie in blocks of some times and some
+entities, so a task's memory does not grow with a cross-section; what a cross-section shares goes
+through sums by time.  A step takes four passes: the consensus, the returns and turnover of each
+time, the derivatives by the consensus, and the four sums of derivatives the size of the centres.  Tasks
+pass on a few numbers a time; the driver holds those, a row a time, the centres and the moments of Adam.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from tessera.operators import window_models
 from tessera.sources.shared import Rounds
 
 
+#: Entities of a block, on average.
+ENTITIES = 4096
+
+
 @dataclass(frozen=True)
 class Settings:
     """Constants of the system and its objective."""
@@ -48,7 +54,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class CrossSection:
-    """One time's forward pass, and its derivative against an upstream one of the weights."""
+    """Some entities of one time: their part of the consensus, then, given that of all, their weights and
+    the derivatives against an upstream one of the weights."""
 
     def __init__(self, x: np.ndarray, z: np.ndarray, centres: np.ndarray, s: Settings):
         self.x, self.z, self.s = x, z, s
@@ -57,65 +64,114 @@ class CrossSection:
         self.gate = _sigmoid(s.gate_scale * (self.sim.max(axis=1) - s.similarity))
         e = np.exp((self.sim - self.sim.max(axis=1, keepdims=True)) / s.temperature)
         self.share = e / e.sum(axis=1, keepdims=True)
-        gated = self.share * self.gate[:, None]
-        self.total = gated.sum(axis=0) + 1e-6
-        self.consensus = (gated * z[:, None]).sum(axis=0) / self.total
-        self.signal = z - self.share @ self.consensus
+
+    def gated(self) -> np.ndarray:
+        """Gated shares of each cluster, then the same times the last values, summed over these entities."""
+        g = self.share * self.gate[:, None]
+        return np.concatenate([g.sum(axis=0), (g * self.z[:, None]).sum(axis=0)])
+
+    def trade(self, gated: np.ndarray) -> np.ndarray:
+        """The weights, given ``gated`` of all entities of the time."""
+        s = self.s
+        self.total = gated[: len(gated) // 2] + 1e-6
+        self.consensus = gated[len(gated) // 2 :] / self.total
+        self.signal = self.z - self.share @ self.consensus
         size = np.abs(self.signal)
         self.above, self.below = _sigmoid(s.scale * (size - s.entry)), 1.0 - _sigmoid(s.scale * (size - s.stop))
         self.way = -np.tanh(s.scale * self.signal)
-        self.weights = s.share * self.way * self.above * self.below * self.gate
-
-    def backward(self, up: np.ndarray) -> np.ndarray:
-        """Derivative by the normalised centres of the sum of ``up`` times the weights."""
-        s, pos = self.s, self.s.share * up
-        gate = pos * self.way * self.above * self.below
-        band, slope = self.above * self.below, np.sign(self.signal)
-        in_band = s.scale * slope * (self.above * (1 - self.above) * self.below - self.above * self.below * (1 - self.below))
-        residual = pos * self.gate * (-s.scale * (1 - self.way**2) * band + self.way * in_band)
-        share = -residual[:, None] * self.consensus[None]
-        consensus = -(residual @ self.share)
-        gated = np.outer(self.z, consensus / self.total) - (consensus * self.consensus / self.total)[None]
-        share = share + gated * self.gate[:, None]
-        gate = gate + (gated * self.share).sum(axis=1)
+        return s.share * self.way * self.above * self.below * self.gate
+
+    def residual(self, up: np.ndarray) -> np.ndarray:
+        """Derivative of the sum of ``up`` times the weights by minus the expected values."""
+        s, band = self.s, self.above * self.below
+        in_band = s.scale * np.sign(self.signal) * (self.above * (1 - self.above) * self.below - self.above * self.below * (1 - self.below))
+        return s.share * up * self.gate * (-s.scale * (1 - self.way**2) * band + self.way * in_band)
+
+    def by_consensus(self, up: np.ndarray) -> np.ndarray:
+        return -(self.residual(up) @ self.share)
+
+    def backward(self, up: np.ndarray, consensus: np.ndarray | None) -> np.ndarray:
+        """Derivative by the normalised centres of the sum of ``up`` times the weights, and, if the time is the
+        block's own, of the part that goes through the consensus: ``by_consensus`` of all entities."""
+        s = self.s
+        gate = s.share * up * self.way * self.above * self.below
+        share = -self.residual(up)[:, None] * self.consensus[None]
+        if consensus is not None:
+            gated = np.outer(self.z, consensus / self.total) - (consensus * self.consensus / self.total)[None]
+            share = share + gated * self.gate[:, None]
+            gate = gate + (gated * self.share).sum(axis=1)
         sim = self.share * (share - (share * self.share).sum(axis=1, keepdims=True)) / s.temperature
         sim[np.arange(len(sim)), self.top] += gate * s.gate_scale * self.gate * (1 - self.gate)
         return sim.T @ self.x
 
 
-def block_sums(times: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n_entities: int, first: int, centres: np.ndarray, s: Settings) -> np.ndarray:
-    """The sums of one block: net return, its square, turnover, squared excess leverage and number of
-    its own times, those from ``first`` on, then four derivatives by the normalised centres: of the net
-    returns, of half their squares, of turnover, of the excess leverage.  A time is (t, places, x, z,
-    ret); where the one before is not t - 1, nothing was held."""
-    passes = [CrossSection(x, z, centres, s) for _, _, x, z, _ in times]
-    wide = np.zeros((len(times), n_entities))
-    for row, (_, at, *_), p in zip(wide, times, passes):
-        row[at] = p.weights
-    sums, up = np.zeros(5), np.zeros((4, len(times), n_entities))
-    for t in range(first, len(times)):
-        goes_on = t > 0 and times[t - 1][0] == times[t][0] - 1
-        before = wide[t - 1] if goes_on else np.zeros(n_entities)
-        ret = np.zeros(n_entities)
-        ret[times[t][1]] = times[t][4]
-        turn, side = np.abs(wide[t] - before).sum(), np.sign(wide[t] - before)
-        net = wide[t] @ ret - s.cost * turn
-        excess = max(np.abs(wide[t]).sum() - s.most_leverage, 0.0)
-        sums += (net, net * net, turn, excess * excess, 1.0)
-        up[0, t] += ret - s.cost * side
-        up[1, t] += net * (ret - s.cost * side)
-        up[2, t] += side
-        up[3, t] += 2 * excess * np.sign(wide[t])
-        if goes_on:
-            up[0, t - 1] += s.cost * side
-            up[1, t - 1] += net * s.cost * side
-            up[2, t - 1] -= side
-    slopes = np.zeros((4, *centres.shape))
-    for t, ((_, at, *_), p) in enumerate(zip(times, passes)):
-        for k in range(4):
-            if up[k, t].any():
-                slopes[k] += p.backward(up[k, t, at])
-    return np.concatenate([sums, slopes.ravel()])
+class Block:
+    """Some entities at ``low`` to ``high`` and the time before: what each pass takes from them.  A time is
+    (t, places, x, z, ret); ``all_times`` are those that any entity has.  Where the time before is
+    missing from them, nothing was held."""
+
+    def __init__(self, low: int, high: int, n_entities: int, times: list[tuple], centres: np.ndarray, s: Settings):
+        self.low, self.high, self.n, self.s = low, high, n_entities, s
+        self.times = {t: (at, ret, CrossSection(x, z, centres, s)) for t, at, x, z, ret in times}
+
+    def own(self, t: int) -> bool:
+        return self.low <= t <= self.high
+
+    def gated(self) -> dict[int, np.ndarray]:
+        return {t: p.gated() for t, (_, _, p) in self.times.items() if self.own(t)}
+
+    def weights(self, gated: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """The weights of all the block's entities at each of its times."""
+        self.wide = {}
+        for t, (at, _, p) in self.times.items():
+            self.wide[t] = np.zeros(self.n)
+            self.wide[t][at] = p.trade(gated[t])
+        self.none = np.zeros(self.n)
+        self.mine = [t for t in range(self.low, self.high + 1) if t in gated]
+        return self.wide
+
+    def moves(self, t: int) -> np.ndarray:
+        return self.wide.get(t, self.none) - self.wide.get(t - 1, self.none)
+
+    def traded(self, gated: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """Gross return, turnover and leverage of each time."""
+        self.weights(gated)
+        out = {}
+        for t in self.mine:
+            gross = self.wide[t][self.times[t][0]] @ self.times[t][1] if t in self.times else 0.0
+            out[t] = np.array([gross, np.abs(self.moves(t)).sum(), np.abs(self.wide.get(t, self.none)).sum()])
+        return out
+
+    def ups(self, gated: dict[int, np.ndarray], traded: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """Four derivatives by the weights at each time: of the net returns, of half their squares, of turnover,
+        of half the squared excess leverage, those of the block's own times."""
+        self.weights(gated)
+        s, up = self.s, {t: np.zeros((4, self.n)) for t in self.times}
+        for t in self.mine:
+            side = np.sign(self.moves(t))
+            net, excess = net_and_excess(traded[t], s)
+            if t in up:
+                ret = np.zeros(self.n)
+                ret[self.times[t][0]] = self.times[t][1]
+                up[t] += [ret - s.cost * side, net * (ret - s.cost * side), side, 2 * excess * np.sign(self.wide[t])]
+            if t - 1 in up:
+                up[t - 1][:3] += [s.cost * side, net * s.cost * side, -side]
+        return {t: up[t][:, self.times[t][0]] for t in up}
+
+    def by_consensus(self, gated: dict, traded: dict) -> dict[int, np.ndarray]:
+        return {t: np.concatenate([self.times[t][2].by_consensus(u) for u in up]) for t, up in self.ups(gated, traded).items()}
+
+    def slopes(self, gated: dict, traded: dict, consensus: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """The four sums of derivatives by the normalised centres, at place 0."""
+        out = 0.0
+        for t, up in self.ups(gated, traded).items():
+            through = consensus[t].reshape(4, -1) if self.own(t) else [None] * 4
+            out = out + np.array([self.times[t][2].backward(u, c) for u, c in zip(up, through)])
+        return {} if isinstance(out, float) else {0: out.ravel()}
+
+
+def net_and_excess(traded: np.ndarray, s: Settings) -> tuple[float, float]:
+    return traded[0] - s.cost * traded[1], max(traded[2] - s.most_leverage, 0.0)
 
 
 def objective(sums: np.ndarray, centres: np.ndarray, s: Settings) -> tuple[float, np.ndarray]:
@@ -135,54 +191,72 @@ def objective(sums: np.ndarray, centres: np.ndarray, s: Settings) -> tuple[float
 
 
 def time_blocks(rows: DataFrame, length: int, tables: Rounds, time: str = "t", entity: str = "i") -> DataFrame:
-    """(block, first, entities, t and packed data): blocks of ``length`` times with the one before each, packed.
-    Rows (t int, i, x array, z, ret): the unit features, the last standardised value, and the return that
-    follows; those of a time without returns are left out before."""
+    """(low, high, entities, t and packed data): blocks of ``length`` times with the one before each, and of
+    about ENTITIES entities, packed.  Rows (t int, i, x array, z, ret): the unit features, the last
+    standardised value, and the return that follows; those of a time without returns are left out before."""
     block = F.floor(F.col(time) / length).cast("long")
     # A block needs the time before its first: rows of a block's last time go to the next one too.
     both = F.when(F.col(time) % length == length - 1, F.array(block, block + 1)).otherwise(F.array(block))
-    d = rows.select(F.explode(both).alias("block"), F.col(time).alias("t"), F.col(entity).alias("i"), "x", "z", "ret")
+    widest = rows.groupBy(time).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64(entity), F.lit(max(1, -(-widest // ENTITIES)))).alias("bucket")
+    d = rows.select(F.explode(both).alias("block"), bucket, F.col(time).alias("t"), F.col(entity).alias("i"), "x", "z", "ret")
 
     def pack(key, pdf):
         ids = {x: k for k, x in enumerate(sorted(pdf["i"].unique()))}
-        own = pdf["t"] // length == key[0]
-        if not own.any():
-            return pd.DataFrame(columns=["block", "first", "entities", "t", "at", "z", "ret", "x"], dtype=object)
-        pdf = pdf[own | (pdf["t"] == key[0] * length - 1)].sort_values(["t", "i"])
-        out, first = [], 0
-        for t, g in pdf.groupby("t"):
-            first += t < key[0] * length
+        low, high = key[0] * length, (key[0] + 1) * length - 1
+        out = []
+        for t, g in pdf[(pdf["t"] >= low - 1) & (pdf["t"] <= high)].sort_values(["t", "i"]).groupby("t"):
             x = np.stack(g["x"].to_numpy()).astype("<f8")
             out.append((int(t), np.array([ids[i] for i in g["i"]], "<i4").tobytes(), g["z"].to_numpy("<f8").tobytes(), g["ret"].to_numpy("<f8").tobytes(), x.tobytes()))
-        return pd.DataFrame({"block": [key[0]], "first": [int(first)], "entities": [len(ids)], **{c: [[o[k] for o in out]] for k, c in enumerate(("t", "at", "z", "ret", "x"))}})
+        return pd.DataFrame({"low": [int(low)], "high": [int(high)], "entities": [len(ids)], **{c: [[o[k] for o in out]] for k, c in enumerate(("t", "at", "z", "ret", "x"))}})
 
-    schema = "block long, first int, entities int, t array<int>, at array<binary>, z array<binary>, ret array<binary>, x array<binary>"
-    return tables.cut(d.groupBy("block").applyInPandas(pack, schema))
+    schema = "low long, high long, entities int, t array<int>, at array<binary>, z array<binary>, ret array<binary>, x array<binary>"
+    return tables.cut(d.groupBy("block", "bucket").applyInPandas(pack, schema))
 
 
-def sums_of(blocks: DataFrame, centres: np.ndarray, s: Settings) -> np.ndarray:
-    """``block_sums`` over all blocks: a task adds up its own, the rest is summed by place."""
-    w = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+def _by_time(blocks: DataFrame, centres: np.ndarray, s: Settings, each) -> dict[int, np.ndarray]:
+    """The sums by time of what ``each`` says of a block; a task adds up its own, a row a time reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        total = None
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for first, entities, *data in zip(*(b.column(c).to_pylist() for c in ("first", "entities", "t", "at", "x", "z", "ret"))):
-                times = [(t, np.frombuffer(at, "<i4"), np.frombuffer(x, "<f8").reshape(-1, w.shape[1]), np.frombuffer(z, "<f8"), np.frombuffer(r, "<f8")) for t, at, x, z, r in zip(*data)]
-                part = block_sums(times, entities, first, w, s)
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
+            # A block at a time: packed ones are large.
+            for row in range(b.num_rows):
+                low, high, entities, *data = (b.column(c)[row].as_py() for c in ("low", "high", "entities", "t", "at", "x", "z", "ret"))
+                times = [(t, np.frombuffer(at, "<i4"), np.frombuffer(x, "<f8").reshape(-1, centres.shape[1]), np.frombuffer(z, "<f8"), np.frombuffer(r, "<f8")) for t, at, x, z, r in zip(*data)]
+                for t, part in each(Block(low, high, entities, times, centres, s)).items():
+                    total[t] = total[t] + part if t in total else part
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["t", "sums"])
+
+    parts = blocks.mapInArrow(run, "t long, sums array<double>").select("t", F.posexplode("sums").alias("at", "x"))
+    found: dict[int, list[float]] = {}
+    for r in parts.groupBy("t", "at").agg(F.sum("x").alias("x")).orderBy("t", "at").collect():  # a few numbers a time
+        found.setdefault(r.t, []).append(r.x)
+    return {t: np.array(x) for t, x in found.items()}
 
-    parts = blocks.mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "x"))
-    return np.array([r.x for r in parts.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()])
+
+def sums_of(blocks: DataFrame, centres: np.ndarray, s: Settings) -> np.ndarray:
+    """Sums over all times of net return, its square, turnover, squared excess leverage and one, then four
+    derivatives by the normalised centres: of the net returns, of half their squares, of turnover, of the
+    excess leverage."""
+    w = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    gated = _by_time(blocks, w, s, lambda b: b.gated())
+    traded = _by_time(blocks, w, s, lambda b: b.traded(gated))
+    consensus = _by_time(blocks, w, s, lambda b: b.by_consensus(gated, traded))
+    slopes = _by_time(blocks, w, s, lambda b: b.slopes(gated, traded, consensus))[0]
+    sums = np.zeros(5)
+    for t in sorted(traded):
+        net, excess = net_and_excess(traded[t], s)
+        sums += (net, net * net, traded[t][1], excess * excess, 1.0)
+    return np.concatenate([sums, slopes])
 
 
 def train_clusters(rows: DataFrame, clusters: int, epochs: int = 20, rate: float = 0.01, settings: Settings | None = None, block: int = 32, seed: int = 42) -> tuple[DataFrame, list[float]]:
     """(cluster, centre, loss) of the centres of smallest loss, and the loss before each step.
 
     Rows (t int, i, x array<double>, z, ret), whole history in each step, by Adam.  The first centres are
-    rows of the smallest hashes; an epoch is one job."""
+    rows of the smallest hashes; an epoch is four jobs."""
     s, tables = settings or Settings(), Rounds(rows.sparkSession)
     whole = tables.cut(rows.where("z IS NOT NULL AND ret IS NOT NULL").select("t", "i", "x", "z", "ret"))
     drawn = whole.select(F.lit(0).alias("_one"), F.struct("t", "i").cast("string").alias("id"), F.col("x").alias("v"))
