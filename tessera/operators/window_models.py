@@ -24,6 +24,8 @@ from tessera.sources.shared import Rounds
 
 #: Lloyd steps planned together between two written tables of centres.
 STEPS = 4
+#: Rows of a window whose vectors are packed together.
+PACK = 4096
 #: Windows whose matrices a task holds before it passes them on.
 HELD = 256
 
@@ -120,6 +122,67 @@ def lloyd_step(rows: DataFrame, centres: DataFrame, by: list[str], vector: str =
     return centres.join(mean, each, "left").select(*each, F.coalesce("mean", "centre").alias("centre"))
 
 
+def _kinds(rows: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+
+
+def packed(rows: DataFrame, by: list[str], id_col: str = "id", vector: str = "v") -> DataFrame:
+    """(by.., x array<double>, n): the vectors of up to PACK rows of a window end to end.  Large windows
+    are spread over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(len(by)))))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for first, last in zip(cuts, cuts[1:]):
+                for at in range(first, last, PACK):
+                    some = b.slice(at, min(PACK, last - at))
+                    x = some.column(len(by)).flatten()
+                    yield pa.RecordBatch.from_arrays([*(some.column(i).slice(0, 1) for i in range(len(by))), pa.ListArray.from_arrays([0, len(x)], x), pa.array([len(some)], pa.int32())], names=[*by, "x", "n"])
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = rows.repartitionByRange(parts, *by, id_col).sortWithinPartitions(*by, id_col).select(*by, F.col(vector).cast("array<double>"))
+    return dealt.mapInArrow(run, f"{_kinds(rows, by)}, x array<double>, n int")
+
+
+def packed_means(data: DataFrame, centres: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., start, cluster, n, mean, cost): of the rows nearest to each centre, the smaller number on ties,
+    how many there are, their mean and their sum of squared distances.  A task passes on sums."""
+    held = centres.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "cluster", "centre"))).alias("held"))
+    d = data.join(held, by).select(*by, "x", "n", "held")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            found: dict[tuple, list] = {}
+            for row in range(b.num_rows):
+                key = tuple(b.column(i)[row].as_py() for i in range(len(by)))
+                x = b.column("x")[row].values.to_numpy(zero_copy_only=False).reshape(b.column("n")[row].as_py(), -1)
+                if key not in found:
+                    starts: dict[int, list] = {}
+                    for h in b.column("held")[row].as_py():
+                        starts.setdefault(h["start"], []).append((h["cluster"], h["centre"]))
+                    found[key] = [(s, [k for k, _ in c], np.array([v for _, v in c]), np.zeros(len(c), np.int64), np.zeros((len(c), x.shape[1])), np.zeros(len(c))) for s, c in starts.items()]
+                for _, _, centre, n, sums, cost in found[key]:
+                    dist = np.zeros((len(x), len(centre)))
+                    for k in range(x.shape[1]):
+                        dist += (x[:, k, None] - centre[:, k]) ** 2
+                    nearest = dist.argmin(axis=1)
+                    n += np.bincount(nearest, minlength=len(centre))
+                    cost += np.bincount(nearest, dist[np.arange(len(x)), nearest], len(centre))
+                    for k in range(x.shape[1]):
+                        sums[:, k] += np.bincount(nearest, x[:, k], len(centre))
+            out = [(key, s, c, int(n[i]), sums[i], cost[i]) for key, each in found.items() for s, ids, _, n, sums, cost in each for i, c in enumerate(ids) if n[i]]
+            if out:
+                columns = [pa.array([o[0][i] for o in out], b.schema.field(i).type) for i in range(len(by))]
+                columns += [pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int64()), pa.array([o[4] for o in out], pa.list_(pa.float64())), pa.array([o[5] for o in out], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*by, "start", "cluster", "n", "sums", "cost"])
+
+    each = [*by, "start", "cluster"]
+    parts = d.mapInArrow(run, f"{_kinds(data, by)}, start int, cluster int, n long, sums array<double>, cost double")
+    summed = parts.groupBy(*each).agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    return summed.select(*each, "n", F.transform("sums", lambda x: x / F.col("n")).alias("mean"), "cost")
+
+
 def fit_kmeans(rows: DataFrame, by: list[str], k: int, starts: int = 10, seed: int = 42, rounds: int = 6, tolerance: float = 1e-4, id_col: str = "id", vector: str = "v") -> DataFrame:
     """(by.., cluster, centre, loss): k-means of every window, of several starts the one of the
     smallest sum of squares, the earlier one on ties.
@@ -130,17 +193,19 @@ def fit_kmeans(rows: DataFrame, by: list[str], k: int, starts: int = 10, seed: i
     """
     tables = Rounds(rows.sparkSession)
     rows = tables.cut(rows.select(*by, id_col, vector))
+    data, each = tables.cut(packed(rows, by, id_col, vector)), [*by, "start", "cluster"]
     centres = tables.cut(first_centres(rows, by, k, starts, seed, id_col, vector))
     for _ in range(rounds):
         now = centres
         for _ in range(STEPS):
-            now = lloyd_step(rows, now, by, vector)
+            means = packed_means(data, now, by).select(*each, "mean")
+            now = now.join(means, each, "left").select(*each, F.coalesce("mean", "centre").alias("centre"))
         now, before = tables.cut(now), centres.withColumnRenamed("centre", "was")
         moved = now.join(before, [*by, "start", "cluster"]).agg(F.max(_distance(F.col("centre"), F.col("was")))).first()[0]
         centres = now
         if moved is None or moved <= tolerance:
             break
-    loss = assign(rows, centres, by, vector).groupBy(*by, "start").agg(F.sum("cost").alias("loss"))
+    loss = packed_means(data, centres, by).groupBy(*by, "start").agg(F.sum("cost").alias("loss"))
     first = Window.partitionBy(*by).orderBy(F.round("loss", 9), "start")
     best = loss.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return tables.cut(centres.join(best, [*by, "start"]).select(*by, "cluster", "centre", "loss"))
