@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import math
+import tempfile
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +17,9 @@ from tessera.operators import hierarchy
 from tessera.operators.neighbours import Space
 from tessera.sources.shared import Rounds
 
+#: Rows of a snapshot turned to columns at a time.
+MAPPED = 4096
+
 
 def min_points(n: int) -> int:
     return max(3, int(math.log(n))) if n > 0 else 3
@@ -83,21 +91,57 @@ def adjacency(labels: DataFrame, id_col: str = "id", cluster: str = "cluster") -
     return pairs.select("i", "j", F.lit(1.0).alias("w"))
 
 
-def _snapshot(df: DataFrame, by: list[str], id_col: str, vector: str, label) -> DataFrame:
+def _mapped(parts: Iterator[np.ndarray]) -> np.ndarray:
+    """The rows of all parts as one array, column by column in a file of the task's own temp folder that
+    is gone with the array: memory is that of a part, whatever the number of rows."""
+    with tempfile.TemporaryFile() as rows, tempfile.TemporaryFile() as columns:
+        n = width = 0
+        for x in parts:
+            rows.write(np.ascontiguousarray(x, float).data)
+            n, width = n + len(x), x.shape[1]
+        rows.flush()
+        by_row = np.memmap(rows, float, "r", shape=(n, width))
+        by_column = np.memmap(columns, float, "w+", shape=(width, n))
+        for at in range(0, n, MAPPED):
+            by_column[:, at : at + MAPPED] = by_row[at : at + MAPPED].T
+        return by_column.view(np.ndarray).T
+
+
+def _snapshot(df: DataFrame, by: list[str], id_col: str, vector: str, label: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(by.., id, cluster) by ``label`` of the vectors of each snapshot in order of ids.  A snapshot comes to its task
+    batch by batch; its vectors lie in a file there, and memory holds their ids and what ``label`` keeps."""
     kind = df.schema[id_col].dataType.simpleString()
     keys = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
-
-    def run(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(id_col)
-        out = pd.DataFrame({id_col: pdf[id_col], "cluster": label(np.stack(pdf[vector].to_numpy()).astype(float))})
-        for b, v in zip(by, key):
-            out[b] = v
-        return out[[*by, id_col, "cluster"]]
-
-    return df.select(*by, id_col, vector).groupBy(*by).applyInPandas(run, f"{keys}, {id_col} {kind}, cluster int")
+    names = [*by, id_col]
+
+    def pieces(batches: Iterator[pa.RecordBatch]):
+        """(key, piece): pieces of batches within one snapshot."""
+        for b in batches:
+            key = list(zip(*(b.column(c).to_pylist() for c in by)))
+            at = 0
+            for k, same in groupby(key):
+                n = sum(1 for _ in same)
+                yield k, b.slice(at, n)
+                at += n
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for _, some in groupby(pieces(batches), lambda x: x[0]):
+            kept = []
+
+            def vectors():
+                for _, piece in some:
+                    kept.append(piece.select(names).take(pa.array(range(piece.num_rows))))  # a copy: a slice would hold the vectors
+                    yield piece.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1)
+
+            found, at = label(_mapped(vectors())), 0
+            for piece in kept:
+                cluster = pa.array(found[at : at + piece.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([*piece.columns, cluster], names=[*names, "cluster"])
+                at += piece.num_rows
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.select(*names, vector).repartition(parts, *by).sortWithinPartitions(*names)
+    return ordered.mapInArrow(run, f"{keys}, {id_col} {kind}, cluster int")
 
 
 def snapshot_sizes(rows: DataFrame, by: list[str]) -> DataFrame:
