@@ -7,7 +7,7 @@ reach the driver, only a count and a checksum that tell when nothing changes any
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Scratch
@@ -16,17 +16,16 @@ from tessera.llm.shared import Scratch
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b; loops are ignored, null ends must
     not occur), root being the smallest node of its component."""
-    now = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(now)
+    now, state = _kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), scratch)
     while state[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        following = scratch.cut(small.distinct(), "edges")
-        scratch.drop(now)
-        now, before, state = following, state, _state(following)
+        before, last = state, now
+        now, state = _kept(small.distinct(), scratch)
+        scratch.drop(last)
         if state == before:
             break
         scratch.release()
@@ -34,5 +33,8 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
 
 
-def _state(edges: DataFrame) -> tuple[int, int | None]:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _kept(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[int, int | None]]:
+    """The edges as a table, their number and a checksum, which the tasks take while they write it."""
+    seen = Observation()
+    out = scratch.cut(edges.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
+    return out, (seen.get["n"], seen.get["x"])

@@ -33,6 +33,9 @@ SHARES, DEVIATIONS = ((5, 0.19), (16, 0.165), (1 << 62, 0.1545)), 3.0
 BAND_BITS = 30
 #: Bands after which the roots of compared mates are renewed, and rounds of mates by shingles.
 MATES, SHINGLE_MATES = 5, 2
+#: Documents of a cell up to which all pairs of different roots are compared.  Unrelated ones meet so few at a
+#: time, in numbers that grow faster than the documents; their shingles need not be read.
+FEW = 8
 
 
 def _signed(x: int) -> int:
@@ -242,8 +245,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
     First each document is compared with one other of its band value, chosen by a hash, unless
     they are joined already: this joins large groups of near copies at a cost of their number.
     Then all cells are visited.  Two documents of different roots alone in a cell are compared.
-    Where more meet, as pages of one template do, all documents of such cells are joined by their
-    rarest shingles, which loses no candidate and spares those that only share the template.  So no
+    So are all pairs of different roots in cells of up to FEW.  Where more meet, as pages of one
+    template do, all documents of such cells are joined by their rarest shingles, which loses no
+    candidate and spares those that only share the template.  So no
     pair depends on the order of ids, on the size of its group or on the number of documents.
 
     What is lost: pairs that meet in no band, a share of 1 - ``recall`` of those exactly at the line and
@@ -268,13 +272,29 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
         roots = connected(links, scratch).withColumnRenamed("node", "id")
         rooted = scratch.cut(able.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
         scratch.release()
-    alone, crowd = [], []
+    alone, met = [], []
     for at in range(0, bands, 4):  # four bands at a time bound the shuffle files on disk
-        pairs, ids = _meetings(rooted, plan[at : at + 4], scratch)
+        pairs, some = _meetings(rooted, plan[at : at + 4], scratch)
         alone.append(pairs)
-        crowd.append(ids)
+        met.append(some)
         scratch.release()
-    sets = verifier.sets(reduce(DataFrame.unionAll, crowd).distinct())
+    met = reduce(DataFrame.unionAll, met)
+    alone.append(_few_pairs(met.where("cell is not null")))
+    crowd = scratch.cut(met.where("cell is null").select("id").distinct(), "crowd")
+    if not crowd.isEmpty():
+        links, pairs = _crowd_links(crowd, able, rooted, links, verifier, scratch, similarity)
+        alone.append(pairs)
+    scratch.release()
+    links = links.unionAll(verifier.links(reduce(DataFrame.unionAll, alone)))
+    roots = connected(links, scratch).withColumnRenamed("node", "id")
+    # Copies of a class hang on its first document.
+    label = classes.join(roots, "id", "left").select(*lane, "n", F.coalesce("root", "id").alias("component_id"))
+    return marks.join(label, [*lane, "n"]).select(F.col("id").alias(id_col), "component_id")
+
+
+def _crowd_links(crowd: DataFrame, able: DataFrame, rooted: DataFrame, links: DataFrame, verifier: _Verifier, scratch: Scratch, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links, with those found among ``crowd`` (id), and the pairs (a, b) of different roots by rare shingles that are left."""
+    sets = verifier.sets(crowd)
     prefixes = scratch.cut(_prefixes(sets, similarity), "prefixes")
     scratch.release()
     for step in range(SHINGLE_MATES):  # large families of near copies are joined at a cost of their number
@@ -282,13 +302,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
         roots = connected(links, scratch).withColumnRenamed("node", "id")
         rooted = scratch.cut(able.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
         scratch.release()
-    alone.append(scratch.cut(_prefix_pairs(prefixes, rooted, similarity), "pairs"))
-    scratch.release()
-    links = links.unionAll(verifier.links(reduce(DataFrame.unionAll, alone)))
-    roots = connected(links, scratch).withColumnRenamed("node", "id")
-    # Copies of a class hang on its first document.
-    label = classes.join(roots, "id", "left").select(*lane, "n", F.coalesce("root", "id").alias("component_id"))
-    return marks.join(label, [*lane, "n"]).select(F.col("id").alias(id_col), "component_id")
+    return links, scratch.cut(_prefix_pairs(prefixes, rooted, similarity), "pairs")
 
 
 def _band(k: int) -> Column:
@@ -322,7 +336,8 @@ def _mates(rooted: DataFrame, bands: list[tuple[int, Column]], step: int) -> Dat
 
 def _meetings(rooted: DataFrame, bands: list[tuple[int, Column]], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Who meets whom in ``bands``: (a, b), pairs of documents with different roots that alone
-    share a cell, and (id), the documents of cells that more share, of different roots.
+    share a cell, and (band, cell, id, root), the documents of cells that more share, of different roots:
+    a row for each cell of up to FEW documents, and one with band and cell NULL for all cells of more.
 
     A document visits the cells within one bit of its value, so two meet if their values are
     within two bits.  There are fewer pairs than visits, however many documents share a cell.
@@ -334,10 +349,21 @@ def _meetings(rooted: DataFrame, bands: list[tuple[int, Column]], scratch: Scrat
     cells = scratch.cut(cells.where("c > 1 and low < high").select("band", "cell", "c", "a", "b"), "cells")
     # The values come again to their cells, rather than each crowded cell to all values around it,
     # so that the cost is one of documents.
-    crowded = cells.where("c > 2").select("band", "cell").hint("shuffle_hash")
-    crowded = visits.select("band", "cell", "value").join(crowded, ["band", "cell"], "left_semi").select("band", "value").distinct()
-    ids = scratch.cut(rows.join(crowded, ["band", "value"], "left_semi").select("id").distinct(), "crowd")
-    return cells.where("c = 2").select("a", "b").distinct(), ids
+    more = cells.where("c > 2").select("band", "cell", (F.col("c") <= FEW).alias("few")).hint("shuffle_hash")
+    near = visits.select("band", "cell", "value").join(more, ["band", "cell"]).select("band", "value", F.when(F.col("few"), F.col("cell")).alias("cell")).distinct()
+    met = rows.join(near, ["band", "value"]).select(F.when(F.col("cell").isNotNull(), F.col("band")).alias("band"), "cell", "id", "root").distinct()
+    return cells.where("c = 2").select("a", "b").distinct(), scratch.cut(met, "met")
+
+
+def _few_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different roots in each cell of up to FEW documents: fewer than FEW a document and cell."""
+    cells = met.groupBy("band", "cell").agg(F.collect_list(F.struct("id", "root")).alias("here"))
+
+    def partners(x: Column) -> Column:
+        after = F.filter("here", lambda y: (y["id"] > x["id"]) & (y["root"] != x["root"]))
+        return F.transform(after, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+
+    return cells.select(F.explode(F.flatten(F.transform("here", partners))).alias("x")).select("x.a", "x.b").distinct()
 
 
 def _rare_pairs(sets: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
