@@ -29,7 +29,7 @@ from tessera.sources.shared import Rounds
 
 
 #: Entities of a block, on average.
-ENTITIES = 4096
+ENTITIES = 512
 
 
 @dataclass(frozen=True)

@@ -98,7 +98,8 @@ def first_centres(rows: DataFrame, by: list[str], k: int, starts: int = 1, seed:
     d = rows.select(*by, id_col, vector).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
     drawn = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("start").cast("string"), F.col(id_col).cast("string")))
     n = F.row_number().over(Window.partitionBy(*by, "start").orderBy(drawn, id_col))
-    return d.withColumn("cluster", n - 1).where(F.col("cluster") < k).select(*by, "start", "cluster", F.col(vector).alias("centre"))
+    # The number itself is bounded, so Spark leaves k rows of a window in each task before they meet in one.
+    return d.withColumn("n", n).where(F.col("n") <= k).select(*by, "start", (F.col("n") - 1).alias("cluster"), F.col(vector).alias("centre"))
 
 
 def _distance(x: Column, c: Column) -> Column:
