@@ -169,7 +169,9 @@ def dbscan(df: DataFrame, by: list[str], eps: float | None = None, quantile: flo
         reach = dist.groupBy(*by_).agg(F.coalesce(F.percentile("dist", quantile), F.lit(0.0)).alias("eps"))
     else:
         reach = sizes.select(*by_, F.lit(float(eps)).alias("eps"))
-    out = space.density_clusters(tables.cut(reach), sizes.select(*by_, F.col("m").alias("k")))
+    reach = tables.cut(reach)
+    space.forget()
+    out = space.density_clusters(reach, sizes.select(*by_, F.col("m").alias("k")))
     return out.select(*by, F.col("id").alias(id_col), "cluster")
 
 

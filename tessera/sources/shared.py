@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,7 +31,17 @@ class Rounds:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, codec: str | None = None) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._tessera_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no step reads again, and let Spark delete the shuffle files of finished steps."""
+        for df in tables:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
