@@ -2,7 +2,8 @@
 
 Each round hangs every node's larger neighbours, then its smaller ones, on the smallest node it
 sees.  Rounds are joins and aggregations of edge tables written to the shared folder; no links
-reach the driver, only a count and a checksum that tell when nothing changes any more.
+reach the driver, only a count and a checksum that tell when nothing changes any more, and the
+number of tasks, so that a few thousand links don't cost a task and its files a shuffle partition.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import Scratch
 
+#: Edges of a task, where there are too few to give each shuffle partition as many.
+TASK_EDGES = 20_000
+
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b; loops are ignored, null ends must
@@ -19,12 +23,12 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now, state = _kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), scratch)
     while state[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = _packed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), state[0])
+        large = _packed(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), state[0])
+        least = _packed(large.groupBy("u").agg(F.min("v").alias("m")), state[0])
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         before, last = state, now
-        now, state = _kept(small.distinct(), scratch)
+        now, state = _kept(_packed(small.distinct(), state[0]), scratch)
         scratch.drop(last)
         if state == before:
             break
@@ -33,6 +37,12 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
 
 
+def _packed(rows: DataFrame, edges: int) -> DataFrame:
+    """These rows in as many tasks as so many edges need, if shuffles would make more."""
+    tasks = 1 + edges // TASK_EDGES
+    return rows.coalesce(tasks) if tasks < int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def _kept(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[int, int | None]]:
     """The edges as a table, their number and a checksum, which the tasks take while they write it."""
     seen = Observation()

@@ -36,6 +36,9 @@ MATES, SHINGLE_MATES = 5, 2
 #: Documents of a cell up to which all pairs of different roots are compared.  Unrelated ones meet so few at a
 #: time, in numbers that grow faster than the documents; their shingles need not be read.
 FEW = 8
+#: The same where only pairs leave a cell whose fingerprints are near enough: a document is compared with fewer than
+#: this in a cell.
+FEW_ALIKE = 32
 
 
 def _signed(x: int) -> int:
@@ -245,7 +248,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
     First each document is compared with one other of its band value, chosen by a hash, unless
     they are joined already: this joins large groups of near copies at a cost of their number.
     Then all cells are visited.  Two documents of different roots alone in a cell are compared.
-    So are all pairs of different roots in cells of up to FEW.  Where more meet, as pages of one
+    So are all pairs of different roots in cells of up to FEW_ALIKE.  Where more meet, as pages of one
     template do, all documents of such cells are joined by their rarest shingles, which loses no
     candidate and spares those that only share the template.  So no
     pair depends on the order of ids, on the size of its group or on the number of documents.
@@ -274,12 +277,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, similarit
         scratch.release()
     alone, met = [], []
     for at in range(0, bands, 4):  # four bands at a time bound the shuffle files on disk
-        pairs, some = _meetings(rooted, plan[at : at + 4], scratch)
+        pairs, some = _meetings(rooted, plan[at : at + 4], scratch, FEW_ALIKE)
         alone.append(pairs)
         met.append(some)
         scratch.release()
     met = reduce(DataFrame.unionAll, met)
-    alone.append(_few_pairs(met.where("cell is not null")))
+    alone.append(_few_pairs(met.where("cell is not null"), classes.select("id", "n", *lane), similarity))
     crowd = scratch.cut(met.where("cell is null").select("id").distinct(), "crowd")
     if not crowd.isEmpty():
         links, pairs = _crowd_links(crowd, able, rooted, links, verifier, scratch, similarity)
@@ -334,13 +337,15 @@ def _mates(rooted: DataFrame, bands: list[tuple[int, Column]], step: int) -> Dat
     return pairs.select(F.least("m", "id").alias("a"), F.greatest("m", "id").alias("b"))
 
 
-def _meetings(rooted: DataFrame, bands: list[tuple[int, Column]], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _meetings(rooted: DataFrame, bands: list[tuple[int, Column]], scratch: Scratch, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """Who meets whom in ``bands``: (a, b), pairs of documents with different roots that alone
-    share a cell, and (band, cell, id, root), the documents of cells that more share, of different roots:
-    a row for each cell of up to FEW documents, and one with band and cell NULL for all cells of more.
+    share a cell, and (band, cell, value, id, root), the documents of cells that more share, of different roots:
+    a row for each cell of up to ``few`` documents, and one with band, cell and value NULL for all cells of more.
 
     A document visits the cells within one bit of its value, so two meet if their values are
-    within two bits.  There are fewer pairs than visits, however many documents share a cell.
+    within two bits.  Two with the same value share all its cells and others two, of which the smallest counts
+    (their own value, if they have the same): cells that are this to no pair go.  There are
+    fewer pairs than visits, however many documents share a cell.
     """
     rows = rooted.select("id", "root", _values(bands)).select("id", "root", "x.*")
     values = rows.groupBy("band", "value").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("a"), F.max("id").alias("b"))
@@ -349,19 +354,39 @@ def _meetings(rooted: DataFrame, bands: list[tuple[int, Column]], scratch: Scrat
     cells = scratch.cut(cells.where("c > 1 and low < high").select("band", "cell", "c", "a", "b"), "cells")
     # The values come again to their cells, rather than each crowded cell to all values around it,
     # so that the cost is one of documents.
-    more = cells.where("c > 2").select("band", "cell", (F.col("c") <= FEW).alias("few")).hint("shuffle_hash")
-    near = visits.select("band", "cell", "value").join(more, ["band", "cell"]).select("band", "value", F.when(F.col("few"), F.col("cell")).alias("cell")).distinct()
-    met = rows.join(near, ["band", "value"]).select(F.when(F.col("cell").isNotNull(), F.col("band")).alias("band"), "cell", "id", "root").distinct()
+    more = cells.where("c > 2").select("band", "cell", (F.col("c") <= few).alias("few")).hint("shuffle_hash")
+    near = visits.select("band", "cell", "value", "c").join(more, ["band", "cell"])
+    step, here = F.col("value").bitwiseXOR(F.col("cell")), Window.partitionBy("band", "cell")
+    near = near.select("*", F.max("value").over(here).alias("top"), F.min(step).over(here).alias("least"), F.max(F.when(step == 0, F.col("c"))).over(here).alias("own"))
+    near = near.where((F.col("own") > 1) | (F.col("top") > F.col("cell")) & (F.col("least") < F.col("top").bitwiseXOR(F.col("cell"))))
+    near = near.select("band", "value", F.when(F.col("few"), F.col("cell")).alias("cell")).distinct()
+    inside = F.col("cell").isNotNull()
+    met = rows.join(near, ["band", "value"]).select(F.when(inside, F.col("band")).alias("band"), "cell", F.when(inside, F.col("value")).alias("value"), "id", "root").distinct()
     return cells.where("c = 2").select("a", "b").distinct(), scratch.cut(met, "met")
 
 
-def _few_pairs(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different roots in each cell of up to FEW documents: fewer than FEW a document and cell."""
-    cells = met.groupBy("band", "cell").agg(F.collect_list(F.struct("id", "root")).alias("here"))
+def _first_cell(x: Column, y: Column) -> Column:
+    """The smallest cell that two values within two bits both visit, or x if they are one."""
+    differ = x.bitwiseXOR(y)
+    low = differ.bitwiseAND(-differ)
+    either = F.least(x.bitwiseXOR(low), y.bitwiseXOR(low))
+    return F.when(F.bit_count(differ) < 2, F.least(x, y)).otherwise(either)
+
+
+def _few_pairs(met: DataFrame, classes: DataFrame | None = None, similarity: float = 0.0) -> DataFrame:
+    """Pairs (a, b) of different roots in each cell of few documents, from the first cell in a band that both visit;
+    with ``classes`` (id, n, f0 ..) those only that may have this similarity by all lanes, as they are accepted later."""
+    lane = [c for c in classes.columns if c not in ("id", "n")] if classes is not None else []
+    if classes is not None:
+        met = met.join(classes.select(F.col("id").alias("doc"), "n", *lane), F.col("id") == F.col("doc"))
+    cells = met.groupBy("band", "cell").agg(F.collect_list(F.struct("id", "root", "value", *(["n"] if lane else []), *lane)).alias("here"))
 
     def partners(x: Column) -> Column:
-        after = F.filter("here", lambda y: (y["id"] > x["id"]) & (y["root"] != x["root"]))
-        return F.transform(after, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+        def meets(y: Column) -> Column:
+            out = (y["id"] > x["id"]) & (y["root"] != x["root"]) & (_first_cell(x["value"], y["value"]) == F.col("cell"))
+            return out & _alike([x[c] for c in lane], [y[c] for c in lane], x["n"], y["n"], similarity) if lane else out
+
+        return F.transform(F.filter("here", meets), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
 
     return cells.select(F.explode(F.flatten(F.transform("here", partners))).alias("x")).select("x.a", "x.b").distinct()
 
